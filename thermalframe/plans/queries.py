@@ -50,6 +50,20 @@ def rounded(df: DataFrame, digits: int = 4, only: Sequence[str] | None = None) -
     return df.withColumns({n: F.round(n, digits) for n in names}) if names else df
 
 
+# Plain arithmetic is the same in every engine; powers, logarithms and sines may differ in the last bit.
+TRANSCENDENTAL = ["hour_sin", "hour_cos", "NTU", "Re_air_estimate", "P_fan_estimate", "P_total_estimate", "COP_estimate"]
+
+
+def settled(df: DataFrame) -> DataFrame:
+    return rounded(df, 6, TRANSCENDENTAL)
+
+
+def magnitude(df: DataFrame, digits: int) -> DataFrame:
+    """Round huge means before the decimal point: their last digits depend on the order of summation."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    return df.withColumns({n: F.when(F.abs(n) > 1e9, F.round(n, -6)).otherwise(F.round(n, digits)) for n in names})
+
+
 def readings(spark, d) -> DataFrame:
     return sensors(spark, d).select(ORDER, UNIT, *S)
 
@@ -246,10 +260,9 @@ def points_read(spark, d):
 
 @query("points_write")
 def points_write(spark, d):
-    pred = bounded(spark, d).select(ORDER, *[e.alias(t) for t, e in mixing_model().items()], F.col("AMBT"))
     q = features.served_thermal_power(F.col("UCWF"), F.col("UCWIT"), mixing_model()["UCWOT"])
     pred = bounded(spark, d).select(ORDER, "AMBT", q.alias("Q_thermal"), *[e.alias(t) for t, e in mixing_model().items()])
-    return rounded(messages.points_write(pred, messages.point_map(spark), ORDER, [*TARGETS, "Q_thermal", "AMBT"]), 6)
+    return messages.points_write(pred, messages.point_map(spark), ORDER, [*TARGETS, "Q_thermal", "AMBT"])
 
 
 # --- projections, filters, predicates -----------------------------------------
@@ -349,7 +362,7 @@ def filter_results(spark, d):
 def join_pred_actual(spark, d):
     actual = bounded(spark, d).select(ORDER, *TARGETS)
     predicted = bounded(spark, d).select(ORDER, *[e.alias(t) for t, e in mixing_model().items()])
-    return rounded(metrics.pair_up(actual, predicted, ORDER), 6)
+    return metrics.pair_up(actual, predicted, ORDER)
 
 
 @query("join_model_comparison")
@@ -651,7 +664,7 @@ def latency_stats(spark, d):
 
 def _residual(kind: str):
     def run(spark, d):
-        return rounded(physics.residual_means(predictions(spark, d), (kind,), ("split",)), 6)
+        return magnitude(physics.residual_means(predictions(spark, d), (kind,), ("split",)), 6)
     return run
 
 
@@ -661,7 +674,7 @@ for _k in physics.RESIDUALS:
 
 @query("physics_total")
 def physics_total(spark, d):
-    return rounded(physics.total(predictions(spark, d), ("split",)))
+    return magnitude(physics.total(predictions(spark, d), ("split",)), 4)
 
 
 @query("target_ranges")
@@ -778,7 +791,7 @@ def indexed(spark, d, cols: Sequence[str]) -> DataFrame:
 
 @query("cycle_time")
 def cycle_time(spark, d):
-    return rounded(features.cycle(indexed(spark, d, [])), 6)
+    return settled(features.cycle(indexed(spark, d, [])))
 
 
 # --- sorts, limits, samples ------------------------------------------------------------
@@ -856,13 +869,13 @@ def time_span(spark, d):
 @query("features_full")
 def features_full(spark, d):
     df = features.cycle(features.static_features(indexed(spark, d, S)))
-    return rounded(df.select(ORDER, *[f for g in features.FULL_GROUPS.values() for f in g]), 6)
+    return settled(df.select(ORDER, *[f for g in features.FULL_GROUPS.values() for f in g]))
 
 
 def _group(name: str):
     def run(spark, d):
         df = features.static_features(bounded(spark, d))
-        return rounded(df.select(ORDER, *features.FULL_GROUPS[name]), 6)
+        return settled(df.select(ORDER, *features.FULL_GROUPS[name]))
     return run
 
 
@@ -873,13 +886,13 @@ for _g in features.FULL_GROUPS:
 
 @query("feat_temporal")
 def feat_temporal(spark, d):
-    return rounded(features.cycle(indexed(spark, d, [])).select(ORDER, *features.FULL_GROUPS["temporal"]), 6)
+    return settled(features.cycle(indexed(spark, d, [])).select(ORDER, *features.FULL_GROUPS["temporal"]))
 
 
 @query("features_no_leakage")
 def features_no_leakage(spark, d):
     df = features.cycle(features.leak_free(indexed(spark, d, FEATURES)))
-    return rounded(df.select(ORDER, *features.LEAK_FREE), 6)
+    return settled(df.select(ORDER, *features.LEAK_FREE))
 
 
 @query("features_serving")
@@ -887,7 +900,7 @@ def features_serving(spark, d):
     df = features.cycle(features.leak_free(indexed(spark, d, FEATURES), serving=True))
     # The online counter is read after its increment, the daily cycle before it.
     df = df.withColumn("time_index", F.col("time_index") + 1)
-    return rounded(df.select(ORDER, *features.LEAK_FREE), 6)
+    return settled(df.select(ORDER, *features.LEAK_FREE))
 
 
 @query("train_serve_skew")
@@ -903,13 +916,13 @@ def train_serve_skew(spark, d):
 @query("thermal_power_api")
 def thermal_power_api(spark, d):
     q = features.served_thermal_power(F.col("UCWF"), F.col("UCWIT"), mixing_model()["UCWOT"])
-    return rounded(bounded(spark, d).select(ORDER, q.alias("Q_thermal")), 6)
+    return bounded(spark, d).select(ORDER, q.alias("Q_thermal"))
 
 
 @query("eda_thermal")
 def eda_thermal(spark, d):
-    return rounded(features.quick_thermal(bounded(spark, d)).select(
-        ORDER, "delta_T_water", "delta_T_air", "Q_water_calc", "Q_air_calc", "efficiency"), 6)
+    return features.quick_thermal(bounded(spark, d)).select(
+        ORDER, "delta_T_water", "delta_T_air", "Q_water_calc", "Q_air_calc", "efficiency")
 
 
 @query("scale_inverse_roundtrip")
@@ -923,8 +936,8 @@ def scale_inverse_roundtrip(spark, d):
 @query("outlet_deltas")
 def outlet_deltas(spark, d):
     m = mixing_model()
-    return rounded(bounded(spark, d).select(ORDER, (m["UCAOT"] - F.col("UCAIT")).alias("air_delta"),
-                                            (m["UCWOT"] - F.col("UCWIT")).alias("water_delta")), 6)
+    return bounded(spark, d).select(ORDER, (m["UCAOT"] - F.col("UCAIT")).alias("air_delta"),
+                                    (m["UCWOT"] - F.col("UCWIT")).alias("water_delta"))
 
 
 # --- streaming ---------------------------------------------------------------------------
