@@ -71,8 +71,23 @@ def clip_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def bound(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sentinels, negative flows and physical limits, in that order: one projection."""
-    return clip_physical(fix_negative_flows(sentinel_to_null(df, columns), columns), columns)
+    """Sentinels, negative flows and physical limits in that order, as one expression per column."""
+    out = {}
+    for c in columns:
+        x = F.col(c)
+        missing = x.isin(*C.SENTINELS)
+        if c == "UCAF":
+            missing = missing | (x >= C.FLOW_SATURATION)
+        low, high = limits_of(c) or (None, None)
+        if may_not_be_negative(c):
+            low = max(low or 0.0, 0.0)
+        fixed = F.when(missing, None)
+        if low is not None:
+            fixed = fixed.when(x < low, F.lit(low))
+        if high is not None:
+            fixed = fixed.when(x > high, F.lit(high))
+        out[c] = fixed.otherwise(x)
+    return df.withColumns(out)
 
 
 def physics_flags(df: DataFrame) -> DataFrame:

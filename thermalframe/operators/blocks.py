@@ -53,35 +53,45 @@ def order_cuts(df: DataFrame, order: str, ranks: Sequence[Callable[[Column], Col
                width: int = BLOCK_WIDTH) -> tuple[int, list[int | None]]:
     """Order keys found at global ranks, as ``(row count, [key or None])``.
 
-    Each entry of ``ranks`` maps the row-count column to a 0-based rank. Only
-    block counts are shuffled, then the few blocks holding a rank are read
-    again, so a split costs no shuffle of the data itself.
+    Each entry of ``ranks`` maps the row-count column to a 0-based rank. Only one
+    line per block is shuffled, so a split costs no shuffle of the data itself.
+    Where a block has no gaps its key at a rank follows from its smallest key;
+    other blocks that hold a rank (at most one per rank) are read again.
     """
-    whole = Window.partitionBy(F.lit(0))
-    blocks = block_starts(df, [], order, width).withColumn("__total", F.sum("__n").over(whole))
+    key = F.col(order)
+    lines = df.groupBy(block_of(order, width).alias(_BLOCK)).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+    before = Window.partitionBy(F.lit(0)).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.withColumns({_START: F.coalesce(F.sum("__n").over(before), F.lit(0)),
+                                "__total": F.sum("__n").over(Window.partitionBy(F.lit(0)))})
     wanted_ranks = F.array(*[r(F.col("__total")).cast("bigint") for r in ranks])
+    holds = (F.col("r") >= F.col(_START)) & (F.col("r") < F.col(_START) + F.col("__n"))
     hits = (blocks.select("*", F.posexplode(wanted_ranks).alias("i", "r"))
-            .where((F.col("r") >= F.col(_START)) & (F.col("r") < F.col(_START) + F.col("__n")))
-            .select("i", "r", _BLOCK, _START, "__total").collect())
+            .where(holds | (F.col(_START) == 0))      # the first block always reports the row count
+            .select("i", (F.col("r") - F.col(_START)).alias("p"), _BLOCK, "__n", "__lo", "__hi", "__total").collect())
     cuts: list[int | None] = [None] * len(ranks)
-    if not hits:
-        return df.count(), cuts
-    wanted = {}
+    gaps: dict[int, list[tuple[int, int]]] = {}
     for h in hits:
-        wanted.setdefault(h[_BLOCK], []).append((h["i"], h["r"] - h[_START]))
-    inside = F.lit(False)
-    for b in wanted:
-        inside = inside | F.col(order).between(b * width, (b + 1) * width - 1)
-    rn = F.row_number().over(Window.partitionBy(_BLOCK).orderBy(order)) - 1
-    rows = df.where(inside).select(order).withColumn(_BLOCK, block_of(order, width)).withColumn(_RN, rn)
-    pick = F.lit(False)
-    for b, items in wanted.items():
-        pick = pick | ((F.col(_BLOCK) == b) & F.col(_RN).isin(sorted({p for _, p in items})))
-    found = {(r[_BLOCK], r[_RN]): r[order] for r in rows.where(pick).collect()}
-    for b, items in wanted.items():
-        for i, p in items:
-            cuts[i] = found[(b, p)]
-    return hits[0]["__total"], cuts
+        if not 0 <= h["p"] < h["__n"]:
+            continue
+        if h["__hi"] - h["__lo"] + 1 == h["__n"]:
+            cuts[h["i"]] = h["__lo"] + h["p"]
+        else:
+            gaps.setdefault(h[_BLOCK], []).append((h["i"], h["p"]))
+    if gaps:
+        inside = F.lit(False)
+        for b in gaps:
+            inside = inside | key.between(b * width, (b + 1) * width - 1)
+        rn = F.row_number().over(Window.partitionBy(_BLOCK).orderBy(order)) - 1
+        rows = df.where(inside).select(order).withColumn(_BLOCK, block_of(order, width)).withColumn(_RN, rn)
+        pick = F.lit(False)
+        for b, items in gaps.items():
+            pick = pick | ((F.col(_BLOCK) == b) & F.col(_RN).isin(sorted({p for _, p in items})))
+        found = {(r[_BLOCK], r[_RN]): r[order] for r in rows.where(pick).collect()}
+        for b, items in gaps.items():
+            for i, p in items:
+                cuts[i] = found[(b, p)]
+    return (hits[0]["__total"] if hits else 0), cuts
 
 
 def neighbours(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence[str] = (),

@@ -43,11 +43,16 @@ def boosted_trees(target: str, trees: int = 300, depth: int = 8, rate: float = 0
 
 
 def fit_per_target(train: DataFrame, features: Sequence[str], targets: Sequence[str],
-                   estimator: Callable[[str], object]) -> Bundle:
-    """Fit one pipeline per target on the rows where the features and that target are known."""
+                   estimator: Callable[[str], object], extra: Sequence[str] = ()) -> Bundle:
+    """Fit one pipeline per target on the rows where the features and that target are known.
+
+    ``extra`` names further columns an estimator reads (a validation mark). The
+    rows are kept for the fits because tree training passes over them many times.
+    """
     out: Bundle = {}
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    complete = train.dropna("any", subset=list(features)).persist()
+    needed = train.select(*dict.fromkeys([*features, *targets, *extra])).dropna("any", subset=list(features))
+    complete = needed.persist()
     try:
         for t in targets:
             rows = complete.where(F.col(t).isNotNull())

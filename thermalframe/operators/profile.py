@@ -3,47 +3,39 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermalframe import config as C
 from thermalframe.functions.cleaning import may_not_be_negative
 from thermalframe.functions.scalars import is_inf, to_long, wide_to_rows
-from thermalframe.operators.quantiles import DECIMALS, SMALL_ROWS, column_quantiles
+from thermalframe.operators.quantiles import DECIMALS, column_quantiles
 
-CORR_CHUNK = 200
 HISTOGRAM_BINS = 50
 
 
-def quantile_exprs(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                   rows: int | None = None) -> dict[str, list[Column]]:
-    """Exact quantiles as aggregate expressions.
-
-    Up to ``SMALL_ROWS`` they are evaluated inside the caller's aggregation;
-    beyond that they are found first and enter it as literals.
-    """
-    rows = df.count() if rows is None else rows
-    if rows <= SMALL_ROWS:
-        grid = F.array(*[F.lit(float(p)) for p in probs])
-        return {c: [F.round(F.percentile(F.col(c).cast("double"), grid)[i], DECIMALS) for i in range(len(probs))]
-                for c in columns}
+def quantile_literals(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                      rows: int | None = None) -> dict[str, list[Column]]:
+    """Exact quantiles of each column as literals for the caller's projection."""
     found = column_quantiles(df, columns, probs, rows)
     return {c: [F.lit(q).cast("double") for q in found[c]] for c in columns}
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max)."""
-    q = quantile_exprs(df, columns, (0.25, 0.5, 0.75))
+    q = quantile_literals(df, columns, (0.25, 0.5, 0.75))
     aggs = []
     for c in columns:
         aggs += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
-                 F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"),
-                 *[q[c][i].alias(f"{c}__q{p}") for i, p in enumerate((25, 50, 75))]]
+                 F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max")]
+    row = df.agg(*aggs).select("*", *[q[c][i].alias(f"{c}__q{p}") for c in columns for i, p in enumerate((25, 50, 75))])
     names = ("count", "mean", "std", "min", "q25", "q50", "q75", "max")
-    return wide_to_rows(df.agg(*aggs), list(columns), {n: n for n in names})
+    return wide_to_rows(row, list(columns), {n: n for n in names})
 
 
 def unique_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -154,17 +146,72 @@ def variable_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                        F.round(F.col("max") - F.col("min"), 3).alias("range"))
 
 
+def _merge(old: list | None, new: list) -> list:
+    """Combine two sets of pairwise counts, means and centred products."""
+    if old is None:
+        return new
+    n1, x1, y1, xx1, yy1, xy1 = old
+    n2, x2, y2, xx2, yy2, xy2 = new
+    n = n1 + n2
+    share = np.divide(n2, n, out=np.zeros_like(n), where=n > 0)
+    dx, dy = np.where(n1 > 0, x2 - x1, 0.0), np.where(n1 > 0, y2 - y1, 0.0)
+    both = n1 * share
+    return [n, np.where(n1 > 0, x1 + dx * share, x2), np.where(n1 > 0, y1 + dy * share, y2),
+            xx1 + xx2 + dx * dx * both, yy1 + yy2 + dy * dy * both, xy1 + xy2 + dx * dy * both]
+
+
+def _products(x: np.ndarray) -> list:
+    """Pairwise-complete counts, means and centred products of the columns of one batch."""
+    known = ~np.isnan(x)
+    m = known.astype("float64")
+    shift = np.divide(np.where(known, x, 0.0).sum(0), m.sum(0), out=np.zeros(x.shape[1]), where=m.sum(0) > 0)
+    z = np.where(known, x - shift, 0.0)
+    n = m.T @ m
+    safe = np.where(n > 0, n, 1.0)
+    sx, sxx, sxy = z.T @ m, (z * z).T @ m, z.T @ z
+    mx = sx / safe
+    return [n, mx + shift[:, None], mx.T + shift[None, :], sxx - n * mx * mx, (sxx - n * mx * mx).T, sxy - n * mx * mx.T]
+
+
 def _pair_corr(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(a, b, r) for the given pairs; rows with a missing side are skipped per pair."""
-    parts = []
-    for i in range(0, len(pairs), CORR_CHUNK):
-        chunk = pairs[i:i + CORR_CHUNK]
-        row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{j}")
-                       for j, (a, b) in enumerate(chunk)])
-        items = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                          F.when(~F.isnan(f"r{j}"), F.col(f"r{j}")).alias("r")) for j, (a, b) in enumerate(chunk)]
-        parts.append(row.select(F.inline(F.array(*items))))
-    return reduce(DataFrame.unionByName, parts)
+    """(a, b, r) for the given pairs; rows with a missing side are skipped per pair.
+
+    All pairs together are a few matrix products per Arrow batch, against one
+    aggregate per pair and row otherwise. A task emits one line per pair, and
+    these lines are combined by a grouped aggregation.
+    """
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    at = {c: i for i, c in enumerate(names)}
+    rows, cols = np.array([at[a] for a, _ in pairs]), np.array([at[b] for _, b in pairs])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), "float64") for c in batch.columns])
+                state = _merge(state, _products(x))
+        if state is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(rows)), pa.int32()), *[pa.array(s[rows, cols]) for s in state]],
+                names=["pair", "n", "x", "y", "xx", "yy", "xy"])
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(
+        partial, "pair int, n double, x double, y double, xx double, yy double, xy double").where("n > 0")
+    whole = Window.partitionBy("pair")     # one line per task
+    n = F.sum("n").over(whole)
+    centred = parts.withColumns({
+        "dx": F.col("x") - F.sum(F.col("n") * F.col("x")).over(whole) / n,
+        "dy": F.col("y") - F.sum(F.col("n") * F.col("y")).over(whole) / n})
+
+    def total(within: str, a: str, b: str) -> Column:
+        return F.sum(F.col(within) + F.col("n") * F.col(a) * F.col(b))
+
+    table = centred.groupBy("pair").agg(total("xx", "dx", "dx").alias("xx"), total("yy", "dy", "dy").alias("yy"),
+                                        total("xy", "dx", "dy").alias("xy"), F.sum("n").alias("n"))
+    spread = F.sqrt(F.col("xx") * F.col("yy"))
+    r = F.when((F.col("n") > 1) & (spread > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("xy") / spread)))
+    labels = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    return labels.join(table.select("pair", r.alias("r")), "pair", "left").select("a", "b", "r")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

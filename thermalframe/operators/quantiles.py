@@ -100,10 +100,6 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
         return {}
     if rows is None:
         rows = df.count()
-    if rows <= small_rows:
-        grid = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[_rounded(F.percentile(F.col(c).cast("double"), grid)).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
     table = grouped_quantiles(to_long(df, columns), ["feature"], "value", probs, rows, small_rows)
     found = {r["feature"]: list(r["q"]) for r in table.collect()}
     return {c: found.get(c, [None] * len(probs)) for c in columns}

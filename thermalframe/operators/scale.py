@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from thermalframe import config as C
 from thermalframe.functions.scalars import to_long, wide_to_rows
-from thermalframe.operators.profile import quantile_exprs
 from thermalframe.operators.quantiles import DECIMALS, grouped_quantiles
 
 METHODS = ("standard", "robust", "minmax")
@@ -26,10 +25,10 @@ def fit_scaler(train: DataFrame, columns: Sequence[str], method: str = "standard
         for c in columns:
             aggs += [F.avg(c).alias(f"{c}__center"), _guard(F.stddev_pop(c)).alias(f"{c}__scale")]
     elif method == "robust":
-        q = quantile_exprs(train, columns, (0.25, 0.5, 0.75))
-        for c in columns:
-            aggs += [q[c][1].alias(f"{c}__center"),
-                     _guard(F.round(q[c][2] - q[c][0], DECIMALS)).alias(f"{c}__scale")]
+        table = grouped_quantiles(to_long(train, columns, name="column"), ["column"], "value", (0.25, 0.5, 0.75),
+                                  rows=train.count())
+        return table.select("column", F.col("q")[1].alias("center"),
+                            _guard(F.round(F.col("q")[2] - F.col("q")[0], DECIMALS)).alias("scale"))
     elif method == "minmax":
         for c in columns:
             aggs += [F.min(c).alias(f"{c}__center"), _guard(F.max(c) - F.min(c)).alias(f"{c}__scale")]

@@ -28,17 +28,27 @@ def _label(key: Column, cuts: Sequence[int | None], names: Sequence[str] = NAMES
     return out
 
 
+def temporal_cuts(df: DataFrame, order: str, ratios: Sequence[float] = C.SPLIT_RATIOS,
+                  width: int = BLOCK_WIDTH) -> tuple[int, list[int | None]]:
+    """(row count, [first key of val, first key of test])."""
+    _check(ratios)
+    first, second = ratios[0], ratios[0] + ratios[1]
+    return order_cuts(df, order, [lambda n: F.floor(n * F.lit(first)), lambda n: F.floor(n * F.lit(second))], width)
+
+
+def label_parts(df: DataFrame, order: str, cuts: Sequence[int | None], name: str = "split") -> DataFrame:
+    """Label rows by comparing their key with the cuts: a projection that also pushes down to the scan."""
+    return df.withColumn(name, _label(F.col(order), cuts))
+
+
 def temporal_split(df: DataFrame, order: str, ratios: Sequence[float] = C.SPLIT_RATIOS,
-                   width: int = BLOCK_WIDTH, name: str = "split") -> DataFrame:
+                   width: int = BLOCK_WIDTH, name: str = "split", index: DataFrame | None = None) -> DataFrame:
     """Label rows train / val / test by position, without moving any of them.
 
-    The two order keys at the cut positions are looked up first; the label is
-    then a comparison that also pushes down to the scan.
+    The order keys at the cut positions are looked up first. ``index`` may name a
+    cheaper table that holds the same order keys.
     """
-    _check(ratios)
-    first, second = ratios[0], ratios[0] + ratios[1]
-    _, cuts = order_cuts(df, order, [lambda n: F.floor(n * F.lit(first)), lambda n: F.floor(n * F.lit(second))], width)
-    return df.withColumn(name, _label(F.col(order), cuts))
+    return label_parts(df, order, temporal_cuts(df if index is None else index, order, ratios, width)[1], name)
 
 
 def random_split(df: DataFrame, key: str, ratios: Sequence[float] = C.SPLIT_RATIOS, seed: int = 42,

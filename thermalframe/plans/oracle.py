@@ -585,7 +585,7 @@ p2 AS (SELECT split, UCAOT, UCWOT, UCAF, UCAOT_pred, UCWOT_pred, UCAF_pred,
         WINDOW h AS (PARTITION BY unit_id ORDER BY sample_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))""",
         "SELECT unit_id, seq_index, CAST(len(a) AS BIGINT) AS length, label_key, UCAF AS \"y_UCAF\", a[1] AS first_ambt, f[10] AS last_ucfs, round(list_sum(a) + list_sum(f), 4) AS total FROM w WHERE seq_index >= 0")
     add("best_model_per_target", METRICS, "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY dataset, target ORDER BY r2 DESC NULLS LAST, model) AS rn FROM metrics) WHERE rn = 1")
-    add("cycle_time", INDEXED, f"SELECT sample_id, unit_id, time_index, round(cycle_hour, 6) AS cycle_hour, round(hour_sin, 6) AS hour_sin, round(hour_cos, 6) AS hour_cos FROM (SELECT sample_id, unit_id, {_TIME} FROM indexed)")
+    add("cycle_time", INDEXED, f"SELECT sample_id, unit_id, time_index, cycle_hour, round(hour_sin, 6) AS hour_sin, round(hour_cos, 6) AS hour_cos FROM (SELECT sample_id, unit_id, {_TIME} FROM indexed)")
     # sorts
     add("top_features", IMPORTANCE, "SELECT feature, round(mean, 4) AS mean FROM imp_mean ORDER BY imp_mean.mean DESC, feature LIMIT 5")
     add("top_features_per_target", IMPORTANCE, "SELECT target, feature, round(importance, 4) AS importance, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY importance DESC, feature) AS rank FROM imp) WHERE rank <= 3")

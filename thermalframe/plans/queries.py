@@ -18,9 +18,9 @@ from thermalframe.functions.scalars import to_long
 from thermalframe.operators import (blocks, clean, drift, importance, messages, metrics, models, profile,
                                     quantiles, rules, scale, split)
 from thermalframe.plans import pipeline
-from thermalframe.session import work_path
+from thermalframe.session import cut_lineage, work_path
 from thermalframe.sources import io
-from thermalframe.sources.tables import ORDER, SENSORS, UNIT, events, sensor_columns, sensors
+from thermalframe.sources.tables import ORDER, SENSORS, UNIT, events, sensor_view, sensors
 from thermalframe.streaming import jobs
 
 S = list(SENSORS)
@@ -64,20 +64,30 @@ def magnitude(df: DataFrame, digits: int) -> DataFrame:
     return df.withColumns({n: F.when(F.abs(n) > 1e9, F.round(n, -6)).otherwise(F.round(n, digits)) for n in names})
 
 
-def readings(spark, d) -> DataFrame:
-    return sensors(spark, d).select(ORDER, UNIT, *S)
+def readings(spark, d, heavy: bool = False) -> DataFrame:
+    return sensors(spark, d, heavy).select(ORDER, UNIT, *S)
 
 
-def bounded(spark, d) -> DataFrame:
-    return cleaning.bound(readings(spark, d), S)
+def bounded(spark, d, heavy: bool = False) -> DataFrame:
+    return cleaning.bound(readings(spark, d, heavy), S)
 
 
-def parts(spark, d) -> DataFrame:
-    return split.temporal_split(bounded(spark, d), ORDER)
+def order_keys(spark, d) -> DataFrame:
+    return events(spark, d).select(F.col("event_id").alias(ORDER))
+
+
+def counted_parts(spark, d, heavy: bool = False) -> tuple[DataFrame, int]:
+    """Bounded readings with their split label, and the number of rows."""
+    n, cuts = split.temporal_cuts(order_keys(spark, d), ORDER)
+    return split.label_parts(bounded(spark, d, heavy), ORDER, cuts), n
+
+
+def parts(spark, d, heavy: bool = False) -> DataFrame:
+    return counted_parts(spark, d, heavy)[0]
 
 
 def filled(spark, d) -> DataFrame:
-    return clean.fill_both_ways(bounded(spark, d).drop("UCAIH"), ORDER, DENSE, [UNIT])
+    return clean.fill_both_ways(bounded(spark, d, heavy=True).drop("UCAIH"), ORDER, DENSE, [UNIT])
 
 
 def _d(x: float) -> Column:
@@ -98,21 +108,27 @@ def predictions(spark, d, model=mixing_model) -> DataFrame:
     return parts(spark, d).withColumns({f"{t}_pred": e for t, e in model().items()})
 
 
-def pairs(spark, d, keep: Sequence[str] = ()) -> DataFrame:
+def counted_pairs(spark, d, keep: Sequence[str] = ()) -> tuple[DataFrame, int]:
     """(kept, dataset, model, target, y, yhat) for both formula models: one projection."""
     items = [F.struct(F.lit(name).alias("model"), F.lit(t).alias("target"), F.col(t).alias("y"), e.alias("yhat"))
              for name, model in (("mixing", mixing_model), ("inlet", inlet_model)) for t, e in model().items()]
-    return parts(spark, d).select(*keep, F.col("split").alias("dataset"), F.inline(F.array(*items)))
+    rows, n = counted_parts(spark, d)
+    return rows.select(*keep, F.col("split").alias("dataset"), F.inline(F.array(*items))), n
+
+
+def pairs(spark, d, keep: Sequence[str] = ()) -> DataFrame:
+    return counted_pairs(spark, d, keep)[0]
 
 
 def model_metrics(spark, d) -> DataFrame:
     return metrics.regression_metrics(pairs(spark, d), ["model", "dataset", "target"])
 
 
-def tagged(spark, d, names: Sequence[str] = DRIFT) -> DataFrame:
-    """(feature, value, is_ref): train rows as reference, validation rows as current; one scan."""
-    rows = parts(spark, d).where("split in ('train', 'val')").withColumn("is_ref", F.col("split") == "train")
-    return to_long(rows, names, keep=["is_ref"])
+def tagged(spark, d, names: Sequence[str] = DRIFT) -> tuple[DataFrame, int]:
+    """((feature, value, is_ref), row count): train rows as reference, validation rows as current; one scan."""
+    rows, n = counted_parts(spark, d)
+    rows = rows.where("split in ('train', 'val')").withColumn("is_ref", F.col("split") == "train")
+    return to_long(rows, names, keep=["is_ref"]), n
 
 
 def n_rows(spark, d) -> int:
@@ -121,7 +137,8 @@ def n_rows(spark, d) -> int:
 
 def drift_table(spark, d) -> DataFrame:
     names = spark.createDataFrame([(f,) for f in DRIFT], "feature string")
-    return drift.feature_drift_long(tagged(spark, d), names, rows=n_rows(spark, d))
+    long, n = tagged(spark, d)
+    return drift.feature_drift_long(long, names, rows=n)
 
 
 def message_rows(e: DataFrame) -> DataFrame:
@@ -371,7 +388,7 @@ def join_model_comparison(spark, d):
 
 
 def importance_by_target(spark, d) -> DataFrame:
-    return importance.correlation_importance(bounded(spark, d), MODEL_INPUTS, TARGETS)
+    return importance.correlation_importance(bounded(spark, d, heavy=True), MODEL_INPUTS, TARGETS)
 
 
 @query("join_importance_models")
@@ -411,8 +428,8 @@ def join_regime_scaler(spark, d):
 
 @query("join_bins")
 def join_bins(spark, d):
-    long = tagged(spark, d)
-    edges = drift.bin_edges(long.where("is_ref"), rows=n_rows(spark, d))
+    long, n = tagged(spark, d)
+    edges = drift.bin_edges(long.where("is_ref"), rows=n)
     placed = long.where("value is not null").join(edges, "feature").withColumn("bin", drift.bin_of(F.col("value"), F.col("edges")))
     return placed.groupBy("feature", "is_ref", F.col("bin").cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
 
@@ -429,12 +446,12 @@ def semi_features(spark, d):
 
 @query("describe_stats")
 def describe_stats(spark, d):
-    return rounded(profile.describe(readings(spark, d), S))
+    return rounded(profile.describe(readings(spark, d, heavy=True), S))
 
 
 @query("summary_extended")
 def summary_extended(spark, d):
-    return rounded(profile.summary_extended(readings(spark, d), S))
+    return rounded(profile.summary_extended(readings(spark, d, heavy=True), S))
 
 
 @query("basic_info")
@@ -444,7 +461,7 @@ def basic_info(spark, d):
 
 @query("quality_report")
 def quality_report(spark, d):
-    return profile.quality_report(readings(spark, d), S)
+    return profile.quality_report(readings(spark, d, heavy=True), S)
 
 
 @query("duplicate_rows")
@@ -476,27 +493,27 @@ def variable_ranges(spark, d):
 
 @query("correlation_matrix")
 def correlation_matrix(spark, d):
-    return rounded(profile.correlation_matrix(bounded(spark, d), S), 6)
+    return rounded(profile.correlation_matrix(bounded(spark, d, heavy=True), S), 6)
 
 
 @query("high_corr_pairs")
 def high_corr_pairs(spark, d):
-    return profile.high_corr_pairs(features.static_features(bounded(spark, d)), [*S, "delta_T_air", "mdot_water", "T_approach"])
+    return profile.high_corr_pairs(features.static_features(bounded(spark, d, heavy=True)), [*S, "delta_T_air", "mdot_water", "T_approach"])
 
 
 @query("target_correlations")
 def target_correlations(spark, d):
-    return rounded(profile.target_correlations(bounded(spark, d), S, TARGETS), 6)
+    return rounded(profile.target_correlations(bounded(spark, d, heavy=True), S, TARGETS), 6)
 
 
 @query("top_target_correlations")
 def top_target_correlations(spark, d):
-    return rounded(profile.top_target_correlations(bounded(spark, d), S, TARGETS, 3), 6)
+    return rounded(profile.top_target_correlations(bounded(spark, d, heavy=True), S, TARGETS, 3), 6)
 
 
 @query("outliers_iqr")
 def outliers_iqr(spark, d):
-    return profile.outliers_iqr(readings(spark, d), S)
+    return profile.outliers_iqr(readings(spark, d, heavy=True), S)
 
 
 @query("outliers_zscore")
@@ -506,12 +523,12 @@ def outliers_zscore(spark, d):
 
 @query("boxplot_stats")
 def boxplot_stats(spark, d):
-    return profile.boxplot_stats(readings(spark, d), S)
+    return profile.boxplot_stats(readings(spark, d, heavy=True), S)
 
 
 @query("histogram_50")
 def histogram_50(spark, d):
-    return rounded(profile.histogram(readings(spark, d), S))
+    return rounded(profile.histogram(readings(spark, d, heavy=True), S))
 
 
 @query("profile_lineitem")
@@ -521,7 +538,7 @@ def profile_lineitem(spark, d):
 
 @query("impute_stats")
 def impute_stats(spark, d):
-    df = filled(spark, d)
+    df = cut_lineage(filled(spark, d))
     row = {"mean": clean.fit_means(df, DENSE), "median": clean.fit_medians(df, DENSE)}
     return rounded(spark.createDataFrame([(c, row["mean"][c], row["median"][c]) for c in DENSE],
                                          "column string, mean double, median double"))
@@ -563,7 +580,8 @@ def regression_metrics(spark, d):
 
 @query("residual_stats")
 def residual_stats(spark, d):
-    return rounded(metrics.residual_stats(pairs(spark, d), ["model", "target"], n_rows(spark, d)))
+    long, n = counted_pairs(spark, d)
+    return rounded(metrics.residual_stats(long, ["model", "target"], n))
 
 
 @query("metrics_by_condition")
@@ -622,12 +640,14 @@ def importance_groups_by_name(spark, d):
 
 @query("psi")
 def psi(spark, d):
-    return rounded(drift.psi(tagged(spark, d), rows=n_rows(spark, d)))
+    long, n = tagged(spark, d)
+    return rounded(drift.psi(long, rows=n))
 
 
 @query("ks_two_sample")
 def ks_two_sample(spark, d):
-    return rounded(drift.ks_two_sample(tagged(spark, d), rows=n_rows(spark, d)))
+    long, n = tagged(spark, d)
+    return rounded(drift.ks_two_sample(long, rows=n))
 
 
 @query("feature_drift")
@@ -723,7 +743,7 @@ def bfill_only(spark, d):
 
 @query("impute_forward_fill")
 def impute_forward_fill(spark, d):
-    df = filled(spark, d)
+    df = cut_lineage(filled(spark, d))     # read twice: for the means and for the result
     return rounded(clean.fill_constants(df, clean.fit_means(df, DENSE)), 6)
 
 
@@ -741,7 +761,7 @@ def impute_median(spark, d):
 
 @query("impute_interpolate")
 def impute_interpolate(spark, d):
-    df = clean.interpolate(bounded(spark, d).drop("UCAIH"), ORDER, DENSE, [UNIT])
+    df = cut_lineage(clean.interpolate(bounded(spark, d).drop("UCAIH"), ORDER, DENSE, [UNIT]))
     return rounded(clean.fill_constants(df, clean.fit_means(df, DENSE)), 6)
 
 
@@ -766,9 +786,10 @@ def time_series_folds(spark, d):
 
 @query("ecdf_difference")
 def ecdf_difference(spark, d):
-    rows = parts(spark, d).where("split in ('val', 'test')").withColumn("is_ref", F.col("split") == "val")
+    rows, n = counted_parts(spark, d)
+    rows = rows.where("split in ('val', 'test')").withColumn("is_ref", F.col("split") == "val")
     long = to_long(rows, ["UCFS", "UCWIT", "UCTSP"], keep=["is_ref"])
-    return rounded(quantiles.ks_distance(long, "feature", "value", F.col("is_ref"), n_rows(spark, d)), 6)
+    return rounded(quantiles.ks_distance(long, "feature", "value", F.col("is_ref"), n), 6)
 
 
 @query("make_sequences")
@@ -962,7 +983,7 @@ def stream_score(spark, d):
     base = work_path(spark, "score")
     train = parts(spark, d).where("split = 'train'")
     bundle = models.fit_per_target(train, MODEL_INPUTS, TARGETS, models.linear)
-    live = cleaning.bound(event_stream(spark, d).select(*sensor_columns(F.col("ts").cast("timestamp"))), S)
+    live = cleaning.bound(sensor_view(event_stream(spark, d)), S)
     scored = jobs.score(live, bundle, MODEL_INPUTS).withColumn(
         "Q_thermal", features.served_thermal_power(F.col("UCWF"), F.col("UCWIT"), F.col("UCWOT_pred")))
     jobs.drain(scored.select(ORDER, *[f"{t}_pred" for t in TARGETS], "Q_thermal"), f"{base}/checkpoint",
@@ -973,19 +994,20 @@ def stream_score(spark, d):
 @query("stream_row_counter")
 def stream_row_counter(spark, d):
     base = work_path(spark, "counter")
-    live = event_stream(spark, d).select(*sensor_columns(F.col("ts").cast("timestamp"))).select(ORDER, UNIT)
+    live = sensor_view(event_stream(spark, d)).select(ORDER, UNIT)
     jobs.drain(live, f"{base}/checkpoint", jobs.count_rows_to(f"{base}/out", f"{base}/state", ORDER, UNIT))
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
 def window_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
-    ref = to_long(parts(spark, d).where("split = 'train'"), DRIFT)
-    edges = drift.bin_edges(ref, rows=n_rows(spark, d))
+    rows, n = counted_parts(spark, d)
+    ref = to_long(rows.where("split = 'train'"), DRIFT)
+    edges = drift.bin_edges(ref, rows=n)
     return edges, drift.reference_bins(ref, edges)
 
 
 def live_long(e: DataFrame) -> DataFrame:
-    rows = cleaning.bound(e.select(*sensor_columns(F.col("ts").cast("timestamp"))), S)
+    rows = cleaning.bound(sensor_view(e), S)
     return to_long(rows, DRIFT, keep=["ts"])
 
 
@@ -1053,11 +1075,12 @@ def late_data(spark, d):
 
 @query("kpi_levels")
 def kpi_levels(spark, d):
-    lat = quantiles.grouped_quantiles(events(spark, d), [], "value", (0.5, 0.95), n_rows(spark, d))
+    long, n = tagged(spark, d)
+    lat = quantiles.grouped_quantiles(events(spark, d), [], "value", (0.5, 0.95), n)
     m = lat.select(F.inline(F.array(
         F.struct(F.lit("api_response_ms").alias("metric"), F.col("q")[0].alias("value")),
         F.struct(F.lit("inference_p95_ms").alias("metric"), F.col("q")[1].alias("value")))))
-    worst = drift.psi(tagged(spark, d), rows=n_rows(spark, d)).agg(F.max("psi").alias("value"))
+    worst = drift.psi(long, rows=n).agg(F.max("psi").alias("value"))
     measured = m.unionByName(worst.select(F.lit("drift_psi").alias("metric"), "value"))
     return rounded(rules.kpi_levels(measured, rules.kpi_rules(spark)))
 
@@ -1089,7 +1112,8 @@ def retention_filter(spark, d):
 
 @query("psi_band")
 def psi_band(spark, d):
-    table = rounded(drift.psi(tagged(spark, d, DENSE), rows=n_rows(spark, d)))
+    long, n = tagged(spark, d, DENSE)
+    table = rounded(drift.psi(long, rows=n))
     return table.withColumns({"band": drift.psi_band(F.col("psi")), "documented": drift.psi_band(F.col("psi"), True)})
 
 
@@ -1097,7 +1121,7 @@ def psi_band(spark, d):
 
 def training_rows(spark, d) -> DataFrame:
     """Bounded readings with leak-free features and the split label."""
-    return features.leak_free(parts(spark, d))
+    return features.leak_free(parts(spark, d, heavy=True))
 
 
 def scored_table(spark, d, estimator, names=None) -> DataFrame:
@@ -1135,7 +1159,8 @@ def fit_gbt(spark, d):
 def fit_gbt_early_stop(spark, d):
     rows = training_rows(spark, d).withColumn("is_validation", F.col("split") == "val")
     bundle = models.fit_per_target(rows.where("split <> 'test'"), MODEL_INPUTS, ["UCAOT"],
-                                   lambda t: models.boosted_trees(t, trees=15, depth=4, rate=0.3, validation="is_validation"))
+                                   lambda t: models.boosted_trees(t, trees=15, depth=4, rate=0.3, validation="is_validation"),
+                                   extra=["is_validation"])
     trees = bundle["UCAOT"].stages[-1].getNumTrees
     return models.evaluate(rows, bundle, MODEL_INPUTS, ["split"]).withColumn("trees", F.lit(trees).cast("bigint"))
 

@@ -21,6 +21,7 @@ def build_session(master: str | None = None, app: str = "thermalframe", **conf)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",   # no stack trace per column expression
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for key, value in settings.items():
@@ -55,3 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder, so that later jobs read it even if executors are lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a table scan with fewer splits than cores (one small file, one row group).
+
+    A large table has more splits than that and passes through unchanged, without
+    a shuffle. Meant for a bare scan: counting the splits of a plan with
+    exchanges would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

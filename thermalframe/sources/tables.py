@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thermalframe.session import spread
+
 SENSORS = ("UCWIT", "UCWOT", "UCAIT", "UCAOT", "UCWF", "UCAF", "UCAIH", "AMBT", "UCTSP", "UCFS", "UCWDP")
 ORDER = "sample_id"
 UNIT = "unit_id"
@@ -15,10 +17,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def sensor_columns(ts: Column) -> list[Column]:
-    """Sensor readings as a projection of event columns, usable on a batch or a stream."""
-    e, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
-    k = F.get_json_object("props", "$.k").cast("int")
+def sensor_view(e: DataFrame) -> DataFrame:
+    """Sensor readings of event rows, batch or stream.
+
+    The JSON field is read once per row in a projection of its own; it is needed
+    by five columns.
+    """
+    with_k = e.select("event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"),
+                      F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return with_k.select(*_sensor_columns())
+
+
+def _sensor_columns() -> list[Column]:
+    e, u, v, k = F.col("event_id"), F.col("user_id"), F.col("value"), F.col("k")
 
     def d(x) -> Column:
         return F.lit(float(x))
@@ -26,7 +37,7 @@ def sensor_columns(ts: Column) -> list[Column]:
     no_inlet = e.between(3000, 3014) | ((e % 11).between(3, 9) & (e % 77 < 22))
     room = d(18) + (u % 20) / d(2)
     return [
-        e.alias(ORDER), ts.alias("ts"), F.expr(f"event_id div {UNIT_ROWS}").alias(UNIT),
+        e.alias(ORDER), F.col("ts"), F.expr(f"event_id div {UNIT_ROWS}").alias(UNIT),
         F.when(~no_inlet, d(6) + k / d(8)).alias("UCWIT"),
         F.when(e % 13 == 5, None).when(e % 211 == 0, d(14999.8)).otherwise(d(8) + k / d(8) + v / d(100)).alias("UCWOT"),
         F.when(e % 17 != 2, room).alias("UCAIT"),
@@ -41,6 +52,10 @@ def sensor_columns(ts: Column) -> list[Column]:
     ]
 
 
-def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per reading: ``sample_id`` (unique, in time order), ``ts``, ``unit_id`` and the sensors."""
-    return events(spark, sf_dir).select(*sensor_columns(F.col("ts").cast("timestamp")))
+def sensors(spark: SparkSession, sf_dir: str, all_cores: bool = False) -> DataFrame:
+    """One row per reading: ``sample_id`` (unique, in time order), ``ts``, ``unit_id`` and the sensors.
+
+    ``all_cores`` spreads an input of too few splits, for work that is heavy per row.
+    """
+    rows = events(spark, sf_dir)
+    return sensor_view(spread(rows) if all_cores else rows)
