@@ -12,7 +12,7 @@ from thermalframe import config as C
 from thermalframe.functions.cleaning import bound, physics_flags
 from thermalframe.functions.scalars import clip, null_share
 from thermalframe.operators.blocks import BLOCK_WIDTH, neighbours
-from thermalframe.operators.quantiles import DECIMALS, column_quantiles
+from thermalframe.operators.quantiles import column_quantiles, settled
 from thermalframe.session import cut_lineage
 
 
@@ -103,7 +103,7 @@ def fit_outlier_bounds(df: DataFrame, columns: Sequence[str],
     out = {}
     for c, (q1, q3) in column_quantiles(df, columns, (0.25, 0.75)).items():
         if q1 is not None:
-            out[c] = (round(q1 - factor * (q3 - q1), DECIMALS), round(q3 + factor * (q3 - q1), DECIMALS))
+            out[c] = (settled(q1 - factor * (q3 - q1)), settled(q3 + factor * (q3 - q1)))
     return out
 
 
@@ -181,4 +181,12 @@ def apply_clean(df: DataFrame, columns: Sequence[str], order: str, stats: Cleani
 
 
 def _finish(df: DataFrame, stats: CleaningStats) -> DataFrame:
-    return drop_null_rows(physics_flags(clip_outliers(df, stats.bounds)), stats.columns)
+    """Clip, flag and drop rows that still miss a value.
+
+    A column with a known fill value has no missing value left, so only columns
+    without one are tested: a filter on all of them would be pushed through every
+    step above and multiply its expressions.
+    """
+    flagged = physics_flags(clip_outliers(df, stats.bounds))
+    unfilled = [c for c in stats.columns if stats.fill.get(c) is None]
+    return drop_null_rows(flagged, unfilled) if unfilled else flagged

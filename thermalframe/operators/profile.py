@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from thermalframe import config as C
 from thermalframe.functions.cleaning import may_not_be_negative
 from thermalframe.functions.scalars import is_inf, to_long, wide_to_rows
-from thermalframe.operators.quantiles import DECIMALS, column_quantiles
+from thermalframe.operators.quantiles import column_quantiles, settled
 
 HISTOGRAM_BINS = 50
 
@@ -253,7 +253,7 @@ def _iqr_bounds(df: DataFrame, columns: Sequence[str], k: float) -> dict[str, tu
     for c, (q1, q3) in q.items():
         if q1 is not None:
             iqr = q3 - q1
-            out[c] = (q1, q3, round(q1 - k * iqr, DECIMALS), round(q3 + k * iqr, DECIMALS))
+            out[c] = (q1, q3, settled(q1 - k * iqr), settled(q3 + k * iqr))
     return out
 
 
@@ -285,7 +285,7 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str], k: float = C.PROFILE_IQ
     for c, (_, _, lo, hi) in bounds.items():
         aggs += [F.count(c).alias(f"{c}__n"), F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"{c}__out")]
     items = [F.struct(F.lit(c).alias("column"), F.lit(q1).alias("q1"), F.lit(q3).alias("q3"),
-                      F.lit(round(q3 - q1, DECIMALS)).alias("iqr"), F.col(f"`{c}__out`").alias("outliers"),
+                      F.lit(settled(q3 - q1)).alias("iqr"), F.col(f"`{c}__out`").alias("outliers"),
                       F.round(F.col(f"`{c}__out`") / F.col(f"`{c}__n`") * 100, 4).alias("outlier_pct"))
              for c, (q1, q3, _, _) in bounds.items()]
     return df.agg(*aggs).select(F.inline(F.array(*items)))

@@ -20,7 +20,8 @@ from thermalframe.functions.scalars import to_long
 SMALL_ROWS = 1_000_000      # up to here one task can hold all values of a group
 BRACKET_ROWS = 2_000_000    # wanted number of values inside one bracket
 MAX_ACCURACY = 1 << 20
-DECIMALS = 9                # quantiles are rounded before they are used as bounds or edges
+DECIMALS = 9
+NOISE = 1e-12
 
 
 def _accuracy(rows: int) -> int:
@@ -40,12 +41,31 @@ def grouped_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: S
     if rows <= small_rows:
         return known.groupBy(*keys).agg(
             F.count("__v").alias("n"),
-            _rounded(F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs]))).alias("q"))
+            F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias("q")
+        ).select(*keys, "n", F.when(F.col("q").isNotNull(), _rounded(F.col("q"), probs)).alias("q"))
     return _bracketed(known, list(keys), [float(p) for p in probs], accuracy or _accuracy(rows))
 
 
-def _rounded(q: Column) -> Column:
-    return F.transform(q, lambda x: F.round(x, DECIMALS))
+def settle(x: Column) -> Column:
+    """Take off interpolation noise.
+
+    Sensors report short decimals, so a quantile that is a reading, or lies on the
+    same grid, must equal it exactly when used as a bound or a bin edge. A value
+    within ``NOISE`` of a nine-digit decimal is that decimal; others stay as they are.
+    """
+    short = F.round(x, DECIMALS)
+    return F.when(F.abs(x - short) <= NOISE * F.greatest(F.lit(1.0), F.abs(x)), short).otherwise(x)
+
+
+def settled(x: float) -> float:
+    """``settle`` for a number on the driver."""
+    short = round(x, DECIMALS)
+    return short if abs(x - short) <= NOISE * max(1.0, abs(x)) else x
+
+
+def _rounded(q: Column, probs: Sequence[float]) -> Column:
+    """The smallest and the largest value are readings and stay untouched."""
+    return F.array(*[q[i] if p in (0.0, 1.0) else settle(q[i]) for i, p in enumerate(probs)])
 
 
 def _bracketed(known: DataFrame, keys: list[str], probs: list[float], accuracy: int) -> DataFrame:
@@ -89,7 +109,8 @@ def _bracketed(known: DataFrame, keys: list[str], probs: list[float], accuracy:
         at = F.lit(p) * (F.col("n") - 1)
         outs.append(F.when(a.isNull() | b.isNull(), missed).otherwise(a + (b - a) * (at - F.floor(at))))
     return (ranked.groupBy(*keys, "n").agg(*aggs)
-            .select(*keys, "n", _rounded(F.array(*outs)).alias("q")))
+            .select(*keys, "n", F.array(*outs).alias("q"))
+            .select(*keys, "n", _rounded(F.col("q"), probs).alias("q")))
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thermalframe import config as C
 from thermalframe.functions.scalars import to_long, wide_to_rows
-from thermalframe.operators.quantiles import DECIMALS, grouped_quantiles
+from thermalframe.operators.quantiles import grouped_quantiles, settle
 
 METHODS = ("standard", "robust", "minmax")
 
@@ -28,7 +28,7 @@ def fit_scaler(train: DataFrame, columns: Sequence[str], method: str = "standard
         table = grouped_quantiles(to_long(train, columns, name="column"), ["column"], "value", (0.25, 0.5, 0.75),
                                   rows=train.count())
         return table.select("column", F.col("q")[1].alias("center"),
-                            _guard(F.round(F.col("q")[2] - F.col("q")[0], DECIMALS)).alias("scale"))
+                            _guard(settle(F.col("q")[2] - F.col("q")[0])).alias("scale"))
     elif method == "minmax":
         for c in columns:
             aggs += [F.min(c).alias(f"{c}__center"), _guard(F.max(c) - F.min(c)).alias(f"{c}__scale")]
@@ -62,7 +62,7 @@ def fit_regime_scaler(train: DataFrame, columns: Sequence[str], regime: str, met
     if method == "robust":
         q = grouped_quantiles(long, [regime, "column"], "value", (0.25, 0.5, 0.75), rows=train.count())
         stats = q.select(regime, "column", F.col("q")[1].alias("center"),
-                         _guard(F.round(F.col("q")[2] - F.col("q")[0], DECIMALS)).alias("scale"))
+                         _guard(settle(F.col("q")[2] - F.col("q")[0])).alias("scale"))
     elif method == "standard":
         stats = long.groupBy(regime, "column").agg(
             F.avg("value").alias("center"), _guard(F.stddev_pop("value")).alias("scale"))

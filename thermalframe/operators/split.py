@@ -22,10 +22,12 @@ def _check(ratios: Sequence[float]) -> None:
 
 def _label(key: Column, cuts: Sequence[int | None], names: Sequence[str] = NAMES) -> Column:
     """Name of the part a key falls into; a missing cut lies behind the last row."""
-    out = F.lit(names[-1])
-    for cut, name in list(zip(cuts, names))[::-1]:
-        out = F.lit(name) if cut is None else F.when(key < cut, F.lit(name)).otherwise(out)
-    return out
+    out = None
+    for cut, name in zip(cuts, names):
+        if cut is None:
+            return F.lit(name) if out is None else out.otherwise(F.lit(name))
+        out = F.when(key < cut, F.lit(name)) if out is None else out.when(key < cut, F.lit(name))
+    return out.otherwise(F.lit(names[-1]))
 
 
 def temporal_cuts(df: DataFrame, order: str, ratios: Sequence[float] = C.SPLIT_RATIOS,
@@ -37,10 +39,25 @@ def temporal_cuts(df: DataFrame, order: str, ratios: Sequence[float] = C.SPLIT_R
 
 
 def label_parts(df: DataFrame, order: str, cuts: Sequence[int | None], name: str = "split") -> DataFrame:
-    """Label rows by comparing their key with the cuts: a projection that also pushes down to the scan."""
+    """Label rows by comparing their key with the cuts: a projection, nothing moves."""
     return df.withColumn(name, _label(F.col(order), cuts))
 
 
+def select_parts(df: DataFrame, order: str, cuts: Sequence[int | None], wanted: Sequence[str],
+                 name: str = "split") -> DataFrame:
+    """Labelled rows of adjacent parts only. The key range is a filter of its own that reaches the scan."""
+    at = sorted(NAMES.index(w) for w in wanted)
+    low = cuts[at[0] - 1] if at[0] else None
+    high = cuts[at[-1]] if at[-1] < len(cuts) else None
+    if at[0] and low is None:
+        df = df.where(F.lit(False))      # the part lies behind the last row
+    if low is not None:
+        df = df.where(F.col(order) >= low)
+    if high is not None:
+        df = df.where(F.col(order) < high)
+    return label_parts(df, order, cuts, name)
+
+
 def temporal_split(df: DataFrame, order: str, ratios: Sequence[float] = C.SPLIT_RATIOS,
                    width: int = BLOCK_WIDTH, name: str = "split", index: DataFrame | None = None) -> DataFrame:
     """Label rows train / val / test by position, without moving any of them.

@@ -76,14 +76,14 @@ def order_keys(spark, d) -> DataFrame:
     return events(spark, d).select(F.col("event_id").alias(ORDER))
 
 
-def counted_parts(spark, d, heavy: bool = False) -> tuple[DataFrame, int]:
-    """Bounded readings with their split label, and the number of rows."""
+def counted_parts(spark, d, *only: str, heavy: bool = False) -> tuple[DataFrame, int]:
+    """Bounded readings with their split label (of all or of the named parts), and the number of rows in all."""
     n, cuts = split.temporal_cuts(order_keys(spark, d), ORDER)
-    return split.label_parts(bounded(spark, d, heavy), ORDER, cuts), n
+    return split.select_parts(bounded(spark, d, heavy), ORDER, cuts, only or split.NAMES), n
 
 
-def parts(spark, d, heavy: bool = False) -> DataFrame:
-    return counted_parts(spark, d, heavy)[0]
+def parts(spark, d, *only: str, heavy: bool = False) -> DataFrame:
+    return counted_parts(spark, d, *only, heavy=heavy)[0]
 
 
 def filled(spark, d) -> DataFrame:
@@ -126,8 +126,8 @@ def model_metrics(spark, d) -> DataFrame:
 
 def tagged(spark, d, names: Sequence[str] = DRIFT) -> tuple[DataFrame, int]:
     """((feature, value, is_ref), row count): train rows as reference, validation rows as current; one scan."""
-    rows, n = counted_parts(spark, d)
-    rows = rows.where("split in ('train', 'val')").withColumn("is_ref", F.col("split") == "train")
+    rows, n = counted_parts(spark, d, "train", "val")
+    rows = rows.withColumn("is_ref", F.col("split") == "train")
     return to_long(rows, names, keep=["is_ref"]), n
 
 
@@ -239,7 +239,7 @@ def drift_report_json(spark, d):
 @query("load_reference_table")
 def load_reference_table(spark, d):
     path = work_path(spark, "reference")
-    parts(spark, d).where("split = 'train'").select(ORDER, *DRIFT).write.csv(path, header=True)
+    parts(spark, d, "train").select(ORDER, *DRIFT).write.csv(path, header=True)
     return io.read_reference_csv(spark, path, io.sensor_schema(DRIFT, ORDER))
 
 
@@ -559,7 +559,7 @@ def outlier_clip_counts(spark, d):
 
 def _scaler(method: str):
     def run(spark, d):
-        return rounded(scale.fit_scaler(parts(spark, d).where("split = 'train'"), DENSE, method), 6)
+        return rounded(scale.fit_scaler(parts(spark, d, "train"), DENSE, method), 6)
     return run
 
 
@@ -786,8 +786,8 @@ def time_series_folds(spark, d):
 
 @query("ecdf_difference")
 def ecdf_difference(spark, d):
-    rows, n = counted_parts(spark, d)
-    rows = rows.where("split in ('val', 'test')").withColumn("is_ref", F.col("split") == "val")
+    rows, n = counted_parts(spark, d, "val", "test")
+    rows = rows.withColumn("is_ref", F.col("split") == "val")
     long = to_long(rows, ["UCFS", "UCWIT", "UCTSP"], keep=["is_ref"])
     return rounded(quantiles.ks_distance(long, "feature", "value", F.col("is_ref"), n), 6)
 
@@ -981,7 +981,7 @@ def topic_route(spark, d):
 @query("stream_score")
 def stream_score(spark, d):
     base = work_path(spark, "score")
-    train = parts(spark, d).where("split = 'train'")
+    train = parts(spark, d, "train")
     bundle = models.fit_per_target(train, MODEL_INPUTS, TARGETS, models.linear)
     live = cleaning.bound(sensor_view(event_stream(spark, d)), S)
     scored = jobs.score(live, bundle, MODEL_INPUTS).withColumn(
@@ -1000,8 +1000,8 @@ def stream_row_counter(spark, d):
 
 
 def window_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows, n = counted_parts(spark, d)
-    ref = to_long(rows.where("split = 'train'"), DRIFT)
+    rows, n = counted_parts(spark, d, "train")
+    ref = to_long(rows, DRIFT)
     edges = drift.bin_edges(ref, rows=n)
     return edges, drift.reference_bins(ref, edges)
 
