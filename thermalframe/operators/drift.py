@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from thermalframe import config as C
 from thermalframe.functions.scalars import ratio, to_long
 from thermalframe.operators.metrics import regression_metrics
-from thermalframe.operators.quantiles import grouped_quantiles, kolmogorov_p, ks_distance
+from thermalframe.operators.quantiles import (SMALL_ROWS, count_quantiles, grouped_quantiles, kolmogorov_p,
+                                              ks_distance, ks_from_counts, value_counts)
 
 BINS = 10
 
@@ -26,8 +27,15 @@ def tag_sides(reference: DataFrame, current: DataFrame, features: Sequence[str])
 def bin_edges(reference_long: DataFrame, bins: int = BINS, key: str = "feature", value: str = "value",
               rows: int | None = None) -> DataFrame:
     """(key, edges): distinct decile edges of the reference values."""
-    q = grouped_quantiles(reference_long, [key], value, [i / bins for i in range(bins + 1)], rows)
-    return q.select(key, F.array_distinct("q").alias("edges"))
+    return _distinct_edges(grouped_quantiles(reference_long, [key], value, _grid(bins), rows), key)
+
+
+def _grid(bins: int) -> list[float]:
+    return [i / bins for i in range(bins + 1)]
+
+
+def _distinct_edges(quantiles: DataFrame, key: str) -> DataFrame:
+    return quantiles.select(key, F.array_distinct("q").alias("edges"))
 
 
 def bin_of(value: Column, edges: Column) -> Column:
@@ -52,38 +60,69 @@ def psi_expr(bins: int = BINS) -> Column:
     return out
 
 
-def side_stats(long: DataFrame, edges: DataFrame, key: str = "feature", value: str = "value",
-               by: Sequence[str] = (), bins: int = BINS) -> DataFrame:
-    """Bin counts, sizes, means and deviations of both sides: one aggregation.
+def side_stats(counts: DataFrame, edges: DataFrame, key: str = "feature", bins: int = BINS) -> DataFrame:
+    """Bin counts, sizes, means and deviations of both sides from ``value_counts``: one aggregation.
 
     The edge table has one short row per feature and is broadcast by Spark while
     it is below the broadcast limit.
     """
-    v = F.col(value)
-    placed = (long.where(v.isNotNull()).join(edges, key)
-              .withColumn("__bin", bin_of(v, F.col("edges"))).withColumn("bins", F.size("edges") - 1))
-    ref, cur = F.col("is_ref"), ~F.col("is_ref")
-    counts = []
+    v = F.col("v")
+    placed = (counts.join(edges, key).withColumn("__bin", bin_of(v, F.col("edges")))
+              .withColumns({"bins": F.size("edges") - 1, "__x": v - F.col("edges")[0]}))   # shifted: no cancellation
+    aggs = []
     for j in range(1, bins + 1):
-        counts += [F.count_if(ref & (F.col("__bin") == j)).alias(f"r{j}"),
-                   F.count_if(cur & (F.col("__bin") == j)).alias(f"c{j}")]
-    return placed.groupBy(key, "bins", *by).agg(
-        F.count_if(ref).alias("n_ref"), F.count_if(cur).alias("n_cur"), *counts,
-        F.avg(F.when(ref, v)).alias("reference_mean"), F.avg(F.when(cur, v)).alias("current_mean"),
-        F.stddev_samp(F.when(ref, v)).alias("reference_std"), F.stddev_pop(F.when(cur, v)).alias("current_std"))
+        aggs += [F.sum(F.when(F.col("__bin") == j, F.col(side)).otherwise(0)).alias(f"{side}{j}") for side in ("r", "c")]
+    x = F.col("__x")
+    for side in ("r", "c"):
+        aggs += [F.sum(side).alias(f"n_{side}"), F.sum(x * F.col(side)).alias(f"s_{side}"),
+                 F.sum(x * x * F.col(side)).alias(f"q_{side}")]
+    table = placed.groupBy(key, "bins", F.col("edges")[0].alias("__low")).agg(*aggs)
+
+    def mean(side: str) -> Column:
+        return F.col(f"s_{side}") / F.nullif(f"n_{side}", F.lit(0))
+
+    def squares(side: str) -> Column:
+        return F.greatest(F.col(f"q_{side}") - F.col(f"s_{side}") * mean(side), F.lit(0.0))
+
+    low = F.coalesce(F.col("__low"), F.lit(0.0))
+    return table.select(
+        key, "bins", *[f"{side}{j}" for j in range(1, bins + 1) for side in ("r", "c")],
+        F.col("n_r").alias("n_ref"), F.col("n_c").alias("n_cur"),
+        (mean("r") + low).alias("reference_mean"), (mean("c") + low).alias("current_mean"),
+        F.sqrt(squares("r") / F.nullif(F.col("n_r") - 1, F.lit(0))).alias("reference_std"),
+        F.sqrt(squares("c") / F.nullif("n_c", F.lit(0))).alias("current_std"))
+
+
+def counts_and_edges(long: DataFrame, bins: int = BINS, key: str = "feature",
+                     rows: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Value counts of a tagged (key, value, is_ref) table, bin edges, and the row bound.
+
+    All drift statistics are read from the counts. Few rows: the edges too, so
+    the table is scanned once. Many rows: the edges come from a bracketing pass.
+    """
+    rows = long.count() if rows is None else rows
+    counts = value_counts(long, key, "value", F.col("is_ref"))
+    if rows <= SMALL_ROWS:
+        edges = _distinct_edges(count_quantiles(counts, key, "r", _grid(bins)), key)
+    else:
+        edges = bin_edges(long.where("is_ref"), bins, key, rows=rows)
+    return counts, edges, rows
 
 
 def psi(long: DataFrame, bins: int = BINS, key: str = "feature", rows: int | None = None) -> DataFrame:
     """(feature, psi) from a tagged (feature, value, is_ref) table."""
-    edges = bin_edges(long.where("is_ref"), bins, key, rows=rows)
-    return side_stats(long, edges, key, bins=bins).select(key, psi_expr(bins).alias("psi"))
+    counts, edges, _ = counts_and_edges(long, bins, key, rows)
+    return side_stats(counts, edges, key, bins).select(key, psi_expr(bins).alias("psi"))
 
 
 def ks_two_sample(long: DataFrame, key: str = "feature", rows: int | None = None,
                   bucket_rows: int = 1_000_000) -> DataFrame:
     """(feature, n_ref, n_cur, ks, p_value)."""
-    d = ks_distance(long, key, "value", F.col("is_ref"), rows, bucket_rows)
-    return d.withColumn("p_value", kolmogorov_p(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
+    return with_p_value(ks_distance(long, key, "value", F.col("is_ref"), rows, bucket_rows))
+
+
+def with_p_value(ks: DataFrame) -> DataFrame:
+    return ks.withColumn("p_value", kolmogorov_p(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
 
 
 def drift_status(psi_value: Column, p_value: Column, psi_threshold: float = C.PSI_THRESHOLD,
@@ -95,9 +134,9 @@ def drift_status(psi_value: Column, p_value: Column, psi_threshold: float = C.PS
 def feature_drift_long(long: DataFrame, features: DataFrame, bins: int = BINS,
                        rows: int | None = None) -> DataFrame:
     """Drift per feature from a tagged table; ``features`` (one column ``feature``) lists what to report."""
-    edges = bin_edges(long.where("is_ref"), bins, rows=rows)
-    stats = side_stats(long, edges, bins=bins).withColumn("psi", psi_expr(bins))
-    ks = ks_two_sample(long, rows=rows).select("feature", "ks", "p_value")
+    counts, edges, rows = counts_and_edges(long, bins, rows=rows)
+    stats = side_stats(counts, edges, bins=bins).withColumn("psi", psi_expr(bins))
+    ks = with_p_value(ks_from_counts(counts, "feature", rows)).select("feature", "ks", "p_value")
     both = features.join(stats, "feature", "left").join(ks, "feature", "left")
     ok = F.coalesce(F.col("n_cur"), F.lit(0)) > 0
     change = ratio(F.col("current_mean") - F.col("reference_mean"), F.col("reference_mean")) * 100
@@ -201,6 +240,5 @@ def drift_by_window(current: DataFrame, edges: DataFrame, reference_counts: Data
 
 def reference_bins(reference_long: DataFrame, edges: DataFrame, bins: int = BINS) -> DataFrame:
     """(feature, bins, n_ref, r1..rN): the static side of windowed drift."""
-    tagged = reference_long.withColumn("is_ref", F.lit(True))
-    return side_stats(tagged, edges, bins=bins).select(
-        "feature", "bins", "n_ref", *[f"r{j}" for j in range(1, bins + 1)])
+    counts = value_counts(reference_long, "feature", "value", F.lit(True))
+    return side_stats(counts, edges, bins=bins).select("feature", "bins", "n_ref", *[f"r{j}" for j in range(1, bins + 1)])

@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,19 @@ from thermalframe.functions.scalars import to_long
 SMALL_ROWS = 1_000_000      # up to here one task can hold all values of a group
 BRACKET_ROWS = 2_000_000    # wanted number of values inside one bracket
 MAX_ACCURACY = 1 << 20
+EDGE_LIMIT = 1 << 20        # bucket edges of all keys together
 DECIMALS = 9
 NOISE = 1e-12
 
 
+def count_quantiles(counts: DataFrame, key: str, weight: str, probs: Sequence[float]) -> DataFrame:
+    """(key, n, q) from (key, v, weight): for at most ``SMALL_ROWS`` rows per key."""
+    grid = F.array(*[F.lit(float(p)) for p in probs])
+    return (counts.where(F.col(weight) > 0).groupBy(key)
+            .agg(F.sum(weight).alias("n"), F.percentile("v", grid, F.col(weight)).alias("q"))
+            .select(key, "n", _rounded(F.col("q"), probs).alias("q")))
+
+
 def _accuracy(rows: int) -> int:
     return max(10_000, min(MAX_ACCURACY, math.ceil(6 * rows / BRACKET_ROWS)))
 
@@ -126,51 +137,70 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     return {c: found.get(c, [None] * len(probs)) for c in columns}
 
 
-def ks_distance(long: DataFrame, key: str, value: str, is_reference: Column, rows: int | None = None,
-                bucket_rows: int = 1_000_000) -> DataFrame:
-    """(key, n_ref, n_cur, ks): largest distance of two empirical distribution functions per key.
+def value_counts(long: DataFrame, key: str, value: str, is_reference: Column) -> DataFrame:
+    """(key, v, r, c): how often each value occurs on either side; equal values merge before the shuffle."""
+    known = long.where(F.col(value).isNotNull()).select(
+        F.col(key), F.col(value).cast("double").alias("v"), is_reference.alias("__ref"))
+    return known.groupBy(key, "v").agg(F.count_if("__ref").alias("r"), F.count_if(~F.col("__ref")).alias("c"))
 
-    Equal values are counted first. The distinct values are then cut into
-    buckets of about ``bucket_rows`` by sketched edges; the running shares are
-    taken inside each bucket and the bucket totals are added up afterwards, so
-    no task sees all values of a key.
+
+def _bucket(counts: DataFrame, key: str, buckets: int) -> Column:
+    """Bucket of a value by sketched edges of its key.
+
+    The edges are found first and travel with the tasks: at most ``EDGE_LIMIT``
+    numbers over all keys, looked up by binary search on whole Arrow batches.
     """
-    known = long.where(F.col(value).isNotNull()).select(
-        F.col(key), F.col(value).cast("double").alias("__v"), is_reference.alias("__ref"))
-    if rows is None:
-        rows = known.count()
-    buckets = max(1, min(1 << 14, math.ceil(rows / bucket_rows)))
-    step = math.ceil(math.sqrt(buckets))
-    totals_aggs = [F.count_if("__ref").alias("n_ref"), F.count_if(~F.col("__ref")).alias("n_cur")]
-    if buckets > 1:
-        grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-        totals_aggs.append(F.percentile_approx("__v", grid, F.lit(max(10_000, 4 * buckets))).alias("__edges"))
-    totals = known.groupBy(key).agg(*totals_aggs)
-    cells = known.groupBy(key, "__v").agg(
-        F.count_if("__ref").alias("__r"), F.count_if(~F.col("__ref")).alias("__c")).join(totals, key)
-    if buckets > 1:
-        v = F.col("__v")
-        coarse = F.filter("__edges", lambda e, i: (i % step == step - 1) & (e < v))
-        first = F.size(coarse) * step
-        fine = F.size(F.filter(F.slice("__edges", first + 1, F.lit(step)), lambda e: e < v))
-        cells = cells.withColumn("__bucket", first + fine)
-    else:
-        cells = cells.withColumn("__bucket", F.lit(0))
-    inside = Window.partitionBy(key, "__bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    keys = counts.select(key).distinct().count()
+    buckets = max(2, min(buckets, EDGE_LIMIT // max(1, keys)))
+    grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    table = counts.groupBy(key).agg(F.percentile_approx("v", grid, F.lit(max(10_000, 4 * buckets))).alias("e")).collect()
+    edges = {r[key]: np.asarray(r["e"]) for r in table}
+
+    @F.pandas_udf("int")
+    def find(names: pd.Series, values: pd.Series) -> pd.Series:
+        out = np.zeros(len(values), "int32")
+        for name in names.unique():
+            mine = (names == name).to_numpy()
+            out[mine] = np.searchsorted(edges[name], values.to_numpy()[mine], "left")
+        return pd.Series(out)
+
+    return find(F.col(key), F.col("v"))
+
+
+def ks_from_counts(counts: DataFrame, key: str, rows: int, bucket_rows: int = 1_000_000) -> DataFrame:
+    """(key, n_ref, n_cur, ks) from ``value_counts``.
+
+    Where one key may have more than ``bucket_rows`` distinct values they are cut
+    into buckets; the running shares are taken inside each bucket and the bucket
+    totals are added up afterwards, so no task sees all values of a key.
+    """
+    buckets = math.ceil(rows / bucket_rows)
+    totals = counts.groupBy(key).agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
+    placed = counts.withColumn("__bucket", _bucket(counts, key, buckets) if buckets > 1 else F.lit(0)).join(totals, key)
+    inside = Window.partitionBy(key, "__bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     # An empty side has no distribution: its divisor is NULL, and so is the distance.
     n_ref, n_cur = F.nullif("n_ref", F.lit(0)), F.nullif("n_cur", F.lit(0))
-    gap = F.sum("__r").over(inside) / n_ref - F.sum("__c").over(inside) / n_cur
-    per_bucket = (cells.withColumn("__d", gap).groupBy(key, "__bucket", "n_ref", "n_cur")
+    gap = F.sum("r").over(inside) / n_ref - F.sum("c").over(inside) / n_cur
+    per_bucket = (placed.withColumn("__d", gap).groupBy(key, "__bucket", "n_ref", "n_cur")
                   .agg(F.max("__d").alias("__max"), F.min("__d").alias("__min"),
-                       F.sum("__r").alias("__r"), F.sum("__c").alias("__c")))
+                       F.sum("r").alias("r"), F.sum("c").alias("c")))
     before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("__r").over(before) / n_ref - F.sum("__c").over(before) / n_cur,
-                        F.lit(0.0))
+    offset = F.coalesce(F.sum("r").over(before) / n_ref - F.sum("c").over(before) / n_cur, F.lit(0.0))
     return (per_bucket.withColumn("__o", offset).groupBy(key, "n_ref", "n_cur")
             .agg(F.max(F.greatest(F.abs(F.col("__max") + F.col("__o")),
                                   F.abs(F.col("__min") + F.col("__o")))).alias("ks")))
 
 
+def ks_distance(long: DataFrame, key: str, value: str, is_reference: Column, rows: int | None = None,
+                bucket_rows: int = 1_000_000) -> DataFrame:
+    """(key, n_ref, n_cur, ks): largest distance of two empirical distribution functions per key.
+
+    ``rows`` is an upper bound of the rows of one key; it is counted if not given.
+    """
+    rows = long.count() if rows is None else rows
+    return ks_from_counts(value_counts(long, key, value, is_reference), key, rows, bucket_rows)
+
+
 def kolmogorov_p(d: Column, n_ref: Column, n_cur: Column) -> Column:
     """Asymptotic two-sided p-value of the two-sample distance ``d``."""
     n_both = F.nullif((n_ref + n_cur).cast("double"), F.lit(0.0))
