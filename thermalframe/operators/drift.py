@@ -103,7 +103,8 @@ def counts_and_edges(long: DataFrame, bins: int = BINS, key: str = "feature",
     rows = long.count() if rows is None else rows
     counts = value_counts(long, key, "value", F.col("is_ref"))
     if rows <= SMALL_ROWS:
-        edges = _distinct_edges(count_quantiles(counts, key, "r", _grid(bins)), key)
+        # The test on c keeps both counts in this branch, so that Spark reuses the exchange of the others.
+        edges = _distinct_edges(count_quantiles(counts.where("c >= 0"), key, "r", _grid(bins)), key)
     else:
         edges = bin_edges(long.where("is_ref"), bins, key, rows=rows)
     return counts, edges, rows

@@ -112,7 +112,7 @@ def counted_pairs(spark, d, keep: Sequence[str] = ()) -> tuple[DataFrame, int]:
     """(kept, dataset, model, target, y, yhat) for both formula models: one projection."""
     items = [F.struct(F.lit(name).alias("model"), F.lit(t).alias("target"), F.col(t).alias("y"), e.alias("yhat"))
              for name, model in (("mixing", mixing_model), ("inlet", inlet_model)) for t, e in model().items()]
-    rows, n = counted_parts(spark, d)
+    rows, n = counted_parts(spark, d, heavy=True)
     return rows.select(*keep, F.col("split").alias("dataset"), F.inline(F.array(*items))), n
 
 
@@ -126,7 +126,7 @@ def model_metrics(spark, d) -> DataFrame:
 
 def tagged(spark, d, names: Sequence[str] = DRIFT) -> tuple[DataFrame, int]:
     """((feature, value, is_ref), row count): train rows as reference, validation rows as current; one scan."""
-    rows, n = counted_parts(spark, d, "train", "val")
+    rows, n = counted_parts(spark, d, "train", "val", heavy=True)
     rows = rows.withColumn("is_ref", F.col("split") == "train")
     return to_long(rows, names, keep=["is_ref"]), n
 
