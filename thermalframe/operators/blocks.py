@@ -107,8 +107,6 @@ def neighbours(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence
     for k in group:
         base = base.where(F.col(k).isNotNull())
     base = base.withColumn(_RN, F.row_number().over(Window.partitionBy(*group).orderBy(order)).cast("bigint"))
-    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col(_RN).alias("r"))) for c in columns}
-
     first = {c: F.min(F.when(F.col(c).isNotNull(), F.col(_RN))) for c in columns}
     last = {c: F.max(F.when(F.col(c).isNotNull(), F.col(_RN))) for c in columns}
     at_first = {c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(_RN))) for c in columns}
@@ -135,19 +133,23 @@ def neighbours(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence
 
     up = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*group).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = base.select("*", *[F.last(known[c], ignorenulls=True).over(up).alias(f"{c}__ip") for c in columns])
-    seen = seen.select("*", *[F.last(known[c], ignorenulls=True).over(down).alias(f"{c}__in") for c in columns])
+    # Value and row number apart: two plain columns are cheaper to carry than a struct per row.
+    place = {c: F.when(F.col(c).isNotNull(), F.col(_RN)) for c in columns}
+    seen = base.select("*", *[F.last(c, ignorenulls=True).over(up).alias(f"{c}__iv") for c in columns],
+                       *[F.last(place[c], ignorenulls=True).over(up).alias(f"{c}__ir") for c in columns])
+    seen = seen.select("*", *[F.last(c, ignorenulls=True).over(down).alias(f"{c}__jv") for c in columns],
+                       *[F.last(place[c], ignorenulls=True).over(down).alias(f"{c}__jr") for c in columns])
 
     joined = seen.join(carried, group)
     pos = F.col(_START) + F.col(_RN)
     out = []
     for c in columns:
-        ip, im, cp, cn = (F.col(f"{c}__{s}") for s in ("ip", "in", "cp", "cn"))
+        iv, ir, jv, jr, cp, cn = (F.col(f"{c}__{s}") for s in ("iv", "ir", "jv", "jr", "cp", "cn"))
         out += [
-            F.coalesce(ip["v"], cp["v"]).alias(f"{c}__pv"),
-            F.coalesce(F.col(_RN) - ip["r"], pos - cp["r"]).alias(f"{c}__pd"),
-            F.coalesce(im["v"], cn["v"]).alias(f"{c}__nv"),
-            F.coalesce(im["r"] - F.col(_RN), cn["r"] - pos).alias(f"{c}__nd"),
+            F.coalesce(iv, cp["v"]).alias(f"{c}__pv"),
+            F.coalesce(F.col(_RN) - ir, pos - cp["r"]).alias(f"{c}__pd"),
+            F.coalesce(jv, cn["v"]).alias(f"{c}__nv"),
+            F.coalesce(jr - F.col(_RN), cn["r"] - pos).alias(f"{c}__nd"),
         ]
     return joined.select(*df.columns, *out)
 

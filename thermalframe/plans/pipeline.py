@@ -25,7 +25,7 @@ def prepare(df: DataFrame, columns: Sequence[str], order: str, keys: Sequence[st
     indexed = blocks.row_index(cleaned, order, keys)
     table = features.leak_free(indexed) if leak_free else features.static_features(indexed)
     table = features.cycle(table).drop("water_delta_T", "air_delta_T")
-    table = split.temporal_split(table, order)
+    table = split.temporal_split(table, order, index=cleaned)
     numeric = [c for c in table.columns if c not in (order, "split", *keys)]
     params = scale.fit_scaler(table.where("split = 'train'"), numeric, method)
     scaled = scale.apply_scaler(table, scale.params_of(params))

@@ -247,8 +247,8 @@ def load_reference_table(spark, d):
 def stream_sensor_messages(spark, d):
     base = work_path(spark, "sensor-messages")
     stream = message_rows(event_stream(spark, d))
-    jobs.drain(stream, f"{base}/checkpoint", jobs.parse_to(f"{base}/good", f"{base}/dead"))
-    good = spark.read.parquet(f"{base}/good").where(F.col("topic") == C.SENSOR_TOPIC)
+    jobs.drain(stream, f"{base}/checkpoint", jobs.parse_to(f"{base}/out"))
+    good = spark.read.parquet(f"{base}/out").where((F.col("branch") == "good") & (F.col("topic") == C.SENSOR_TOPIC))
     return good.select("event_id", "topic", F.col("data")["UCWIT"].alias("UCWIT"), F.col("data")["UCAIT"].alias("UCAIT"))
 
 
@@ -966,10 +966,8 @@ def outlet_deltas(spark, d):
 @query("stream_parse")
 def stream_parse(spark, d):
     base = work_path(spark, "parse")
-    jobs.drain(message_rows(event_stream(spark, d)), f"{base}/checkpoint", jobs.parse_to(f"{base}/good", f"{base}/dead"))
-    good = spark.read.parquet(f"{base}/good").select("topic", F.lit("good").alias("branch"))
-    dead = spark.read.parquet(f"{base}/dead").select("topic", F.lit("dead").alias("branch"))
-    return good.unionByName(dead).groupBy("topic", "branch").agg(F.count(F.lit(1)).alias("rows"))
+    jobs.drain(message_rows(event_stream(spark, d)), f"{base}/checkpoint", jobs.parse_to(f"{base}/out"))
+    return spark.read.parquet(f"{base}/out").groupBy("topic", "branch").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("topic_route")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from thermalframe.operators import drift
 from thermalframe.operators.blocks import row_index
-from thermalframe.operators.messages import parse_messages, retained_latest, split_valid
+from thermalframe.operators.messages import parse_messages, retained_latest
 from thermalframe.operators.models import Bundle, predict_all
 
 
@@ -54,16 +54,13 @@ def to_folder(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def parse_to(good: str, dead: str) -> Callable[[DataFrame, int], None]:
-    """Sink with a dead-letter branch: valid messages to one folder, invalid ones to the other."""
+def parse_to(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink with a dead-letter branch: one write, partitioned into ``branch=good`` and ``branch=dead``."""
     def write(rows: DataFrame, batch_id: int) -> None:
-        parsed = parse_messages(rows).persist()
-        try:
-            ok, bad = split_valid(parsed)
-            ok.write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
-            bad.write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
-        finally:
-            parsed.unpersist()
+        parsed = parse_messages(rows)
+        branch = F.when(F.col("valid"), "good").otherwise("dead")
+        (parsed.withColumn("reason", F.when(~F.col("valid"), F.lit("invalid JSON"))).withColumn("branch", branch)
+         .drop("valid").write.mode("overwrite").partitionBy("branch").parquet(f"{path}/batch={batch_id}"))
     return write
 
 
