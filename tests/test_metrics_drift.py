@@ -64,6 +64,14 @@ def test_empty_summary_and_report(spark):
     assert doc["summary"]["overall_status"] == "WARNING" and doc["feature_drift"]["a"] == {"status": "STABLE"}
 
 
+def test_report_with_prediction_drift(spark):
+    some = spark.createDataFrame([("a", "CRITICAL")], "feature string, status string")
+    pred = spark.createDataFrame([("UCAOT", "STABLE", 0.5)], "target string, status string, mae double")
+    doc = json.loads(drift.report_json(some, pred).first()["report"])
+    assert doc["prediction_drift"] == [{"target": "UCAOT", "status": "STABLE", "mae": 0.5}]
+    assert doc["summary"]["drift_percentage"] == 100.0
+
+
 def test_metrics_equal_numpy(spark):
     rng = np.random.default_rng(1)
     y, p = rng.normal(5, 2, 500), rng.normal(5, 2, 500)

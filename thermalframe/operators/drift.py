@@ -183,18 +183,22 @@ def prediction_drift(long: DataFrame, reference_metrics: DataFrame, by: Sequence
         *[F.round(f"reference_{m}", 4).alias(f"reference_{m}") for m in ("mae", "rmse", "r2")])
 
 
-def drift_summary(drift: DataFrame) -> DataFrame:
-    """Counts per status, the worst status and the share of drifted features (NULL without features)."""
+def _summary_counts() -> list[Column]:
     s = F.col("status")
-    row = drift.agg(F.count(F.lit(1)).alias("total_features"),
-                    F.count_if(s == "CRITICAL").alias("critical_features"),
-                    F.count_if(s == "WARNING").alias("warning_features"),
-                    F.count_if(s == "STABLE").alias("stable_features"))
+    return [F.count(F.lit(1)).alias("total_features"), F.count_if(s == "CRITICAL").alias("critical_features"),
+            F.count_if(s == "WARNING").alias("warning_features"), F.count_if(s == "STABLE").alias("stable_features")]
+
+
+def _summary_verdict() -> list[Column]:
     bad = F.col("critical_features") + F.col("warning_features")
-    return row.withColumn(
-        "overall_status", F.when(F.col("critical_features") > 0, "CRITICAL")
-        .when(F.col("warning_features") > 0, "WARNING").otherwise("STABLE")
-    ).withColumn("drift_percentage", F.round(ratio(bad * 100.0, F.col("total_features")), 2))
+    return [F.when(F.col("critical_features") > 0, "CRITICAL").when(F.col("warning_features") > 0, "WARNING")
+            .otherwise("STABLE").alias("overall_status"),
+            F.round(ratio(bad * 100.0, F.col("total_features")), 2).alias("drift_percentage")]
+
+
+def drift_summary(drift: DataFrame) -> DataFrame:
+    """Counts per status, the worst status and the share of drifted features (NULL without features)."""
+    return drift.agg(*_summary_counts()).select("*", *_summary_verdict())
 
 
 def psi_band(value: Column, documented: bool = False) -> Column:
@@ -210,17 +214,16 @@ def report_json(drift: DataFrame, prediction: DataFrame | None = None) -> DataFr
     The report has one entry per monitored feature, which bounds the document.
     """
     body = F.struct(*[F.col(c) for c in drift.columns if c != "feature"])
-    entries = drift.select("feature", body.alias("body"))
-    features = entries.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "body"))))
-                           .alias("feature_drift"))
-    out = features.crossJoin(F.broadcast(drift_summary(drift).select(F.struct("*").alias("summary"))))
-    if prediction is not None:
-        rows = F.struct(*[F.col(c) for c in prediction.columns])
-        pred = prediction.agg(F.array_sort(F.collect_list(rows)).alias("prediction_drift"))
-        out = out.crossJoin(F.broadcast(pred))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", body.alias("body")))))
+    row = drift.agg(entries.alias("feature_drift"), *_summary_counts()).select("*", *_summary_verdict())
+    if prediction is None:
+        row = row.withColumn("prediction_drift", F.lit(None).cast("string"))
     else:
-        out = out.withColumn("prediction_drift", F.lit(None).cast("string"))
-    return out.select(F.to_json(F.struct("summary", "feature_drift", "prediction_drift")).alias("report"))
+        fields = F.struct(*[F.col(c) for c in prediction.columns])
+        row = row.withColumn("prediction_drift", prediction.agg(F.array_sort(F.collect_list(fields))).scalar())
+    summary = F.struct("overall_status", "total_features", "critical_features", "warning_features", "stable_features",
+                       "drift_percentage")
+    return row.select(F.to_json(F.struct(summary.alias("summary"), "feature_drift", "prediction_drift")).alias("report"))
 
 
 def drift_by_window(current: DataFrame, edges: DataFrame, reference_counts: DataFrame, ts: str = "ts",

@@ -98,7 +98,7 @@ def quality_report(df: DataFrame, columns: Sequence[str], categorical: int = 0)
         aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"),
                  F.count_if(is_inf(F.col(c))).alias(f"{c}__inf"),
                  F.coalesce(F.min(c) == F.max(c), F.lit(True)).cast("bigint").alias(f"{c}__constant")]
-    row = df.agg(*aggs).crossJoin(F.broadcast(duplicate_rows(df, columns)))  # one row each
+    row = df.agg(*aggs)
     total = reduce(lambda a, b: a + b, [F.col(f"`{c}__nulls`") for c in columns])
 
     def item(check: str, column: str | None, value: Column) -> Column:
@@ -107,12 +107,13 @@ def quality_report(df: DataFrame, columns: Sequence[str], categorical: int = 0)
 
     whole = [item("total_missing_cells", None, total),
              item("missing_pct_overall", None, F.round(total / (F.col("rows") * len(columns)) * 100, 2)),
-             item("duplicated_rows", None, F.col("duplicates")),
              item("numeric_columns", None, F.lit(len(columns))),
              item("categorical_columns", None, F.lit(categorical))]
     per_column = [item(check, c, F.col(f"`{c}__{s}`")) for c in columns
                   for check, s in (("missing", "nulls"), ("constant", "constant"), ("infinite", "inf"))]
-    return row.select(F.inline(F.array(*whole, *per_column))).where(F.col("column").isNull() | (F.col("value") > 0))
+    found = row.select(F.inline(F.array(*whole, *per_column))).where(F.col("column").isNull() | (F.col("value") > 0))
+    repeated = item("duplicated_rows", None, F.col("duplicates"))
+    return found.unionByName(duplicate_rows(df, columns).select(F.inline(F.array(repeated))))
 
 
 def quality_issues(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -100,7 +100,12 @@ def _bracketed(known: DataFrame, keys: list[str], probs: list[float], accuracy:
         F.when(whole, F.array(F.col("__max"))).otherwise(F.col("__hi")).alias("__hi"))
 
     v = F.col("__v")
-    joined = known.join(brackets, keys) if keys else known.crossJoin(F.broadcast(brackets))
+    if keys:
+        joined = known.join(brackets, keys)
+    else:      # one group: its few brackets become literals
+        one = brackets.first()
+        joined = known.withColumns({"n": F.lit(one["n"]), **{
+            c: F.array(*[F.lit(x) for x in one[c] or []]).cast("array<double>") for c in ("__lo", "__hi")}})
     ended = F.size(F.filter("__hi", lambda h: h < v))
     begun = F.size(F.filter("__lo", lambda lo: lo <= v))
     cells = (joined.select(*keys, "n", ended.alias("__gap"), F.when(begun > ended, v).alias("__x"))

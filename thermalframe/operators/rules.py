@@ -45,8 +45,8 @@ def retrain_triggers(drift: DataFrame, metrics: DataFrame, new_rows: DataFrame)
     """
     d = drift.agg(F.max("psi").alias("max_psi"), F.count_if(F.col("status") == "WARNING").alias("warnings"),
                   F.count_if(F.col("status") == "CRITICAL").alias("criticals"))
-    m = metrics.agg(F.min("r2").alias("min_r2"))
-    one = d.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(new_rows))   # one row each
+    one = d.withColumns({"min_r2": metrics.agg(F.min("r2")).scalar(), "samples": new_rows.select("samples").scalar(),
+                         "age_days": new_rows.select("age_days").scalar()})
     out = one.withColumns({
         "psi_trigger": F.col("max_psi") > C.RETRAIN_PSI,
         "r2_trigger": F.col("min_r2") < C.RETRAIN_R2,

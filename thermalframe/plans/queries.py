@@ -225,7 +225,9 @@ def write_results(spark, d):
 
 @query("drift_report_json")
 def drift_report_json(spark, d):
-    doc = drift.report_json(drift_table(spark, d))
+    long = pairs(spark, d).where("model = 'mixing'")
+    reference = metrics.regression_metrics(long.where("dataset = 'train'"), ["target"], 9)
+    doc = drift.report_json(drift_table(spark, d), drift.prediction_drift(long.where("dataset = 'val'"), reference))
     entry = "struct<status:string,psi:double,ks_statistic:double,reference_mean:double,current_mean:double>"
     parsed = doc.select(F.from_json("report", "summary struct<overall_status:string,drift_percentage:double>, "
                                               f"feature_drift map<string,{entry}>").alias("r"))
@@ -600,7 +602,8 @@ def metrics_by_tercile(spark, d):
 @query("metrics_eps_mape")
 def metrics_eps_mape(spark, d):
     table = metrics.metrics_shifted_mape(pairs(spark, d).where("model = 'mixing'"))
-    return rounded(table.crossJoin(F.broadcast(metrics.verdict(table))))    # the verdict is one row
+    overall = metrics.verdict(table)
+    return rounded(table.withColumns({c: overall.select(c).scalar() for c in ("avg_r2", "verdict")}))
 
 
 @query("cv_fold_metrics")
