@@ -1,3 +1,72 @@
 """SQL for the registered queries of the training-data operators, where SQL can express them."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op1_chat_format"] = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(24 + length(replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '|', '\p'))
+    + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) as bigint) as formatted_chars
+from turns group by conv_id
+"""
+
+#: Sets, links and the smallest reachable id; links are found through common shingles.
+ORACLES["op2_ngram_jaccard_join"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(0), '', 'g'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) end as sh from w),
+n as (select doc_id, len(sh) as n from s),
+t as (select doc_id, unnest(sh) as g from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from t a join t b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from n union select r.a, e.b from reach r join both_ways e on r.b = e.a)
+select n.doc_id, cast(n.n as bigint) as n_shingles, r.low as component_id, cl.low as class_id
+from n join (select a, min(b) as low from reach group by a) r on r.a = n.doc_id
+join (select doc_id, min(doc_id) over (partition by case when len(sh) = 0 then cast(doc_id as varchar) else array_to_string(list_sort(sh), chr(10)) end) as low from s) cl
+  on cl.doc_id = n.doc_id
+"""
+
+ORACLES["op4_line_dedup"] = r"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+keyed as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines),
+judged as (select *, length(k) >= 10 and doc_id > min(doc_id) over (partition by k) as gone from keyed)
+select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from judged group by doc_id
+"""
+
+ORACLES["op6_quality_rules"] = r"""
+with w as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+    string_split(coalesce(text, ''), chr(10)) as ls from documents),
+grams as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as g
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 6, 1))) as i from w)),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from grams) where c > 1),
+covered as (select doc_id, count(distinct i + j) as n from twice, (select unnest(range(0, 8)) as j) group by doc_id),
+c as (
+  select w.doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) as n_dup_lines,
+    coalesce(covered.n, 0) as n_repeat_words, len(ls) as n_lines,
+    len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z0-9\x{80}-\x{10FFFF}]'))) as n_wordlike
+  from w left join covered using (doc_id)),
+f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+  not (base_failed or 100 * n_symbols > 15 * n_words or word_chars > 15 * n_words or 2 * word_chars < 3 * n_words
+    or 100 * n_dup_lines > 50 * n_lines or 2 * n_wordlike < n_words) as kept
+from f
+"""
