@@ -7,14 +7,15 @@ and labels every document with the smallest id that it reaches.
    have an equal cell: their symmetric difference has at most d shingles, and there are d + 1 cells. A token names
    one cell with its content. Size classes make the number of cells agree: a set is cut for its own class and for
    the next larger one. A passage that many documents share does not fill a cell, so it makes no hot token.
-2. *Groups.* Documents that share a token are compared with the smallest id that has it, never with one another;
-   the links that hold make groups of similar documents.
-3. *Matrix.* Token by group, with each group's union of tokens. A document with a token of a group other than
-   its own becomes a query to that group (of two groups the smaller asks).
-4. *Bound and open.* A group is cut into blocks of bounded size. The query's overlap with the union of a block's
-   shingles bounds its overlap with every member, so only a block that reaches the threshold is opened.
-
-Links inside a group need no test, as they change no component; links between groups are all found: none of the
+2. *Groups.* Documents that share a token are similar; each joins the group of the smallest id that it shares one with,
+   and is compared with that id. The links that hold make components, so copies of one text are settled at once.
+3. *Matrix.* Token by group: each group's union of tokens. A document with a token of a group that holds other
+   components is a query to it (of two groups the smaller asks).
+4. *Bound and open.* A group is cut into blocks of bounded size, and these into leaves. The query's overlap with the
+   union of a block's shingles bounds its overlap with every member; only a block, then a leaf, that reaches the
+   threshold is opened. Many variants of one text that are just too unlike are so refused at once, not pair by pair.
+
+Links inside a component need no test, as they change nothing; links between components are all found: none of the
 steps drops, samples or caps. Equal sets meet as one class. Rows with one id are one document with several texts;
 a null id counts as the largest id and comes out null. A null or empty text, or one without words, has no
 shingles and is linked with nothing. Only ``doc_id`` and ``text`` are read, so further columns cannot clash.
@@ -33,9 +34,11 @@ from thermalframe.llm import text as X
 from thermalframe.llm.components import components
 from thermalframe.llm.store import parts, written
 
-HELD_TOKENS = 1_000_000        # tokens that a task gathers before it deals them out
+HELD_TOKENS = 2_000_000        # tokens that a task gathers before it deals them out
 BLOCK_SHINGLES = 1_000_000     # shingles in one block of a group, but one document at least
+LEAF = 32                      # documents in one leaf of a block
 QUERIES = 2_000                # queries to one copy of a block
+SMALL_IDS = 500_000            # ids up to which a list of them is broadcast; a longer one is joined by shuffling
 
 
 def size_classes(percent: int, upto: int) -> list[tuple[int, int]]:
@@ -84,7 +87,7 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, tokens binary")
 
 
-_DEALT = "part int, tokens binary, row binary, doc_id binary, n binary, digest binary"
+_DEALT = "part int, tokens binary, row binary, doc_id binary, digest binary"
 
 
 def _deal(spread: int):
@@ -101,17 +104,16 @@ def _deal(spread: int):
             token, row = token[order], row[order]
             cut = np.searchsorted(X.deal(token, spread), np.arange(spread + 1))
             ids = np.array([v[0] for _, v in rows], np.int64)
-            n = np.array([k[0] for k, _ in rows], np.int64)
             digest = np.array([k[1] for k, _ in rows], np.int64)
             lines = []
             for p in np.flatnonzero(np.diff(cut)):
                 a, b = cut[p], cut[p + 1]
                 used, local = np.unique(row[a:b], return_inverse=True)
                 lines.append((int(p), token[a:b].tobytes(), local.astype(np.uint32).tobytes(), ids[used].tobytes(),
-                              n[used].tobytes(), digest[used].tobytes()))
-            types = [pa.int32()] + [pa.binary()] * 5
+                              digest[used].tobytes()))
+            types = [pa.int32()] + [pa.binary()] * 4
             return pa.record_batch([pa.array([x[i] for x in lines], t) for i, t in enumerate(types)],
-                                   ["part", "tokens", "row", "doc_id", "n", "digest"])
+                                   ["part", "tokens", "row", "doc_id", "digest"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "n", "d1", "d2", "tokens")]
@@ -132,53 +134,45 @@ def _deal(spread: int):
     return deal
 
 
-def _share(percent: int):
-    """Of each token in several sets: its members, and pairs of each with the smallest id."""
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[], [], [], []]
-        for batch in batches:
-            for token, row, doc, n, digest in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
-                row = np.frombuffer(row, np.uint32)
-                got[0].append(np.frombuffer(token, np.uint64))
-                for i, (packed, kind) in enumerate(((doc, np.int64), (n, np.int64), (digest, np.int64))):
-                    got[i + 1].append(np.frombuffer(packed, kind)[row])
-        if not got[0]:
-            return
-        token, doc, n, digest = (np.concatenate(x) for x in got)
-        got.clear()
-        order = np.argsort(token)
-        sorted_token = token[order]
-        again = sorted_token[1:] == sorted_token[:-1]
-        several = np.zeros(len(token), bool)
-        several[1:] |= again
-        several[:-1] |= again
-        order = order[several]
-        token, doc, n, digest = token[order], doc[order], n[order], digest[order]
-
-        def first(*keys: np.ndarray) -> np.ndarray:
-            new = np.ones(len(keys[0]), bool)
-            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-            return new
-
-        order = np.lexsort((doc, digest, token))
-        token, doc, n, digest = token[order], doc[order], n[order], digest[order]
-        keep = first(token, digest)                        # equal sets: the smallest id stands for them
-        token, doc, n = token[keep], doc[keep], n[keep]
-        order = np.lexsort((doc, token))
-        token, doc, n = token[order], doc[order], n[order]
-        begin = np.flatnonzero(first(token)) if len(token) else np.zeros(0, np.int64)
-        length = np.diff(np.append(begin, len(token)))
-        lead = np.repeat(begin, length)
-        alone = np.repeat(length == 1, length)
-        member = ~alone
-        lesser, larger = np.minimum(n, n[lead]), np.maximum(n, n[lead])
-        pair = member & (doc != doc[lead]) & (100 * lesser >= percent * larger)
-        pairs = np.unique(np.stack([doc[lead][pair], doc[pair]]), axis=1)
-        yield pa.record_batch(
-            [pa.array(np.concatenate([np.ones(member.sum(), np.int32), np.zeros(pairs.shape[1], np.int32)])),
-             pa.array(np.concatenate([token[member].view(np.int64), pairs[0]])),
-             pa.array(np.concatenate([doc[member], pairs[1]]))], ["kind", "a", "b"])
-    return share
+def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, doc_id, lead) of each token in several sets: its members and the smallest of them."""
+    got: list[list[np.ndarray]] = [[], [], []]
+    for batch in batches:
+        for token, row, doc, digest in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+            row = np.frombuffer(row, np.uint32)
+            got[0].append(np.frombuffer(token, np.uint64))
+            got[1].append(np.frombuffer(doc, np.int64)[row])
+            got[2].append(np.frombuffer(digest, np.int64)[row])
+    if not got[0]:
+        return
+    token, doc, digest = (np.concatenate(x) for x in got)
+    got.clear()
+    order = np.argsort(token)
+    again = token[order][1:] == token[order][:-1]
+    several = np.zeros(len(token), bool)
+    several[1:] |= again
+    several[:-1] |= again
+    order = order[several]
+    token, doc, digest = token[order], doc[order], digest[order]
+    order = np.lexsort((doc, digest, token))
+    token, doc, digest = token[order], doc[order], digest[order]
+    keep = _changes(token, digest)                        # equal sets: the smallest id stands for them
+    token, doc = token[keep], doc[keep]
+    order = np.lexsort((doc, token))
+    token, doc = token[order], doc[order]
+    begin = np.flatnonzero(_changes(token))
+    length = np.diff(np.append(begin, len(token)))
+    member = np.repeat(length > 1, length)
+    lead = np.repeat(doc[begin], length)
+    yield pa.record_batch([pa.array(token[member].view(np.int64)), pa.array(doc[member]), pa.array(lead[member])],
+                          ["token", "doc_id", "lead"])
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -197,27 +191,51 @@ def _verify(percent: int):
     return verify
 
 
+class Block:
+    """Members of a block in leaves, with the union of shingles of each leaf and of all."""
+
+    def __init__(self) -> None:
+        self.leaves: list[list[tuple[int, int, np.ndarray]]] = []
+        self.unions: list[np.ndarray] = []
+
+    def add(self, doc: int, component: int, shingles: np.ndarray) -> None:
+        if not self.leaves or len(self.leaves[-1]) == LEAF:
+            self.leaves.append([])
+        self.leaves[-1].append((doc, component, shingles))
+
+    def links(self, doc: int, component: int, own: bool, shingles: np.ndarray, percent: int) -> Iterator[int]:
+        """One linked member of each component other than the query's; in its own group among smaller ids."""
+        if not self.unions:
+            self.unions = [np.unique(np.concatenate([m[2] for m in leaf])) for leaf in self.leaves]
+            self.whole = np.unique(np.concatenate(self.unions)) if self.unions else shingles[:0]
+        least = percent * len(shingles)
+        if 100 * len(np.intersect1d(shingles, self.whole, assume_unique=True)) < least:
+            return
+        done = {component}
+        for leaf, union in zip(self.leaves, self.unions):
+            if 100 * len(np.intersect1d(shingles, union, assume_unique=True)) < least:
+                continue
+            for member, other, held in leaf:
+                if other not in done and not (own and member >= doc) and _linked(shingles, held, percent):
+                    done.add(other)
+                    yield member
+
+
 def _open(percent: int):
-    """Lines of a block come first, then its queries; a query gets at most one link to a block."""
+    """Members of a block come first, then its queries."""
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members, union = None, [], None
+        at, block = None, Block()
         for batch in batches:
             found = []
-            for group, block, salt, asks, doc, packed in zip(*(batch.column(c).to_pylist() for c in (
-                    "group", "block", "salt", "asks", "doc_id", "shingles"))):
-                if at != (group, block, salt):
-                    at, members, union = (group, block, salt), [], None
+            for *key, asks, doc, component, packed in zip(*(batch.column(c).to_pylist() for c in (
+                    "group", "block", "salt", "asks", "doc_id", "component", "shingles"))):
+                if at != key:
+                    at, block = key, Block()
                 shingles = np.frombuffer(packed, np.uint64)
-                if not asks:
-                    members.append((doc, shingles))
-                    continue
-                if union is None:
-                    union = np.unique(np.concatenate([m[1] for m in members])) if members else shingles[:0]
-                if 100 * len(np.intersect1d(shingles, union, assume_unique=True)) < percent * len(shingles):
-                    continue
-                link = next((m for m, s in members if _linked(shingles, s, percent)), None)
-                if link is not None:
-                    found.append((link, doc))
+                if asks:
+                    found += [(m, doc) for m in block.links(doc, component, asks == 2, shingles, percent)]
+                else:
+                    block.add(doc, component, shingles)
             yield pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
     return opened
 
@@ -230,6 +248,8 @@ def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                                    X.binary(s.tobytes() for s in sets)], ["doc_id", "n", "shingles"])
     rows = docs.select(F.coalesce("doc_id", F.lit(X.NULL_ID)).alias("doc_id"), "text")
+    if wanted.count() <= SMALL_IDS:
+        wanted = F.broadcast(wanted)
     return rows.join(wanted, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, n long, shingles binary").where("n > 0")
 
 
@@ -244,51 +264,50 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     member = written(sketch.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
                      .select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
     n_parts = parts(spark)
-    dealt = sketch.select("doc_id", "n", "d1", "d2", "tokens").mapInArrow(_deal(8 * n_parts), _DEALT)
-    shared = written(dealt.repartition(n_parts, "part").mapInArrow(_share(percent), "kind int, a long, b long"), "tokens")
-    holders = shared.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("doc_id"))
-    sets = written(_sets(docs, size, holders.select("doc_id").distinct()), "sets")
+    dealt = sketch.select("doc_id", "n", "d1", "d2", "tokens").mapInArrow(_deal(4 * n_parts), _DEALT)
+    holders = written(dealt.repartition(n_parts, "part").mapInArrow(_share, "token long, doc_id long, lead long"), "tokens")
+    similar = written(holders.groupBy("doc_id").agg(F.min("lead").alias("group")), "groups")
+    sets = written(_sets(docs, size, similar.select("doc_id")), "sets")
 
-    pairs = shared.where("kind = 0").select("a", "b").distinct()
-    both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
+    both = (similar.where("group <> doc_id").select(F.col("group").alias("a"), F.col("doc_id").alias("b"))
+            .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b"))
     several = member.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z")
     same_id = several.select("doc_id", "a").join(member, "doc_id").select("a", F.col("class_id").alias("b"))
-    links = written(both.mapInArrow(_verify(percent), "a long, b long").union(same_id).distinct(), "links")
-    groups = components(links, "groups")
-
-    placed = (sets.select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n"))
-              .join(groups.select(F.col("id").alias("doc_id"), F.col("root").alias("group")), "doc_id", "left")
-              .withColumn("group", F.coalesce("group", "doc_id")))
-    placed = written(placed, "placed")
-    width = placed.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
-    located = holders.join(placed.select("doc_id", "group"), "doc_id")
-    mixed = located.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
-    located = written(located.join(mixed.select("token"), "token", "left_semi").join(width.select("group", "members"), "group"),
-                      "matrix")
-    matrix = located.select("token", F.col("group").alias("g"), F.col("members").alias("m")).distinct()
-    asked = (located.join(matrix, "token").where("members < m or (members = m and group < g)")
-             .select("doc_id", F.col("g").alias("group")).distinct())
+    first = components(both.mapInArrow(_verify(percent), "a long, b long").union(same_id), "components")
+
+    weight = sets.groupBy("doc_id").agg(F.max("n").alias("n"))
+    placed = written(similar.join(first.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").join(weight, "doc_id")
+                     .select("doc_id", "group", F.coalesce("root", "doc_id").alias("component"), "n"), "placed")
+    width = placed.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("total"),
+                                        F.min("component").alias("lo"), F.max("component").alias("hi"))
+    located = holders.select("token", "doc_id").join(placed.drop("n"), "doc_id")
+    mixed = located.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    located = written(located.join(mixed.select("token"), "token", "left_semi").join(width.drop("total"), "group"), "matrix")
+    matrix = located.select("token", F.col("group").alias("g"), F.col("members").alias("m"), F.col("lo").alias("glo"),
+                            F.col("hi").alias("ghi")).distinct()
+    asked = (located.join(matrix, "token")
+             .where("case when group = g then glo <> ghi else (members, group) < (m, g) and (glo <> ghi or glo <> component) end")
+             .select("doc_id", "component", F.col("g").alias("group"), F.when(F.col("g") == F.col("group"), 2).otherwise(1).alias("asks"))
+             .distinct())
     asked = written(asked, "queries")
 
     load = asked.groupBy("group").agg(F.count("*").alias("queries"))
     shape = load.join(width, "group").select("group", F.ceil(F.col("total") / BLOCK_SHINGLES).alias("blocks"),
                                              F.ceil(F.col("queries") / QUERIES).alias("salts"))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("salts"))
-    lines = (placed.select("doc_id", "group").join(shape, "group")
-             .select("group", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
-                     F.lit(0).alias("asks"), "doc_id"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    lines = (placed.join(shape, "group")
+             .select("group", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), upto("salts").alias("salt"),
+                     F.lit(0).alias("asks"), "doc_id", "component"))
     queries = (asked.join(shape, "group")
-               .select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), salt.alias("salt"),
-                       F.lit(1).alias("asks"), "doc_id"))
+               .select("group", upto("blocks").alias("block"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "salts").alias("salt"),
+                       "asks", "doc_id", "component"))
     opened = (lines.union(queries).join(sets.select("doc_id", "shingles"), "doc_id")
               .repartition(n_parts, "group", "block", "salt").sortWithinPartitions("group", "block", "salt", "asks", "doc_id")
               .mapInArrow(_open(percent), "a long, b long"))
-    stars = groups.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
+    stars = first.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
     final = components(stars.union(opened), "joined")
+    known = lambda c: F.expr(f"nullif({c}, {X.NULL_ID})")
     return (member.join(final.select(F.col("id").alias("class_id"), "root"), "class_id", "left")
-            .select(F.expr(f"nullif(doc_id, {X.NULL_ID})").alias("doc_id"),
-                    F.col("n").alias("n_shingles"),
-                    F.expr(f"nullif(coalesce(root, class_id), {X.NULL_ID})").alias("component_id"),
-                    F.expr(f"nullif(class_id, {X.NULL_ID})").alias("class_id")))
+            .select(known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"),
+                    known("coalesce(root, class_id)").alias("component_id"), known("class_id").alias("class_id")))
