@@ -91,3 +91,31 @@ def quality(text):
     wordlike = sum(bool(re.search(r"[A-Za-z0-9\x80-\U0010ffff]", x)) for x in w)
     bad = (100 * symbols > 15 * n or chars > 15 * n or 2 * chars < 3 * n or 100 * dup > 50 * len(lines) or 2 * wordlike < n)
     return n, chars, symbols, dup, len(covered), base, not (base or bad)
+
+
+def contained(docs, items, size=5, percent=80):
+    """{(doc, item, shingles of the item, shared)} of (id, text) rows."""
+    out = []
+    for d, text in docs:
+        w = words(text)
+        for i, item in items:
+            v = words(item)
+            k = min(size, len(v))
+            if not k:
+                continue
+            want = {tuple(v[j:j + k]) for j in range(len(v) - k + 1)}
+            have = {tuple(w[j:j + k]) for j in range(len(w) - k + 1)}
+            if 100 * len(want & have) >= percent * len(want):
+                out.append((d, i, len(want), len(want & have)))
+    return out
+
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def license_base(text):
+    """n_words, n_base, first_word, last_word, base_labels."""
+    w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", ascii_lower(text))
+    hits = [(i, label) for phrase, label in PHRASES.items() for i in range(len(w)) if w[i:i + len(phrase.split())] == phrase.split()]
+    at = [i for i, _ in hits]
+    return len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))

@@ -70,3 +70,16 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
     or 100 * n_dup_lines > 50 * n_lines or 2 * n_wordlike < n_words) as kept
 from f
 """
+
+ORACLES["op7_decontaminate"] = r"""
+with t as (
+  select 'd' as kind, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+w as (select kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as ws from t),
+s as (select kind, id, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) as g
+  from w where len(ws) >= 5),
+n as (select id, count(*) as n_item from s where kind = 'b' group by id),
+p as (select d.id as doc_id, b.id as item_id, count(*) as n_shared from s d join s b on d.g = b.g and d.kind = 'd' and b.kind = 'b' group by 1, 2)
+select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment from p join n on n.id = p.item_id
+where 100 * n_shared >= 80 * n_item
+"""
