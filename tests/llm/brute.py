@@ -119,3 +119,19 @@ def license_base(text):
     hits = [(i, label) for phrase, label in PHRASES.items() for i in range(len(w)) if w[i:i + len(phrase.split())] == phrase.split()]
     at = [i for i, _ in hits]
     return len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))
+
+
+def pieces(docs, path, capacity=2048):
+    """[(id, piece, start, length, crc32)] of (id, text) rows."""
+    import struct
+    import zlib
+
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(path)
+    out = []
+    for i, text in docs:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        for k, a in enumerate(range(0, len(ids), capacity)):
+            part = ids[a:a + capacity]
+            out.append((i, k, a, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))))
+    return out

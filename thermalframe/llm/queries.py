@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalframe.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, quality_rules
+from thermalframe.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, packing, quality_rules
 from thermalframe.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,16 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Every document's tokens in sequences of at most 2048; ``tokenizer`` is a tokenizer file's path."""
+    if tokenizer is None:
+        import public_tokenizers
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer, capacity=2048, end_id=0)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document before and after repeated lines are dropped."""
