@@ -83,3 +83,12 @@ p as (select d.id as doc_id, b.id as item_id, count(*) as n_shared from s d join
 select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment from p join n on n.id = p.item_id
 where 100 * n_shared >= 80 * n_item
 """
+
+ORACLES["op5_warc"] = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest, max(page_id) over (partition by html) as top from p)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id < top then top end as refers_to
+from d
+"""
