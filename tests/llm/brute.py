@@ -135,3 +135,30 @@ def pieces(docs, path, capacity=2048):
             part = ids[a:a + capacity]
             out.append((i, k, a, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))))
     return out
+
+
+def lm(docs, mu, folds=5, fold=1):
+    """[(id, held_out, n_tokens, n_known, train_tokens, base_score, score)] of (id, text) rows, with pairs of tokens."""
+    import collections
+    import math
+    import zlib
+    one, two = collections.Counter(), collections.Counter()
+    seqs = []
+    for i, text in docs:
+        held = zlib.crc32(("" if i is None else str(i)).encode()) % folds == fold
+        seq = [0, *words(text), 1]
+        seqs.append((i, held, seq))
+        if not held:
+            one.update(seq)
+            two.update(zip(seq, seq[1:]))
+    n = sum(c for w, c in one.items() if w != 0)
+    v = sum(w != 0 for w in one)
+    out = []
+    for i, held, seq in seqs:
+        base = score = 0.0
+        for h, w in zip(seq, seq[1:]):
+            p = (one[w] + 0.5) / (n + 0.5 * (v + 1))
+            base += math.log10(p)
+            score += math.log10((two[h, w] + mu * p) / (one[h] + mu) if one[h] else p)
+        out.append((i, held, len(seq) - 1, sum(one[w] > 0 for w in seq[1:]), n, base, score))
+    return out

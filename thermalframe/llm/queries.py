@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalframe.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, packing, quality_rules, warc
+from thermalframe.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, lm_score, packing, quality_rules, warc
 from thermalframe.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by single tokens and by the automaton of pairs."""
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), order=2)
+
+
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence places, labels and score of every document."""
