@@ -32,7 +32,7 @@ from thermalframe.llm import text as X
 from thermalframe.llm.store import parts, written
 
 BLOCK_TOKENS = 2_000_000        # tokens of one block, or one document
-MU = 30.0                       # weight of the shorter context
+MU = 1000.0                     # weight of the shorter context
 BEGIN, END = np.uint64(0xB0A7_0000_0000_0001), np.uint64(0xE0D0_0000_0000_0003)
 
 

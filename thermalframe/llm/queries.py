@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalframe.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, lm_score, packing, quality_rules, warc
+from thermalframe.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, lm_score, packing, quality_model, quality_rules, warc
 from thermalframe.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,12 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence places, labels and score of every document."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, by rules learnt from three quarters of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"), ~quality_model.held_out())
+    return quality_model.scored(docs, model).select(
+        "doc_id", quality_model.held_out().alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
