@@ -88,13 +88,12 @@ class WordTokenizer:
         return [b"".join(map(get, words)) for words in split]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    """The worker's tokenizer of this file, with the words that it knows by now."""
+    known = X.kept().setdefault("tokenizers", {})
+    if path not in known:
+        known[path] = WordTokenizer(path)
+    return known[path]
 
 
 # --- packing ---------------------------------------------------------------

@@ -7,6 +7,7 @@ return; all of these are ASCII, so the cut never falls inside a UTF-8 sequence.
 
 from __future__ import annotations
 
+import builtins
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,11 @@ _space = np.zeros(256, bool)
 _space[list(WHITE)] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
+
+
+def kept() -> dict:
+    """What a Python worker keeps from task to task. Functions travel by value, so a module's own names live for one task."""
+    return builtins.__dict__.setdefault("_thermalframe_kept", {})
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,14 +69,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
+    tables = kept().setdefault("powers", {})
+    if base not in tables or len(tables[base]) < n:
         table = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
         table[0] = 1
         table = np.cumprod(table)
         if n > 4 * SLICE_BYTES:
             return table            # not kept: one very long text
-        _powers[base] = table
-    return _powers[base][:n]
+        tables[base] = table
+    return tables[base][:n]
 
 
 @dataclass
