@@ -24,3 +24,9 @@ def test_nulls_and_repeats(spark):
 
 def test_empty(empty):
     assert judged(empty).count() == 0
+
+
+def test_few_words_in_all():
+    for n in range(12):
+        column = pa.array([" ".join("abcdefghijkl"[:n]), None, "x"])
+        assert Counts(column).n_repeat_words.tolist() == [0, 0, 0]

@@ -121,7 +121,7 @@ def shingle_hashes(w: Words, size: int) -> np.ndarray:
     n = len(w.hash)
     total = np.zeros(n, np.uint64)
     factor = 1
-    for j in range(size):
+    for j in range(min(size, n)):
         factor = factor * BASE % (1 << 64)
         total[:n - j] += w.hash[j:] * np.uint64(factor)
     return mix(total)
