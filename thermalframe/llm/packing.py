@@ -16,6 +16,8 @@ included. Only ``doc_id`` and ``text`` are read. No rows give no rows.
 from __future__ import annotations
 
 import re
+import unicodedata
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,7 +32,8 @@ from thermalframe.llm.store import written
 
 WINDOW = 6_000_000          # token ids packed together
 CLOSED = 0.995              # fill from which a bin is left as it is
-CACHE_WORDS = 400_000       # words whose ids a worker remembers before it starts again
+CACHE_WORDS = 400_000       # words whose ids a worker remembers before it starts again,
+CACHE_STEMS = 600_000       # and words without their punctuation
 PASSES = 50                 # passes of the local search over the emptiest bins, at most
 
 _blank = re.compile(r"[\t-\r ]+")
@@ -38,47 +41,70 @@ _control = re.compile(r"[\x1c-\x1f]")
 PUNCTUATION = ".,;:!?"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {**{b: chr(b) for b in seen}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
 class WordTokenizer:
-    """Ids of whole texts by a ``tokenizers`` file that drops white space and encodes words one by one.
+    """Ids of whole texts by a ``tokenizers`` file that lower-cases, drops white space and encodes words by bytes.
 
-    A text's ids are those of its words, so each distinct word is encoded once; plain words without their closing
-    punctuation are looked up apart from it.
+    A text's ids are those of its words, so each distinct word is encoded once. A word of letters, but for closing
+    punctuation, is one entry for the vocabulary's merges and is looked up apart from the punctuation; any
+    other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _encode(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        self.stems: dict[str, bytes] = {"": b""}
+
+    def _whole(self, strings: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _stem(self, stem: str) -> bytes | None:
+        """Ids of letters only; None for those whose lower case or composition changes more than letters."""
+        plain = stem
+        if not stem.isascii():
+            plain = unicodedata.normalize("NFC", stem)
+            if "Σ" in plain or not plain.lower().isalpha():
+                return None
+            plain = plain.lower().encode().decode("latin-1").translate(self.letters)
+        else:
+            plain = plain.lower()
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
+        new = words.difference(self.words)
         if not new:
             return
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
-            self.stems.clear()
-            new = list(words)
-        parts, rest = [], []
+            new = words
+        if len(self.stems) > CACHE_STEMS:
+            self.stems = {"": b""}
+        known, stems, rest = self.words, self.stems, []
         for w in new:
             stem = w.rstrip(PUNCTUATION)
             if stem.isalpha():
-                parts.append((w, stem.lower() if stem.isascii() else stem, w[len(stem):]))
+                if (ids := stems.get(stem)) is None:
+                    if (ids := self._stem(stem)) is None:
+                        rest.append(w)
+                        continue
+                    stems[stem] = ids
+                if len(stem) < len(w):
+                    tail = w[len(stem):]
+                    if tail not in stems:
+                        stems[tail] = self._whole([tail])[0]
+                    ids += stems[tail]
+                known[w] = ids
             else:
                 rest.append(w)
-        pieces = {p for _, stem, tail in parts for p in (stem, tail) if p and p not in self.stems}
-        plain = [p for p in pieces if p.isascii() and p.isalpha()]
-        model = self.tokenizer.model
-        for p in plain:
-            self.stems[p] = np.array([t.id for t in model.tokenize(p)], np.uint32).tobytes()
-        other = [p for p in pieces if p not in self.stems]
-        self.stems.update(zip(other, self._encode(other)))
-        for w, stem, tail in parts:
-            self.words[w] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
-        self.words.update(zip(rest, self._encode(rest)))
+        known.update(zip(rest, self._whole(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as little-endian uint32."""
