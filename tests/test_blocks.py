@@ -91,3 +91,53 @@ def test_sequences(series, width, horizon):
 def test_sequence_longer_than_block(series):
     with pytest.raises(ValueError):
         blocks.sequences(series[0], "id", ["a"], ["b"], length=20, width=10)
+
+
+def test_rows_without_a_unit_are_a_series(spark):
+    rows = [(1, "u", 1.0), (2, None, 5.0), (3, "u", None), (4, None, None), (5, "", 2.0), (6, None, None)]
+    df = spark.createDataFrame(rows, "k long, unit string, x double")
+    got = {r["k"]: r["time_index"] for r in blocks.row_index(df, "k", ["unit"]).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 2}
+    filled = {r["k"]: r["x"] for r in clean.forward_fill(df, "k", ["x"], ["unit"]).collect()}
+    assert filled == {1: 1.0, 2: 5.0, 3: 1.0, 4: 5.0, 5: 2.0, 6: 5.0}
+    numbered = spark.createDataFrame([(1, None), (2, 0), (3, None)], "k long, unit int")
+    assert {r["k"]: r["time_index"] for r in blocks.row_index(numbered, "k", ["unit"]).collect()} == {1: 0, 2: 0, 3: 1}
+
+
+@pytest.mark.parametrize("rows, message", [([(1, "u"), (None, "u")], "missing"), ([(1, "u"), (2, "u"), (2, "u")], "twice")])
+def test_keys_without_a_place_raise(spark, rows, message):
+    df = spark.createDataFrame(rows, "k long, unit string")
+    with pytest.raises(Exception, match=message):
+        blocks.row_index(df, "k", ["unit"]).collect()
+
+
+def test_blocks_follow_the_density_of_the_key(spark):
+    """A microsecond clock does not make a block for each of its rows."""
+    n = 200_000
+    df = spark.range(n).select((F.col("id") * 1_000_000 + 17).alias("k"))
+    width = blocks.block_width(df, "k")
+    assert df.groupBy(blocks.block_of("k", width)).count().count() <= -(-n // blocks.BLOCK_ROWS) + 1
+    assert blocks.order_cuts(df, "k", [lambda m: F.floor(m * 0.7)]) == (n, [140_000 * 1_000_000 + 17])
+    tail = blocks.row_index(df, "k").where(f"k >= {(n - 2) * 1_000_000}").orderBy("k").collect()
+    assert [r["time_index"] for r in tail] == [n - 2, n - 1]
+
+
+def test_running_start_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SUPER", 3)
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    got = blocks.row_index(df, "k", width=7).where("time_index <> k").count()
+    assert got == 0
+
+
+def test_whole_range_of_keys(spark):
+    top = (1 << 63) - 1
+    df = spark.createDataFrame([(-top - 1,), (0,), (5,), (top,)], "k long")
+    assert blocks.order_cuts(df, "k", [lambda n: F.lit(r) for r in ()] + [lambda n: F.lit(2)]) == (4, [5])
+    assert [r["time_index"] for r in blocks.row_index(df, "k").orderBy("k").collect()] == [0, 1, 2, 3]
+
+
+def test_position_comes_with_the_neighbours(series):
+    df, pdf = series
+    near = blocks.neighbours(df, "id", ["a"], ["unit"], width=50, position="at")
+    got = {r["id"]: r["at"] for r in near.collect()}
+    assert got == dict(zip(pdf["id"], pdf.groupby("unit").cumcount()))

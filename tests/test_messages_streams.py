@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from thermalframe.operators import messages
-from thermalframe.session import shared_dir, work_path
+from thermalframe.session import check_local, shared_dir, work_path
 from thermalframe.streaming import jobs
 
+import __spark_entry__ as entry
+
 
 def test_topic_patterns():
     import re
@@ -56,10 +58,11 @@ def test_shared_dir_is_one_place(spark):
 def test_counter_over_several_batches_equals_row_index(spark):
     base = work_path(spark, "t-counter")
     df = spark.range(400).select(F.col("id").alias("k"), F.when(F.col("id") % 5 == 0, "b").otherwise("hot").alias("unit"))
-    out, state, chk = f"{base}/out", f"{base}/state", f"{base}/chk"
+    out, chk = f"{base}/out", f"{base}/chk"
     for lo in (0, 100, 250):           # three arrivals, one micro-batch each
         df.where(f"k >= {lo} and k < {dict([(0, 100), (100, 250), (250, 400)])[lo]}").write.mode("append").parquet(f"{base}/in")
-        jobs.drain(jobs.file_stream(spark, f"{base}/in", df.schema, "*.parquet"), chk, jobs.count_rows_to(out, state, "k", "unit"))
+        stream = jobs.file_stream(spark, f"{base}/in", df.schema)
+        jobs.drain(jobs.count_rows(stream, "k", "unit"), chk, jobs.to_folder(out))
     got = {(r["unit"], r["k"]): r["time_index"] for r in spark.read.parquet(out).collect()}
     want = {}
     for k in range(400):
@@ -69,14 +72,49 @@ def test_counter_over_several_batches_equals_row_index(spark):
     assert spark.read.parquet(out).select("batch").distinct().count() == 3
 
 
-def test_repeated_batch_replaces_its_output(spark):
-    base = work_path(spark, "t-repeat")
-    write = jobs.count_rows_to(f"{base}/out", f"{base}/state", "k", "unit")
-    df = spark.range(10).select(F.col("id").alias("k"), F.lit("u").alias("unit"))
-    for batch in (0, 0, 1, 1):
-        write(df.withColumn("k", F.col("k") + batch * 10), batch)
-    got = [r["time_index"] for r in spark.read.parquet(f"{base}/out").orderBy("k").collect()]
-    assert got == list(range(20))
+STREAMED = {"stream_sensor_messages": None, "stream_parse": None, "stream_row_counter": None, "stream_retained_latest": "retained_latest",
+            "stream_drift_by_window": None}
+
+
+@pytest.mark.parametrize("name", STREAMED)
+def test_streams_read_a_table_of_several_files(spark, tmp_path, name):
+    """The same events as three part files, in several micro-batches, give what one file gives."""
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartitionByRange(3, "event_id").sortWithinPartitions("event_id").write.parquet(f"{tmp_path}/events.parquet")
+    q = entry.queries()
+    key = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    want = key(q[STREAMED[name] or name](spark, sf))
+    assert want and key(q[name](spark, str(tmp_path))) == want
+
+
+def test_files_per_batch(spark):
+    base = work_path(spark, "t-batches")
+    df = spark.range(60).withColumn("unit", F.lit("u"))
+    df.repartitionByRange(6, "id").write.parquet(f"{base}/in")
+    live = jobs.file_stream(spark, f"{base}/in", df.schema, files_per_batch=2)
+    jobs.drain(live, f"{base}/chk", jobs.to_folder(f"{base}/out"))
+    assert spark.read.parquet(f"{base}/out").select("batch").distinct().count() == 3
+
+
+def test_equal_times_are_decided_by_the_tie(spark):
+    base = work_path(spark, "t-tie")
+    rows = [(i, "hvac/status", f"p{i}", dt.datetime(2024, 1, 1)) for i in range(20)]
+    df = spark.createDataFrame(rows, "event_id long, topic string, payload string, ts timestamp").repartition(5)
+    df.write.parquet(f"{base}/in")
+    live = jobs.latest_retained(jobs.file_stream(spark, f"{base}/in", df.schema), tie="event_id")
+    jobs.drain(live, f"{base}/chk", jobs.to_folder(f"{base}/out"), mode="complete")
+    assert [r.payload for r in spark.read.parquet(f"{base}/out").collect()] == ["p19"]
+
+
+@pytest.mark.parametrize("master, local", [("local", True), ("local[8]", True), ("local[*]", True), ("local-cluster[2,1,1024]", False),
+                                           ("yarn", False), ("spark://h:7077", False), ("k8s://h", False)])
+def test_machine_local_folder_only_for_a_local_master(master, local):
+    if local:
+        check_local(master)
+    else:
+        with pytest.raises(RuntimeError):
+            check_local(master)
 
 
 def test_late_rows_are_dropped(spark):

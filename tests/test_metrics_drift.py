@@ -162,12 +162,3 @@ def test_rules(spark):
     assert [r["decision"] for r in rules.model_acceptance(pair, F.lit(1.0)).collect()] == ["accept", "reject", "review"]
     old = spark.sql("select * from values (timestamp'2024-01-01', 'log'), (timestamp'2024-01-01', 'drift_report'), (timestamp'2024-03-01', 'log') t(ts, kind)")
     assert rules.retention_filter(old, F.col("kind")).count() == 2
-
-
-def test_drift_of_many_rows_takes_the_bracketing_way(spark, cases, monkeypatch):
-    small = {r["feature"]: r for r in drift.feature_drift_long(long_of(spark, cases), spark.createDataFrame([(c,) for c in cases], "feature string")).collect()}
-    monkeypatch.setattr(drift, "SMALL_ROWS", 0)
-    import thermalframe.operators.quantiles as quantiles
-    monkeypatch.setattr(quantiles.grouped_quantiles, "__defaults__", (None, 0, None))
-    large = {r["feature"]: r for r in drift.feature_drift_long(long_of(spark, cases), spark.createDataFrame([(c,) for c in cases], "feature string")).collect()}
-    assert small == large

@@ -1,11 +1,14 @@
 """Order-dependent operators that never put a whole series into one task.
 
 A series (one unit, or the whole table) may hold any number of rows, so no
-window here is partitioned by the series alone. The unique integer order key
-is cut into blocks of ``width`` key values, which bounds a block at ``width``
-rows per series. Windows run inside (series, block); what crosses a block
-edge (row counts, last and next known values) is carried by a summary with
-one row per block.
+window here is partitioned by the series alone. The integer order key is cut
+into blocks of key values, as wide as the mean density of the keys asks for
+``BLOCK_ROWS`` rows a block. Windows run inside (series, block); what crosses a
+block edge (row counts, last and next known values) is carried by a summary
+with one row per block, whose running totals are taken in two levels.
+
+A missing series key is a series of its own. A missing order key, or one that
+occurs twice in a series, has no place in the order and raises.
 """
 
 from __future__ import annotations
@@ -15,98 +18,121 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_WIDTH = 1 << 16
+BLOCK_ROWS = 1 << 16
+SUPER = 1 << 12             # blocks whose running totals are taken together
 
 _BLOCK, _RN, _START = "__block", "__rn", "__start"
 
 
-def block_of(order: str, width: int = BLOCK_WIDTH) -> Column:
+def block_width(df: DataFrame, order: str) -> int:
+    """Key values of one block: the key's range over the number of blocks that its rows fill."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    if row["lo"] is None:
+        return BLOCK_ROWS
+    return max(1, -(-(int(row["hi"]) - int(row["lo"]) + 1) // -(-row["n"] // BLOCK_ROWS)))
+
+
+def block_of(order: str, width: int) -> Column:
     """Block number of an integer order key; exact for the whole BIGINT range."""
     key = f"CAST(`{order}` AS BIGINT)"
-    return F.expr(f"({key} - pmod({key}, {width}L)) div {width}L")
+    number = f"({key} - pmod({key}, {width}L)) div {width}L" if width < 1 << 62 else "0L"
+    return F.expr(f"CASE WHEN `{order}` IS NULL THEN CAST(raise_error('order key {order} is missing') AS BIGINT) ELSE {number} END")
+
+
+def named_series(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that name each row's series and are never missing, for windows and joins alike."""
+    kinds, names, made = dict(df.dtypes), [], {}
+    for i, k in enumerate(keys):
+        numeric = kinds[k] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+        value = F.coalesce(F.col(k), F.lit(0).cast(kinds[k])) if numeric else F.coalesce(F.col(k).cast("string"), F.lit(""))
+        made |= {f"__s{i}": value, f"__z{i}": F.col(k).isNull()}
+        names += [f"__s{i}", f"__z{i}"]
+    return df.withColumns(made) if made else df, names
 
 
 def _by(keys: Sequence[str]) -> list:
     return [F.col(k) for k in keys] or [F.lit(0)]
 
 
-def block_starts(df: DataFrame, keys: Sequence[str], order: str, width: int = BLOCK_WIDTH) -> DataFrame:
-    """(keys, block, rows, rows before the block): one row per non-empty block."""
-    counts = df.groupBy(*keys, block_of(order, width).alias(_BLOCK)).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*_by(keys)).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn(_START, F.coalesce(F.sum("__n").over(before), F.lit(0)))
+def _numbered(df: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """Adds the row number inside each block; equal keys raise."""
+    inside = Window.partitionBy(*group).orderBy(order)
+    twice = F.lag(order).over(inside) == F.col(order)
+    stop = F.raise_error(F.lit(f"order key {order} occurs twice in a series")).cast("bigint")
+    return df.withColumn(_RN, F.when(twice, stop).otherwise(F.row_number().over(inside).cast("bigint")))
+
+
+def running_start(lines: DataFrame, keys: Sequence[str], value: str = "__n") -> DataFrame:
+    """Adds the sum of ``value`` over the blocks before each block, by groups of ``SUPER`` blocks and inside them."""
+    lines = lines.withColumn("__super", F.floor(F.col(_BLOCK) / F.lit(SUPER)))
+    before = lambda *by: Window.partitionBy(*_by(by))
+    sums = lines.groupBy(*keys, "__super").agg(F.sum(value).alias("__sum"))
+    ahead = before(*keys).orderBy("__super").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__ahead", F.coalesce(F.sum("__sum").over(ahead), F.lit(0))).drop("__sum")
+    inside = before(*keys, "__super").orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return (lines.join(sums, [*keys, "__super"]).withColumn(_START, F.col("__ahead") + F.col("__inside"))
+            .drop("__super", "__ahead", "__inside"))
 
 
 def row_index(df: DataFrame, order: str, keys: Sequence[str] = (), name: str = "time_index",
-              width: int = BLOCK_WIDTH) -> DataFrame:
+              width: int | None = None) -> DataFrame:
     """0-based position of each row in its series."""
-    group = [*keys, _BLOCK]
-    starts = block_starts(df, keys, order, width).drop("__n")
-    in_block = Window.partitionBy(*group).orderBy(order)
-    numbered = df.withColumn(_BLOCK, block_of(order, width)).withColumn(_RN, F.row_number().over(in_block))
-    return (numbered.join(starts, group)
+    width = width or block_width(df, order)
+    placed, series = named_series(df.withColumn(_BLOCK, block_of(order, width)), keys)
+    group = [*series, _BLOCK]
+    starts = running_start(placed.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")), series).drop("__n")
+    return (_numbered(placed, group, order).join(starts, group)
             .withColumn(name, (F.col(_START) + F.col(_RN) - 1).cast("bigint"))
             .select(*df.columns, name))
 
 
 def order_cuts(df: DataFrame, order: str, ranks: Sequence[Callable[[Column], Column]],
-               width: int = BLOCK_WIDTH) -> tuple[int, list[int | None]]:
+               width: int | None = None) -> tuple[int, list[int | None]]:
     """Order keys found at global ranks, as ``(row count, [key or None])``.
 
     Each entry of ``ranks`` maps the row-count column to a 0-based rank. Only one
     line per block is shuffled, so a split costs no shuffle of the data itself.
-    Where a block has no gaps its key at a rank follows from its smallest key;
-    other blocks that hold a rank (at most one per rank) are read again.
+    The blocks that hold a rank (at most one per rank) are then read again.
     """
+    width = width or block_width(df, order)
     key = F.col(order)
-    lines = df.groupBy(block_of(order, width).alias(_BLOCK)).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(key).alias("__lo"), F.max(key).alias("__hi"))
-    before = Window.partitionBy(F.lit(0)).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.withColumns({_START: F.coalesce(F.sum("__n").over(before), F.lit(0)),
-                                "__total": F.sum("__n").over(Window.partitionBy(F.lit(0)))})
-    wanted_ranks = F.array(*[r(F.col("__total")).cast("bigint") for r in ranks])
+    lines = df.groupBy(block_of(order, width).alias(_BLOCK)).agg(F.count(F.lit(1)).alias("__n"))
+    blocks = running_start(lines, [])
+    total = df.count()
+    wanted_ranks = F.array(*[r(F.lit(total)).cast("bigint") for r in ranks])
     holds = (F.col("r") >= F.col(_START)) & (F.col("r") < F.col(_START) + F.col("__n"))
-    hits = (blocks.select("*", F.posexplode(wanted_ranks).alias("i", "r"))
-            .where(holds | (F.col(_START) == 0))      # the first block always reports the row count
-            .select("i", (F.col("r") - F.col(_START)).alias("p"), _BLOCK, "__n", "__lo", "__hi", "__total").collect())
+    hits = (blocks.select("*", F.posexplode(wanted_ranks).alias("i", "r")).where(holds)
+            .select("i", (F.col("r") - F.col(_START)).alias("p"), _BLOCK).collect())
     cuts: list[int | None] = [None] * len(ranks)
-    gaps: dict[int, list[tuple[int, int]]] = {}
+    if not hits:
+        return total, cuts
+    inside, top = F.lit(width >= 1 << 62), (1 << 63) - 1      # the widest blocks are the whole range
+    for b in {h[_BLOCK] for h in hits} if width < 1 << 62 else ():
+        inside = inside | key.between(max(b * width, -top - 1), min((b + 1) * width - 1, top))
+    rows = _numbered(df.where(inside).select(order).withColumn(_BLOCK, block_of(order, width)), [_BLOCK], order)
+    pick = F.lit(False)
+    for h in hits:
+        pick = pick | ((F.col(_BLOCK) == h[_BLOCK]) & (F.col(_RN) == h["p"] + 1))
+    found = {(r[_BLOCK], r[_RN]): r[order] for r in rows.where(pick).collect()}
     for h in hits:
-        if not 0 <= h["p"] < h["__n"]:
-            continue
-        if h["__hi"] - h["__lo"] + 1 == h["__n"]:
-            cuts[h["i"]] = h["__lo"] + h["p"]
-        else:
-            gaps.setdefault(h[_BLOCK], []).append((h["i"], h["p"]))
-    if gaps:
-        inside = F.lit(False)
-        for b in gaps:
-            inside = inside | key.between(b * width, (b + 1) * width - 1)
-        rn = F.row_number().over(Window.partitionBy(_BLOCK).orderBy(order)) - 1
-        rows = df.where(inside).select(order).withColumn(_BLOCK, block_of(order, width)).withColumn(_RN, rn)
-        pick = F.lit(False)
-        for b, items in gaps.items():
-            pick = pick | ((F.col(_BLOCK) == b) & F.col(_RN).isin(sorted({p for _, p in items})))
-        found = {(r[_BLOCK], r[_RN]): r[order] for r in rows.where(pick).collect()}
-        for b, items in gaps.items():
-            for i, p in items:
-                cuts[i] = found[(b, p)]
-    return (hits[0]["__total"] if hits else 0), cuts
+        cuts[h["i"]] = found[(h[_BLOCK], h["p"] + 1)]
+    return total, cuts
 
 
 def neighbours(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence[str] = (),
-               width: int = BLOCK_WIDTH) -> DataFrame:
+               width: int | None = None, position: str | None = None) -> DataFrame:
     """Nearest known value on both sides of every row, however far away.
 
     Adds ``<c>__pv``/``<c>__pd`` (previous known value and its distance in rows,
-    0 on a known value) and ``<c>__nv``/``<c>__nd`` for the next one.
+    0 on a known value) and ``<c>__nv``/``<c>__nd`` for the next one, and under the
+    name ``position`` the 0-based place of the row in its series.
     """
-    group = [*keys, _BLOCK]
-    base = df.withColumn(_BLOCK, block_of(order, width))
-    # The same explicit filter in both branches below lets Spark reuse one exchange for both.
-    for k in group:
-        base = base.where(F.col(k).isNotNull())
-    base = base.withColumn(_RN, F.row_number().over(Window.partitionBy(*group).orderBy(order)).cast("bigint"))
+    width = width or block_width(df, order)
+    base, series_names = named_series(df.withColumn(_BLOCK, block_of(order, width)), keys)
+    group = [*series_names, _BLOCK]
+    base = base.where(F.col(_BLOCK).isNotNull())      # in both branches below, so that one exchange serves both
+    base = _numbered(base, group, order)
     first = {c: F.min(F.when(F.col(c).isNotNull(), F.col(_RN))) for c in columns}
     last = {c: F.max(F.when(F.col(c).isNotNull(), F.col(_RN))) for c in columns}
     at_first = {c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(_RN))) for c in columns}
@@ -116,10 +142,10 @@ def neighbours(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence
         *[first[c].alias(f"{c}__fr") for c in columns], *[at_first[c].alias(f"{c}__fv") for c in columns],
         *[last[c].alias(f"{c}__lr") for c in columns], *[at_last[c].alias(f"{c}__lv") for c in columns])
 
-    series = Window.partitionBy(*_by(keys))
+    series = Window.partitionBy(*_by(series_names))
     before = series.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     after = series.orderBy(F.col(_BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.withColumn(_START, F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    summary = running_start(summary, series_names)
 
     def edge(c: str, kind: str) -> Column:
         row = F.col(f"{c}__{kind}r")
@@ -151,12 +177,13 @@ def neighbours(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence
             F.coalesce(jv, cn["v"]).alias(f"{c}__nv"),
             F.coalesce(jr - F.col(_RN), cn["r"] - pos).alias(f"{c}__nd"),
         ]
-    return joined.select(*df.columns, *out)
+    place_in_series = [(pos - 1).cast("bigint").alias(position)] if position else []
+    return joined.select(*df.columns, *out, *place_in_series)
 
 
 def sequences(df: DataFrame, order: str, features: Sequence[str], targets: Sequence[str],
               length: int = 10, horizon: int = 1, keys: Sequence[str] = (),
-              width: int = BLOCK_WIDTH) -> DataFrame:
+              width: int = BLOCK_ROWS) -> DataFrame:
     """Sliding windows of ``length`` rows with the label ``horizon`` rows after the window.
 
     A series of n rows gives n - length - horizon + 1 rows; window i is labelled
@@ -167,12 +194,12 @@ def sequences(df: DataFrame, order: str, features: Sequence[str], targets: Seque
     reach = length + horizon - 1
     if reach >= width:
         raise ValueError("a sequence must be shorter than a block")
-    pos = row_index(df, order, keys, "__pos", width)
+    pos = row_index(df, order, keys, "__pos")
     home = F.floor(F.col("__pos") / F.lit(width)).cast("bigint")
     copies = F.when(F.pmod(F.col("__pos"), F.lit(width)) >= width - reach, F.array(home, home + 1)) \
         .otherwise(F.array(home))
-    placed = pos.withColumn("__seg", F.explode(copies))
-    series = Window.partitionBy(*keys, "__seg").orderBy("__pos")
+    placed, names = named_series(pos.withColumn("__seg", F.explode(copies)), keys)
+    series = Window.partitionBy(*names, "__seg").orderBy("__pos")
     window = series.rowsBetween(-(length - 1) - horizon, -horizon)
     built = placed.select(
         *keys,

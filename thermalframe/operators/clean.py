@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from thermalframe import config as C
 from thermalframe.functions.cleaning import bound, physics_flags
 from thermalframe.functions.scalars import clip, null_share
-from thermalframe.operators.blocks import BLOCK_WIDTH, neighbours
+from thermalframe.operators.blocks import neighbours
 from thermalframe.operators.quantiles import column_quantiles, settled
 from thermalframe.session import cut_lineage
 
@@ -42,7 +42,7 @@ def _keep(df: DataFrame, new: dict[str, Column], names: Sequence[str]) -> DataFr
 
 
 def forward_fill(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence[str] = (),
-                 limit: int = C.FILL_LIMIT, width: int = BLOCK_WIDTH) -> DataFrame:
+                 limit: int = C.FILL_LIMIT, width: int | None = None) -> DataFrame:
     """Carry the last value forward over at most ``limit`` rows."""
     near = neighbours(df, order, columns, keys, width)
     new = {c: F.when(F.col(f"{c}__pd") <= limit, F.col(f"{c}__pv")) for c in columns}
@@ -50,14 +50,14 @@ def forward_fill(df: DataFrame, order: str, columns: Sequence[str], keys: Sequen
 
 
 def backward_fill(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence[str] = (),
-                  limit: int = C.FILL_LIMIT, width: int = BLOCK_WIDTH) -> DataFrame:
+                  limit: int = C.FILL_LIMIT, width: int | None = None) -> DataFrame:
     near = neighbours(df, order, columns, keys, width)
     new = {c: F.when(F.col(f"{c}__nd") <= limit, F.col(f"{c}__nv")) for c in columns}
     return _keep(near, new, df.columns)
 
 
 def fill_both_ways(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence[str] = (),
-                   limit: int = C.FILL_LIMIT, width: int = BLOCK_WIDTH) -> DataFrame:
+                   limit: int = C.FILL_LIMIT, width: int | None = None) -> DataFrame:
     """Forward, then backward on the result.
 
     A row left empty by the forward step has no known value within ``limit``
@@ -71,7 +71,7 @@ def fill_both_ways(df: DataFrame, order: str, columns: Sequence[str], keys: Sequ
 
 
 def interpolate(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence[str] = (),
-                limit: int = C.INTERPOLATE_LIMIT, width: int = BLOCK_WIDTH) -> DataFrame:
+                limit: int = C.INTERPOLATE_LIMIT, width: int | None = None) -> DataFrame:
     """Linear by row position, at most ``limit`` rows from a known value; edges repeat the nearest value."""
     near = neighbours(df, order, columns, keys, width)
     new = {}
@@ -157,7 +157,7 @@ def _filled(df: DataFrame, strategy: str, order: str, columns: Sequence[str], ke
 
 
 def fit_clean(df: DataFrame, columns: Sequence[str], order: str, keys: Sequence[str] = (),
-              strategy: str = "forward_fill", width: int = BLOCK_WIDTH) -> tuple[DataFrame, CleaningStats]:
+              strategy: str = "forward_fill", width: int | None = None) -> tuple[DataFrame, CleaningStats]:
     """Fit and apply all cleaning steps.
 
     The filled table is cut off once (shared folder): means, quartiles and the
@@ -173,7 +173,7 @@ def fit_clean(df: DataFrame, columns: Sequence[str], order: str, keys: Sequence[
 
 
 def apply_clean(df: DataFrame, columns: Sequence[str], order: str, stats: CleaningStats,
-                keys: Sequence[str] = (), width: int = BLOCK_WIDTH) -> DataFrame:
+                keys: Sequence[str] = (), width: int | None = None) -> DataFrame:
     """Clean new data with fitted statistics: same columns, same fill values, same bounds."""
     bounded = bound(df, columns).drop(*[c for c in columns if c not in stats.columns])
     filled = _filled(bounded, stats.strategy, order, stats.columns, keys, width)

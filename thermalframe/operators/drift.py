@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from thermalframe import config as C
 from thermalframe.functions.scalars import ratio, to_long
 from thermalframe.operators.metrics import regression_metrics
-from thermalframe.operators.quantiles import (SMALL_ROWS, count_quantiles, grouped_quantiles, kolmogorov_p,
-                                              ks_distance, ks_from_counts, value_counts)
+from thermalframe.operators.quantiles import (grouped_quantiles, kolmogorov_p, ks_distance, ks_of, quantiles_of, ranged,
+                                              value_counts)
 
 BINS = 10
 
@@ -24,10 +24,9 @@ def tag_sides(reference: DataFrame, current: DataFrame, features: Sequence[str])
     return ref.unionByName(cur)
 
 
-def bin_edges(reference_long: DataFrame, bins: int = BINS, key: str = "feature", value: str = "value",
-              rows: int | None = None) -> DataFrame:
+def bin_edges(reference_long: DataFrame, bins: int = BINS, key: str = "feature", value: str = "value") -> DataFrame:
     """(key, edges): distinct decile edges of the reference values."""
-    return _distinct_edges(grouped_quantiles(reference_long, [key], value, _grid(bins), rows), key)
+    return _distinct_edges(grouped_quantiles(reference_long, [key], value, _grid(bins)), key)
 
 
 def _grid(bins: int) -> list[float]:
@@ -41,7 +40,9 @@ def _distinct_edges(quantiles: DataFrame, key: str) -> DataFrame:
 def bin_of(value: Column, edges: Column) -> Column:
     """1-based half-open bin, the last one closed; NULL outside the edges or without bins."""
     n = F.size(edges)
-    at = F.size(F.filter(edges, lambda e: e <= value))
+    at = F.lit(0)
+    for j in range(BINS + 1):       # a handful of comparisons that compile, instead of a lambda over the array
+        at = at + F.when(F.get(edges, F.lit(j)) <= value, 1).otherwise(0)
     last = F.element_at(edges, -1)
     return F.when((n > 1) & (value >= edges[0]) & (value <= last), F.when(value == last, n - 1).otherwise(at))
 
@@ -93,33 +94,24 @@ def side_stats(counts: DataFrame, edges: DataFrame, key: str = "feature", bins:
         F.sqrt(squares("c") / F.nullif("n_c", F.lit(0))).alias("current_std"))
 
 
-def counts_and_edges(long: DataFrame, bins: int = BINS, key: str = "feature",
-                     rows: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """Value counts of a tagged (key, value, is_ref) table, bin edges, and the row bound.
+def counts_and_edges(long: DataFrame, bins: int = BINS, key: str = "feature") -> tuple[DataFrame, DataFrame]:
+    """Value counts of a tagged (key, value, is_ref) table in ranges, and the bin edges read from them.
 
-    All drift statistics are read from the counts. Few rows: the edges too, so
-    the table is scanned once. Many rows: the edges come from a bracketing pass.
+    The table is scanned once; all drift statistics come from the written counts.
     """
-    rows = long.count() if rows is None else rows
-    counts = value_counts(long, key, "value", F.col("is_ref"))
-    if rows <= SMALL_ROWS:
-        # The test on c keeps both counts in this branch, so that Spark reuses the exchange of the others.
-        edges = _distinct_edges(count_quantiles(counts.where("c >= 0"), key, "r", _grid(bins)), key)
-    else:
-        edges = bin_edges(long.where("is_ref"), bins, key, rows=rows)
-    return counts, edges, rows
+    counts = ranged(value_counts(long, key, "value", F.col("is_ref")), [key])
+    return counts, _distinct_edges(quantiles_of(counts, [key], "r", _grid(bins)), key)
 
 
-def psi(long: DataFrame, bins: int = BINS, key: str = "feature", rows: int | None = None) -> DataFrame:
+def psi(long: DataFrame, bins: int = BINS, key: str = "feature") -> DataFrame:
     """(feature, psi) from a tagged (feature, value, is_ref) table."""
-    counts, edges, _ = counts_and_edges(long, bins, key, rows)
+    counts, edges = counts_and_edges(long, bins, key)
     return side_stats(counts, edges, key, bins).select(key, psi_expr(bins).alias("psi"))
 
 
-def ks_two_sample(long: DataFrame, key: str = "feature", rows: int | None = None,
-                  bucket_rows: int = 1_000_000) -> DataFrame:
+def ks_two_sample(long: DataFrame, key: str = "feature") -> DataFrame:
     """(feature, n_ref, n_cur, ks, p_value)."""
-    return with_p_value(ks_distance(long, key, "value", F.col("is_ref"), rows, bucket_rows))
+    return with_p_value(ks_distance(long, key, "value", F.col("is_ref")))
 
 
 def with_p_value(ks: DataFrame) -> DataFrame:
@@ -132,12 +124,11 @@ def drift_status(psi_value: Column, p_value: Column, psi_threshold: float = C.PS
     return F.when(moved & different, "CRITICAL").when(moved | different, "WARNING").otherwise("STABLE")
 
 
-def feature_drift_long(long: DataFrame, features: DataFrame, bins: int = BINS,
-                       rows: int | None = None) -> DataFrame:
+def feature_drift_long(long: DataFrame, features: DataFrame, bins: int = BINS) -> DataFrame:
     """Drift per feature from a tagged table; ``features`` (one column ``feature``) lists what to report."""
-    counts, edges, rows = counts_and_edges(long, bins, rows=rows)
+    counts, edges = counts_and_edges(long, bins)
     stats = side_stats(counts, edges, bins=bins).withColumn("psi", psi_expr(bins))
-    ks = with_p_value(ks_from_counts(counts, "feature", rows)).select("feature", "ks", "p_value")
+    ks = with_p_value(ks_of(counts, "feature")).select("feature", "ks", "p_value")
     both = features.join(stats, "feature", "left").join(ks, "feature", "left")
     ok = F.coalesce(F.col("n_cur"), F.lit(0)) > 0
     change = ratio(F.col("current_mean") - F.col("reference_mean"), F.col("reference_mean")) * 100

@@ -55,7 +55,7 @@ def regression_metrics(long: DataFrame, by: Sequence[str] = ("target",), decimal
         F.round("max_error", decimals).alias("max_error"))
 
 
-def residual_stats(long: DataFrame, by: Sequence[str] = ("target",), rows: int | None = None) -> DataFrame:
+def residual_stats(long: DataFrame, by: Sequence[str] = ("target",)) -> DataFrame:
     """(by, mean, std, mae, rmse, r2, max, p95, p99) of the residuals y - yhat; population deviation."""
     known = long.where(F.col("y").isNotNull() & F.col("yhat").isNotNull()).withColumn("e", F.col("y") - F.col("yhat"))
     e = F.col("e")
@@ -63,7 +63,7 @@ def residual_stats(long: DataFrame, by: Sequence[str] = ("target",), rows: int |
         F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"), F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         _r2(F.sum(e * e), F.count(e), F.var_pop("y")).alias("r2"), F.max(F.abs(e)).alias("max"))
-    tails = grouped_quantiles(known.withColumn("abs_e", F.abs(e)), list(by), "abs_e", (0.95, 0.99), rows)
+    tails = grouped_quantiles(known.withColumn("abs_e", F.abs(e)), list(by), "abs_e", (0.95, 0.99))
     return moments.join(tails.select(*by, F.col("q")[0].alias("p95"), F.col("q")[1].alias("p99")), list(by))
 
 
@@ -160,13 +160,12 @@ def target_ranges(df: DataFrame, group: str, targets: Sequence[str] = C.TARGETS)
         F.min("y").alias("min"), F.max("y").alias("max"))
 
 
-def latency_stats(df: DataFrame, latency: str, by: Sequence[str], sla_ms: float = C.ACCEPT_MAX_LATENCY_MS,
-                  rows: int | None = None) -> DataFrame:
+def latency_stats(df: DataFrame, latency: str, by: Sequence[str], sla_ms: float = C.ACCEPT_MAX_LATENCY_MS) -> DataFrame:
     """Mean, deviation, range, p50/p95/p99, throughput per second and the service-level verdict."""
     moments = df.groupBy(*by).agg(
         F.count(latency).alias("n"), F.avg(latency).alias("mean_ms"), F.stddev_pop(latency).alias("std_ms"),
         F.min(latency).alias("min_ms"), F.max(latency).alias("max_ms"))
-    q = grouped_quantiles(df, list(by), latency, (0.5, 0.95, 0.99), rows).select(
+    q = grouped_quantiles(df, list(by), latency, (0.5, 0.95, 0.99)).select(
         *by, *[F.col("q")[i].alias(f"p{p}_ms") for i, p in enumerate((50, 95, 99))])
     return (moments.join(q, list(by))
             .withColumn("throughput", ratio(F.lit(1000.0), F.col("mean_ms")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -19,10 +18,9 @@ from thermalframe.operators.quantiles import column_quantiles, settled
 HISTOGRAM_BINS = 50
 
 
-def quantile_literals(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                      rows: int | None = None) -> dict[str, list[Column]]:
+def quantile_literals(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[Column]]:
     """Exact quantiles of each column as literals for the caller's projection."""
-    found = column_quantiles(df, columns, probs, rows)
+    found = column_quantiles(df, columns, probs)
     return {c: [F.lit(q).cast("double") for q in found[c]] for c in columns}
 
 
@@ -210,7 +208,9 @@ def _pair_corr(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     table = centred.groupBy("pair").agg(total("xx", "dx", "dx").alias("xx"), total("yy", "dy", "dy").alias("yy"),
                                         total("xy", "dx", "dy").alias("xy"), F.sum("n").alias("n"))
     spread = F.sqrt(F.col("xx") * F.col("yy"))
-    r = F.when((F.col("n") > 1) & (spread > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("xy") / spread)))
+    # NaN compares greater than any number: a pair with an infinite value has no correlation.
+    finite = (F.abs(spread) < float("inf")) & (F.abs("xy") < float("inf"))
+    r = F.when((F.col("n") > 1) & finite & (spread > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("xy") / spread)))
     labels = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
     return labels.join(table.select("pair", r.alias("r")), "pair", "left").select("a", "b", "r")
 
@@ -293,21 +293,28 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str], k: float = C.PROFILE_IQ
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """(column, bin, n, mean, std, min, max): equal-width bins over the range, the last one closed."""
+    """(column, bin, n, mean, std, min, max): equal-width bins over the range, the last one closed.
+
+    Range, mean and deviation are of the finite values; minus and plus infinity are counted in bins -1 and ``bins``.
+    """
+    infinite = float("inf")
     aggs = []
     for c in columns:
-        aggs += [F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"), F.avg(c).alias(f"{c}__mean"),
-                 F.stddev_samp(c).alias(f"{c}__std")]
+        x = F.when(F.abs(c) < infinite, F.col(c))
+        aggs += [F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"), F.avg(x).alias(f"{c}__mean"),
+                 F.stddev_samp(x).alias(f"{c}__std"), F.count(c).alias(f"{c}__n")]
     stats = df.agg(*aggs).first()
     items = []
     for c in columns:
         lo, hi = stats[f"{c}__min"], stats[f"{c}__max"]
-        if lo is None or math.isinf(lo) or math.isinf(hi):
+        if not stats[f"{c}__n"]:
             continue
-        width = (hi - lo) / bins
+        width = (hi - lo) / bins if lo is not None else 0
         place = F.least(F.floor((F.col(c) - lo) / width), F.lit(bins - 1)) if width else F.lit(bins // 2)
+        place = F.when(F.col(c) == infinite, bins).when(F.col(c) == -infinite, -1).otherwise(place)
         items.append(F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), place.cast("bigint")).alias("bin"),
-                              F.lit(stats[f"{c}__mean"]).alias("mean"), F.lit(stats[f"{c}__std"]).alias("std"),
-                              F.lit(lo).alias("min"), F.lit(hi).alias("max")))
+                              F.lit(stats[f"{c}__mean"]).cast("double").alias("mean"),
+                              F.lit(stats[f"{c}__std"]).cast("double").alias("std"),
+                              F.lit(lo).cast("double").alias("min"), F.lit(hi).cast("double").alias("max")))
     return (df.select(F.inline(F.array(*items))).where("bin is not null")
             .groupBy("column", "bin", "mean", "std", "min", "max").agg(F.count(F.lit(1)).alias("n")))

@@ -1,60 +1,27 @@
 """Exact quantiles and empirical distribution functions at any size.
 
-``percentile`` keeps every distinct value of a group in one task's memory, so
-it is used only for inputs whose row count has been checked. Beyond that a
-sketch brackets each wanted rank, one pass counts what lies outside the
-brackets and lists what lies inside, and the exact order statistics are read
-from the few listed values.
+Equal values merge into counts before anything moves. The counts are then cut
+into ranges of (group, value) and written once to the shared folder, so a group
+of any size lies in as many ranges as it needs. Ranks are found in two levels:
+the sums of the ranges of a group say which range holds a rank, and only inside
+that range are values brought into order. No sketch, no bound on the number of
+rows, and the same way for every size; a missing group key is a group.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermalframe.functions.scalars import to_long
+from thermalframe.operators.blocks import named_series
+from thermalframe.session import cut_lineage
 
-SMALL_ROWS = 1_000_000      # up to here one task can hold all values of a group
-BRACKET_ROWS = 2_000_000    # wanted number of values inside one bracket
-MAX_ACCURACY = 1 << 20
-EDGE_LIMIT = 1 << 20        # bucket edges of all keys together
 DECIMALS = 9
 NOISE = 1e-12
-
-
-def count_quantiles(counts: DataFrame, key: str, weight: str, probs: Sequence[float]) -> DataFrame:
-    """(key, n, q) from (key, v, weight): for at most ``SMALL_ROWS`` rows per key."""
-    grid = F.array(*[F.lit(float(p)) for p in probs])
-    return (counts.where(F.col(weight) > 0).groupBy(key)
-            .agg(F.sum(weight).alias("n"), F.percentile("v", grid, F.col(weight)).alias("q"))
-            .select(key, "n", _rounded(F.col("q"), probs).alias("q")))
-
-
-def _accuracy(rows: int) -> int:
-    return max(10_000, min(MAX_ACCURACY, math.ceil(6 * rows / BRACKET_ROWS)))
-
-
-def grouped_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                      rows: int | None = None, small_rows: int = SMALL_ROWS,
-                      accuracy: int | None = None) -> DataFrame:
-    """(keys, n, q): exact linear-interpolated quantiles of the known values of each group.
-
-    ``rows`` is an upper bound of the largest group; it is counted if not given.
-    """
-    known = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    if rows is None:
-        rows = known.count()
-    if rows <= small_rows:
-        return known.groupBy(*keys).agg(
-            F.count("__v").alias("n"),
-            F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias("q")
-        ).select(*keys, "n", F.when(F.col("q").isNotNull(), _rounded(F.col("q"), probs)).alias("q"))
-    return _bracketed(known, list(keys), [float(p) for p in probs], accuracy or _accuracy(rows))
+_PART = "__part"
 
 
 def settle(x: Column) -> Column:
@@ -79,65 +46,59 @@ def _rounded(q: Column, probs: Sequence[float]) -> Column:
     return F.array(*[q[i] if p in (0.0, 1.0) else settle(q[i]) for i, p in enumerate(probs)])
 
 
-def _bracketed(known: DataFrame, keys: list[str], probs: list[float], accuracy: int) -> DataFrame:
-    slack = 3.0 / accuracy
-    lows = [max(0.0, p - slack) for p in probs]
-    highs = [min(1.0, p + slack) for p in probs]
-    order = sorted(range(len(probs)), key=lambda i: probs[i])
-
-    def grid(ps: list[float]) -> Column:
-        return F.array(*[F.lit(ps[i]) for i in order])
-
-    sketch = known.groupBy(*keys).agg(
-        F.count("__v").alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-        F.percentile_approx("__v", grid(lows), F.lit(accuracy)).alias("__lo"),
-        F.percentile_approx("__v", grid(highs), F.lit(accuracy)).alias("__hi"))
-    # A sketch cannot separate neighbouring ranks of a small group: bracket the whole group.
-    whole = F.col("n") <= accuracy
-    brackets = sketch.select(
-        *keys, "n",
-        F.when(whole, F.array(F.col("__min"))).otherwise(F.col("__lo")).alias("__lo"),
-        F.when(whole, F.array(F.col("__max"))).otherwise(F.col("__hi")).alias("__hi"))
-
-    v = F.col("__v")
-    if keys:
-        joined = known.join(brackets, keys)
-    else:      # one group: its few brackets become literals
-        one = brackets.first()
-        joined = known.withColumns({"n": F.lit(one["n"]), **{
-            c: F.array(*[F.lit(x) for x in one[c] or []]).cast("array<double>") for c in ("__lo", "__hi")}})
-    ended = F.size(F.filter("__hi", lambda h: h < v))
-    begun = F.size(F.filter("__lo", lambda lo: lo <= v))
-    cells = (joined.select(*keys, "n", ended.alias("__gap"), F.when(begun > ended, v).alias("__x"))
-             .groupBy(*keys, "n", "__gap", "__x").agg(F.count(F.lit(1)).alias("__c")))
-    series = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)])) \
-        .orderBy(F.col("__gap"), F.col("__x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cells.withColumn("__cum", F.sum("__c").over(series))
-
-    aggs, outs = [], []
+def ranged(counts: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
+    """``counts`` (one row per group and value) in ranges of (group, value), with the range's number ``__part``."""
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed, _ = named_series(counts, keys)
+    placed = placed.repartitionByRange(parts, *keys, value).withColumn(_PART, F.spark_partition_id())
+    return cut_lineage(placed)
+
+
+def _by(names: Sequence[str]) -> list:
+    return [F.col(n) for n in names] or [F.lit(0)]
+
+
+def quantiles_of(placed: DataFrame, keys: Sequence[str], weight: str, probs: Sequence[float], value: str = "v") -> DataFrame:
+    """(keys, n, q) from a ``ranged`` table: linear-interpolated quantiles of each group's values, counted ``weight`` times."""
+    _, names = named_series(placed, keys)
+    placed = placed.where(F.col(weight) > 0)
+    sums = placed.groupBy(*keys, *names, _PART).agg(F.sum(weight).alias("__n"))          # one row per range and group
+    group = Window.partitionBy(*_by(names))
+    sums = sums.withColumns({"n": F.sum("__n").over(group), "__before": F.coalesce(
+        F.sum("__n").over(group.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    ranks = [F.struct(F.lit(2 * i + up).alias("__i"), side(F.lit(float(p)) * (F.col("n") - 1)).cast("bigint").alias("__rank"))
+             for i, p in enumerate(probs) for up, side in ((0, F.floor), (1, F.ceil))]
+    wanted = (sums.select(*keys, *names, _PART, "n", "__n", "__before", F.inline(F.array(*ranks)))
+              .where("__rank >= __before and __rank < __before + __n")
+              .select(*keys, *names, _PART, "n", "__i", (F.col("__rank") - F.col("__before")).alias("__at")))
+    on = [*names, _PART]
+    inside = Window.partitionBy(*_by(on)).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    held = placed.select(*on, value, weight).join(wanted.select(*on).distinct(), on, "left_semi")
+    held = held.withColumn("__cum", F.sum(weight).over(inside))
+    hits = held.join(wanted, on).where((F.col("__at") < F.col("__cum")) & (F.col("__at") >= F.col("__cum") - F.col(weight)))
+    found = hits.groupBy(*keys, *names, "n").agg(*[
+        F.max(F.when(F.col("__i") == j, F.col(value))).alias(f"__{j}") for j in range(2 * len(probs))])
+    outs = []
     for i, p in enumerate(probs):
-        at = F.lit(p) * (F.col("n") - 1)
-        for side, rank in (("a", F.floor(at)), ("b", F.ceil(at))):
-            reached = F.col("__cum") > rank
-            aggs.append(F.min_by(F.struct("__x"), F.when(reached, F.col("__cum"))).alias(f"__{side}{i}"))
-        a, b = F.col(f"__a{i}.__x"), F.col(f"__b{i}.__x")
-        missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-        at = F.lit(p) * (F.col("n") - 1)
-        outs.append(F.when(a.isNull() | b.isNull(), missed).otherwise(a + (b - a) * (at - F.floor(at))))
-    return (ranked.groupBy(*keys, "n").agg(*aggs)
-            .select(*keys, "n", F.array(*outs).alias("q"))
-            .select(*keys, "n", _rounded(F.col("q"), probs).alias("q")))
-
-
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                     rows: int | None = None, small_rows: int = SMALL_ROWS) -> dict[str, list[float | None]]:
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        low, high = F.col(f"__{2 * i}"), F.col(f"__{2 * i + 1}")
+        outs.append(F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at))))
+    return found.select(*keys, "n", F.array(*outs).alias("q")).select(*keys, "n", _rounded(F.col("q"), probs).alias("q"))
+
+
+def grouped_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """(keys, n, q): exact linear-interpolated quantiles of the known values of each group."""
+    known = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    counts = known.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("__c"))
+    return quantiles_of(ranged(counts, list(keys)), list(keys), "__c", probs)
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Quantiles of whole columns, returned to the driver: one short list per column."""
     columns = list(columns)
     if not columns:
         return {}
-    if rows is None:
-        rows = df.count()
-    table = grouped_quantiles(to_long(df, columns), ["feature"], "value", probs, rows, small_rows)
+    table = grouped_quantiles(to_long(df, columns), ["feature"], "value", probs)
     found = {r["feature"]: list(r["q"]) for r in table.collect()}
     return {c: found.get(c, [None] * len(probs)) for c in columns}
 
@@ -149,61 +110,27 @@ def value_counts(long: DataFrame, key: str, value: str, is_reference: Column) ->
     return known.groupBy(key, "v").agg(F.count_if("__ref").alias("r"), F.count_if(~F.col("__ref")).alias("c"))
 
 
-def _bucket(counts: DataFrame, key: str, buckets: int) -> Column:
-    """Bucket of a value by sketched edges of its key.
-
-    The edges are found first and travel with the tasks: at most ``EDGE_LIMIT``
-    numbers over all keys, looked up by binary search on whole Arrow batches.
-    """
-    keys = counts.select(key).distinct().count()
-    buckets = max(2, min(buckets, EDGE_LIMIT // max(1, keys)))
-    grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    table = counts.groupBy(key).agg(F.percentile_approx("v", grid, F.lit(max(10_000, 4 * buckets))).alias("e")).collect()
-    edges = {r[key]: np.asarray(r["e"]) for r in table}
-
-    @F.pandas_udf("int")
-    def find(names: pd.Series, values: pd.Series) -> pd.Series:
-        out = np.zeros(len(values), "int32")
-        for name in names.unique():
-            mine = (names == name).to_numpy()
-            out[mine] = np.searchsorted(edges[name], values.to_numpy()[mine], "left")
-        return pd.Series(out)
-
-    return find(F.col(key), F.col("v"))
-
-
-def ks_from_counts(counts: DataFrame, key: str, rows: int, bucket_rows: int = 1_000_000) -> DataFrame:
-    """(key, n_ref, n_cur, ks) from ``value_counts``.
-
-    Where one key may have more than ``bucket_rows`` distinct values they are cut
-    into buckets; the running shares are taken inside each bucket and the bucket
-    totals are added up afterwards, so no task sees all values of a key.
-    """
-    buckets = math.ceil(rows / bucket_rows)
-    totals = counts.groupBy(key).agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
-    placed = counts.withColumn("__bucket", _bucket(counts, key, buckets) if buckets > 1 else F.lit(0)).join(totals, key)
-    inside = Window.partitionBy(key, "__bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+def ks_of(placed: DataFrame, key: str) -> DataFrame:
+    """(key, n_ref, n_cur, ks) from a ``ranged`` table of ``value_counts``: running shares inside each range, and the
+    ranges' totals added up before them."""
+    _, names = named_series(placed, [key])
+    sums = placed.groupBy(*names, _PART).agg(F.sum("r").alias("__r"), F.sum("c").alias("__c"))
+    group = Window.partitionBy(*names)
+    before = group.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*names, _PART, F.sum("__r").over(group).alias("n_ref"), F.sum("__c").over(group).alias("n_cur"),
+                       F.coalesce(F.sum("__r").over(before), F.lit(0)).alias("__r"),
+                       F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__c"))
     # An empty side has no distribution: its divisor is NULL, and so is the distance.
     n_ref, n_cur = F.nullif("n_ref", F.lit(0)), F.nullif("n_cur", F.lit(0))
-    gap = F.sum("r").over(inside) / n_ref - F.sum("c").over(inside) / n_cur
-    per_bucket = (placed.withColumn("__d", gap).groupBy(key, "__bucket", "n_ref", "n_cur")
-                  .agg(F.max("__d").alias("__max"), F.min("__d").alias("__min"),
-                       F.sum("r").alias("r"), F.sum("c").alias("c")))
-    before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("r").over(before) / n_ref - F.sum("c").over(before) / n_cur, F.lit(0.0))
-    return (per_bucket.withColumn("__o", offset).groupBy(key, "n_ref", "n_cur")
-            .agg(F.max(F.greatest(F.abs(F.col("__max") + F.col("__o")),
-                                  F.abs(F.col("__min") + F.col("__o")))).alias("ks")))
-
-
-def ks_distance(long: DataFrame, key: str, value: str, is_reference: Column, rows: int | None = None,
-                bucket_rows: int = 1_000_000) -> DataFrame:
-    """(key, n_ref, n_cur, ks): largest distance of two empirical distribution functions per key.
-
-    ``rows`` is an upper bound of the rows of one key; it is counted if not given.
-    """
-    rows = long.count() if rows is None else rows
-    return ks_from_counts(value_counts(long, key, value, is_reference), key, rows, bucket_rows)
+    inside = Window.partitionBy(*names, _PART).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.select(key, *names, _PART, F.sum("r").over(inside).alias("__ri"), F.sum("c").over(inside).alias("__ci"))
+    gap = F.abs((F.col("__r") + F.col("__ri")) / n_ref - (F.col("__c") + F.col("__ci")) / n_cur)
+    return run.join(sums, [*names, _PART]).groupBy(key, "n_ref", "n_cur").agg(F.max(gap).alias("ks"))
+
+
+def ks_distance(long: DataFrame, key: str, value: str, is_reference: Column) -> DataFrame:
+    """(key, n_ref, n_cur, ks): largest distance of two empirical distribution functions per key."""
+    return ks_of(ranged(value_counts(long, key, value, is_reference), [key]), key)
 
 
 def kolmogorov_p(d: Column, n_ref: Column, n_cur: Column) -> Column:

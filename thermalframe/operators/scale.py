@@ -25,8 +25,7 @@ def fit_scaler(train: DataFrame, columns: Sequence[str], method: str = "standard
         for c in columns:
             aggs += [F.avg(c).alias(f"{c}__center"), _guard(F.stddev_pop(c)).alias(f"{c}__scale")]
     elif method == "robust":
-        table = grouped_quantiles(to_long(train, columns, name="column"), ["column"], "value", (0.25, 0.5, 0.75),
-                                  rows=train.count())
+        table = grouped_quantiles(to_long(train, columns, name="column"), ["column"], "value", (0.25, 0.5, 0.75))
         return table.select("column", F.col("q")[1].alias("center"),
                             _guard(settle(F.col("q")[2] - F.col("q")[0])).alias("scale"))
     elif method == "minmax":
@@ -60,7 +59,7 @@ def fit_regime_scaler(train: DataFrame, columns: Sequence[str], regime: str, met
     sizes = rows.groupBy(regime).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > min_rows)
     long = to_long(rows, columns, keep=[regime], name="column")
     if method == "robust":
-        q = grouped_quantiles(long, [regime, "column"], "value", (0.25, 0.5, 0.75), rows=train.count())
+        q = grouped_quantiles(long, [regime, "column"], "value", (0.25, 0.5, 0.75))
         stats = q.select(regime, "column", F.col("q")[1].alias("center"),
                          _guard(settle(F.col("q")[2] - F.col("q")[0])).alias("scale"))
     elif method == "standard":

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermalframe import config as C
-from thermalframe.operators.blocks import BLOCK_WIDTH, order_cuts
+from thermalframe.operators.blocks import order_cuts
 
-HASH_WIDTH = 1 << 44   # about a million blocks over the hash range
 NAMES = ("train", "val", "test")
 
 
@@ -31,7 +30,7 @@ def _label(key: Column, cuts: Sequence[int | None], names: Sequence[str] = NAMES
 
 
 def temporal_cuts(df: DataFrame, order: str, ratios: Sequence[float] = C.SPLIT_RATIOS,
-                  width: int = BLOCK_WIDTH) -> tuple[int, list[int | None]]:
+                  width: int | None = None) -> tuple[int, list[int | None]]:
     """(row count, [first key of val, first key of test])."""
     _check(ratios)
     first, second = ratios[0], ratios[0] + ratios[1]
@@ -59,7 +58,7 @@ def select_parts(df: DataFrame, order: str, cuts: Sequence[int | None], wanted:
 
 
 def temporal_split(df: DataFrame, order: str, ratios: Sequence[float] = C.SPLIT_RATIOS,
-                   width: int = BLOCK_WIDTH, name: str = "split", index: DataFrame | None = None) -> DataFrame:
+                   width: int | None = None, name: str = "split", index: DataFrame | None = None) -> DataFrame:
     """Label rows train / val / test by position, without moving any of them.
 
     The order keys at the cut positions are looked up first. ``index`` may name a
@@ -77,8 +76,7 @@ def random_split(df: DataFrame, key: str, ratios: Sequence[float] = C.SPLIT_RATI
     _check(ratios)
     hashed = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
     first, second = ratios[0], ratios[0] + ratios[1]
-    _, cuts = order_cuts(hashed, "__h", [lambda n: F.floor(n * F.lit(first)), lambda n: F.floor(n * F.lit(second))],
-                         HASH_WIDTH)
+    _, cuts = order_cuts(hashed, "__h", [lambda n: F.floor(n * F.lit(first)), lambda n: F.floor(n * F.lit(second))])
     return hashed.withColumn(name, _label(F.col("__h"), cuts)).drop("__h")
 
 
@@ -91,18 +89,18 @@ def holdout_split(df: DataFrame, key: str, test_size: float = 0.30, val_share: f
         rest = n - F.ceil(n * F.lit(test_size))
         return rest - F.ceil(rest * F.lit(val_share))
 
-    _, cuts = order_cuts(hashed, "__h", [train_end, lambda n: n - F.ceil(n * F.lit(test_size))], HASH_WIDTH)
+    _, cuts = order_cuts(hashed, "__h", [train_end, lambda n: n - F.ceil(n * F.lit(test_size))])
     return hashed.withColumn(name, _label(F.col("__h"), cuts)).drop("__h")
 
 
-def fold_cuts(df: DataFrame, order: str, k: int, width: int = BLOCK_WIDTH) -> list[int | None]:
+def fold_cuts(df: DataFrame, order: str, k: int, width: int | None = None) -> list[int | None]:
     """Order keys where the k test blocks begin; every test block has floor(n / (k + 1)) rows."""
     def start(i: int):
         return lambda n: n - (k - i) * F.floor(n / F.lit(k + 1))
     return order_cuts(df, order, [start(i) for i in range(k)], width)[1]
 
 
-def assign_folds(df: DataFrame, order: str, k: int = 5, width: int = BLOCK_WIDTH) -> DataFrame:
+def assign_folds(df: DataFrame, order: str, k: int = 5, width: int | None = None) -> DataFrame:
     """One row per (row, fold it takes part in): ``fold`` 1..k and ``role`` train or test."""
     cuts = fold_cuts(df, order, k, width)
     items = []

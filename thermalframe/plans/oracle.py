@@ -331,7 +331,7 @@ def oracles() -> dict[str, str]:
     ids = "sample_id, unit_id, "
     cols = ", ".join(SENSORS)
     # scans
-    add("scan_csv", READINGS, f"SELECT sample_id, {cols} FROM sensors WHERE UCWIT IS NOT NULL OR UCWOT IS NOT NULL OR UCAIT IS NOT NULL")
+    add("scan_csv", READINGS, f"SELECT sample_id, {cols} FROM sensors WHERE {' OR '.join(f'{c} IS NOT NULL' for c in SENSORS)}")
     add("scan_parquet_sensors", READINGS, f"SELECT {ids}{cols} FROM sensors")
     meta = [("sample_id", "bigint"), ("unit_id", "bigint"), *[(c, "double") for c in SENSORS]]
     add("dataset_metadata", "", "SELECT c AS \"column\", d AS dtype, CAST(i AS BIGINT) AS ordinal, (SELECT count(*) FROM events) AS rows FROM (VALUES "
@@ -347,10 +347,12 @@ def oracles() -> dict[str, str]:
     add("drift_report_json", DRIFT_CTE, f"SELECT overall_status, drift_percentage, feature, status, psi, ks_statistic, reference_mean, current_mean FROM drift, ({SUMMARY})")
     add("load_reference_table", PARTS, f"SELECT sample_id, {', '.join(DRIFT)} FROM parts WHERE split = 'train'")
     add("stream_sensor_messages", MESSAGES, "SELECT event_id, topic, k AS UCWIT, value AS UCAIT FROM topics WHERE NOT broken AND topic = 'hvac/sensors/data'")
-    add("publish_messages", MESSAGES, """SELECT event_id, topic, CASE WHEN event_type <> 'click' THEN sent END AS sent,
-      CASE WHEN event_type = 'view' THEN k END AS UCWIT, CASE WHEN event_type IN ('view', 'click') THEN value END AS UCAIT,
-      CASE WHEN event_type = 'purchase' THEN value END AS UCAOT, CASE WHEN event_type = 'error' THEN severity END AS severity,
-      CASE WHEN event_type = 'signup' THEN 'ONLINE' END AS status FROM topics WHERE NOT broken""")
+    add("publish_messages", MESSAGES, """SELECT event_id, topic, CASE WHEN NOT broken AND event_type <> 'click' THEN sent END AS sent,
+      CASE WHEN NOT broken AND event_type = 'view' THEN k END AS UCWIT,
+      CASE WHEN NOT broken AND event_type IN ('view', 'click') THEN value END AS UCAIT,
+      CASE WHEN NOT broken AND event_type = 'purchase' THEN value END AS UCAOT,
+      CASE WHEN NOT broken AND event_type = 'error' THEN severity END AS severity,
+      CASE WHEN NOT broken AND event_type = 'signup' THEN 'ONLINE' END AS status FROM topics""")
     inputs = [n for n, t, _ in C.POINT_MAP if t == "analogInput"]
     mapped = [n for n, _, _ in C.POINT_MAP if n in SENSORS]
     any_known = " OR ".join(f"{n} IS NOT NULL" for n in inputs)
@@ -434,8 +436,7 @@ def oracles() -> dict[str, str]:
       SELECT * FROM ({union("SELECT 'missing', '{c}', CAST(count(*) - count({c}) AS DOUBLE) AS n FROM sensors", SENSORS)}) WHERE n > 0
       UNION ALL SELECT * FROM ({union("SELECT 'constant', '{c}', CASE WHEN count(DISTINCT {c}) <= 1 THEN 1e0 ELSE 0e0 END AS n FROM sensors", SENSORS)}) WHERE n > 0
       UNION ALL SELECT * FROM ({union("SELECT 'infinite', '{c}', CAST(count(*) FILTER (isinf({c})) AS DOUBLE) AS n FROM sensors", SENSORS)}) WHERE n > 0""")
-    dup = "l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
-    add("duplicate_rows", "", f"SELECT (SELECT count(*) FROM lineitem) - count(*) AS duplicates FROM (SELECT DISTINCT {dup} FROM lineitem)")
+    add("duplicate_rows", "", "SELECT (SELECT count(*) FROM lineitem) - count(*) AS duplicates FROM (SELECT DISTINCT * FROM lineitem)")
     add("constant_columns", READINGS, union("SELECT '{c}' AS \"column\", count(DISTINCT {c}) <= 1 AS constant FROM (SELECT *, 7e0 AS FIXED FROM sensors)", [*SENSORS, "FIXED"]))
     wide = "(SELECT *, CASE WHEN sample_id % 3 = 0 THEN 1e0 ELSE 0e0 END AS MOSTLY0 FROM sensors)"
     more = [*SENSORS, "MOSTLY0"]
@@ -553,7 +554,7 @@ p2 AS (SELECT split, UCAOT, UCWOT, UCAF, UCAOT_pred, UCWOT_pred, UCAF_pred,
         f"SELECT target, count(*) AS rows, round(max(abs(e)), 4) AS max_diff, round({_R2}, 4) AS r2, CASE WHEN max(abs(e)) < 1e-5 THEN 'PASSED' ELSE 'WARNING' END AS status FROM known GROUP BY target")
     # order
     add("row_index", READINGS, "SELECT sample_id, unit_id, row_number() OVER (PARTITION BY unit_id ORDER BY sample_id) - 1 AS time_index FROM sensors")
-    add("row_index_global", READINGS, "SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS time_index FROM sensors WHERE UCWIT IS NOT NULL")
+    add("row_index_global", READINGS, "SELECT sample_id * 1000003 + sample_id % 7 AS sparse_id, row_number() OVER (ORDER BY sample_id) - 1 AS time_index FROM sensors")
     add("ffill_limit", FILL, f"SELECT {ids}{cols} FROM forward")
     add("bfill_limit", FILL, f"SELECT {ids}{cols} FROM backward")
     add("bfill_only", BOUNDED, "SELECT " + ids + each("first_value({c} IGNORE NULLS) OVER (PARTITION BY unit_id ORDER BY sample_id ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS {c}", SENSORS) + " FROM bounded")

@@ -64,30 +64,26 @@ def magnitude(df: DataFrame, digits: int) -> DataFrame:
     return df.withColumns({n: F.when(F.abs(n) > 1e9, F.round(n, -6)).otherwise(F.round(n, digits)) for n in names})
 
 
-def readings(spark, d, heavy: bool = False) -> DataFrame:
-    return sensors(spark, d, heavy).select(ORDER, UNIT, *S)
+def readings(spark, d) -> DataFrame:
+    return sensors(spark, d).select(ORDER, UNIT, *S)
 
 
-def bounded(spark, d, heavy: bool = False) -> DataFrame:
-    return cleaning.bound(readings(spark, d, heavy), S)
+def bounded(spark, d) -> DataFrame:
+    return cleaning.bound(readings(spark, d), S)
 
 
 def order_keys(spark, d) -> DataFrame:
     return events(spark, d).select(F.col("event_id").alias(ORDER))
 
 
-def counted_parts(spark, d, *only: str, heavy: bool = False) -> tuple[DataFrame, int]:
-    """Bounded readings with their split label (of all or of the named parts), and the number of rows in all."""
-    n, cuts = split.temporal_cuts(order_keys(spark, d), ORDER)
-    return split.select_parts(bounded(spark, d, heavy), ORDER, cuts, only or split.NAMES), n
-
-
-def parts(spark, d, *only: str, heavy: bool = False) -> DataFrame:
-    return counted_parts(spark, d, *only, heavy=heavy)[0]
+def parts(spark, d, *only: str) -> DataFrame:
+    """Bounded readings with their split label, of all or of the named parts."""
+    _, cuts = split.temporal_cuts(order_keys(spark, d), ORDER)
+    return split.select_parts(bounded(spark, d), ORDER, cuts, only or split.NAMES)
 
 
 def filled(spark, d) -> DataFrame:
-    return clean.fill_both_ways(bounded(spark, d, heavy=True).drop("UCAIH"), ORDER, DENSE, [UNIT])
+    return clean.fill_both_ways(bounded(spark, d).drop("UCAIH"), ORDER, DENSE, [UNIT])
 
 
 def _d(x: float) -> Column:
@@ -108,37 +104,29 @@ def predictions(spark, d, model=mixing_model) -> DataFrame:
     return parts(spark, d).withColumns({f"{t}_pred": e for t, e in model().items()})
 
 
-def counted_pairs(spark, d, keep: Sequence[str] = ()) -> tuple[DataFrame, int]:
+def pairs(spark, d, keep: Sequence[str] = ()) -> DataFrame:
     """(kept, dataset, model, target, y, yhat) for both formula models: one projection."""
     items = [F.struct(F.lit(name).alias("model"), F.lit(t).alias("target"), F.col(t).alias("y"), e.alias("yhat"))
              for name, model in (("mixing", mixing_model), ("inlet", inlet_model)) for t, e in model().items()]
-    rows, n = counted_parts(spark, d, heavy=True)
-    return rows.select(*keep, F.col("split").alias("dataset"), F.inline(F.array(*items))), n
-
-
-def pairs(spark, d, keep: Sequence[str] = ()) -> DataFrame:
-    return counted_pairs(spark, d, keep)[0]
+    rows = parts(spark, d)
+    return rows.select(*keep, F.col("split").alias("dataset"), F.inline(F.array(*items)))
 
 
 def model_metrics(spark, d) -> DataFrame:
     return metrics.regression_metrics(pairs(spark, d), ["model", "dataset", "target"])
 
 
-def tagged(spark, d, names: Sequence[str] = DRIFT) -> tuple[DataFrame, int]:
-    """((feature, value, is_ref), row count): train rows as reference, validation rows as current; one scan."""
-    rows, n = counted_parts(spark, d, "train", "val", heavy=True)
+def tagged(spark, d, names: Sequence[str] = DRIFT) -> DataFrame:
+    """(feature, value, is_ref): train rows as reference, validation rows as current; one scan."""
+    rows = parts(spark, d, "train", "val")
     rows = rows.withColumn("is_ref", F.col("split") == "train")
-    return to_long(rows, names, keep=["is_ref"]), n
-
-
-def n_rows(spark, d) -> int:
-    return events(spark, d).count()      # answered from file footers
+    return to_long(rows, names, keep=["is_ref"])
 
 
 def drift_table(spark, d) -> DataFrame:
     names = spark.createDataFrame([(f,) for f in DRIFT], "feature string")
-    long, n = tagged(spark, d)
-    return drift.feature_drift_long(long, names, rows=n)
+    long = tagged(spark, d)
+    return drift.feature_drift_long(long, names)
 
 
 def message_rows(e: DataFrame) -> DataFrame:
@@ -169,7 +157,8 @@ def message_table(spark, d) -> DataFrame:
 
 
 def event_stream(spark, d, **kw) -> DataFrame:
-    return jobs.file_stream(spark, d, events(spark, d).schema, "events.parquet", **kw)
+    """The event table as a stream, whether it is one file or a folder of many."""
+    return jobs.file_stream(spark, f"{d}/events.parquet", events(spark, d).schema, **kw)
 
 
 def text_ts(c: str) -> Column:
@@ -182,7 +171,7 @@ def text_ts(c: str) -> Column:
 def scan_csv(spark, d):
     path = work_path(spark, "csv")
     readings(spark, d).select(ORDER, *S).write.csv(path, sep=";", header=True)
-    return io.read_sensor_csv(spark, path, io.sensor_schema(S, ORDER), required=["UCWIT", "UCWOT", "UCAIT"])
+    return io.read_sensor_csv(spark, path, io.sensor_schema(S, ORDER), readings=S)
 
 
 @query("scan_parquet_sensors")
@@ -256,7 +245,7 @@ def stream_sensor_messages(spark, d):
 
 @query("publish_messages")
 def publish_messages(spark, d):
-    return message_table(spark, d).where(F.col("event_id") % 50 != 0).select(
+    return message_table(spark, d).select(
         "event_id", "topic", F.get_json_object("payload", "$.timestamp").alias("sent"),
         F.get_json_object("payload", "$.data.UCWIT").cast("double").alias("UCWIT"),
         F.get_json_object("payload", "$.data.UCAIT").cast("double").alias("UCAIT"),
@@ -390,7 +379,7 @@ def join_model_comparison(spark, d):
 
 
 def importance_by_target(spark, d) -> DataFrame:
-    return importance.correlation_importance(bounded(spark, d, heavy=True), MODEL_INPUTS, TARGETS)
+    return importance.correlation_importance(bounded(spark, d), MODEL_INPUTS, TARGETS)
 
 
 @query("join_importance_models")
@@ -430,8 +419,8 @@ def join_regime_scaler(spark, d):
 
 @query("join_bins")
 def join_bins(spark, d):
-    long, n = tagged(spark, d)
-    edges = drift.bin_edges(long.where("is_ref"), rows=n)
+    long = tagged(spark, d)
+    edges = drift.bin_edges(long.where("is_ref"))
     placed = long.where("value is not null").join(edges, "feature").withColumn("bin", drift.bin_of(F.col("value"), F.col("edges")))
     return placed.groupBy("feature", "is_ref", F.col("bin").cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
 
@@ -448,12 +437,12 @@ def semi_features(spark, d):
 
 @query("describe_stats")
 def describe_stats(spark, d):
-    return rounded(profile.describe(readings(spark, d, heavy=True), S))
+    return rounded(profile.describe(readings(spark, d), S))
 
 
 @query("summary_extended")
 def summary_extended(spark, d):
-    return rounded(profile.summary_extended(readings(spark, d, heavy=True), S))
+    return rounded(profile.summary_extended(readings(spark, d), S))
 
 
 @query("basic_info")
@@ -463,13 +452,13 @@ def basic_info(spark, d):
 
 @query("quality_report")
 def quality_report(spark, d):
-    return profile.quality_report(readings(spark, d, heavy=True), S)
+    return profile.quality_report(readings(spark, d), S)
 
 
 @query("duplicate_rows")
 def duplicate_rows(spark, d):
     line = spark.read.parquet(f"{d}/lineitem.parquet")
-    return profile.duplicate_rows(line, ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"])
+    return profile.duplicate_rows(line, line.columns)
 
 
 @query("constant_columns")
@@ -495,27 +484,27 @@ def variable_ranges(spark, d):
 
 @query("correlation_matrix")
 def correlation_matrix(spark, d):
-    return rounded(profile.correlation_matrix(bounded(spark, d, heavy=True), S), 6)
+    return rounded(profile.correlation_matrix(bounded(spark, d), S), 6)
 
 
 @query("high_corr_pairs")
 def high_corr_pairs(spark, d):
-    return profile.high_corr_pairs(features.static_features(bounded(spark, d, heavy=True)), [*S, "delta_T_air", "mdot_water", "T_approach"])
+    return profile.high_corr_pairs(features.static_features(bounded(spark, d)), [*S, "delta_T_air", "mdot_water", "T_approach"])
 
 
 @query("target_correlations")
 def target_correlations(spark, d):
-    return rounded(profile.target_correlations(bounded(spark, d, heavy=True), S, TARGETS), 6)
+    return rounded(profile.target_correlations(bounded(spark, d), S, TARGETS), 6)
 
 
 @query("top_target_correlations")
 def top_target_correlations(spark, d):
-    return rounded(profile.top_target_correlations(bounded(spark, d, heavy=True), S, TARGETS, 3), 6)
+    return rounded(profile.top_target_correlations(bounded(spark, d), S, TARGETS, 3), 6)
 
 
 @query("outliers_iqr")
 def outliers_iqr(spark, d):
-    return profile.outliers_iqr(readings(spark, d, heavy=True), S)
+    return profile.outliers_iqr(readings(spark, d), S)
 
 
 @query("outliers_zscore")
@@ -525,12 +514,12 @@ def outliers_zscore(spark, d):
 
 @query("boxplot_stats")
 def boxplot_stats(spark, d):
-    return profile.boxplot_stats(readings(spark, d, heavy=True), S)
+    return profile.boxplot_stats(readings(spark, d), S)
 
 
 @query("histogram_50")
 def histogram_50(spark, d):
-    return rounded(profile.histogram(readings(spark, d, heavy=True), S))
+    return rounded(profile.histogram(readings(spark, d), S))
 
 
 @query("profile_lineitem")
@@ -582,8 +571,7 @@ def regression_metrics(spark, d):
 
 @query("residual_stats")
 def residual_stats(spark, d):
-    long, n = counted_pairs(spark, d)
-    return rounded(metrics.residual_stats(long, ["model", "target"], n))
+    return rounded(metrics.residual_stats(pairs(spark, d), ["model", "target"]))
 
 
 @query("metrics_by_condition")
@@ -643,14 +631,14 @@ def importance_groups_by_name(spark, d):
 
 @query("psi")
 def psi(spark, d):
-    long, n = tagged(spark, d)
-    return rounded(drift.psi(long, rows=n))
+    long = tagged(spark, d)
+    return rounded(drift.psi(long))
 
 
 @query("ks_two_sample")
 def ks_two_sample(spark, d):
-    long, n = tagged(spark, d)
-    return rounded(drift.ks_two_sample(long, rows=n))
+    long = tagged(spark, d)
+    return rounded(drift.ks_two_sample(long))
 
 
 @query("feature_drift")
@@ -663,8 +651,7 @@ def drift_orders_by_priority(spark, d):
     orders = spark.read.parquet(f"{d}/orders.parquet")
     long = orders.select(F.col("o_orderpriority").alias("feature"), F.col("o_totalprice").alias("value"),
                          (F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")).alias("is_ref"))
-    rows = orders.count()
-    both = drift.psi(long, rows=rows).join(drift.ks_two_sample(long, rows=rows), "feature")
+    both = drift.psi(long).join(drift.ks_two_sample(long), "feature")
     return rounded(both.select("feature", "n_ref", "n_cur", "psi", "ks"))
 
 
@@ -682,7 +669,7 @@ def drift_summary(spark, d):
 
 @query("latency_stats")
 def latency_stats(spark, d):
-    return rounded(metrics.latency_stats(events(spark, d), "value", ["event_type"], rows=n_rows(spark, d)))
+    return rounded(metrics.latency_stats(events(spark, d), "value", ["event_type"]))
 
 
 def _residual(kind: str):
@@ -726,7 +713,9 @@ def row_index(spark, d):
 
 @query("row_index_global")
 def row_index_global(spark, d):
-    return blocks.row_index(readings(spark, d).where("UCWIT is not null").select(ORDER), ORDER)
+    """Positions along a key with wide gaps, as a microsecond clock has."""
+    sparse = readings(spark, d).select((F.col(ORDER) * 1000003 + F.col(ORDER) % 7).alias("sparse_id"))
+    return blocks.row_index(sparse, "sparse_id")
 
 
 @query("ffill_limit")
@@ -789,10 +778,10 @@ def time_series_folds(spark, d):
 
 @query("ecdf_difference")
 def ecdf_difference(spark, d):
-    rows, n = counted_parts(spark, d, "val", "test")
+    rows = parts(spark, d, "val", "test")
     rows = rows.withColumn("is_ref", F.col("split") == "val")
     long = to_long(rows, ["UCFS", "UCWIT", "UCTSP"], keep=["is_ref"])
-    return rounded(quantiles.ks_distance(long, "feature", "value", F.col("is_ref"), n), 6)
+    return rounded(quantiles.ks_distance(long, "feature", "value", F.col("is_ref")), 6)
 
 
 @query("make_sequences")
@@ -996,14 +985,14 @@ def stream_score(spark, d):
 def stream_row_counter(spark, d):
     base = work_path(spark, "counter")
     live = sensor_view(event_stream(spark, d)).select(ORDER, UNIT)
-    jobs.drain(live, f"{base}/checkpoint", jobs.count_rows_to(f"{base}/out", f"{base}/state", ORDER, UNIT))
+    jobs.drain(jobs.count_rows(live, ORDER, UNIT), f"{base}/checkpoint", jobs.to_folder(f"{base}/out"))
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
 def window_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows, n = counted_parts(spark, d, "train")
+    rows = parts(spark, d, "train")
     ref = to_long(rows, DRIFT)
-    edges = drift.bin_edges(ref, rows=n)
+    edges = drift.bin_edges(ref)
     return edges, drift.reference_bins(ref, edges)
 
 
@@ -1045,7 +1034,7 @@ def retained_latest(spark, d):
 @query("stream_retained_latest")
 def stream_retained_latest(spark, d):
     base = work_path(spark, "retained")
-    live = jobs.latest_retained(message_rows(event_stream(spark, d)))
+    live = jobs.latest_retained(message_rows(event_stream(spark, d)), tie="event_id")
     jobs.drain(live, f"{base}/checkpoint", jobs.to_folder(f"{base}/out"), mode="complete")
     # Complete mode: every batch holds the whole (one row per topic) state, the last one is current.
     last = spark.read.parquet(f"{base}/out")
@@ -1076,12 +1065,12 @@ def late_data(spark, d):
 
 @query("kpi_levels")
 def kpi_levels(spark, d):
-    long, n = tagged(spark, d)
-    lat = quantiles.grouped_quantiles(events(spark, d), [], "value", (0.5, 0.95), n)
+    long = tagged(spark, d)
+    lat = quantiles.grouped_quantiles(events(spark, d), [], "value", (0.5, 0.95))
     m = lat.select(F.inline(F.array(
         F.struct(F.lit("api_response_ms").alias("metric"), F.col("q")[0].alias("value")),
         F.struct(F.lit("inference_p95_ms").alias("metric"), F.col("q")[1].alias("value")))))
-    worst = drift.psi(long, rows=n).agg(F.max("psi").alias("value"))
+    worst = drift.psi(long).agg(F.max("psi").alias("value"))
     measured = m.unionByName(worst.select(F.lit("drift_psi").alias("metric"), "value"))
     return rounded(rules.kpi_levels(measured, rules.kpi_rules(spark)))
 
@@ -1113,8 +1102,8 @@ def retention_filter(spark, d):
 
 @query("psi_band")
 def psi_band(spark, d):
-    long, n = tagged(spark, d, DENSE)
-    table = rounded(drift.psi(long, rows=n))
+    long = tagged(spark, d, DENSE)
+    table = rounded(drift.psi(long))
     return table.withColumns({"band": drift.psi_band(F.col("psi")), "documented": drift.psi_band(F.col("psi"), True)})
 
 
@@ -1122,7 +1111,7 @@ def psi_band(spark, d):
 
 def training_rows(spark, d) -> DataFrame:
     """Bounded readings with leak-free features and the split label."""
-    return features.leak_free(parts(spark, d, heavy=True))
+    return features.leak_free(parts(spark, d))
 
 
 def scored_table(spark, d, estimator, names=None) -> DataFrame:

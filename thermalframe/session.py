@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,7 +33,8 @@ def build_session(master: str | None = None, app: str = "thermalframe", **conf)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local runs) is a folder chosen here.
+    A folder of this machine serves only where driver and executors are one process (a ``local`` master); on a
+    cluster executors would each write to a disk of their own, so a missing setting is an error there.
     """
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None)
@@ -42,28 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if not current:
+        check_local(sc.master)
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="thermalframe-"))
         current = sc.getCheckpointDir()
     return current
 
 
+def check_local(master: str) -> None:
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"{CHECKPOINT_KEY} is not set; on {master} it must name a folder that all executors share")
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder, so that later jobs read it even if executors are lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores on a table scan with fewer splits than cores (one small file, one row group).
-
-    A large table has more splits than that and passes through unchanged, without
-    a shuffle. Meant for a bare scan: counting the splits of a plan with
-    exchanges would run them.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    """``df`` written to the shared folder as Parquet and read back: later jobs read only their columns of it,
+    also if executors are lost."""
+    path = work_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,16 +17,19 @@ def sensor_schema(columns: Sequence[str], order: str | None = None) -> T.StructT
     return T.StructType(head + [T.StructField(c, T.DoubleType()) for c in columns])
 
 
-def read_sensor_csv(spark: SparkSession, path: str, schema: T.StructType, required: Sequence[str] | None = None,
+def read_sensor_csv(spark: SparkSession, path: str, schema: T.StructType, readings: Sequence[str] | None = None,
                     sep: str = ";") -> DataFrame:
     """Semicolon CSV with blanks after the separator; rows without any reading are dropped.
 
+    ``readings`` are all columns of doubles unless named; an order column is no reading.
+
     An explicit schema keeps the read to one pass. Give the file an order column:
     lines have no position once they are split over tasks.
     """
     raw = spark.read.csv(path, schema=schema, sep=sep, header=True, ignoreLeadingWhiteSpace=True,
                          ignoreTrailingWhiteSpace=True)
-    return nan_to_null(raw).dropna("all", subset=list(required or schema.fieldNames()))
+    names = list(readings or (f.name for f in schema if isinstance(f.dataType, T.DoubleType)))
+    return nan_to_null(raw).dropna("all", subset=names)
 
 
 def read_reference_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalframe.session import spread
-
 SENSORS = ("UCWIT", "UCWOT", "UCAIT", "UCAOT", "UCWF", "UCAF", "UCAIH", "AMBT", "UCTSP", "UCFS", "UCWDP")
 ORDER = "sample_id"
 UNIT = "unit_id"
@@ -52,10 +50,6 @@ def _sensor_columns() -> list[Column]:
     ]
 
 
-def sensors(spark: SparkSession, sf_dir: str, all_cores: bool = False) -> DataFrame:
-    """One row per reading: ``sample_id`` (unique, in time order), ``ts``, ``unit_id`` and the sensors.
-
-    ``all_cores`` spreads an input of too few splits, for work that is heavy per row.
-    """
-    rows = events(spark, sf_dir)
-    return sensor_view(spread(rows) if all_cores else rows)
+def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per reading: ``sample_id`` (unique, in time order), ``ts``, ``unit_id`` and the sensors."""
+    return sensor_view(events(spark, sf_dir))

@@ -6,24 +6,31 @@ batch that is run again after a failure replaces its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from thermalframe.operators import drift
-from thermalframe.operators.blocks import row_index
 from thermalframe.operators.messages import parse_messages, retained_latest
 from thermalframe.operators.models import Bundle, predict_all
 
 
-def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*", fmt: str = "parquet",
-                files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", pattern)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(folder)
+FILES_PER_BATCH = 64
+
+
+def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """Rows of a file, or of the files in a folder, at most ``files_per_batch`` of them in one micro-batch.
+
+    A plain path must be a folder for a stream; as a pattern that matches itself alone it may be either.
+    """
+    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    path = path.rstrip("/")
+    return reader.load(path if set("*?[{") & set(path) else f"{path[:-1]}[{path[-1]}]")
 
 
 def broker_stream(spark: SparkSession, servers: str, topics: str, **options) -> DataFrame:
@@ -69,33 +76,25 @@ def score(stream: DataFrame, bundle: Bundle, features: Sequence[str]) -> DataFra
     return predict_all(stream, bundle, features)
 
 
-def count_rows_to(path: str, state: str, order: str, unit: str) -> Callable[[DataFrame, int], None]:
-    """Running sample number per unit over the whole stream.
+def count_rows(stream: DataFrame, order: str, unit: str) -> DataFrame:
+    """Adds ``time_index``: the running sample number per unit over the whole stream, in the engine's keyed state.
 
-    Rows are numbered inside the batch by order blocks, so a busy unit is spread
-    over tasks, and the totals so far are added. Totals are written per batch:
-    a repeated batch starts again from those of the batch before it.
+    A unit's rows of one micro-batch are numbered in their order; a micro-batch bounds what is held of a unit.
     """
-    def write(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        numbered = row_index(rows, order, [unit], "__in_batch")
-        counts = rows.groupBy(unit).agg(F.count(F.lit(1)).alias("__n"))
-        if batch_id > 0:
-            before = spark.read.parquet(f"{state}/{batch_id - 1}")
-            numbered = numbered.join(before, unit, "left")
-            totals = counts.unionByName(before.select(unit, F.col("__before").alias("__n")))
-        else:
-            numbered = numbered.withColumn("__before", F.lit(0).cast("bigint"))
-            totals = counts
-        (numbered.withColumn("time_index", F.col("__in_batch") + F.coalesce("__before", F.lit(0)))
-         .drop("__in_batch", "__before").write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
-        totals.groupBy(unit).agg(F.sum("__n").alias("__before")).write.mode("overwrite").parquet(f"{state}/{batch_id}")
-    return write
+    fields = T.StructType([*stream.schema.fields, T.StructField("time_index", T.LongType())])
+
+    def number(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(chunks)).sort_values(order)
+        before = state.get[0] if state.exists else 0
+        state.update((before + len(rows),))
+        yield rows.assign(time_index=range(before, before + len(rows)))
+
+    return stream.groupBy(unit).applyInPandasWithState(number, fields, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def latest_retained(stream: DataFrame) -> DataFrame:
-    """Newest retained message per topic as a stream aggregation (update or complete mode)."""
-    return retained_latest(stream)
+def latest_retained(stream: DataFrame, tie: str | None = None) -> DataFrame:
+    """Newest retained message per topic as a stream aggregation (update or complete mode); ``tie`` decides equal times."""
+    return retained_latest(stream, tie=tie)
 
 
 def windowed_drift(stream: DataFrame, edges: DataFrame, reference: DataFrame, delay: str = "10 minutes",
