@@ -17,10 +17,42 @@ def rows(spark):
 
 
 def test_linear_recovers_coefficients(rows):
-    m = models.fit_per_target(rows, ["u", "w"], ["y"], models.linear)["y"].stages[-1]
+    m = models.fit_per_target(rows, ["u", "w"], ["y"], models.linear)["y"]
     assert m.intercept == pytest.approx(3.0) and list(m.coefficients) == pytest.approx([2.0, -1.0])
 
 
+def test_ridge_equals_the_closed_form(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5000, 2)) * [1.0, 20.0] + [5.0, -3.0]
+    y = 3 * x[:, 0] - 2 * x[:, 1] + rng.normal(size=5000)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "p double, q double, y double").repartition(7)
+    for alpha in (0.0, 1.0, 1000.0):
+        m = models.fit_least_squares(df, ["p", "q"], ["y"], alpha)["y"]
+        s, t = x.std(axis=0), y.std()
+        z, v = (x - x.mean(axis=0)) / s, (y - y.mean()) / t
+        b = np.linalg.solve(z.T @ z + alpha * np.eye(2), z.T @ v) * t / s
+        assert m.coefficients == pytest.approx(b.tolist(), rel=1e-9) and m.intercept == pytest.approx(y.mean() - x.mean(axis=0) @ b)
+    m = models.fit_least_squares(df, ["p", "q"], ["y"])["y"]
+    e = m.transform(df).select((F.col("y") - F.col("y_pred")).alias("e"), "p", "q")
+    sums = e.agg(F.sum("e"), F.sum(F.col("e") * F.col("p")), F.sum(F.col("e") * F.col("q"))).first()
+    assert all(abs(x) < 1e-6 for x in sums)
+
+
+def test_rows_without_a_value_are_left_out_per_target(spark):
+    nan = None
+    df = spark.createDataFrame([(1.0, 2.0, nan), (2.0, 4.0, 1.0), (3.0, 6.0, 0.0), (nan, 1.0, 1.0)], "x double, y double, z double")
+    m = models.fit_least_squares(df, ["x"], ["y", "z"])
+    assert m["y"].coefficients == pytest.approx([2.0]) and m["z"].coefficients == pytest.approx([-1.0])
+
+
+def test_linear_save_and_load(spark, rows):
+    path = work_path(spark, "t-linear")
+    bundle = models.fit_per_target(rows, ["u", "w"], ["y", "z"], models.linear)
+    models.save_bundle(bundle, path, spark, ["u", "w"])
+    assert models.load_bundle(path, spark) == (bundle, ["u", "w"])
+
+
 def test_trees_save_load_and_score(spark, rows):
     bundle = models.fit_per_target(rows.where("split = 'train'"), ["u", "w"], ["y", "z"], lambda t: models.random_forest(t, 5, 5))
     path = work_path(spark, "t-bundle")
@@ -43,8 +75,10 @@ def test_early_stop_uses_fewer_trees(rows):
 
 
 def test_folds_are_refitted(rows):
-    out = models.refit_on_folds(rows.drop("split"), "id", ["u", "w"], ["y"], models.linear, k=2).collect()
-    assert len(out) == 4 and all(r["r2"] == pytest.approx(1.0) for r in out)
+    out = models.refit_on_folds(rows.drop("split"), "id", ["u", "w"], ["y"], models.linear, k=2)
+    assert out.count() == 4 and all(r["r2"] == pytest.approx(1.0) for r in out.collect())
+    over = models.over_folds(out).collect()
+    assert len(over) == 2 and all(r["folds"] == 2 and r["r2_std"] == pytest.approx(0.0, abs=1e-9) for r in over)
 
 
 def test_user_model_scores_in_batches(rows):

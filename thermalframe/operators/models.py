@@ -1,27 +1,122 @@
-"""One MLlib regressor per target: fitting, scoring, refitting on folds, saving."""
+"""One regressor per target: fitting, scoring, refitting on folds, saving.
+
+Least squares and ridge are solved from sums of products, all targets in one
+pass over the rows; trees are MLlib's.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermalframe.operators.metrics import pairs_long, regression_metrics
 from thermalframe.operators.split import assign_folds
 
-Bundle = dict[str, PipelineModel]
+@dataclass
+class LeastSquares:
+    """A fitted linear model; scoring is a projection."""
+    target: str
+    features: list[str]
+    intercept: float
+    coefficients: list[float]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        terms = [F.lit(b) * F.col(f) for f, b in zip(self.features, self.coefficients)]
+        return df.withColumn(f"{self.target}_pred", reduce(lambda x, y: x + y, terms, F.lit(self.intercept)))
+
+
+@dataclass
+class Linear:
+    """Least squares, or ridge: ``alpha`` is added to the sums of squares of the standardised inputs."""
+    alpha: float = 0.0
+
+
+Model = PipelineModel | LeastSquares
+Bundle = dict[str, Model]
+
+
+def linear(target: str, alpha: float = 0.0) -> Linear:
+    return Linear(alpha)
+
+
+def _products(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, means and sums of centred products."""
+    mean = x.mean(axis=0)
+    z = x - mean
+    return len(x), mean, z.T @ z
+
+
+def _add(a: tuple | None, b: tuple) -> tuple:
+    if a is None:
+        return b
+    n, gap = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+
+_MOMENTS = "target string, n long, mean array<double>, products array<double>"
 
 
-def linear(target: str, reg: float = 0.0) -> LinearRegression:
-    """Least squares, or ridge with ``reg`` > 0; solved from one pass over the data."""
-    return LinearRegression(featuresCol="features", labelCol=target, predictionCol=f"{target}_pred",
-                            regParam=reg, elasticNetParam=0.0, solver="normal")
+def _moments(state: dict[str, tuple]) -> pa.RecordBatch:
+    rows = [(t, int(n), mean.tolist(), m.ravel().tolist()) for t, (n, mean, m) in state.items()]
+    kinds = (pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["target", "n", "mean", "products"])
+
+
+def fit_least_squares(train: DataFrame, features: Sequence[str], targets: Sequence[str], alpha: float = 0.0) -> Bundle:
+    """All targets from one pass over ``train``; rows without a feature or without that target are left out.
+
+    A task sends one short line for each target; they are merged in a few tasks before the last ones reach the driver,
+    where a system of as many equations as features is solved.
+    """
+    features, targets = list(features), list(targets)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[str, tuple] = {}
+        for batch in batches:
+            x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns])
+            x = x[~np.isnan(x[:, :len(features)]).any(axis=1)]
+            for i, t in enumerate(targets):
+                own = x[:, [*range(len(features)), len(features) + i]]
+                own = own[~np.isnan(own[:, -1])]
+                if len(own):
+                    state[t] = _add(state.get(t), _products(own))
+        yield _moments(state)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[str, tuple] = {}
+        for batch in batches:
+            for t, n, mean, m in zip(*(c.to_pylist() for c in batch.columns)):
+                k = len(mean)
+                state[t] = _add(state.get(t), (n, np.array(mean), np.array(m).reshape(k, k)))
+        yield _moments(state)
+
+    lines = train.select(*[F.col(c).cast("double").alias(c) for c in [*features, *targets]]).mapInArrow(sums, _MOMENTS)
+    total: dict[str, tuple] = {}
+    for r in lines.coalesce(32).mapInArrow(merge, _MOMENTS).collect():
+        k = len(r["mean"])
+        total[r["target"]] = _add(total.get(r["target"]), (r["n"], np.array(r["mean"]), np.array(r["products"]).reshape(k, k)))
+    out: Bundle = {}
+    for t in targets:
+        if t not in total:
+            raise ValueError(f"no row has all features and {t}")
+        n, mean, m = total[t]
+        scale = np.sqrt(np.diag(m) / n)
+        scale[scale == 0] = 1.0
+        z = m / np.outer(scale, scale)                      # sums of products of standardised columns
+        a, y = z[:-1, :-1] + alpha * np.eye(len(features)), z[:-1, -1]
+        b = np.linalg.lstsq(a, y, rcond=1e-10)[0] * scale[-1] / scale[:-1]
+        out[t] = LeastSquares(t, features, float(mean[-1] - mean[:-1] @ b), [float(v) for v in b])
+    return out
 
 
 def random_forest(target: str, trees: int = 100, depth: int = 15, seed: int = 42) -> RandomForestRegressor:
@@ -44,11 +139,14 @@ def boosted_trees(target: str, trees: int = 300, depth: int = 8, rate: float = 0
 
 def fit_per_target(train: DataFrame, features: Sequence[str], targets: Sequence[str],
                    estimator: Callable[[str], object], extra: Sequence[str] = ()) -> Bundle:
-    """Fit one pipeline per target on the rows where the features and that target are known.
+    """Fit one model per target on the rows where the features and that target are known.
 
     ``extra`` names further columns an estimator reads (a validation mark). The
     rows are kept for the fits because tree training passes over them many times.
     """
+    first = estimator(targets[0])
+    if isinstance(first, Linear):
+        return fit_least_squares(train, features, targets, first.alpha)
     out: Bundle = {}
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     needed = train.select(*dict.fromkeys([*features, *targets, *extra])).dropna("any", subset=list(features))
@@ -100,17 +198,34 @@ def refit_on_folds(df: DataFrame, order: str, features: Sequence[str], targets:
     return reduce(DataFrame.unionByName, parts)
 
 
+def over_folds(folds: DataFrame) -> DataFrame:
+    """(role, target, mean and population deviation of each score) over the folds."""
+    scores = [c for c, t in folds.dtypes if t == "double"]
+    return folds.groupBy("role", "target").agg(
+        F.count(F.lit(1)).alias("folds"), *[f(c).alias(f"{c}_{n}") for c in scores
+                                            for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
+_LINEAR = "target string, features array<string>, intercept double, coefficients array<double>"
+_NAMES = "targets array<string>, kinds array<string>, features array<string>"
+
+
 def save_bundle(bundle: Bundle, path: str, spark: SparkSession, features: Sequence[str]) -> None:
     """One folder per target and a table of the names needed to use them."""
     for t, m in bundle.items():
-        m.write().overwrite().save(f"{path}/{t}")
-    spark.createDataFrame([(list(bundle), list(features))], "targets array<string>, features array<string>") \
-        .write.mode("overwrite").json(f"{path}/_bundle")
+        if isinstance(m, LeastSquares):
+            spark.createDataFrame([(m.target, m.features, m.intercept, m.coefficients)], _LINEAR) \
+                .write.mode("overwrite").parquet(f"{path}/{t}")
+        else:
+            m.write().overwrite().save(f"{path}/{t}")
+    kinds = ["linear" if isinstance(m, LeastSquares) else "trees" for m in bundle.values()]
+    spark.createDataFrame([(list(bundle), kinds, list(features))], _NAMES).write.mode("overwrite").json(f"{path}/_bundle")
 
 
 def load_bundle(path: str, spark: SparkSession) -> tuple[Bundle, list[str]]:
-    names = spark.read.schema("targets array<string>, features array<string>").json(f"{path}/_bundle").first()
-    return {t: PipelineModel.load(f"{path}/{t}") for t in names["targets"]}, list(names["features"])
+    names = spark.read.schema(_NAMES).json(f"{path}/_bundle").first()
+    load = {"linear": lambda p: LeastSquares(*spark.read.schema(_LINEAR).parquet(p).first()), "trees": PipelineModel.load}
+    return {t: load[k](f"{path}/{t}") for t, k in zip(names["targets"], names["kinds"])}, list(names["features"])
 
 
 def linear_fit(df: DataFrame, x: str, y: str) -> tuple[float, float]:

@@ -12,6 +12,7 @@ SENSORS = ["UCWIT", "UCWOT", "UCAIT", "UCAOT", "UCWF", "UCAF", "UCAIH", "AMBT",
 TARGETS = ["UCAOT", "UCWOT", "UCAF"]
 FEATURES = [c for c in SENSORS if c not in TARGETS]
 DENSE = [c for c in SENSORS if c != "UCAIH"]
+MODEL_INPUTS = ["UCWIT", "UCAIT", "UCWF", "AMBT", "UCTSP", "UCFS", "UCWDP"]
 DRIFT = ["UCWIT", "UCAIT", "UCWF", "AMBT", "UCTSP"]
 INPUTS = ["UCWIT", "UCAIT", "UCWF", "AMBT", "UCTSP", "UCFS", "UCWDP"]
 
@@ -471,6 +472,11 @@ def oracles() -> dict[str, str]:
     add("impute_stats", FILL, union("SELECT '{c}' AS \"column\", round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.5), 4) AS median FROM backward", DENSE))
     clip3 = f", fence AS ({fences('bounded', DENSE, '3e0')}), w AS (SELECT {each(chr(10) + 'max(lo) FILTER (col = ' + chr(39) + '{c}' + chr(39) + ') AS {c}_lo, max(hi) FILTER (col = ' + chr(39) + '{c}' + chr(39) + ') AS {c}_hi', DENSE)} FROM fence)"
     add("outlier_clip_fit_apply", BOUNDED + clip3, f"SELECT sample_id, {each('CASE WHEN {c} < {c}_lo THEN {c}_lo WHEN {c} > {c}_hi THEN {c}_hi ELSE {c} END AS {c}', DENSE)} FROM bounded, w")
+    train = PARTS + ", fitted AS (SELECT * FROM parts WHERE split = 'train')" + clip3.replace("FROM bounded", "FROM fitted")
+    add("outlier_clip_fit_train_apply_test", train, f"SELECT sample_id, {each('CASE WHEN {c} < {c}_lo THEN {c}_lo WHEN {c} > {c}_hi THEN {c}_hi ELSE {c} END AS {c}', DENSE)} FROM parts, w WHERE split = 'test'")
+    known = " AND ".join(f"{c} IS NOT NULL" for c in MODEL_INPUTS)
+    add("least_squares_residuals", PARTS, union(f"SELECT '{{c}}' AS target, count(*) AS rows, CAST(0 AS BIGINT) AS mean_off, CAST(0 AS BIGINT) AS inputs_off FROM parts WHERE split = 'train' AND {{c}} IS NOT NULL AND {known}", TARGETS))
+    add("save_load_model", PARTS, union(f"SELECT '{{c}}' AS target, count(*) AS rows, 0e0 AS largest_gap FROM parts WHERE {known}", TARGETS))
     add("outlier_clip_counts", BOUNDED + clip3 + f", xs AS ({long('bounded', DENSE)})",
         "SELECT col AS \"column\", round(lo, 6) AS lower, round(hi, 6) AS upper, count(*) FILTER (x < lo OR x > hi) AS clipped FROM xs JOIN fence USING (col) GROUP BY col, lo, hi")
     one = "CASE WHEN {s} = 0 THEN 1e0 ELSE {s} END"

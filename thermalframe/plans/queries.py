@@ -542,6 +542,13 @@ def outlier_clip_fit_apply(spark, d):
     return clean.clip_outliers(df.select(ORDER, *DENSE), bounds)
 
 
+@query("outlier_clip_fit_train_apply_test")
+def outlier_clip_fit_train_apply_test(spark, d):
+    """Bounds of the training rows, used on the test rows."""
+    bounds = clean.fit_outlier_bounds(parts(spark, d, "train"), DENSE)
+    return clean.clip_outliers(parts(spark, d, "test").select(ORDER, *DENSE), bounds)
+
+
 @query("outlier_clip_counts")
 def outlier_clip_counts(spark, d):
     df = bounded(spark, d)
@@ -826,8 +833,10 @@ def sort_results(spark, d):
 
 @query("head_missing_pattern")
 def head_missing_pattern(spark, d):
-    head = blocks.row_index(readings(spark, d).drop(UNIT), ORDER).where("time_index < 1000")
-    return head.select("time_index", *[F.col(c).isNull().alias(c) for c in S])
+    """The first 1000 rows: the smallest keys of each task, and only those are numbered."""
+    head = readings(spark, d).drop(UNIT).orderBy(ORDER).limit(1000)
+    index = (F.row_number().over(Window.orderBy(ORDER)) - 1).cast("bigint")
+    return head.select(index.alias("time_index"), *[F.col(c).isNull().alias(c) for c in S])
 
 
 def _sample(n: int):
@@ -1109,73 +1118,96 @@ def psi_band(spark, d):
 
 # --- models ------------------------------------------------------------------------------------
 
+#: Inputs and the leak-free features made of them, but for the row position.
+TRAIN_INPUTS = [*MODEL_INPUTS, *(f for f in features.LEAK_FREE if f not in ("time_index", "cycle_hour", "hour_sin", "hour_cos"))]
+
+
 def training_rows(spark, d) -> DataFrame:
     """Bounded readings with leak-free features and the split label."""
     return features.leak_free(parts(spark, d))
 
 
-def scored_table(spark, d, estimator, names=None) -> DataFrame:
+def scored_table(spark, d, estimator) -> DataFrame:
     rows = training_rows(spark, d)
-    names = names or MODEL_INPUTS
-    bundle = models.fit_per_target(rows.where("split = 'train'"), names, TARGETS, estimator)
-    return models.evaluate(rows, bundle, names, ["split"])
+    bundle = models.fit_per_target(rows.where("split = 'train'"), TRAIN_INPUTS, TARGETS, estimator)
+    return models.evaluate(rows, bundle, TRAIN_INPUTS, ["split"])
 
 
 @query("fit_linear")
 def fit_linear(spark, d):
+    """Inputs and targets standardised; the fit standardises by itself, the scores are of the scaled targets."""
     rows = training_rows(spark, d)
-    params = scale.params_of(scale.fit_scaler(rows.where("split = 'train'"), [*MODEL_INPUTS, *TARGETS]))
+    params = scale.params_of(scale.fit_scaler(rows.where("split = 'train'"), [*TRAIN_INPUTS, *TARGETS]))
     scaled = scale.apply_scaler(rows, params)
-    bundle = models.fit_per_target(scaled.where("split = 'train'"), MODEL_INPUTS, TARGETS, models.linear)
-    return models.evaluate(scaled, bundle, MODEL_INPUTS, ["split"])
+    bundle = models.fit_per_target(scaled.where("split = 'train'"), TRAIN_INPUTS, TARGETS, models.linear)
+    return rounded(models.evaluate(scaled, bundle, TRAIN_INPUTS, ["split"]), 6)
 
 
 @query("fit_ridge")
 def fit_ridge(spark, d):
-    return scored_table(spark, d, lambda t: models.linear(t, reg=1.0))
+    return scored_table(spark, d, lambda t: models.linear(t, alpha=1.0))
 
 
 @query("fit_random_forest")
-def fit_random_forest(spark, d):
-    return scored_table(spark, d, lambda t: models.random_forest(t, trees=20, depth=8))
+def fit_random_forest(spark, d, trees: int = 100, depth: int = 15):
+    return scored_table(spark, d, lambda t: models.random_forest(t, trees=trees, depth=depth))
 
 
 @query("fit_gbt")
-def fit_gbt(spark, d):
-    return scored_table(spark, d, lambda t: models.boosted_trees(t, trees=10, depth=5, rate=0.2))
+def fit_gbt(spark, d, trees: int = 20, depth: int = 5, rate: float = 0.2):
+    """All targets. The defaults are below the 300 trees of depth 8 that the operator has: see the README for the time."""
+    return scored_table(spark, d, lambda t: models.boosted_trees(t, trees=trees, depth=depth, rate=rate))
 
 
 @query("fit_gbt_early_stop")
-def fit_gbt_early_stop(spark, d):
+def fit_gbt_early_stop(spark, d, trees: int = 20, depth: int = 4, rate: float = 0.3):
     rows = training_rows(spark, d).withColumn("is_validation", F.col("split") == "val")
-    bundle = models.fit_per_target(rows.where("split <> 'test'"), MODEL_INPUTS, ["UCAOT"],
-                                   lambda t: models.boosted_trees(t, trees=15, depth=4, rate=0.3, validation="is_validation"),
+    bundle = models.fit_per_target(rows.where("split <> 'test'"), TRAIN_INPUTS, TARGETS,
+                                   lambda t: models.boosted_trees(t, trees=trees, depth=depth, rate=rate, validation="is_validation"),
                                    extra=["is_validation"])
-    trees = bundle["UCAOT"].stages[-1].getNumTrees
-    return models.evaluate(rows, bundle, MODEL_INPUTS, ["split"]).withColumn("trees", F.lit(trees).cast("bigint"))
+    used = F.create_map(*[F.lit(x) for t, m in bundle.items() for x in (t, m.stages[-1].getNumTrees)])
+    return models.evaluate(rows, bundle, TRAIN_INPUTS, ["split"]).withColumn("trees", used[F.col("target")].cast("bigint"))
 
 
 @query("predict_batch")
 def predict_batch(spark, d):
     rows = training_rows(spark, d)
-    names = [*MODEL_INPUTS, *TARGETS]
-    params = scale.params_of(scale.fit_scaler(rows.where("split = 'train'"), names))
+    params = scale.params_of(scale.fit_scaler(rows.where("split = 'train'"), [*TRAIN_INPUTS, *TARGETS]))
     scaled = scale.apply_scaler(rows, params)
-    bundle = models.fit_per_target(scaled.where("split = 'train'"), MODEL_INPUTS, TARGETS, models.linear)
-    out = models.predict_all(scaled, bundle, MODEL_INPUTS)
+    bundle = models.fit_per_target(scaled.where("split = 'train'"), TRAIN_INPUTS, TARGETS, models.linear)
+    out = models.predict_all(scaled, bundle, TRAIN_INPUTS)
     return out.select(ORDER, *[(F.col(f"{t}_pred") * params[t][1] + params[t][0]).alias(t) for t in TARGETS])
 
 
+@query("least_squares_residuals")
+def least_squares_residuals(spark, d):
+    """(target, rows, inputs whose product with the training residuals is not zero, and their mean): least squares leaves none."""
+    train = training_rows(spark, d).where("split = 'train'")
+    bundle = models.fit_per_target(train, MODEL_INPUTS, TARGETS, models.linear)
+    scored = models.predict_all(train, bundle, MODEL_INPUTS)
+    out = None
+    for t in TARGETS:
+        e, y = F.col(t) - F.col(f"{t}_pred"), F.col(t)
+        zero = lambda x: (F.abs(F.sum(e * x)) > 1e-7 * F.sqrt(F.sum(y * y) * F.sum(x * x))).cast("int")
+        one = scored.where(y.isNotNull()).agg(
+            F.lit(t).alias("target"), F.count(F.lit(1)).alias("rows"), zero(F.lit(1.0)).cast("bigint").alias("mean_off"),
+            sum((zero(F.col(f)) for f in MODEL_INPUTS), F.lit(0)).cast("bigint").alias("inputs_off"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("importance_long")
 def importance_long(spark, d):
     rows = training_rows(spark, d).where("split = 'train'")
-    bundle = models.fit_per_target(rows, MODEL_INPUTS, TARGETS, lambda t: models.random_forest(t, trees=10, depth=6))
-    return models.tree_importance(bundle, MODEL_INPUTS, spark)
+    bundle = models.fit_per_target(rows, TRAIN_INPUTS, TARGETS, lambda t: models.random_forest(t, trees=100, depth=6))
+    return models.tree_importance(bundle, TRAIN_INPUTS, spark)
 
 
 @query("cv_temporal_refit")
-def cv_temporal_refit(spark, d):
-    return models.refit_on_folds(bounded(spark, d), ORDER, MODEL_INPUTS, ["UCAOT"], models.linear, k=3)
+def cv_temporal_refit(spark, d, k: int = 5):
+    """A new least-squares model per fold and target; mean and deviation of its scores over the folds."""
+    rows = features.leak_free(bounded(spark, d))
+    return rounded(models.over_folds(models.refit_on_folds(rows, ORDER, TRAIN_INPUTS, TARGETS, models.linear, k=k)))
 
 
 @query("cv_temporal_frozen")
@@ -1186,22 +1218,28 @@ def cv_temporal_frozen(spark, d):
 
 
 @query("compare_models")
-def compare_models(spark, d):
+def compare_models(spark, d, trees: int = 20, depth: int = 8):
     rows = training_rows(spark, d)
     train = rows.where("split = 'train'")
-    bundles = {"linear": models.fit_per_target(train, MODEL_INPUTS, TARGETS, models.linear),
-               "ridge": models.fit_per_target(train, MODEL_INPUTS, TARGETS, lambda t: models.linear(t, 1.0))}
-    return models.compare(rows, bundles, MODEL_INPUTS)
+    makers = {"linear": models.linear, "ridge": lambda t: models.linear(t, 1.0),
+              "random_forest": lambda t: models.random_forest(t, trees=trees, depth=depth)}
+    bundles = {n: models.fit_per_target(train, TRAIN_INPUTS, TARGETS, m) for n, m in makers.items()}
+    return models.compare(rows, bundles, TRAIN_INPUTS)
 
 
 @query("save_load_model")
 def save_load_model(spark, d):
+    """(target, rows, largest difference) of the predictions of the loaded and the fitted models."""
     rows = training_rows(spark, d)
-    bundle = models.fit_per_target(rows.where("split = 'train'"), MODEL_INPUTS, TARGETS, models.linear)
+    bundle = models.fit_per_target(rows.where("split = 'train'"), TRAIN_INPUTS, TARGETS, models.linear)
     path = work_path(spark, "bundle")
-    models.save_bundle(bundle, path, spark, MODEL_INPUTS)
+    models.save_bundle(bundle, path, spark, TRAIN_INPUTS)
     loaded, names = models.load_bundle(path, spark)
-    return models.evaluate(rows, loaded, names, ["split"])
+    fitted = models.predict_all(rows, bundle, names)
+    both = models.predict_all(fitted.withColumnsRenamed({f"{t}_pred": f"{t}_fitted" for t in TARGETS}), loaded, names)
+    return both.select(F.inline(F.array(*[
+        F.struct(F.lit(t).alias("target"), F.abs(F.col(f"{t}_pred") - F.col(f"{t}_fitted")).alias("gap")) for t in TARGETS]))
+    ).groupBy("target").agg(F.count(F.lit(1)).alias("rows"), F.max("gap").alias("largest_gap"))
 
 
 @query("score_pandas_udf")
