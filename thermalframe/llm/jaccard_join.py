@@ -264,7 +264,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     member = written(sketch.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
                      .select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
     n_parts = parts(spark)
-    dealt = sketch.select("doc_id", "n", "d1", "d2", "tokens").mapInArrow(_deal(4 * n_parts), _DEALT)
+    dealt = sketch.select("doc_id", "n", "d1", "d2", "tokens").mapInArrow(_deal(2 * n_parts), _DEALT)
     holders = written(dealt.repartition(n_parts, "part").mapInArrow(_share, "token long, doc_id long, lead long"), "tokens")
     similar = written(holders.groupBy("doc_id").agg(F.min("lead").alias("group")), "groups")
     sets = written(_sets(docs, size, similar.select("doc_id")), "sets")
