@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from thermalframe import config as C
 from thermalframe.functions.cleaning import bound, physics_flags
 from thermalframe.functions.scalars import clip, null_share
-from thermalframe.operators.blocks import neighbours
+from thermalframe.operators.blocks import neighbours, row_index
 from thermalframe.operators.quantiles import column_quantiles, settled
 from thermalframe.session import cut_lineage
 
@@ -57,17 +57,17 @@ def backward_fill(df: DataFrame, order: str, columns: Sequence[str], keys: Seque
 
 
 def fill_both_ways(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence[str] = (),
-                   limit: int = C.FILL_LIMIT, width: int | None = None) -> DataFrame:
-    """Forward, then backward on the result.
+                   limit: int = C.FILL_LIMIT, width: int | None = None, position: str | None = None) -> DataFrame:
+    """Forward, then backward on the result; ``position`` names a column for the row's place in its series.
 
     A row left empty by the forward step has no known value within ``limit``
     before it, so the next filled row after it is a known one: both steps read
     the same neighbours and cost one shuffle together.
     """
-    near = neighbours(df, order, columns, keys, width)
+    near = neighbours(df, order, columns, keys, width, position)
     new = {c: F.coalesce(F.when(F.col(f"{c}__pd") <= limit, F.col(f"{c}__pv")),
                          F.when(F.col(f"{c}__nd") <= limit, F.col(f"{c}__nv"))) for c in columns}
-    return _keep(near, new, df.columns)
+    return _keep(near, new, [*df.columns, *([position] if position else [])])
 
 
 def interpolate(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence[str] = (),
@@ -146,9 +146,11 @@ class CleaningStats:
 
 
 def _filled(df: DataFrame, strategy: str, order: str, columns: Sequence[str], keys: Sequence[str],
-            width: int) -> DataFrame:
+            width: int | None, position: str | None = None) -> DataFrame:
     if strategy == "forward_fill":
-        return fill_both_ways(df, order, columns, keys, width=width)
+        return fill_both_ways(df, order, columns, keys, width=width, position=position)
+    if position:
+        df = row_index(df, order, keys, position, width)
     if strategy == "interpolate":
         return interpolate(df, order, columns, keys, width=width)
     if strategy in ("mean", "median"):
@@ -157,14 +159,15 @@ def _filled(df: DataFrame, strategy: str, order: str, columns: Sequence[str], ke
 
 
 def fit_clean(df: DataFrame, columns: Sequence[str], order: str, keys: Sequence[str] = (),
-              strategy: str = "forward_fill", width: int | None = None) -> tuple[DataFrame, CleaningStats]:
-    """Fit and apply all cleaning steps.
+              strategy: str = "forward_fill", width: int | None = None,
+              position: str | None = None) -> tuple[DataFrame, CleaningStats]:
+    """Fit and apply all cleaning steps; ``position`` names a column for the row's place in its series.
 
     The filled table is cut off once (shared folder): means, quartiles and the
     result are all read from it, so the ordered fill runs once.
     """
     bounded, kept = drop_sparse_columns(bound(df, columns), columns)
-    filled = cut_lineage(_filled(bounded, strategy, order, kept, keys, width))
+    filled = cut_lineage(_filled(bounded, strategy, order, kept, keys, width, position))
     fill = fit_medians(filled, kept) if strategy == "median" else fit_means(filled, kept)
     complete = fill_constants(filled, fill)
     bounds = fit_outlier_bounds(complete, kept)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from thermalframe import config as C
 from thermalframe.functions import features
-from thermalframe.operators import blocks, clean, scale, split
+from thermalframe.operators import clean, scale, split
 from thermalframe.sources import io
 
 
@@ -21,11 +21,10 @@ def prepare(df: DataFrame, columns: Sequence[str], order: str, keys: Sequence[st
     for the scaler, one final write.
     """
     spark = df.sparkSession
-    cleaned, stats = clean.fit_clean(df, columns, order, keys)
-    indexed = blocks.row_index(cleaned, order, keys)
+    indexed, stats = clean.fit_clean(df, columns, order, keys, position="time_index")
     table = features.leak_free(indexed) if leak_free else features.static_features(indexed)
     table = features.cycle(table).drop("water_delta_T", "air_delta_T")
-    table = split.temporal_split(table, order, index=cleaned)
+    table = split.temporal_split(table, order, index=indexed)
     numeric = [c for c in table.columns if c not in (order, "split", *keys)]
     params = scale.fit_scaler(table.where("split = 'train'"), numeric, method)
     scaled = scale.apply_scaler(table, scale.params_of(params))

@@ -384,7 +384,7 @@ def importance_by_target(spark, d) -> DataFrame:
 
 @query("join_importance_models")
 def join_importance_models(spark, d):
-    by_target = importance_by_target(spark, d)
+    by_target = cut_lineage(importance_by_target(spark, d))      # a few lines, scanned once for all targets
     tables = {t: importance.importance_mean(by_target.where(F.col("target") == t)) for t in TARGETS}
     return rounded(importance.align_models(tables))
 
@@ -863,10 +863,10 @@ def union_history(spark, d):
 
 @query("union_importance")
 def union_importance(spark, d):
-    df = bounded(spark, d)
+    by_target = cut_lineage(importance_by_target(spark, d))
     out = None
     for t in TARGETS:
-        one = importance.correlation_importance(df, MODEL_INPUTS, [t])
+        one = by_target.where(F.col("target") == t)
         out = one if out is None else out.unionByName(one)
     return rounded(out, 6)
 
