@@ -55,3 +55,35 @@ def test_null_and_repeated_ids(spark):
 
 def test_empty(empty):
     assert jaccard_components(empty).count() == 0
+
+
+def test_linked_sets_share_first_shingles():
+    """Whatever is put last, two linked sets have the needed number of first shingles in common."""
+    import numpy as np
+    from thermalframe.llm.jaccard_join import NEED, first_shingles, least_overlap
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 4, 5, 8, 20, 101, 700):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            same = next(s for s in range(len(a) + 1) if 100 * s >= 80 * (2 * len(a) - s))
+            b = np.unique(np.concatenate([rng.permutation(a)[:same], rng.integers(0, 1 << 62, len(a) - same).astype(np.uint64)]))
+            hot = np.sort(rng.permutation(np.concatenate([a, b]))[:rng.integers(0, n + 1)])
+            shared = len(np.intersect1d(first_shingles(a, 80, hot), first_shingles(b, 80, hot)))
+            assert shared >= min(NEED, least_overlap(len(a), 80))
+
+
+def test_templates_below_and_above_the_threshold(spark):
+    """Many variants of one text around the threshold, and a passage that all documents share."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(150):
+        base = [f"k{j}" for j in range(100)]
+        for _ in range(rng.randrange(1, 7)):
+            base[rng.randrange(100)] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(base)))
+    for i in range(150, 300):
+        rows.append((i, passage + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 60)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, 5, 80).collect()}
+    assert got == brute.components(rows, 5, 80)

@@ -3,10 +3,13 @@
 Links two documents when ``100 * |A and B| >= percent * |A or B|`` over their distinct word shingles, exactly,
 and labels every document with the smallest id that it reaches.
 
-1. *Tokens.* A set of n shingles is cut by hash into so many cells that two linked sets of about that size must
-   have an equal cell: their symmetric difference has at most d shingles, and there are d + 1 cells. A token names
-   one cell with its content. Size classes make the number of cells agree: a set is cut for its own class and for
-   the next larger one. A passage that many documents share does not fill a cell, so it makes no hot token.
+1. *Tokens.* From ``CELLS_FROM`` percent on, a set of n shingles is cut by hash into so many cells that two linked sets
+   of about that size must have an equal cell: their symmetric difference has at most d shingles, and there are d + 1
+   cells. A token names one cell with its content. Size classes make the number of cells agree: a set is cut for its
+   own class and for the next larger one. A passage that many documents share does not fill a cell, so it makes no
+   hot token. At lower thresholds cells would be small and often empty; there the tokens are the first shingles of
+   the set in one order for all: two linked sets have ``NEED`` of them in common. The order puts shingles that are
+   frequent in many documents last, which changes the work and never the result.
 2. *Groups.* Documents that share a token are similar; each joins the group of the smallest id that it shares one with,
    and is compared with that id. The links that hold make components, so copies of one text are settled at once.
 3. *Matrix.* Token by group: each group's union of tokens. A document with a token of a group that holds other
@@ -34,6 +37,10 @@ from thermalframe.llm import text as X
 from thermalframe.llm.components import components
 from thermalframe.llm.store import parts, written
 
+CELLS_FROM = 88                # percent from which cells are used
+NEED = 3                       # first shingles in common that a group must reach to be asked, or all that a link needs
+HOT_SHINGLES = 262_144         # frequent shingles that are put last, at most
+HOT_COUNT = 8                  # documents of one task from which a shingle may be one of them
 HELD_TOKENS = 1_000_000        # tokens that a task gathers before it deals them out
 BLOCK_SHINGLES = 1_000_000     # shingles in one block of a group, but one document at least
 LEAF = 32                      # documents in one leaf of a block
@@ -69,8 +76,55 @@ def tokens_of(shingles: np.ndarray, classes: list[tuple[int, int]]) -> np.ndarra
     return np.concatenate(found)
 
 
+def least_overlap(n: int, percent: int) -> int:
+    """Shingles that a set of n must share with any set that it is linked with."""
+    return -(-percent * n // 100)
+
+
+def first_shingles(shingles: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
+    """The first shingles by (frequent or not, hash), so many that linked sets have ``NEED`` of them in common."""
+    count = min(len(shingles), len(shingles) - least_overlap(len(shingles), percent) + NEED)
+    if not len(hot):
+        return shingles[:count]
+    late = hot[np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)] == shingles
+    return np.concatenate([shingles[~late], shingles[late]])[:count]
+
+
+def hot_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Shingles that the tasks' documents repeat most: at most ``HOT_SHINGLES``, sorted.
+
+    A task forgets what it has seen in one document only whenever it holds ``HELD_TOKENS`` shingles.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def merge() -> None:
+            nonlocal found, times
+            before = len(found)
+            found, at = np.unique(np.concatenate([found, *held]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([times, np.ones(len(at) - before, np.int64)]), len(found)).astype(np.int64)
+            found, times = found[times > 1], times[times > 1]
+            held.clear()
+
+        for batch in X.slices(batches):
+            held += X.shingle_sets(batch.column("text"), size)
+            if sum(map(len, held)) >= HELD_TOKENS:
+                merge()
+        merge()
+        often = times >= HOT_COUNT
+        yield pa.record_batch([pa.array(found[often].view(np.int64)), pa.array(times[often])], ["shingle", "times"])
+
+    top = (docs.select("text").mapInArrow(count, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+           .orderBy(F.desc("times"), "shingle").limit(HOT_SHINGLES))
+    return np.sort(np.array([r["shingle"] for r in top.select("shingle").collect()], np.int64).view(np.uint64))
+
+
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, n, d1, d2, tokens) of every row: set size, digests of the set, packed tokens."""
+    cells = percent >= CELLS_FROM
+    hot = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if cells else hot_shingles(docs, size))
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = size_classes(percent, 1)
         for batch in X.slices(batches):
@@ -79,6 +133,9 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 n.append(len(s))
                 d1.append(int(X.mix(s ^ np.uint64(11)).sum().view(np.int64)))
                 d2.append(int(X.mix(s ^ np.uint64(23)).sum().view(np.int64)))
+                if not cells:
+                    packed.append(first_shingles(s, percent, hot.value).tobytes())
+                    continue
                 if len(s) > classes[-2][0]:
                     classes = size_classes(percent, len(s))
                 packed.append(tokens_of(s, classes).tobytes() if len(s) else b"")
@@ -266,7 +323,12 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     n_parts = parts(spark)
     dealt = sketch.select("doc_id", "n", "d1", "d2", "tokens").mapInArrow(_deal(2 * n_parts), _DEALT)
     holders = written(dealt.repartition(n_parts, "part").mapInArrow(_share, "token long, doc_id long, lead long"), "tokens")
-    similar = written(holders.groupBy("doc_id").agg(F.min("lead").alias("group")), "groups")
+    need = 1 if percent >= CELLS_FROM else NEED
+    best = F.min("lead").alias("group")
+    if need > 1:                                       # the smallest id that shares most tokens
+        best = F.max_by("lead", F.struct("shares", -F.col("lead"))).alias("group")
+    leads = holders.groupBy("doc_id", "lead").agg(F.count("*").alias("shares")) if need > 1 else holders
+    similar = written(leads.groupBy("doc_id").agg(best), "groups")
     sets = written(_sets(docs, size, similar.select("doc_id")), "sets")
 
     both = (similar.where("group <> doc_id").select(F.col("group").alias("a"), F.col("doc_id").alias("b"))
@@ -276,9 +338,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     same_id = several.select("doc_id", "a").join(member, "doc_id").select("a", F.col("class_id").alias("b"))
     first = components(both.mapInArrow(_verify(percent), "a long, b long").union(same_id), "components")
 
-    weight = sets.groupBy("doc_id").agg(F.max("n").alias("n"))
+    weight = sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("n").alias("least"))
     placed = written(similar.join(first.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").join(weight, "doc_id")
-                     .select("doc_id", "group", F.coalesce("root", "doc_id").alias("component"), "n"), "placed")
+                     .select("doc_id", "group", F.coalesce("root", "doc_id").alias("component"), "n", "least"), "placed")
     width = placed.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("total"),
                                         F.min("component").alias("lo"), F.max("component").alias("hi"))
     located = holders.select("token", "doc_id").join(placed.drop("n"), "doc_id")
@@ -288,8 +350,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
                             F.col("hi").alias("ghi")).distinct()
     asked = (located.join(matrix, "token")
              .where("case when group = g then glo <> ghi else (members, group) < (m, g) and (glo <> ghi or glo <> component) end")
-             .select("doc_id", "component", F.col("g").alias("group"), F.when(F.col("g") == F.col("group"), 2).otherwise(1).alias("asks"))
-             .distinct())
+             .groupBy("doc_id", "component", "least", F.col("g").alias("group"),
+                      F.when(F.col("g") == F.col("group"), 2).otherwise(1).alias("asks"))
+             .agg(F.count("*").alias("shares"))        # of the query's tokens, those in the group's union
+             .where(F.col("shares") >= F.least(F.lit(need), F.ceil(F.col("least") * percent / 100))).drop("least", "shares"))
     asked = written(asked, "queries")
 
     load = asked.groupBy("group").agg(F.count("*").alias("queries"))
