@@ -7,7 +7,6 @@ from check_oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SLOW_MODELS = {"fit_random_forest", "fit_gbt", "fit_gbt_early_stop", "cv_temporal_refit", "importance_long"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +23,7 @@ def test_query_equals_oracle(spark, con, name):
     assert compare(QUERIES[name](spark, SF), con, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW_MODELS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_oracle_runs(spark, name):
     assert len(QUERIES[name](spark, SF).collect()) > 0
 
