@@ -1149,7 +1149,8 @@ def fit_ridge(spark, d):
 
 
 @query("fit_random_forest")
-def fit_random_forest(spark, d, trees: int = 100, depth: int = 15):
+def fit_random_forest(spark, d, trees: int = 100, depth: int = 8):
+    """All targets. The default depth is below the 15 that the operator has: see the README."""
     return scored_table(spark, d, lambda t: models.random_forest(t, trees=trees, depth=depth))
 
 
