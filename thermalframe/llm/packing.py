@@ -32,8 +32,8 @@ from thermalframe.llm.store import written
 
 WINDOW = 6_000_000          # token ids packed together
 CLOSED = 0.995              # fill from which a bin is left as it is
-CACHE_WORDS = 700_000       # words whose ids a worker remembers before it starts again,
-CACHE_STEMS = 800_000       # and words without their punctuation
+CACHE_WORDS = 400_000       # words whose ids a worker remembers before it starts again,
+CACHE_STEMS = 600_000       # and words without their punctuation
 PASSES = 50                 # passes of the local search over the emptiest bins, at most
 
 _blank = re.compile(r"[\t-\r ]+")
@@ -236,7 +236,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number, held, count = tokenizer(tokenizer_path), _numbers(0), [], 0
-        for batch in X.slices(batches):
+        for batch in X.slices(batches, keep="tokenizers"):
             ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             for doc, tokens in zip(batch.column("doc_id").to_pylist(), ids):
                 tokens += end

@@ -45,8 +45,14 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[limits[0]:limits[-1]], limits - limits[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of at most ``limit`` bytes of text, or of one row."""
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES,
+           keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of at most ``limit`` bytes of text, or of one row.
+
+    What other operators have left in the worker, but for the power tables and ``keep``, is let go first.
+    """
+    for name in set(kept()) - {"powers", keep}:
+        del kept()[name]
     for batch in batches:
         _, ends = flat(batch.column(column))
         row = 0
