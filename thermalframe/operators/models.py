@@ -7,12 +7,14 @@ pass over the rows; trees are MLlib's.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from thermalframe.operators.metrics import pairs_long, regression_metrics
 from thermalframe.operators.split import assign_folds
+from thermalframe.session import shared_dir
 
 @dataclass
 class LeastSquares:
@@ -142,22 +145,26 @@ def fit_per_target(train: DataFrame, features: Sequence[str], targets: Sequence[
     """Fit one model per target on the rows where the features and that target are known.
 
     ``extra`` names further columns an estimator reads (a validation mark). The
-    rows are kept for the fits because tree training passes over them many times.
+    rows are kept for the fits because tree training passes over them many times. The targets
+    are fitted side by side; boosting cuts its lineage in the shared folder every ten trees.
     """
     first = estimator(targets[0])
     if isinstance(first, Linear):
         return fit_least_squares(train, features, targets, first.alpha)
-    out: Bundle = {}
+    shared_dir(train.sparkSession)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     needed = train.select(*dict.fromkeys([*features, *targets, *extra])).dropna("any", subset=list(features))
     complete = needed.persist()
+
+    @inheritable_thread_target(train.sparkSession)
+    def fit(t: str) -> PipelineModel:
+        return Pipeline(stages=[assembler, estimator(t)]).fit(complete.where(F.col(t).isNotNull()))
+
     try:
-        for t in targets:
-            rows = complete.where(F.col(t).isNotNull())
-            out[t] = Pipeline(stages=[assembler, estimator(t)]).fit(rows)
+        with ThreadPoolExecutor(len(targets)) as pool:
+            return dict(zip(targets, pool.map(fit, targets)))
     finally:
         complete.unpersist()
-    return out
 
 
 def predict_all(df: DataFrame, bundle: Bundle, features: Sequence[str]) -> DataFrame:
