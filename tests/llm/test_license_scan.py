@@ -55,5 +55,20 @@ def test_labels(spark):
     assert got[11].labels == "" and got[11].score == 0
 
 
+def test_long_expressions_are_read_to_their_end(spark):
+    names = [f"license-{i:04d}" for i in range(600)]
+    line = " AND ".join(names)
+    assert len(line) > 4096 and evaluate(line)[0] == set(names)
+    texts = [f"é SPDX-License-Identifier: {line}\ncode", f"SPDX-License-Identifier: ({line}) OR MIT */",
+             "SPDX-License-Identifier:" + " " * 200_000 + "MIT\n", "SPDX-License-Identifier:" + " " * 200_000,
+             "SPDX-License-Identifier: MIT " * 20_000, f"SPDX-License-Identifier:\u00a0MIT é\nSPDX-License-Identifier: {line}"]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].labels == ",".join(names) and got[0].expressions == line and got[0].score == 1
+    assert got[1].labels == ",".join([*names, "mit"]) and got[1].permissive
+    assert got[2].labels == "mit" and got[3].labels == "" and got[3].score == 0
+    assert got[4].expressions == ";".join(["MIT"] * 20_000)
+    assert got[5].labels == ",".join([*names, "mit"])
+
+
 def test_empty(empty):
     assert scan_licenses(empty).count() == 0

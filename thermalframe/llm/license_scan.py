@@ -101,11 +101,17 @@ def evaluate(expression: str) -> tuple[set[str], bool]:
     return labels, free
 
 
-def expression_after(text: str) -> str:
-    """What may belong to an expression at the start of a line's rest, as far as it goes."""
-    line = text.split("\n", 1)[0]
+_part = re.compile(r"\s*+(?:(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*+)|\S?)")
+
+
+def expression_after(text: str, at: int = 0) -> str:
+    """What may belong to an expression from a position to the end of its line, as far as it goes.
+
+    Nothing is cut or copied: the walk stops at the first part that does not fit.
+    """
+    end = text.find("\n", at)
     tokens, depth, operand = [], 0, True
-    for m in re.finditer(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)|\S", line):
+    for m in _part.finditer(text, at, len(text) if end < 0 else end):
         token = m[1]
         if token is None:
             break
@@ -157,9 +163,10 @@ def scan(text: bytes, phrases: ahocorasick.Automaton, tags: ahocorasick.Automato
             score = max(score, 0.6 if NOTICES[phrase] in PLAIN else 0.9)
     expressions, free = [], None
     if b":" in text:
-        low = text.translate(_lower_bytes).decode("latin-1")
+        plain = text.decode("utf-8", "ignore")
+        low = text.translate(_lower_bytes).decode("utf-8", "ignore")      # as long as ``plain``
         for end, _ in tags.iter(low):
-            expression = expression_after(text[end + 1:end + 1 + 4096].split(b"\n", 1)[0].decode("utf-8", "ignore"))
+            expression = expression_after(plain, end + 1)
             try:
                 more, permissive = evaluate(expression)
             except BadExpression:
