@@ -47,6 +47,21 @@ def test_blocks_of_items(spark, cases, monkeypatch):
     assert rows_of(decontaminate.contaminated(d, b)) == want
 
 
+def test_items_of_few_distinct_shingles_are_never_missed(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"i{i}x{j}" for j in range(5 + i % 3)) for i in range(600)]                   # one to three shingles
+    texts += [" ".join([f"i{i}x0 i{i}x1"] * 20) for i in range(600, 700)]                             # many, but two different ones
+    noise = lambda: [f"w{rng.randrange(10 ** 6)}" for _ in range(60)]
+    docs = [(i, " ".join([*noise(), t, *noise()])) for i, t in enumerate(texts)]
+    docs += [(1000 + i, " ".join([*noise(), *t.split()[:4], *noise()])) for i, t in enumerate(texts)]  # not a whole shingle
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    want = [(i, i, 2, 2) if i >= 600 else (i, i, 1 + i % 3, 1 + i % 3) for i in range(700)]
+    assert rows_of(decontaminate.contaminated(d, b)) == sorted(want, key=str)
+    half = {(r[0], r[1]) for r in rows_of(decontaminate.contaminated(d, b, percent=50))}
+    assert half == {(i, i) for i in range(700)}
+
+
 def test_empty(spark, empty, docs):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.contaminated(empty, items).count() == 0

@@ -5,7 +5,10 @@ long document has a tiny Jaccard similarity, so items are partitioned by length
 class a document is cut into overlapping windows of twice the class's largest item: an occurrence lies whole in a
 window, of which it is at least about a fifth. MinHash signatures of windows and items meet in single slots; with
 ``SLOTS`` slots such an occurrence is missed with a probability below 1e-4, and one that is spread over the
-document is found by its parts. Every candidate is verified by exact containment in the whole document.
+document is found by its parts. Items with fewer distinct shingles than a quarter of their window (all of less than four,
+and repetitive ones) would be a smaller part of it: they are looked up by the shingles themselves, of which a document
+must hold one of any ``n - needed + 1``, and are never missed. Every candidate is verified by exact containment in
+the whole document.
 
 The items are the query set. They go to the tasks in blocks of about ``BLOCK_BYTES`` of text, one scan of the documents
 for each block, so that what is broadcast stays bounded. The documents are not shuffled.
@@ -40,10 +43,11 @@ def _slot(h: np.ndarray, i: int) -> np.ndarray:
 class Items:
     """Signatures and shingle sets of one block of items, by (shingle size, length class)."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]], size: int) -> None:
+    def __init__(self, rows: list[tuple[int | None, str | None]], size: int, percent: int) -> None:
         self.ids = [r[0] for r in rows]
         self.sets: list[np.ndarray] = []
         values: dict[int, dict[int, list]] = {}
+        few: dict[int, list[tuple[int, int]]] = {}
         w = X.words(pa.array([r[1] for r in rows], pa.string()))
         for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
             if a == b:
@@ -52,9 +56,14 @@ class Items:
             k = min(size, b - a)
             part = X.Words(w.data, w.start[a:b], w.end[a:b], w.first, w.hash[a:b])
             h = X.shingle_hashes(part, k)[:b - a - k + 1]
-            self.sets.append(np.unique(h))
+            own, level = np.unique(h), max(3, len(h).bit_length())
+            self.sets.append(own)
+            if len(own) < 1 << level - 1:
+                needed = max(1, -(-percent * len(own) // 100))
+                few.setdefault(k, []).extend((v, i) for v in own[:max(0, len(own) - needed + 1)].tolist())
+                continue
             slots = [int(_slot(h, s).min()) for s in range(SLOTS)]
-            values.setdefault(k, {}).setdefault(max(3, len(h).bit_length()), []).append((i, slots))
+            values.setdefault(k, {}).setdefault(level, []).append((i, slots))
         self.tables: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
         for k, classes in values.items():
             for level, entries in sorted(classes.items()):
@@ -64,11 +73,35 @@ class Items:
                 seen = np.zeros(1 << FILTER_BITS, bool)
                 seen[value >> np.uint64(64 - FILTER_BITS)] = True
                 self.tables.setdefault(k, []).append((level, value[order], item[order], seen))
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k, entries in few.items():
+            value, item = np.array([v for v, _ in entries], np.uint64), np.array([i for _, i in entries], np.int64)
+            order = np.argsort(value, kind="stable")
+            seen = np.zeros(1 << FILTER_BITS, bool)
+            seen[value >> np.uint64(64 - FILTER_BITS)] = True
+            self.exact[k] = value[order], item[order], seen
+        self.shingles = sorted({*self.tables, *self.exact})
+
+    def holders(self, h: np.ndarray, first: np.ndarray, k: int) -> set[tuple[int, int]]:
+        """(text, item) pairs of texts that hold a looked-up shingle of an item."""
+        found: set[tuple[int, int]] = set()
+        if k not in self.exact:
+            return found
+        value, item, seen = self.exact[k]
+        maybe = np.flatnonzero(seen[h >> np.uint64(64 - FILTER_BITS)])
+        left, right = (np.searchsorted(value, h[maybe], side) for side in ("left", "right"))
+        hit = np.flatnonzero(right > left)
+        text = np.searchsorted(first, maybe[hit], "right") - 1
+        for t, a, b in set(zip(text.tolist(), left[hit].tolist(), right[hit].tolist())):
+            found.update((t, i) for i in item[a:b].tolist())
+        return found
 
     def candidates(self, h: np.ndarray, first: np.ndarray, k: int) -> set[tuple[int, int]]:
         """(text, item) pairs of which a window and the item agree in a slot; text ``i`` has ``h[first[i]:first[i + 1]]``."""
         found: set[tuple[int, int]] = set()
-        tables = self.tables[k]
+        tables = self.tables.get(k)
+        if not tables:
+            return found
         unit = tables[0][0]
         count = -(-np.diff(first) >> unit)                       # windows' steps of each text
         doc = np.repeat(np.arange(len(count)), count)
@@ -96,20 +129,20 @@ class Items:
 
 
 def _block(docs: DataFrame, rows: list, size: int, percent: int) -> DataFrame:
-    items = docs.sparkSession.sparkContext.broadcast(Items(rows, size))
+    items = docs.sparkSession.sparkContext.broadcast(Items(rows, size, percent))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = items.value
         for batch in X.slices(batches):
             w = X.words(batch.column("text"))
             out = []
-            for k in known.tables:
+            for k in known.shingles:
                 every = X.shingle_hashes(w, k)
                 count = np.maximum(w.counts - k + 1, 0)
                 valid = np.repeat(w.first[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
                 h, first = every[valid], np.concatenate([[0], np.cumsum(count)])
                 last, shingles = None, None
-                for doc, item in sorted(known.candidates(h, first, k)):
+                for doc, item in sorted(known.candidates(h, first, k) | known.holders(h, first, k)):
                     if doc != last:
                         last, shingles = doc, np.unique(h[first[doc]:first[doc + 1]])
                     total = len(known.sets[item])
