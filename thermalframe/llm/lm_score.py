@@ -4,12 +4,14 @@ The model counts the n-grams of the training documents and smooths each order by
 ``p(w | h) = (c(h w) + mu p(w | h')) / (c(h) + mu)``, with h' the context h without its first word, and for single tokens
 ``p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))``. As an automaton: every counted context is a state, every counted n-gram an
 arc ``log10 p``, and a state's failure arc ``log10(mu / (c(h) + mu))`` leads to the next shorter one when no arc has
-the token. A text is scored from left to right, starting in the state of its begin mark.
+the token. A text would be scored from left to right, starting in the state of its begin mark. That walk is evaluated
+in closed form: no states are numbered and none is carried from position to position, as the counts of the context and
+the n-gram that end at a position already say which arcs are taken there. The scores are those of the walk.
 
 The automaton of a large corpus fits nowhere, so each block of documents gets the part that it needs, and counting
 and asking are one exchange: a block sends its distinct n-grams, with their training counts, to the parts that own
 their hashes; a part adds up and sends back the totals in the same order. The blocks are then formed once more from
-the documents, meet their totals and are traversed, all positions of a block at a time. What is sent is in
+the documents, meet their totals and are scored, all positions of a block at a time. What is sent is in
 proportion to the documents and the same for a frequent n-gram as for a rare one. Blocks are named by their content; the
 documents must come in the same order in both passes, as they do from files (else the job stops with an error).
 
@@ -179,7 +181,7 @@ def _pack_block(order: int, folds: int, fold: int):
 
 
 class Automaton:
-    """States, arcs and failure arcs of a block's n-grams, and its traversal."""
+    """Weights of the arcs and failure arcs taken at every position of a block, in closed form; no state is carried."""
 
     def __init__(self, block: Block, totals: list[np.ndarray], tokens: int, types: int, mu: float) -> None:
         self.block, n = block, len(block.tokens)
