@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalframe.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, lm_score, packing, quality_model, quality_rules, warc
+from thermalframe.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, lm_score, packing, periodic, quality_model, quality_rules, warc
 from thermalframe.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"), ~quality_model.held_out())
     return quality_model.scored(docs, model).select(
         "doc_id", quality_model.held_out().alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, some of which are made periodic by the checksum of their id."""
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), periodic.planted)
+    line = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        F.sha2(line, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

@@ -100,13 +100,17 @@ class Words:
         return np.diff(self.first)
 
 
-def words(column: pa.Array, fold: bool = True) -> Words:
-    """Words of every text; ``fold`` lower-cases A to Z."""
+def words(column: pa.Array, fold: bool = True, between: bytes = WHITE) -> Words:
+    """Words of every text; ``fold`` lower-cases A to Z, ``between`` holds the ASCII bytes that are in no word."""
     data, limits = flat(column)
     if fold:
         data = _lower[data]
     n = len(data)
-    inside = ~_space[data]
+    gap = _space
+    if between != WHITE:
+        gap = np.zeros(256, bool)
+        gap[list(between)] = True
+    inside = ~gap[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
