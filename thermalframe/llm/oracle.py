@@ -92,3 +92,26 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and page_id < top then top end as refers_to
 from d
 """
+
+ORACLES["op12_phrase_mining"] = r"""
+with pieces as (
+  select lang, row_number() over () as id, regexp_extract_all(piece, '[^\x20\x09]+') as ws from (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+total as (select lang, cast(sum(len(ws)) as bigint) as n from pieces group by lang),
+grams as (
+  select lang, ws[i:i + k - 1] as g from (
+    select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from pieces, (select unnest(range(1, 6)) as k) where len(ws) >= k)),
+f as (select lang, g, count(*) as f from grams group by lang, g having count(*) >= 100),
+c as (select * from f where len(g) > 1),
+cuts as (select c.lang, c.g, c.f as a, k, x.f as l, y.f as r, n, 1000::hugeint * c.f * n // (x.f::hugeint * y.f) as score
+  from (select *, unnest(range(1, len(g))) as k from c) c join total using (lang)
+  join f x on x.lang = c.lang and x.g = c.g[1:k] join f y on y.lang = c.lang and y.g = c.g[k + 1:]),
+low as (select *, row_number() over (partition by lang, g order by score, k) as p from cuts),
+inside as (select lang, g[i:i + k - 1] as g, max(f) as longer from (
+    select lang, g, f, k, unnest(range(1, len(g) - k + 2)) as i from c, (select unnest(range(2, 5)) as k) where len(g) > k) group by 1, 2),
+kept as (select low.*, array_to_string(low.g, ' ') as phrase from low left join inside on inside.lang = low.lang and inside.g = low.g
+  where p = 1 and not coalesce(100 * longer >= 100 * a, false)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score from ranked where rank <= 2000
+"""
