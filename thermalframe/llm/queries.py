@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalframe.llm import chat_format, collocations, decontaminate, jaccard_join, license_scan, line_dedup, lm_score, packing, periodic, quality_model, quality_rules, warc
+from thermalframe.llm import chat_format, collocations, decontaminate, jaccard_join, license_scan, line_dedup, lm_score, main_text, packing, periodic, quality_model, quality_rules, warc
 from thermalframe.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", quality_model.held_out().alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
+@query
+def op11_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's first 2000 phrases of words that occur together at least 100 times."""
