@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from thermalframe.llm import collocations
+from thermalframe.llm import collocations, store
 from thermalframe.llm.queries import QUERIES
 
 _lower = {c: c + 32 for c in range(65, 91)}
@@ -65,7 +65,7 @@ def test_equals_plain_version(spark, seed, least, percent, longest, top):
 def test_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK_ENTRIES", 50)
     monkeypatch.setattr(collocations, "PART_WORDS", 100)
-    monkeypatch.setattr(collocations, "MAX_BITS", 1 << 16)
+    monkeypatch.setattr(store, "MAX_BITS", 1 << 16)
     rows = corpus(9)
     df = spark.createDataFrame(rows, "lang string, text string").repartition(7)
     assert sorted(map(tuple, collocations.mine_phrases(df, least=3).collect())) == sorted(plain(rows, least=3))

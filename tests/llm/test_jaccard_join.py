@@ -60,7 +60,7 @@ def test_empty(empty):
 def test_linked_sets_share_first_shingles():
     """Whatever is put last, two linked sets have the needed number of first shingles in common."""
     import numpy as np
-    from thermalframe.llm.jaccard_join import NEED, first_shingles, least_overlap
+    from thermalframe.llm.jaccard_join import first_shingles, least_overlap, needed
     rng = np.random.default_rng(2)
     for n in (1, 2, 3, 4, 5, 8, 20, 101, 700):
         for _ in range(20):
@@ -69,7 +69,7 @@ def test_linked_sets_share_first_shingles():
             b = np.unique(np.concatenate([rng.permutation(a)[:same], rng.integers(0, 1 << 62, len(a) - same).astype(np.uint64)]))
             hot = np.sort(rng.permutation(np.concatenate([a, b]))[:rng.integers(0, n + 1)])
             shared = len(np.intersect1d(first_shingles(a, 80, hot), first_shingles(b, 80, hot)))
-            assert shared >= min(NEED, least_overlap(len(a), 80))
+            assert shared >= min(needed(min(len(a), len(b))), least_overlap(len(a), 80))
 
 
 def test_templates_below_and_above_the_threshold(spark):

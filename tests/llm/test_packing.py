@@ -44,10 +44,8 @@ def test_pieces_and_places(spark, rows):
 
 def test_windows(spark, rows, monkeypatch):
     monkeypatch.setattr(packing, "WINDOW", 20_000)
-    monkeypatch.setattr(packing, "CACHE_WORDS", 500)
-    monkeypatch.setattr(packing, "CACHE_STEMS", 300)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = packing.pack_documents(df, PATH).collect()
+    got = packing.pack_documents(df, PATH, cache=300).collect()
     assert len(got) == len(brute.pieces(rows, PATH))
     check(got)
 

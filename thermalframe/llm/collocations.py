@@ -8,7 +8,7 @@ shorter phrase ends there: the same entries, keyed by that suffix, give the maxi
 
 A stripe is cut by its entries, not dealt whole: a prefix that starts a third of all phrases is spread over all parts.
 Only entries of two frequent halves are sent. Which phrases are frequent is told to the tasks by a bit table over their 64-bit names,
-of 32 bits a phrase and at most ``MAX_BITS`` bits, whatever the corpus holds: a name that falls on a used bit is counted in
+of 32 bits a phrase and a fixed most, whatever the corpus holds: a name that falls on a used bit is counted in
 vain and dropped by its exact count, so the table's size never changes a result. Words are counted by their letters;
 longer phrases are named by hashes of their two halves.
 
@@ -26,14 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermalframe.llm import text as X
-from thermalframe.llm.store import parts, written
+from thermalframe.llm.store import bit_table, forget, on_used_bits, parts, written
 
 BLANK = b" \t"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 LONGEST = 5
 BLOCK_ENTRIES = 2_000_000       # stripe entries that a task merges before it sends them
 PART_WORDS = 8_000_000          # words of the corpus for one part, so a part's entries are bounded
-MAX_BITS = 1 << 29
 _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 _breaks = np.zeros(256, bool)
@@ -146,8 +145,6 @@ def unpack_stripes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _send_stripes(level: int, frequent, n_parts: int):
     """Stripes of phrases of ``level`` words, whose halves are on used bits of ``frequent``."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(frequent.value, np.uint8)
-        shift = np.uint64(64 - (len(bits) * 8).bit_length() + 1)
         held: list[tuple[np.ndarray, ...]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
@@ -166,8 +163,7 @@ def _send_stripes(level: int, frequent, n_parts: int):
                 name[:-1] = name_of(name[:-1], name[1:])
                 ok[:-1] &= near[1:]
                 near = np.r_[near[1:], False]
-            place = name >> shift
-            used = bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
+            used = on_used_bits(name, frequent.value)
             ok[:-1] &= used[:-1] & used[1:]
             at = np.flatnonzero(ok[:-1])
             if len(at):
@@ -204,41 +200,6 @@ def _merge_stripes(least: int):
     return work
 
 
-def _used_bits(size: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - size.bit_length() + 1))
-            chunk = (place >> np.uint64(16)).astype(np.int64)
-            for c in np.unique(chunk).tolist():
-                bits = np.zeros(1 << 16, np.uint8)
-                bits[(place[chunk == c] & np.uint64(0xFFFF)).astype(np.int64)] = 1
-                yield pa.record_batch([pa.array([c]), X.binary([np.packbits(bits, bitorder="little").tobytes()])], ["chunk", "bits"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                new = np.frombuffer(data, np.uint8)
-                tables[c] = tables[c] | new if c in tables else new
-        for c, table in tables.items():
-            yield pa.record_batch([pa.array([c]), X.binary([table.tobytes()])], ["chunk", "bits"])
-    return work, join
-
-
-def bit_table(names: DataFrame) -> bytes:
-    """A bit for each name's leading bits; at most ``MAX_BITS``, so bounded on the driver and in a broadcast."""
-    size = 1 << 16
-    wanted = 32 * names.count()
-    while size < min(wanted, MAX_BITS):
-        size *= 2
-    mark, join = _used_bits(size)
-    rows = names.mapInArrow(mark, "chunk long, bits binary").repartition("chunk").mapInArrow(join, "chunk long, bits binary")
-    table = bytearray(size // 8)
-    for r in rows.toLocalIterator():
-        table[r["chunk"] << 13:(r["chunk"] + 1) << 13] = r["bits"]
-    return bytes(table)
-
-
 def _lowest_cut(level: int) -> Column:
     """(score, k, l, r) of the cut with the lowest score, the first of equals; whole-number arithmetic of up to 38 digits."""
     def exact(c: str) -> str:
@@ -276,6 +237,7 @@ def count_phrases(docs: DataFrame, longest: int = LONGEST, least: int = 100) ->
             "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "name", F.col("n").alias("a"),
             F.concat("before", F.array("head")).alias("before"), F.concat(F.array("tail"), "after").alias("after"),
             "prefix", "suffix"), f"phrases-{level}"))
+        forget(found)
     return totals, levels
 
 

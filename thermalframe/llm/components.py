@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermalframe.llm.store import written
+from thermalframe.llm.store import forget, written
 
 CHUNK = 1_000_000
 
@@ -64,7 +64,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
                                               .otherwise(F.col("a")).alias("y"), "b"))
         kept = small.select(F.col("x").alias("a"), F.col("y").alias("b")).union(
             small.select("x", "b")).where("a <> b").distinct()
-        current = written(kept, name)
+        before, current = current, written(kept, name)
+        forget(before)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -20,10 +20,12 @@ is in no document, such a document holds nothing. Repeated rows give repeated re
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,10 +131,10 @@ class Items:
 
 
 def _block(docs: DataFrame, rows: list, size: int, percent: int) -> DataFrame:
-    items = docs.sparkSession.sparkContext.broadcast(Items(rows, size, percent))
+    items = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Items(rows, size, percent)))    # by value, as tasks are
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = items.value
+        known = pickle.loads(items.value)
         for batch in X.slices(batches):
             w = X.words(batch.column("text"))
             out = []

@@ -8,10 +8,11 @@ and labels every document with the smallest id that it reaches.
    cells. A token names one cell with its content. Size classes make the number of cells agree: a set is cut for its
    own class and for the next larger one. A passage that many documents share does not fill a cell, so it makes no
    hot token. At lower thresholds cells would be small and often empty; there the tokens are the first shingles of
-   the set in one order for all: two linked sets have ``NEED`` of them in common. The order puts shingles that are
-   frequent in many documents last, which changes the work and never the result.
-2. *Groups.* Documents that share a token are similar; each joins the group of the smallest id that it shares one with,
-   and is compared with that id. The links that hold make components, so copies of one text are settled at once.
+   the set in one order for all: two linked sets have ``needed`` of them in common, a twentieth of the set. The order puts
+   shingles that are frequent in many documents last, which changes the work and never the result. The holders of a token
+   are parted where the next larger set is too large to be linked with the one before, so a token joins like sizes only.
+2. *Groups.* Documents with enough shared tokens are similar; each joins the group of the smallest id that it shares (most)
+   tokens with, and is compared with that id. The links that hold make components, so copies of one text are settled at once.
 3. *Matrix.* Token by group: each group's union of tokens. A document with a token of a group that holds other
    components is a query to it (of two groups the smaller asks).
 4. *Bound and open.* A group is cut into blocks of bounded size, and these into leaves. The query's overlap with the
@@ -30,22 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermalframe.llm import text as X
 from thermalframe.llm.components import components
-from thermalframe.llm.store import parts, written
+from thermalframe.llm.store import bit_table, forget, on_used_bits, parts, written
 
 CELLS_FROM = 88                # percent from which cells are used
-NEED = 3                       # first shingles in common that a group must reach to be asked, or all that a link needs
+NEED, NEED_OF = 3, 20          # first shingles that linked sets have in common: one of 20, and 3 at least (or all a link needs)
 HOT_SHINGLES = 262_144         # frequent shingles that are put last, at most
 HOT_COUNT = 8                  # documents of one task from which a shingle may be one of them
 HELD_TOKENS = 1_000_000        # tokens that a task gathers before it deals them out
 BLOCK_SHINGLES = 1_000_000     # shingles in one block of a group, but one document at least
 LEAF = 32                      # documents in one leaf of a block
 QUERIES = 2_000                # queries to one copy of a block
-SMALL_IDS = 500_000            # ids up to which a list of them is broadcast; a longer one is joined by shuffling
+HEAVY = 2_000                  # documents of a group from which it is dealt over several tasks
 
 
 def size_classes(percent: int, upto: int) -> list[tuple[int, int]]:
@@ -81,9 +82,13 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def needed(n: int) -> int:
+    return max(NEED, n // NEED_OF)
+
+
 def first_shingles(shingles: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
-    """The first shingles by (frequent or not, hash), so many that linked sets have ``NEED`` of them in common."""
-    count = min(len(shingles), len(shingles) - least_overlap(len(shingles), percent) + NEED)
+    """The first shingles by (frequent or not, hash), so many that two linked sets have ``needed`` (smaller set) of them in common."""
+    count = min(len(shingles), len(shingles) - least_overlap(len(shingles), percent) + needed(len(shingles)))
     if not len(hot):
         return shingles[:count]
     late = hot[np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)] == shingles
@@ -144,7 +149,7 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, tokens binary")
 
 
-_DEALT = "part int, tokens binary, row binary, doc_id binary, digest binary"
+_DEALT = "part int, tokens binary, row binary, doc_id binary, digest binary, size binary"
 
 
 def _deal(spread: int):
@@ -162,15 +167,16 @@ def _deal(spread: int):
             cut = np.searchsorted(X.deal(token, spread), np.arange(spread + 1))
             ids = np.array([v[0] for _, v in rows], np.int64)
             digest = np.array([k[1] for k, _ in rows], np.int64)
+            size = np.array([k[0] for k, _ in rows], np.uint32)
             lines = []
             for p in np.flatnonzero(np.diff(cut)):
                 a, b = cut[p], cut[p + 1]
                 used, local = np.unique(row[a:b], return_inverse=True)
                 lines.append((int(p), token[a:b].tobytes(), local.astype(np.uint32).tobytes(), ids[used].tobytes(),
-                              digest[used].tobytes()))
-            types = [pa.int32()] + [pa.binary()] * 4
+                              digest[used].tobytes(), size[used].tobytes()))
+            types = [pa.int32()] + [pa.binary()] * 5
             return pa.record_batch([pa.array([x[i] for x in lines], t) for i, t in enumerate(types)],
-                                   ["part", "tokens", "row", "doc_id", "digest"])
+                                   ["part", "tokens", "row", "doc_id", "digest", "size"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "n", "d1", "d2", "tokens")]
@@ -191,38 +197,47 @@ def _deal(spread: int):
     return deal
 
 
-def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, doc_id, lead) of each token in several sets: its members and the smallest of them."""
-    got: list[list[np.ndarray]] = [[], [], []]
-    for batch in batches:
-        for token, row, doc, digest in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-            row = np.frombuffer(row, np.uint32)
-            got[0].append(np.frombuffer(token, np.uint64))
-            got[1].append(np.frombuffer(doc, np.int64)[row])
-            got[2].append(np.frombuffer(digest, np.int64)[row])
-    if not got[0]:
-        return
-    token, doc, digest = (np.concatenate(x) for x in got)
-    got.clear()
-    order = np.argsort(token)
-    again = token[order][1:] == token[order][:-1]
-    several = np.zeros(len(token), bool)
-    several[1:] |= again
-    several[:-1] |= again
-    order = order[several]
-    token, doc, digest = token[order], doc[order], digest[order]
-    order = np.lexsort((doc, digest, token))
-    token, doc, digest = token[order], doc[order], digest[order]
-    keep = _changes(token, digest)                        # equal sets: the smallest id stands for them
-    token, doc = token[keep], doc[keep]
-    order = np.lexsort((doc, token))
-    token, doc = token[order], doc[order]
-    begin = np.flatnonzero(_changes(token))
-    length = np.diff(np.append(begin, len(token)))
-    member = np.repeat(length > 1, length)
-    lead = np.repeat(doc[begin], length)
-    yield pa.record_batch([pa.array(token[member].view(np.int64)), pa.array(doc[member]), pa.array(lead[member])],
-                          ["token", "doc_id", "lead"])
+def _share(percent: int):
+    """(token, doc_id, lead, n) of each token in several sets of like size: its members and the smallest of them."""
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            for token, row, doc, digest, size in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+                row = np.frombuffer(row, np.uint32)
+                got[0].append(np.frombuffer(token, np.uint64))
+                got[1].append(np.frombuffer(doc, np.int64)[row])
+                got[2].append(np.frombuffer(digest, np.int64)[row])
+                got[3].append(np.frombuffer(size, np.uint32)[row])
+        if not got[0]:
+            return
+        token = np.concatenate(got[0])
+        order = np.argsort(token)
+        again = token[order][1:] == token[order][:-1]
+        several = np.zeros(len(token), bool)
+        several[1:] |= again
+        several[:-1] |= again
+        order = order[several]
+        token, doc, digest, n = token[order], *(np.concatenate(x)[order] for x in got[1:])
+        got.clear()
+        order = np.lexsort((n, token))                 # a set too large for the one before begins another token
+        token, doc, digest, n = token[order], doc[order], digest[order], n[order].astype(np.int64)
+        new = _changes(token)
+        new[1:] |= n[1:] * percent > n[:-1] * 100
+        run = np.cumsum(new) - 1
+        token = X.mix(token ^ X.mix(n[np.flatnonzero(new)][run].astype(np.uint64)))
+        order = np.lexsort((doc, digest, run))
+        run, token, doc, digest, n = run[order], token[order], doc[order], digest[order], n[order]
+        keep = _changes(run, digest)                   # equal sets: the smallest id stands for them
+        run, token, doc, n = run[keep], token[keep], doc[keep], n[keep]
+        order = np.lexsort((doc, run))
+        run, token, doc, n = run[order], token[order], doc[order], n[order]
+        begin = np.flatnonzero(_changes(run))
+        length = np.diff(np.append(begin, len(run)))
+        member = np.repeat(length > 1, length)
+        lead = np.repeat(doc[begin], length)
+        yield pa.record_batch([pa.array(token[member].view(np.int64)), *(pa.array(x[member]) for x in (doc, lead, n))],
+                              ["token", "doc_id", "lead", "n"])
+    return share
 
 
 def _changes(*keys: np.ndarray) -> np.ndarray:
@@ -240,11 +255,20 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _verify(percent: int):
+    """The lead of a group comes first, then the documents that are compared with it."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leads = None, []
         for batch in batches:
-            a, b, left, right = (batch.column(c).to_pylist() for c in ("a", "b", "left", "right"))
-            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right)]
-            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = []
+            for group, salt, doc, packed in zip(*(batch.column(c).to_pylist() for c in ("group", "salt", "doc_id", "shingles"))):
+                if at != (group, salt):
+                    at, leads = (group, salt), []
+                shingles = np.frombuffer(packed, np.uint64)
+                if doc == group:
+                    leads.append(shingles)
+                elif any(_linked(x, shingles, percent) for x in leads):
+                    found.append((group, doc))
+            yield pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
     return verify
 
 
@@ -298,22 +322,42 @@ def _open(percent: int):
 
 
 def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """(doc_id, n, shingles) of the wanted ids."""
+    """(doc_id, n, shingles) and the columns of ``wanted`` of its ids. A bit table keeps most other texts out of the join."""
+    used = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("doc_id"))))
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches):
+            name = batch.column("name").to_numpy().view(np.uint64)
+            batch = batch.filter(pa.array(on_used_bits(name, used.value)))
             sets = list(X.shingle_sets(batch.column("text"), size))
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                                    X.binary(s.tobytes() for s in sets)], ["doc_id", "n", "shingles"])
-    rows = docs.select(F.coalesce("doc_id", F.lit(X.NULL_ID)).alias("doc_id"), "text")
-    if wanted.count() <= SMALL_IDS:
-        wanted = F.broadcast(wanted)
-    return rows.join(wanted, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, n long, shingles binary").where("n > 0")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(X.NULL_ID)).alias("doc_id"), "text")
+    sets = rows.withColumn("name", F.xxhash64("doc_id")).mapInArrow(pack, "doc_id long, n long, shingles binary").where("n > 0")
+    return sets.join(wanted, "doc_id")
+
+
+def _by_group(rows: DataFrame, groups: DataFrame, count: str) -> DataFrame:
+    """``rows`` with the columns of their group (one row a group; ``count`` its size). Groups of more than ``HEAVY`` rows are joined
+    by themselves: there are few of them, so Spark sends their table to the rows and no task gets such a group whole."""
+    large = written(groups.where(F.col(count) > HEAVY), "heavy")
+    small = rows.join(large.select("group"), "group", "left_anti").join(groups.where(F.col(count) <= HEAVY), "group")
+    return rows.join(large, "group").unionByName(small)
+
+
+def enough(percent: int) -> Column:
+    """Tokens that a set of ``least`` shingles, or more, shares with any set that it is linked with."""
+    other = F.ceil(F.col("least") * percent / 100)
+    if percent >= CELLS_FROM:
+        return F.lit(1)
+    return F.least(F.greatest(F.lit(NEED), F.floor(other / NEED_OF)), other)
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of ``docs`` (doc_id, text).
 
     ``class_id`` is the smallest id with the same shingle set. ``percent`` is the whole-number threshold, 1 to 100.
+    Tables in the shared folder are deleted as soon as what was read from them is written.
     """
     spark = docs.sparkSession
     sketch = written(sketches(docs, size, percent), "sketches")
@@ -322,55 +366,69 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
                      .select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
     n_parts = parts(spark)
     dealt = sketch.select("doc_id", "n", "d1", "d2", "tokens").mapInArrow(_deal(2 * n_parts), _DEALT)
-    holders = written(dealt.repartition(n_parts, "part").mapInArrow(_share, "token long, doc_id long, lead long"), "tokens")
-    need = 1 if percent >= CELLS_FROM else NEED
-    best = F.min("lead").alias("group")
-    if need > 1:                                       # the smallest id that shares most tokens
-        best = F.max_by("lead", F.struct("shares", -F.col("lead"))).alias("group")
-    leads = holders.groupBy("doc_id", "lead").agg(F.count("*").alias("shares")) if need > 1 else holders
-    similar = written(leads.groupBy("doc_id").agg(best), "groups")
-    sets = written(_sets(docs, size, similar.select("doc_id")), "sets")
-
-    both = (similar.where("group <> doc_id").select(F.col("group").alias("a"), F.col("doc_id").alias("b"))
-            .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b"))
+    holders = written(dealt.repartition(n_parts, "part").mapInArrow(
+        _share(percent), "token long, doc_id long, lead long, n long"), "tokens")
+    forget(sketch)
+    leads = holders.groupBy("doc_id", "lead").agg(F.count("*").alias("shares"), F.min("n").alias("least"))
+    most = F.struct("shares", -F.col("lead")) if percent < CELLS_FROM else -F.col("lead")
+    similar = written(leads.groupBy("doc_id").agg(F.max_by("lead", most).alias("group"), F.max_by("shares", most).alias("shares"),
+                                                  F.sum("shares").alias("all"), F.min("least").alias("least"))
+                      .where(F.col("all") >= enough(percent)).drop("all"), "groups")
+    sets = written(_sets(docs, size, similar), "sets")
+
+    compared = sets.where((F.col("group") != F.col("doc_id")) & (F.col("shares") >= enough(percent)))
+    sizes = compared.groupBy("group").agg(F.count("*").alias("rows"))
+    salts = F.ceil(F.col("rows") / HEAVY)
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c - 1))
+    row = ("group", "salt", "doc_id", "shingles")
+    asking = _by_group(compared.select("group", "doc_id", "shingles"), sizes, "rows").withColumn(
+        "salt", F.pmod(F.xxhash64("doc_id"), salts)).select(*row)
+    heads = sets.select("doc_id", "shingles").join(sizes.withColumnRenamed("group", "doc_id"), "doc_id").select(
+        F.col("doc_id").alias("group"), upto(salts).alias("salt"), "doc_id", "shingles")
+    checked = (asking.union(heads).repartition(n_parts, "group", "salt")
+               .sortWithinPartitions("group", "salt", F.col("doc_id") != F.col("group")).mapInArrow(_verify(percent), "a long, b long"))
     several = member.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z")
     same_id = several.select("doc_id", "a").join(member, "doc_id").select("a", F.col("class_id").alias("b"))
-    first = components(both.mapInArrow(_verify(percent), "a long, b long").union(same_id), "components")
-
-    weight = sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("n").alias("least"))
-    placed = written(similar.join(first.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").join(weight, "doc_id")
-                     .select("doc_id", "group", F.coalesce("root", "doc_id").alias("component"), "n", "least"), "placed")
-    width = placed.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("total"),
-                                        F.min("component").alias("lo"), F.max("component").alias("hi"))
-    located = holders.select("token", "doc_id").join(placed.drop("n"), "doc_id")
+    first = components(checked.union(same_id), "components")
+
+    placed = written(similar.join(first.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
+                     .select("doc_id", "group", F.coalesce("root", "doc_id").alias("component"), "least"), "placed")
+    width = placed.join(sets.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id").groupBy("group").agg(
+        F.count("*").alias("members"), F.sum("n").alias("total"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    width = written(width, "widths")
+    wide = _by_group(placed, width.drop("total"), "members")
+    located = holders.select("token", "doc_id").join(wide, "doc_id")
     mixed = located.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    located = written(located.join(mixed.select("token"), "token", "left_semi").join(width.drop("total"), "group"), "matrix")
-    matrix = located.select("token", F.col("group").alias("g"), F.col("members").alias("m"), F.col("lo").alias("glo"),
-                            F.col("hi").alias("ghi")).distinct()
-    asked = (located.join(matrix, "token")
+    matrix_rows = written(located.join(mixed.select("token"), "token", "left_semi"), "matrix")
+    forget(holders, similar)
+    matrix = matrix_rows.select("token", F.col("group").alias("g"), F.col("members").alias("m"), F.col("lo").alias("glo"),
+                                F.col("hi").alias("ghi")).distinct()
+    asked = (matrix_rows.join(matrix, "token")
              .where("case when group = g then glo <> ghi else (members, group) < (m, g) and (glo <> ghi or glo <> component) end")
              .groupBy("doc_id", "component", "least", F.col("g").alias("group"),
                       F.when(F.col("g") == F.col("group"), 2).otherwise(1).alias("asks"))
              .agg(F.count("*").alias("shares"))        # of the query's tokens, those in the group's union
-             .where(F.col("shares") >= F.least(F.lit(need), F.ceil(F.col("least") * percent / 100))).drop("least", "shares"))
+             .where(F.col("shares") >= enough(percent)).drop("least", "shares"))
     asked = written(asked, "queries")
+    forget(matrix_rows)
 
     load = asked.groupBy("group").agg(F.count("*").alias("queries"))
-    shape = load.join(width, "group").select("group", F.ceil(F.col("total") / BLOCK_SHINGLES).alias("blocks"),
-                                             F.ceil(F.col("queries") / QUERIES).alias("salts"))
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    lines = (placed.join(shape, "group")
-             .select("group", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), upto("salts").alias("salt"),
+    shape = written(load.join(width, "group").select(
+        "group", F.greatest("members", "queries").alias("rows"), F.ceil(F.col("total") / BLOCK_SHINGLES).alias("blocks"),
+        F.ceil(F.col("queries") / QUERIES).alias("salts")), "shapes")
+    lines = (_by_group(placed.select("group", "doc_id", "component"), shape, "rows")
+             .select("group", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), upto(F.col("salts")).alias("salt"),
                      F.lit(0).alias("asks"), "doc_id", "component"))
-    queries = (asked.join(shape, "group")
-               .select("group", upto("blocks").alias("block"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "salts").alias("salt"),
+    queries = (_by_group(asked, shape, "rows")
+               .select("group", upto(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "salts").alias("salt"),
                        "asks", "doc_id", "component"))
-    opened = (lines.union(queries).join(sets.select("doc_id", "shingles"), "doc_id")
+    work = written(lines.union(queries), "work")
+    opened = (work.join(sets.select("doc_id", "shingles"), "doc_id")
               .repartition(n_parts, "group", "block", "salt").sortWithinPartitions("group", "block", "salt", "asks", "doc_id")
               .mapInArrow(_open(percent), "a long, b long"))
     stars = first.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
     final = components(stars.union(opened), "joined")
+    forget(sets, placed, width, asked, shape, work)
     known = lambda c: F.expr(f"nullif({c}, {X.NULL_ID})")
     return (member.join(final.select(F.col("id").alias("class_id"), "root"), "class_id", "left")
             .select(known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"),

@@ -32,8 +32,7 @@ from thermalframe.llm.store import written
 
 WINDOW = 6_000_000          # token ids packed together
 CLOSED = 0.995              # fill from which a bin is left as it is
-CACHE_WORDS = 400_000       # words whose ids a worker remembers before it starts again,
-CACHE_STEMS = 600_000       # and words without their punctuation
+CACHE_WORDS = 400_000       # words whose ids a worker remembers before it starts again, and half as many more without punctuation
 PASSES = 50                 # passes of the local search over the emptiest bins, at most
 
 _blank = re.compile(r"[\t-\r ]+")
@@ -56,8 +55,9 @@ class WordTokenizer:
     other word goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
+        self.cache = cache
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
@@ -82,10 +82,10 @@ class WordTokenizer:
         new = words.difference(self.words)
         if not new:
             return
-        if len(self.words) + len(new) > CACHE_WORDS:
+        if len(self.words) + len(new) > self.cache:
             self.words.clear()
             new = words
-        if len(self.stems) > CACHE_STEMS:
+        if len(self.stems) > self.cache * 3 // 2:
             self.stems = {"": b""}
         known, stems, rest = self.words, self.stems, []
         for w in new:
@@ -114,12 +114,12 @@ class WordTokenizer:
         return [b"".join(map(get, words)) for words in split]
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, cache: int) -> WordTokenizer:
     """The worker's tokenizer of this file, with the words that it knows by now."""
     known = X.kept().setdefault("tokenizers", {})
-    if path not in known:
-        known[path] = WordTokenizer(path)
-    return known[path]
+    if (path, cache) not in known:
+        known[path, cache] = WordTokenizer(path, cache)
+    return known[path, cache]
 
 
 # --- packing ---------------------------------------------------------------
@@ -230,12 +230,15 @@ def _numbers(base: int) -> Iterator[int]:
     return iter(range(first, first + (1 << 33), 2))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids, sequence_id, offset) of every piece; ids are little-endian uint32."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, cache: int = CACHE_WORDS) -> DataFrame:
+    """(doc_id, piece, start, length, ids, sequence_id, offset) of every piece; ids are little-endian uint32.
+
+    ``cache`` bounds the words whose ids a worker remembers: fewer take less memory and more time.
+    """
     step, end = 4 * capacity, np.array([end_id], np.uint32).tobytes()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number, held, count = tokenizer(tokenizer_path), _numbers(0), [], 0
+        encoder, number, held, count = tokenizer(tokenizer_path, cache), _numbers(0), [], 0
         for batch in X.slices(batches, keep="tokenizers"):
             ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             for doc, tokens in zip(batch.column("doc_id").to_pylist(), ids):

@@ -8,6 +8,7 @@ return; all of these are ASCII, so the cut never falls inside a UTF-8 sequence.
 from __future__ import annotations
 
 import builtins
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -60,6 +61,16 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, "right")) - 1)
             yield batch.slice(row, stop - row)
             row = stop
+        del batch, ends
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system, not to the worker's next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)          # glibc has it
+    if trim:
+        trim(0)
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
