@@ -18,14 +18,24 @@ from thermalframe.llm.store import table, written
 ORACLE_SQL = None
 
 
+#: Rows of one Arrow batch between Spark and the stages' Python code; whole texts make large batches, held on both sides.
+BATCH_ROWS = 2_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier, learnt from all labels, rejects."""
+    _small_batches(spark)
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
     return quality_model.scored(docs, model).where("__predicted = 1").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the lines that a document of smaller id has; ``n_chars`` follows the text."""
+    _small_batches(spark)
     kept = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -43,16 +53,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows with equal id and text are one document and stay once.
     """
+    _small_batches(spark)
     known = _known(docs)
-    groups = jaccard_join.jaccard_components(known.select(F.col("__id").alias("doc_id"), "text"), size=5, percent=80)
+    ids = known.select(F.col("__id").alias("doc_id"), "text")
+    groups = jaccard_join.jaccard_components(ids, size=5, percent=80)
     later = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    copies = Window.partitionBy("__id", "text").orderBy(F.lit(0))
-    rest = known.join(later, "__id", "left_anti").withColumn("__copy", F.row_number().over(copies))
-    return rest.where("__copy = 1").select(docs.columns)
+    fate = later.withColumn("__copy", F.lit(0)).unionByName(
+        groups.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__copy")).where("__copy > 1").join(later, "__id", "left_anti"))
+    judged = known.join(written(fate, "fates"), "__id", "left")
+    copies = Window.partitionBy("__id", F.sha2("text", 256)).orderBy(F.lit(0))
+    several = judged.where("__copy > 1").withColumn("__copy", F.row_number().over(copies)).where("__copy = 1")
+    return judged.where("__copy is null").unionByName(several).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item."""
+    _small_batches(spark)
     known = _known(docs)
     found = decontaminate.contaminated(known.select(F.col("__id").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     held = found.select(F.col("doc_id").alias("__id")).distinct()
@@ -60,9 +76,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents in sequences of at most 2048."""
+    """Token ids of all documents in sequences of at most 2048; workers remember fewer words, as other stages' memory is still held."""
+    _small_batches(spark)
     import public_tokenizers
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0, cache=100_000)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates),
