@@ -7,7 +7,7 @@ from thermalframe.operators import models
 from thermalframe.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
-GBT = {"maxIter": 300, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+GBT = {"trees": 300, "depth": 8, "rate": 0.05, "subsample": 0.8, "columns": 0.8, "l1": 0.1, "l2": 1.0}
 FOREST = {"numTrees": 100, "maxDepth": 15}
 
 
@@ -25,9 +25,11 @@ def test_queries_fit_the_stated_sizes(spark, monkeypatch, name, size):
         made = estimator(targets[0])
         if isinstance(made, models.Linear) and name == "compare_models":       # its first two models are linear
             return fit(train, features, targets, estimator, extra)
-        assert list(targets) == q.TARGETS and {k: made.getOrDefault(k) for k in size} == size
+        of = (lambda k: getattr(made, k)) if isinstance(made, models.Boosting) else made.getOrDefault
+        assert list(targets) == q.TARGETS and {k: of(k) for k in size} == size
         raise Seen
     monkeypatch.setattr(models, "fit_per_target", record)
+    monkeypatch.setattr(models, "fit_boosted", lambda rows, features, targets, made, roles: record(rows, features, targets, lambda t: made))
     with pytest.raises(Seen):
         q.QUERIES[name](spark, SF)
 

@@ -67,13 +67,6 @@ def test_trees_save_load_and_score(spark, rows):
     assert table.count() == 6
 
 
-def test_early_stop_uses_fewer_trees(rows):
-    marked = rows.withColumn("v", F.col("split") == "val")
-    m = models.fit_per_target(marked, ["u", "w"], ["y"], lambda t: models.boosted_trees(
-        t, trees=30, depth=3, rate=0.5, min_rows=1, columns="all", subsample=1.0, validation="v", tolerance=0.2), extra=["v"])
-    assert m["y"].stages[-1].getNumTrees < 30
-
-
 def test_folds_are_refitted(rows):
     out = models.refit_on_folds(rows.drop("split"), "id", ["u", "w"], ["y"], models.linear, k=2)
     assert out.count() == 4 and all(r["r2"] == pytest.approx(1.0) for r in out.collect())

@@ -1,7 +1,7 @@
 """One regressor per target: fitting, scoring, refitting on folds, saving.
 
 Least squares and ridge are solved from sums of products, all targets in one
-pass over the rows; trees are MLlib's.
+pass over the rows; boosted trees grow on histograms (``boosting``), forests are MLlib's.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thermalframe.operators.boosting import TRAIN, WATCH, BoostedTrees, Boosting, fit_boosted
 from thermalframe.operators.metrics import pairs_long, regression_metrics
-from thermalframe.operators.split import assign_folds
+from thermalframe.operators.split import assign_folds, fold_cuts
 from thermalframe.session import shared_dir
 
 @dataclass
@@ -44,7 +45,7 @@ class Linear:
     alpha: float = 0.0
 
 
-Model = PipelineModel | LeastSquares
+Model = PipelineModel | LeastSquares | BoostedTrees
 Bundle = dict[str, Model]
 
 
@@ -129,15 +130,11 @@ def random_forest(target: str, trees: int = 100, depth: int = 15, seed: int = 42
 
 
 def boosted_trees(target: str, trees: int = 300, depth: int = 8, rate: float = 0.05, subsample: float = 0.8,
-                  columns: str = "0.8", min_rows: int = 20, validation: str | None = None,
-                  tolerance: float = 0.001, seed: int = 42) -> GBTRegressor:
-    """Boosted trees; with ``validation`` (a boolean column) boosting stops when its loss no longer falls."""
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol=f"{target}_pred", maxIter=trees,
-                       maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=columns,
-                       minInstancesPerNode=min_rows, seed=seed, maxMemoryInMB=1024, cacheNodeIds=False)
-    if validation:
-        gbt.setParams(validationIndicatorCol=validation, validationTol=tolerance)
-    return gbt
+                  columns: float = 0.8, min_rows: int = 20, validation: str | None = None, patience: int = 50, l1: float = 0.1,
+                  l2: float = 1.0, seed: int = 42) -> Boosting:
+    """Boosted trees; with ``validation`` (a boolean column) boosting stops ``patience`` trees after its lowest loss."""
+    return Boosting(trees=trees, depth=depth, rate=rate, subsample=subsample, columns=columns, min_rows=min_rows, l1=l1, l2=l2,
+                    validation=validation, patience=patience, seed=seed)
 
 
 def fit_per_target(train: DataFrame, features: Sequence[str], targets: Sequence[str],
@@ -146,11 +143,13 @@ def fit_per_target(train: DataFrame, features: Sequence[str], targets: Sequence[
 
     ``extra`` names further columns an estimator reads (a validation mark). The
     rows are kept for the fits because tree training passes over them many times. The targets
-    are fitted side by side; boosting cuts its lineage in the shared folder every ten trees.
+    are fitted side by side.
     """
     first = estimator(targets[0])
     if isinstance(first, Linear):
         return fit_least_squares(train, features, targets, first.alpha)
+    if isinstance(first, Boosting):
+        return fit_boosted(train, features, targets, first)[0]
     shared_dir(train.sparkSession)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     needed = train.select(*dict.fromkeys([*features, *targets, *extra])).dropna("any", subset=list(features))
@@ -188,21 +187,36 @@ def compare(df: DataFrame, bundles: dict[str, Bundle], features: Sequence[str],
 
 def tree_importance(bundle: Bundle, features: Sequence[str], spark: SparkSession) -> DataFrame:
     """(target, feature, importance) of tree models: one number per feature and target."""
-    rows = [(t, f, float(v)) for t, m in bundle.items()
-            for f, v in zip(features, m.stages[-1].featureImportances.toArray())]
+    rows = [(t, f, float(v)) for t, m in bundle.items() for f, v in zip(
+        features, m.importance() if isinstance(m, BoostedTrees) else m.stages[-1].featureImportances.toArray())]
     return spark.createDataFrame(rows, "target string, feature string, importance double")
 
 
 def refit_on_folds(df: DataFrame, order: str, features: Sequence[str], targets: Sequence[str],
                    estimator: Callable[[str], object], k: int = 5) -> DataFrame:
-    """(fold, role, target, scores): a new model per fold, scored on its own train and test rows."""
+    """(fold, role, target, scores): a new model per fold, scored on its own train and test rows.
+
+    Boosted trees of all folds and targets grow together, from one set of bins; each fold watches its test rows and stops
+    by patience.
+    """
     folded = assign_folds(df, order, k)
-    parts = []
-    for fold in range(1, k + 1):
-        rows = folded.where(F.col("fold") == fold)
-        bundle = fit_per_target(rows.where("role = 'train'"), features, targets, estimator)
-        parts.append(evaluate(rows, bundle, features, ["fold", "role"]))
-    return reduce(DataFrame.unionByName, parts)
+    first = estimator(targets[0])
+    if isinstance(first, Boosting):
+        cuts = fold_cuts(df, order, k)
+        key, roles = F.col(order), []
+        for i, cut in enumerate(cuts):
+            if cut is None:
+                roles.append(F.lit(0))
+                continue
+            end = next((c for c in cuts[i + 1:] if c is not None), None)
+            tested = F.lit(True) if end is None else key < end
+            roles.append(F.when(key < cut, F.lit(TRAIN)).when(tested, F.lit(WATCH)).otherwise(F.lit(0)))
+        bundles = fit_boosted(df, features, targets, first, roles)
+    else:
+        bundles = [fit_per_target(folded.where((F.col("fold") == i) & (F.col("role") == "train")), features, targets, estimator)
+                   for i in range(1, k + 1)]
+    return reduce(DataFrame.unionByName, [evaluate(folded.where(F.col("fold") == i), bundle, features, ["fold", "role"])
+                                          for i, bundle in enumerate(bundles, 1)])
 
 
 def over_folds(folds: DataFrame) -> DataFrame:
@@ -214,6 +228,8 @@ def over_folds(folds: DataFrame) -> DataFrame:
 
 
 _LINEAR = "target string, features array<string>, intercept double, coefficients array<double>"
+_BOOSTED = ("target string, features array<string>, edges array<array<double>>, base double, split array<array<int>>, "
+            "cut array<array<int>>, leaf array<array<double>>, gain array<array<double>>, losses array<double>")
 _NAMES = "targets array<string>, kinds array<string>, features array<string>"
 
 
@@ -223,15 +239,25 @@ def save_bundle(bundle: Bundle, path: str, spark: SparkSession, features: Sequen
         if isinstance(m, LeastSquares):
             spark.createDataFrame([(m.target, m.features, m.intercept, m.coefficients)], _LINEAR) \
                 .write.mode("overwrite").parquet(f"{path}/{t}")
+        elif isinstance(m, BoostedTrees):
+            trees = (x.tolist() for x in (m.split, m.cut, m.leaf, m.gain))
+            spark.createDataFrame([(m.target, m.features, m.edges, m.base, *trees, m.losses)], _BOOSTED) \
+                .write.mode("overwrite").parquet(f"{path}/{t}")
         else:
             m.write().overwrite().save(f"{path}/{t}")
-    kinds = ["linear" if isinstance(m, LeastSquares) else "trees" for m in bundle.values()]
+    kinds = [{LeastSquares: "linear", BoostedTrees: "boosted"}.get(type(m), "trees") for m in bundle.values()]
     spark.createDataFrame([(list(bundle), kinds, list(features))], _NAMES).write.mode("overwrite").json(f"{path}/_bundle")
 
 
 def load_bundle(path: str, spark: SparkSession) -> tuple[Bundle, list[str]]:
     names = spark.read.schema(_NAMES).json(f"{path}/_bundle").first()
-    load = {"linear": lambda p: LeastSquares(*spark.read.schema(_LINEAR).parquet(p).first()), "trees": PipelineModel.load}
+    def boosted(p: str) -> BoostedTrees:
+        r = spark.read.schema(_BOOSTED).parquet(p).first()
+        arrays = (np.array(r[c], kind).reshape(len(r["split"]), -1) for c, kind in (
+            ("split", np.int16), ("cut", np.int16), ("leaf", float), ("gain", float)))
+        return BoostedTrees(r["target"], r["features"], r["edges"], r["base"], *arrays, r["losses"])
+
+    load = {"boosted": boosted, "linear": lambda p: LeastSquares(*spark.read.schema(_LINEAR).parquet(p).first()), "trees": PipelineModel.load}
     return {t: load[k](f"{path}/{t}") for t, k in zip(names["targets"], names["kinds"])}, list(names["features"])
 
 

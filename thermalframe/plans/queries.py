@@ -1160,7 +1160,7 @@ def fit_random_forest(spark, d, trees: int = 100, depth: int = 15):
 
 @query("fit_gbt")
 def fit_gbt(spark, d, trees: int = 300, depth: int = 8, rate: float = 0.05):
-    """All targets at the stated size: see the README for the time."""
+    """All targets at the stated size."""
     return scored_table(spark, d, lambda t: models.boosted_trees(t, trees=trees, depth=depth, rate=rate))
 
 
@@ -1170,7 +1170,7 @@ def fit_gbt_early_stop(spark, d, trees: int = 300, depth: int = 8, rate: float =
     bundle = models.fit_per_target(rows.where("split <> 'test'"), TRAIN_INPUTS, TARGETS,
                                    lambda t: models.boosted_trees(t, trees=trees, depth=depth, rate=rate, validation="is_validation"),
                                    extra=["is_validation"])
-    used = F.create_map(*[F.lit(x) for t, m in bundle.items() for x in (t, m.stages[-1].getNumTrees)])
+    used = F.create_map(*[F.lit(x) for t, m in bundle.items() for x in (t, m.n_trees)])
     return models.evaluate(rows, bundle, TRAIN_INPUTS, ["split"]).withColumn("trees", used[F.col("target")].cast("bigint"))
 
 
@@ -1216,7 +1216,7 @@ def importance_mean_trees(spark, d, trees: int = 100, depth: int = 15):
 
 @query("cv_temporal_refit")
 def cv_temporal_refit(spark, d, k: int = 5, trees: int = 300, depth: int = 8, rate: float = 0.05):
-    """New boosted trees per fold and target; mean and deviation of their scores over the folds."""
+    """New boosted trees per fold and target, which watch the fold's test rows; mean and deviation of their scores over the folds."""
     rows = features.leak_free(bounded(spark, d))
     make = lambda t: models.boosted_trees(t, trees=trees, depth=depth, rate=rate)
     return rounded(models.over_folds(models.refit_on_folds(rows, ORDER, TRAIN_INPUTS, TARGETS, make, k=k)))
@@ -1234,7 +1234,7 @@ def compare_models(spark, d, trees: int = 100, depth: int = 15):
     rows = training_rows(spark, d)
     train = rows.where("split = 'train'")
     makers = {"linear": models.linear, "ridge": lambda t: models.linear(t, 1.0),
-              "random_forest": lambda t: models.random_forest(t, trees=trees, depth=depth)}
+              "random_forest": lambda t: models.random_forest(t, trees=trees, depth=depth), "boosted_trees": models.boosted_trees}
     bundles = {n: models.fit_per_target(train, TRAIN_INPUTS, TARGETS, m) for n, m in makers.items()}
     return models.compare(rows, bundles, TRAIN_INPUTS)
 
