@@ -111,17 +111,50 @@ def test_keys_without_a_place_raise(spark, rows, message):
         blocks.row_index(df, "k", ["unit"]).collect()
 
 
-def test_blocks_follow_the_density_of_the_key(spark):
+def test_blocks_follow_the_rows(spark):
     """A microsecond clock does not make a block for each of its rows."""
     n = 200_000
     df = spark.range(n).select((F.col("id") * 1_000_000 + 17).alias("k"))
-    width = blocks.block_width(df, "k")
-    assert df.groupBy(blocks.block_of("k", width)).count().count() <= -(-n // blocks.BLOCK_ROWS) + 1
+    cut = blocks.equal_blocks(df, "k")
+    assert df.groupBy(cut.number("k")).count().count() <= -(-n // blocks.BLOCK_ROWS) + 1
     assert blocks.order_cuts(df, "k", [lambda m: F.floor(m * 0.7)]) == (n, [140_000 * 1_000_000 + 17])
     tail = blocks.row_index(df, "k").where(f"k >= {(n - 2) * 1_000_000}").orderBy("k").collect()
     assert [r["time_index"] for r in tail] == [n - 2, n - 1]
 
 
+@pytest.mark.parametrize("segments", [1 << 10, 8])
+def test_stray_keys_and_bursts_make_no_heavy_block(spark, monkeypatch, segments):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(blocks, "SEGMENTS", segments)
+    n = 20_000
+    key = F.when(F.col("id") < n // 2, F.col("id") * 1_000_000).when(F.col("id") < n - 1, F.lit(n * 1_000_000) + F.col("id")).otherwise(F.lit(1 << 62))
+    df = spark.range(n).select(key.alias("k"), (F.col("id") % 7).cast("double").alias("x"), F.col("id").alias("at"))
+    cut = blocks.equal_blocks(df, "k")
+    sizes = [r["count"] for r in df.groupBy(cut.number("k").alias("b")).count().collect()]
+    mean = n / -(-n // 500)
+    assert sum(sizes) == n and (segments < 100 or max(sizes) <= 2 * mean)
+    assert blocks.row_index(df, "k").where("time_index <> at").count() == 0
+    assert blocks.order_cuts(df, "k", [lambda m, r=r: F.lit(r) for r in (0, 9_999, 15_000, n - 1, n)])[1] == [
+        0, 9_999 * 1_000_000, n * 1_000_000 + 15_000, 1 << 62, None]
+    for b in {r["b"] for r in df.select(cut.number("k").alias("b")).distinct().collect()}:
+        low, high = cut.keys(b)
+        assert df.where(F.col("k").between(low, high) != (cut.number("k") == b)).count() == 0 if b % 9 == 0 else low <= high
+
+
+def test_known_values_cross_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SUPER", 3)
+    n = 2_000
+    df = spark.range(n).select(F.col("id").alias("k"), F.when(F.col("id").isin(3, 700, 1500), F.col("id").cast("double")).alias("x"),
+                               F.when(F.col("id") % 2 == 0, F.lit("u")).otherwise(F.lit("v")).alias("unit"))
+    near = {r["k"]: r for r in blocks.neighbours(df, "k", ["x"], width=10).collect()}
+    for i in range(n):
+        before, after = [p for p in (3, 700, 1500) if p <= i], [p for p in (3, 700, 1500) if p >= i]
+        assert (near[i]["x__pv"], near[i]["x__pd"]) == ((float(before[-1]), i - before[-1]) if before else (None, None))
+        assert (near[i]["x__nv"], near[i]["x__nd"]) == ((float(after[0]), after[0] - i) if after else (None, None))
+    split = {r["k"]: r["x__pv"] for r in blocks.neighbours(df, "k", ["x"], ["unit"], width=10).collect()}
+    assert split[5] == 3.0 and split[1999] == 3.0 and split[702] == 700.0 and split[1600] == 1500.0 and split[2] is None
+
+
 def test_running_start_in_two_levels(spark, monkeypatch):
     monkeypatch.setattr(blocks, "SUPER", 3)
     df = spark.range(1000).withColumnRenamed("id", "k")

@@ -2,10 +2,11 @@
 
 A series (one unit, or the whole table) may hold any number of rows, so no
 window here is partitioned by the series alone. The integer order key is cut
-into blocks of key values, as wide as the mean density of the keys asks for
-``BLOCK_ROWS`` rows a block. Windows run inside (series, block); what crosses a
-block edge (row counts, last and next known values) is carried by a summary
-with one row per block, whose running totals are taken in two levels.
+into blocks of equally many rows, about ``BLOCK_ROWS``: the edges are quantiles
+of the key, so neither a stray key nor a burst makes a heavy block. Windows run
+inside (series, block); what crosses a block edge (row counts, last and next
+known values) is carried by a summary with one row per block, which is run
+through in two levels once there are more than ``SUPER`` blocks.
 
 A missing series key is a series of its own. A missing order key, or one that
 occurs twice in a series, has no place in the order and raises.
@@ -19,24 +20,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 16
-SUPER = 1 << 12             # blocks whose running totals are taken together
+SEGMENTS = 1 << 10          # quantiles of the key, at most; more blocks cut the segments between them
+SUPER = 1 << 12             # blocks that are run through together
 
 _BLOCK, _RN, _START = "__block", "__rn", "__start"
 
 
-def block_width(df: DataFrame, order: str) -> int:
-    """Key values of one block: the key's range over the number of blocks that its rows fill."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if row["lo"] is None:
-        return BLOCK_ROWS
-    return max(1, -(-(int(row["hi"]) - int(row["lo"]) + 1) // -(-row["n"] // BLOCK_ROWS)))
+class Blocks:
+    """Blocks of an integer key: equal-depth segments, each cut into ``within`` blocks of equal width.
+
+    ``lows`` holds the first key of every segment but the first, whose own is the smallest key.
+    """
+
+    def __init__(self, low: int, high: int, lows: Sequence[int] = (), within: int = 1) -> None:
+        self.lows = [low, *(x for x in sorted(set(lows)) if low < x <= high)]
+        self.high, self.within = high, within
+        ends = [*self.lows[1:], high + 1]
+        self.widths = [max(1, -(-(end - first) // within)) for first, end in zip(self.lows, ends)]
+
+    @property
+    def count(self) -> int:
+        return len(self.lows) * self.within
+
+    def number(self, order: str) -> Column:
+        """Block number of a key; a missing key raises."""
+        key = f"CAST(`{order}` AS BIGINT)"
+
+        def segment(a: int, b: int) -> str:
+            if b - a == 1:
+                if self.within == 1:
+                    return f"{a}L"
+                inside = f"CAST((CAST({key} AS DECIMAL(20,0)) - {self.lows[a]}) div {self.widths[a]} AS BIGINT)"
+                return f"({a * self.within}L + greatest(0L, least({self.within - 1}L, {inside})))"
+            mid = (a + b) // 2
+            return f"CASE WHEN {key} < {_long(self.lows[mid])} THEN {segment(a, mid)} ELSE {segment(mid, b)} END"
+
+        return F.expr(f"CASE WHEN `{order}` IS NULL THEN CAST(raise_error('order key {order} is missing') AS BIGINT) "
+                      f"ELSE {segment(0, len(self.lows))} END")
 
+    def keys(self, number: int) -> tuple[int, int]:
+        """First and last key of a block; the outermost ones are open."""
+        at, inside = divmod(number, self.within)
+        ends = [*self.lows[1:], self.high + 1]
+        first = self.lows[at] + inside * self.widths[at]
+        last = ends[at] - 1 if inside == self.within - 1 else first + self.widths[at] - 1
+        return -TOP - 1 if not number else min(first, TOP), TOP if number == self.count - 1 else min(last, TOP)
 
-def block_of(order: str, width: int) -> Column:
-    """Block number of an integer order key; exact for the whole BIGINT range."""
-    key = f"CAST(`{order}` AS BIGINT)"
-    number = f"({key} - pmod({key}, {width}L)) div {width}L" if width < 1 << 62 else "0L"
-    return F.expr(f"CASE WHEN `{order}` IS NULL THEN CAST(raise_error('order key {order} is missing') AS BIGINT) ELSE {number} END")
+
+TOP = (1 << 63) - 1
+
+
+def _long(x: int) -> str:
+    return f"{x}L" if x > -TOP else f"({x + 1}L - 1L)"
+
+
+def equal_blocks(df: DataFrame, order: str, width: int | None = None) -> Blocks:
+    """Blocks of about ``BLOCK_ROWS`` rows, or of ``width`` key values. Up to ``SEGMENTS`` edges are quantiles of the key."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    if row["lo"] is None:
+        return Blocks(0, 0)
+    low, high = int(row["lo"]), int(row["hi"])
+    if width:
+        return Blocks(low, high, within=max(1, -(-(high - low + 1) // width)))
+    wanted = -(-row["n"] // BLOCK_ROWS)
+    segments = min(wanted, SEGMENTS)
+    if segments < 2:
+        return Blocks(low, high)
+    key = df.select(F.col(order).cast("bigint").alias("k"))
+    cuts = key.approxQuantile("k", [i / segments for i in range(1, segments)], 0.1 / segments)
+    return Blocks(low, high, [min(int(c), TOP) for c in cuts], -(-wanted // segments))
 
 
 def named_series(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -62,26 +114,41 @@ def _numbered(df: DataFrame, group: Sequence[str], order: str) -> DataFrame:
     return df.withColumn(_RN, F.when(twice, stop).otherwise(F.row_number().over(inside).cast("bigint")))
 
 
-def running_start(lines: DataFrame, keys: Sequence[str], value: str = "__n") -> DataFrame:
-    """Adds the sum of ``value`` over the blocks before each block, by groups of ``SUPER`` blocks and inside them."""
+def _run(lines: DataFrame, keys: Sequence[str], level: str, sums: Sequence[str], last: Sequence[str], first: Sequence[str],
+         tail: str) -> DataFrame:
+    """Adds ``<name><tail>``: over the lines before (``sums``, ``last`` known) or after (``first`` known) each, in the order of ``level``."""
+    ahead = Window.partitionBy(*_by(keys)).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*_by(keys)).orderBy(F.col(level).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return lines.select("*", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c + tail) for c in sums],
+                        *[F.last(c, ignorenulls=True).over(ahead).alias(c + tail) for c in last],
+                        *[F.last(c, ignorenulls=True).over(behind).alias(c + tail) for c in first])
+
+
+def carried(lines: DataFrame, keys: Sequence[str], blocks: Blocks, sums: Sequence[str], last: Sequence[str] = (),
+            first: Sequence[str] = ()) -> DataFrame:
+    """``lines`` (one per series and block) with ``<name>__c``: the sum of the blocks before, the nearest known value of the blocks
+    before (``last``) or after (``first``). More than ``SUPER`` blocks are run through in groups, and the groups likewise."""
+    if blocks.count <= SUPER:
+        return _run(lines, keys, _BLOCK, sums, last, first, "__c")
     lines = lines.withColumn("__super", F.floor(F.col(_BLOCK) / F.lit(SUPER)))
-    before = lambda *by: Window.partitionBy(*_by(by))
-    sums = lines.groupBy(*keys, "__super").agg(F.sum(value).alias("__sum"))
-    ahead = before(*keys).orderBy("__super").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("__ahead", F.coalesce(F.sum("__sum").over(ahead), F.lit(0))).drop("__sum")
-    inside = before(*keys, "__super").orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return (lines.join(sums, [*keys, "__super"]).withColumn(_START, F.col("__ahead") + F.col("__inside"))
-            .drop("__super", "__ahead", "__inside"))
+    groups = lines.groupBy(*keys, "__super").agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(_BLOCK))).alias(c) for c in last],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(_BLOCK))).alias(c) for c in first])
+    groups = _run(groups, keys, "__super", sums, last, first, "__g").drop(*sums, *last, *first)
+    inside = _run(lines, [*keys, "__super"], _BLOCK, sums, last, first, "__i").join(groups, [*keys, "__super"])
+    return inside.withColumns({**{c + "__c": F.col(c + "__g") + F.col(c + "__i") for c in sums},
+                               **{c + "__c": F.coalesce(c + "__i", c + "__g") for c in [*last, *first]}}).drop(
+        "__super", *[c + tail for c in [*sums, *last, *first] for tail in ("__g", "__i")])
 
 
 def row_index(df: DataFrame, order: str, keys: Sequence[str] = (), name: str = "time_index",
               width: int | None = None) -> DataFrame:
     """0-based position of each row in its series."""
-    width = width or block_width(df, order)
-    placed, series = named_series(df.withColumn(_BLOCK, block_of(order, width)), keys)
+    blocks = equal_blocks(df, order, width)
+    placed, series = named_series(df.withColumn(_BLOCK, blocks.number(order)), keys)
     group = [*series, _BLOCK]
-    starts = running_start(placed.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")), series).drop("__n")
+    lines = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    starts = carried(lines, series, blocks, ["__n"]).withColumnRenamed("__n__c", _START).drop("__n")
     return (_numbered(placed, group, order).join(starts, group)
             .withColumn(name, (F.col(_START) + F.col(_RN) - 1).cast("bigint"))
             .select(*df.columns, name))
@@ -95,10 +162,10 @@ def order_cuts(df: DataFrame, order: str, ranks: Sequence[Callable[[Column], Col
     line per block is shuffled, so a split costs no shuffle of the data itself.
     The blocks that hold a rank (at most one per rank) are then read again.
     """
-    width = width or block_width(df, order)
+    cut = equal_blocks(df, order, width)
     key = F.col(order)
-    lines = df.groupBy(block_of(order, width).alias(_BLOCK)).agg(F.count(F.lit(1)).alias("__n"))
-    blocks = running_start(lines, [])
+    lines = df.groupBy(cut.number(order).alias(_BLOCK)).agg(F.count(F.lit(1)).alias("__n"))
+    blocks = carried(lines, [], cut, ["__n"]).withColumnRenamed("__n__c", _START)
     total = df.count()
     wanted_ranks = F.array(*[r(F.lit(total)).cast("bigint") for r in ranks])
     holds = (F.col("r") >= F.col(_START)) & (F.col("r") < F.col(_START) + F.col("__n"))
@@ -107,10 +174,10 @@ def order_cuts(df: DataFrame, order: str, ranks: Sequence[Callable[[Column], Col
     cuts: list[int | None] = [None] * len(ranks)
     if not hits:
         return total, cuts
-    inside, top = F.lit(width >= 1 << 62), (1 << 63) - 1      # the widest blocks are the whole range
-    for b in {h[_BLOCK] for h in hits} if width < 1 << 62 else ():
-        inside = inside | key.between(max(b * width, -top - 1), min((b + 1) * width - 1, top))
-    rows = _numbered(df.where(inside).select(order).withColumn(_BLOCK, block_of(order, width)), [_BLOCK], order)
+    inside = F.lit(False)
+    for b in {h[_BLOCK] for h in hits}:
+        inside = inside | key.between(*cut.keys(b))
+    rows = _numbered(df.where(inside).select(order).withColumn(_BLOCK, cut.number(order)), [_BLOCK], order)
     pick = F.lit(False)
     for h in hits:
         pick = pick | ((F.col(_BLOCK) == h[_BLOCK]) & (F.col(_RN) == h["p"] + 1))
@@ -128,8 +195,8 @@ def neighbours(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence
     0 on a known value) and ``<c>__nv``/``<c>__nd`` for the next one, and under the
     name ``position`` the 0-based place of the row in its series.
     """
-    width = width or block_width(df, order)
-    base, series_names = named_series(df.withColumn(_BLOCK, block_of(order, width)), keys)
+    blocks = equal_blocks(df, order, width)
+    base, series_names = named_series(df.withColumn(_BLOCK, blocks.number(order)), keys)
     group = [*series_names, _BLOCK]
     base = base.where(F.col(_BLOCK).isNotNull())      # in both branches below, so that one exchange serves both
     base = _numbered(base, group, order)
@@ -142,20 +209,16 @@ def neighbours(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence
         *[first[c].alias(f"{c}__fr") for c in columns], *[at_first[c].alias(f"{c}__fv") for c in columns],
         *[last[c].alias(f"{c}__lr") for c in columns], *[at_last[c].alias(f"{c}__lv") for c in columns])
 
-    series = Window.partitionBy(*_by(series_names))
-    before = series.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    after = series.orderBy(F.col(_BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    summary = running_start(summary, series_names)
+    starts = carried(summary, series_names, blocks, ["__n"]).withColumnRenamed("__n__c", _START)
 
     def edge(c: str, kind: str) -> Column:
         row = F.col(f"{c}__{kind}r")
         return F.when(row.isNotNull(), F.struct(F.col(f"{c}__{kind}v").alias("v"),
                                                 (F.col(_START) + row).alias("r")))
 
-    carried = summary.select(
-        *group, _START,
-        *[F.last(edge(c, "l"), ignorenulls=True).over(before).alias(f"{c}__cp") for c in columns],
-        *[F.last(edge(c, "f"), ignorenulls=True).over(after).alias(f"{c}__cn") for c in columns])
+    edges = starts.select(*group, _START, *[edge(c, "l").alias(f"{c}__p") for c in columns], *[edge(c, "f").alias(f"{c}__n") for c in columns])
+    near = carried(edges, series_names, blocks, [], [f"{c}__p" for c in columns], [f"{c}__n" for c in columns]).select(
+        *group, _START, *[F.col(f"{c}__p__c").alias(f"{c}__cp") for c in columns], *[F.col(f"{c}__n__c").alias(f"{c}__cn") for c in columns])
 
     up = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*group).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -166,7 +229,7 @@ def neighbours(df: DataFrame, order: str, columns: Sequence[str], keys: Sequence
     seen = seen.select("*", *[F.last(c, ignorenulls=True).over(down).alias(f"{c}__jv") for c in columns],
                        *[F.last(place[c], ignorenulls=True).over(down).alias(f"{c}__jr") for c in columns])
 
-    joined = seen.join(carried, group)
+    joined = seen.join(near, group)
     pos = F.col(_START) + F.col(_RN)
     out = []
     for c in columns:
