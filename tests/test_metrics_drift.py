@@ -162,3 +162,31 @@ def test_rules(spark):
     assert [r["decision"] for r in rules.model_acceptance(pair, F.lit(1.0)).collect()] == ["accept", "reject", "review"]
     old = spark.sql("select * from values (timestamp'2024-01-01', 'log'), (timestamp'2024-01-01', 'drift_report'), (timestamp'2024-03-01', 'log') t(ts, kind)")
     assert rules.retention_filter(old, F.col("kind")).count() == 2
+
+
+def test_path_p_equals_a_count_of_all_paths():
+    """All orders of two samples counted cell by cell, for every size up to 12 x 12 and every distance."""
+    from fractions import Fraction
+    from math import comb
+
+    for m in range(1, 13):
+        for n in range(1, 13):
+            for far in sorted({abs(i * n - j * m) for i in range(m + 1) for j in range(n + 1)} - {0}):
+                inside = [[0] * (n + 1) for _ in range(m + 1)]
+                for i in range(m + 1):
+                    for j in range(n + 1):
+                        if abs(i * n - j * m) < far:
+                            inside[i][j] = 1 if i == j == 0 else (inside[i - 1][j] if i else 0) + (inside[i][j - 1] if j else 0)
+                want = float(1 - Fraction(inside[m][n], comb(m + n, n)))
+                assert drift.path_p(m, n, far / (m * n)) == pytest.approx(want, rel=1e-12, abs=1e-15)
+    assert drift.path_p(7, 5, 0.0) == 1.0 and drift.path_p(0, 5, 0.5) == 1.0
+    assert 0 < drift.path_p(2000, 1500, 0.5) < 1e-100
+
+
+def test_exact_p_meets_the_limit_and_keeps_nulls(spark):
+    rows = [("a", 3000, 2500, 0.035), ("b", 5, 0, None), ("c", 4, 4, 1.0), ("d", 3, 4, 0.25)]
+    ks = spark.createDataFrame(rows, "feature string, n_ref long, n_cur long, ks double")
+    got = {r.feature: r.p_value for r in drift.with_best_p_value(ks).collect()}
+    far = {r.feature: r.p_value for r in drift.with_best_p_value(ks, largest=2).collect()}
+    assert got["a"] == pytest.approx(far["a"], rel=0.05) and got["b"] is None
+    assert got["c"] == pytest.approx(2 / 70) and got["d"] == pytest.approx(drift.path_p(4, 3, 0.25))

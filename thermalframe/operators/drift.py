@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +120,58 @@ def with_p_value(ks: DataFrame) -> DataFrame:
     return ks.withColumn("p_value", kolmogorov_p(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
 
 
+def path_p(n_ref: int, n_cur: int, ks: float) -> float:
+    """Chance that two samples of these sizes from one distribution are at least ``ks`` apart, by counting lattice paths.
+
+    A path takes a step for each value in order, to the right for one sample and up for the other; all are equally
+    likely. ``reached[i]`` is the chance that a path to (i, s - i) has been so far from the diagonal: the last step came from
+    the left with chance i / s. Only sums of positive terms, so small chances stay exact.
+    """
+    m, n = sorted((int(n_ref), int(n_cur)))
+    far = round(ks * m * n)
+    if not m or far <= 0:
+        return 1.0
+    i = np.arange(m + 1)
+    reached = np.zeros(m + 1)
+    for s in range(1, m + n + 1):
+        left = np.r_[0.0, reached[:-1]]
+        reached = (i * left + np.maximum(s - i, 0) * reached) / s
+        reached[np.abs(i * n - (s - i) * m) >= far] = 1.0
+    return float(reached[m])
+
+
+def exact_p(ks: Column, n_ref: Column, n_cur: Column) -> Column:
+    """The exact p-value; NULL without a distance. For samples of up to some ten thousand values: the work grows with the
+    product of the sizes, a row at a time of the aggregated table."""
+    @F.pandas_udf("double")
+    def p_value(distance: pd.Series, ref: pd.Series, cur: pd.Series) -> pd.Series:
+        known: dict[tuple, float] = {}
+        out = []
+        for d, a, b in zip(distance, ref, cur):
+            if pd.isna(d) or pd.isna(a) or pd.isna(b):
+                out.append(None)
+                continue
+            key = *sorted((int(a), int(b))), round(d * a * b)
+            if key not in known:
+                known[key] = path_p(a, b, d)
+            out.append(known[key])
+        return pd.Series(out, dtype="float64")
+
+    return p_value(ks.cast("double"), n_ref.cast("double"), n_cur.cast("double"))
+
+
+#: Largest sample for which the exact p-value is taken.
+EXACT_ROWS = 10_000
+
+
+def with_best_p_value(ks: DataFrame, largest: int = EXACT_ROWS) -> DataFrame:
+    """``p_value``: exact where both samples have at most ``largest`` values, by the limit distribution else."""
+    small = F.greatest("n_ref", "n_cur") <= largest
+    zero = F.lit(None).cast("double")
+    exact = exact_p(F.when(small, F.col("ks")).otherwise(zero), F.col("n_ref"), F.col("n_cur"))
+    return ks.withColumn("p_value", F.when(small, exact).otherwise(kolmogorov_p(F.col("ks"), F.col("n_ref"), F.col("n_cur"))))
+
+
 def drift_status(psi_value: Column, p_value: Column, psi_threshold: float = C.PSI_THRESHOLD,
                  ks_threshold: float = C.KS_THRESHOLD) -> Column:
     moved, different = psi_value > psi_threshold, p_value < ks_threshold

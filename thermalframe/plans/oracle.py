@@ -517,6 +517,21 @@ def oracles() -> dict[str, str]:
     # drift
     add("psi", DRIFT_CTE, "SELECT feature, round(psi, 4) AS psi FROM psi")
     add("ks_two_sample", DRIFT_CTE, "SELECT feature, n_ref, n_cur, round(ks, 4) AS ks, round(p_value, 4) AS p_value FROM kst")
+    add("ks_exact_by_hour", """RECURSIVE e AS (SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, value AS x, event_id % 2 = 0 AS is_ref
+      FROM events WHERE value IS NOT NULL),
+    v AS (SELECT hour, x, count(*) FILTER (is_ref) AS r, count(*) FILTER (NOT is_ref) AS c FROM e GROUP BY ALL),
+    f AS (SELECT hour, sum(r) OVER w AS cr, sum(c) OVER w AS cc, sum(r) OVER (PARTITION BY hour) AS n_ref, sum(c) OVER (PARTITION BY hour) AS n_cur
+      FROM v WINDOW w AS (PARTITION BY hour ORDER BY x)),
+    k AS (SELECT hour, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur, max(abs(cr * n_cur - cc * n_ref)) AS far FROM f GROUP BY ALL),
+    sizes AS (SELECT DISTINCT least(n_ref, n_cur) AS m, greatest(n_ref, n_cur) AS n, far FROM k WHERE n_ref > 0 AND n_cur > 0),
+    walk(m, n, far, s, i, u) AS (
+      SELECT m, n, far, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CASE WHEN far <= 0 THEN 1e0 ELSE 0e0 END FROM sizes
+      UNION ALL
+      SELECT m, n, far, s, i, CASE WHEN far <= abs(i * n - (s - i) * m) THEN 1e0 ELSE p END FROM (
+        SELECT m, n, far, s + 1 AS s, i + step AS i, sum(u * (CASE WHEN step = 1 THEN i + 1 ELSE s + 1 - i END) / (s + 1)) AS p
+        FROM walk, (SELECT unnest([0, 1]) AS step) WHERE i + step <= m AND s + 1 - i - step <= n GROUP BY ALL))""",
+        """SELECT hour, n_ref, n_cur, round(k.far / (n_ref * n_cur), 6) AS ks, round(u, 6) AS p_value
+    FROM k LEFT JOIN walk ON m = least(n_ref, n_cur) AND n = greatest(n_ref, n_cur) AND walk.far = k.far AND s = m + n""")
     add("feature_drift", DRIFT_CTE, "SELECT * FROM drift")
     add("drift_summary", DRIFT_CTE, SUMMARY)
     add("drift_orders_by_priority", _drift_from("tagged AS (SELECT o_orderpriority AS feature, o_totalprice AS x, o_orderdate < TIMESTAMP '1999-01-01' AS is_ref FROM orders WHERE o_totalprice IS NOT NULL)"),

@@ -648,6 +648,16 @@ def ks_two_sample(spark, d):
     return rounded(drift.ks_two_sample(long))
 
 
+@query("ks_exact_by_hour")
+def ks_exact_by_hour(spark, d):
+    """Values of even against odd event numbers in each hour: many small samples, with their exact p-values."""
+    long = spark.read.parquet(f"{d}/events.parquet").select(
+        F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")), "yyyy-MM-dd HH").alias("feature"), "value",
+        (F.col("event_id") % 2 == 0).alias("is_ref"))
+    ks = quantiles.ks_distance(long.where("value is not null"), "feature", "value", F.col("is_ref"))
+    return rounded(drift.with_best_p_value(ks).select(F.col("feature").alias("hour"), "n_ref", "n_cur", "ks", "p_value"), 6)
+
+
 @query("feature_drift")
 def feature_drift(spark, d):
     return drift_table(spark, d)
