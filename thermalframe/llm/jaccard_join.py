@@ -321,20 +321,30 @@ def _open(percent: int):
     return opened
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ``ids``, and a few others: a bit table keeps most out before anything is shuffled."""
+    used = rows.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64("doc_id"))))
+    names = rows.columns
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = on_used_bits(batch.column("__name").to_numpy().view(np.uint64), used.value)
+            yield batch.filter(pa.array(keep)).select(names)
+    return rows.withColumn("__name", F.xxhash64("doc_id")).mapInArrow(pick, rows.schema)
+
+
 def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """(doc_id, n, shingles) and the columns of ``wanted`` of its ids. A bit table keeps most other texts out of the join."""
-    used = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("doc_id"))))
+    """The rows of ``wanted`` with ``shingles``. Its ids meet the texts, which are shorter than their sets."""
+    names = [c for c in wanted.columns if c != "doc_id"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches):
-            name = batch.column("name").to_numpy().view(np.uint64)
-            batch = batch.filter(pa.array(on_used_bits(name, used.value)))
-            sets = list(X.shingle_sets(batch.column("text"), size))
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                                   X.binary(s.tobytes() for s in sets)], ["doc_id", "n", "shingles"])
+            sets = X.binary(s.tobytes() for s in X.shingle_sets(batch.column("text"), size))
+            yield pa.record_batch([batch.column("doc_id"), *(batch.column(c) for c in names), sets], ["doc_id", *names, "shingles"])
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(X.NULL_ID)).alias("doc_id"), "text")
-    sets = rows.withColumn("name", F.xxhash64("doc_id")).mapInArrow(pack, "doc_id long, n long, shingles binary").where("n > 0")
-    return sets.join(wanted, "doc_id")
+    kinds = ", ".join(f"{c} {t}" for c, t in wanted.dtypes if c != "doc_id")
+    joined = _only(rows, wanted).join(wanted, "doc_id").select("doc_id", *names, "text")
+    return joined.mapInArrow(pack, f"doc_id long, {kinds}, shingles binary").where("length(shingles) > 0")
 
 
 def _by_group(rows: DataFrame, groups: DataFrame, count: str) -> DataFrame:
@@ -374,27 +384,23 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     similar = written(leads.groupBy("doc_id").agg(F.max_by("lead", most).alias("group"), F.max_by("shares", most).alias("shares"),
                                                   F.sum("shares").alias("all"), F.min("least").alias("least"))
                       .where(F.col("all") >= enough(percent)).drop("all"), "groups")
-    sets = written(_sets(docs, size, similar), "sets")
-
-    compared = sets.where((F.col("group") != F.col("doc_id")) & (F.col("shares") >= enough(percent)))
-    sizes = compared.groupBy("group").agg(F.count("*").alias("rows"))
-    salts = F.ceil(F.col("rows") / HEAVY)
+    compared = similar.where((F.col("group") != F.col("doc_id")) & (F.col("shares") >= enough(percent)))
+    sizes = written(compared.groupBy("group").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / HEAVY).alias("salts")), "sizes")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c - 1))
-    row = ("group", "salt", "doc_id", "shingles")
-    asking = _by_group(compared.select("group", "doc_id", "shingles"), sizes, "rows").withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id"), salts)).select(*row)
-    heads = sets.select("doc_id", "shingles").join(sizes.withColumnRenamed("group", "doc_id"), "doc_id").select(
-        F.col("doc_id").alias("group"), upto(salts).alias("salt"), "doc_id", "shingles")
-    checked = (asking.union(heads).repartition(n_parts, "group", "salt")
-               .sortWithinPartitions("group", "salt", F.col("doc_id") != F.col("group")).mapInArrow(_verify(percent), "a long, b long"))
+    asking = _by_group(compared.select("group", "doc_id"), sizes, "rows").select(
+        "group", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"), "doc_id")
+    checks = written(asking.union(sizes.select("group", upto(F.col("salts")).alias("salt"), F.col("group").alias("doc_id"))), "checks")
+    checked = (_sets(docs, size, checks).repartition(n_parts, "group", "salt")
+               .sortWithinPartitions("group", "salt", F.col("doc_id") != F.col("group"))
+               .mapInArrow(_verify(percent), "a long, b long"))
     several = member.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z")
     same_id = several.select("doc_id", "a").join(member, "doc_id").select("a", F.col("class_id").alias("b"))
     first = components(checked.union(same_id), "components")
 
     placed = written(similar.join(first.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
                      .select("doc_id", "group", F.coalesce("root", "doc_id").alias("component"), "least"), "placed")
-    width = placed.join(sets.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id").groupBy("group").agg(
-        F.count("*").alias("members"), F.sum("n").alias("total"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    width = placed.groupBy("group").agg(F.count("*").alias("members"), F.sum("least").alias("total"),
+                                        F.min("component").alias("lo"), F.max("component").alias("hi"))
     width = written(width, "widths")
     wide = _by_group(placed, width.drop("total"), "members")
     located = holders.select("token", "doc_id").join(wide, "doc_id")
@@ -423,12 +429,12 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
                .select("group", upto(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "salts").alias("salt"),
                        "asks", "doc_id", "component"))
     work = written(lines.union(queries), "work")
-    opened = (work.join(sets.select("doc_id", "shingles"), "doc_id")
+    opened = (_sets(docs, size, work)
               .repartition(n_parts, "group", "block", "salt").sortWithinPartitions("group", "block", "salt", "asks", "doc_id")
               .mapInArrow(_open(percent), "a long, b long"))
     stars = first.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
     final = components(stars.union(opened), "joined")
-    forget(sets, placed, width, asked, shape, work)
+    forget(sizes, checks, placed, width, asked, shape, work)
     known = lambda c: F.expr(f"nullif({c}, {X.NULL_ID})")
     return (member.join(final.select(F.col("id").alias("class_id"), "root"), "class_id", "left")
             .select(known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"),

@@ -61,11 +61,11 @@ def bit_table(names: DataFrame) -> bytes:
         for c, table in tables.items():
             yield pa.record_batch([pa.array([c]), pa.array([table.tobytes()], pa.binary())], ["chunk", "bits"])
 
-    rows = names.mapInArrow(mark, "chunk long, bits binary").repartition("chunk").mapInArrow(join, "chunk long, bits binary")
-    table = bytearray(size // 8)
-    for r in rows.toLocalIterator():
-        table[r["chunk"] << 13:(r["chunk"] + 1) << 13] = r["bits"]
-    return bytes(table)
+    rows = names.coalesce(4).mapInArrow(mark, "chunk long, bits binary").mapInArrow(join, "chunk long, bits binary")
+    table = np.zeros(size // 8, np.uint8)
+    for r in rows.collect():                           # from each of the few tasks a table at most
+        table[r["chunk"] << 13:(r["chunk"] + 1) << 13] |= np.frombuffer(r["bits"], np.uint8)
+    return table.tobytes()
 
 
 def _runs(x: np.ndarray) -> tuple[list, list, list]:
