@@ -56,7 +56,7 @@ def test_labels(spark):
 
 
 def test_long_expressions_are_read_to_their_end(spark):
-    names = [f"license-{i:04d}" for i in range(600)]
+    names = [f"licenseref-{i:04d}" for i in range(600)]
     line = " AND ".join(names)
     assert len(line) > 4096 and evaluate(line)[0] == set(names)
     texts = [f"é SPDX-License-Identifier: {line}\ncode", f"SPDX-License-Identifier: ({line}) OR MIT */",
@@ -72,3 +72,35 @@ def test_long_expressions_are_read_to_their_end(spark):
 
 def test_empty(empty):
     assert scan_licenses(empty).count() == 0
+
+
+@pytest.mark.parametrize("word, licence", [
+    ("mit", True), ("gpl-2.0", True), ("gpl-2.0-only", True), ("gpl-2.0-or-later", True), ("gpl-2.0+", True), ("apache-2.0", True),
+    ("cc-by-nc-sa-4.0", True), ("bsd-3-clause", True), ("bsd-2-clause-patent", True), ("licenseref-acme", True), ("odc-by-1.0", True),
+    ("hello", False), ("tag", False), ("gpl", False), ("gpl-9.0", False), ("apache", False), ("cc-by", False), ("mit+", False), ("", False), ("-", False)])
+def test_known_identifiers(word, licence):
+    from thermalframe.llm.license_scan import known
+    assert known(word) == licence
+
+
+@pytest.mark.parametrize("bad", ["hello", "MIT OR tag", "MIT WITH Apache-2.0", "LLVM-exception", "MIT AND LLVM-exception", "LLVM-exception WITH MIT"])
+def test_unknown_words_are_refused(bad):
+    with pytest.raises(BadExpression):
+        evaluate(bad)
+
+
+def test_prose_behind_a_tag_gives_no_label(spark):
+    texts = ["SPDX-License-Identifier: hello world", "see SPDX-License-Identifier: tag in the header", "spdx-license-identifier: MIT hello",
+             "SPDX-License-Identifier: MIT SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier:MITSPDX-License-Identifier:ISC"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(df).collect()}
+    assert got == {0: ("", 0.0), 1: ("", 0.0), 2: ("mit", 1.0), 3: ("apache-2.0,mit", 1.0), 4: ("isc,mit", 1.0)}
+
+
+def test_tags_without_a_gap_take_time_by_length():
+    import time
+
+    from thermalframe.llm.license_scan import automata, scan
+    start = time.perf_counter()
+    scan(b"SPDX-License-Identifier:" * 40_000, *automata())
+    assert time.perf_counter() - start < 10

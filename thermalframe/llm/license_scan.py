@@ -4,7 +4,8 @@ Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters.
 as whole words, another the identifier tag in the text itself. What follows a tag on its line is an expression of
 licence identifiers with ``and``, ``or``, ``with`` and brackets; operators go through a stack in the order with, and,
 or, and the result is evaluated: its identifiers become labels, and it is permissive if it can be met by permissive
-licences alone. An expression that cannot be parsed gives no label.
+licences alone. An expression that cannot be parsed, or that has a word that is no known identifier, gives no label; it ends before
+the next tag at the latest, so the work is in proportion to the text.
 
 ``score`` is 1 for a valid expression, 0.9 for a notice with a version or variant, 0.6 for a plain licence name, else 0; the
 highest counts. Null and empty texts have no words, no labels and score 0. Every row is scanned by itself; only
@@ -35,6 +36,26 @@ NOTICES = {
 }
 PLAIN = {"bsd", "isc", "lgpl", "agpl", "mpl", "epl", "bsl", "cc0", "public-domain", "all-rights-reserved"}
 TAG = "spdx-license-identifier:"
+#: Identifiers by family: versions of each; a family's identifier is ``family-version``.
+VERSIONS = {
+    "gpl": "1.0 2.0 3.0", "lgpl": "2.0 2.1 3.0", "agpl": "1.0 3.0", "gfdl": "1.1 1.2 1.3", "apache": "1.0 1.1 2.0", "mpl": "1.0 1.1 2.0",
+    "epl": "1.0 2.0", "cpl": "1.0", "cddl": "1.0 1.1", "eupl": "1.0 1.1 1.2", "artistic": "1.0 2.0", "afl": "1.1 1.2 2.0 2.1 3.0",
+    "osl": "1.0 1.1 2.0 2.1 3.0", "bsl": "1.0", "cecill": "1.0 1.1 2.0 2.1", "cc0": "1.0", "python": "2.0", "psf": "2.0", "ofl": "1.0 1.1",
+    "zpl": "1.1 2.0 2.1", "upl": "1.0", "php": "3.0 3.01", "ecl": "1.0 2.0", "odbl": "1.0", "odc-by": "1.0", "pddl": "1.0", "blueoak": "1.0.0",
+    "lppl": "1.0 1.1 1.2 1.3a 1.3c", "ms": "pl rl", "bsd": "1-clause 2-clause 3-clause 4-clause 2-clause-patent 3-clause-clear",
+    "unicode": "3.0 dfs-2015 dfs-2016", "busl": "1.1", "sspl": "1.0", "elastic": "2.0", "mulanpsl": "1.0 2.0", "ncgl-uk": "2.0", "ogl-uk": "1.0 2.0 3.0",
+    **{f"cc-by{x}": "1.0 2.0 2.5 3.0 4.0" for x in ("", "-sa", "-nc", "-nd", "-nc-sa", "-nc-nd")},
+}
+#: Identifiers without a version.
+UNVERSIONED = frozenset("mit mit-0 mit-cmu isc zlib unlicense 0bsd x11 ncsa wtfpl postgresql openssl curl libpng libpng-2.0 ruby vim w3c hpnd icu "
+                        "ijg json sleepycat tcl fsfap ftl beerware".split())
+#: Exceptions that may follow ``with``.
+EXCEPTIONS = frozenset(
+    "classpath-exception-2.0 llvm-exception gcc-exception-2.0 gcc-exception-3.1 bison-exception-2.2 autoconf-exception-2.0 "
+    "autoconf-exception-3.0 font-exception-2.0 linux-syscall-note openvpn-openssl-exception u-boot-exception-2.0 wxwindows-exception-3.1 "
+    "swift-exception libtool-exception ocaml-lgpl-linking-exception qt-gpl-exception-1.0 qt-lgpl-exception-1.1 openjdk-assembly-exception-1.0 "
+    "gpl-3.0-linking-exception lgpl-3.0-linking-exception ecos-exception-2.0 freertos-exception-2.0 mif-exception nokia-qt-exception-1.1 "
+    "bootloader-exception cryptsetup-openssl-exception universal-foss-exception-1.0".split())
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "bsl", "zlib", "unlicense", "cc0", "cc-by-3", "cc-by-4", "0bsd", "python", "psf")
 RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -47,6 +68,22 @@ class BadExpression(ValueError):
     pass
 
 
+def known(identifier: str) -> bool:
+    """Whether a lower-case word is a licence identifier: a listed one, its ``+``, ``-only`` or ``-or-later`` form, or a custom reference."""
+    if identifier.startswith(("licenseref-", "documentref-")):
+        return True
+    plain = identifier.removesuffix("+").removesuffix("-only").removesuffix("-or-later")
+    if plain in UNVERSIONED:
+        return identifier == plain
+    family, _, version = plain.partition("-")
+    while family not in VERSIONS or version not in VERSIONS[family].split():
+        more, _, version = version.partition("-")
+        if not version:
+            return False
+        family += "-" + more
+    return True
+
+
 def postfix(expression: str) -> list[str]:
     """Identifiers and operators in postfix order."""
     out: list[str] = []
@@ -87,31 +124,38 @@ def evaluate(expression: str) -> tuple[set[str], bool]:
     stack: list[tuple[set[str], bool, bool]] = []     # labels, permissive, a single licence
     for token in postfix(expression):
         if token not in RANK:
+            if not known(token) and token not in EXCEPTIONS:
+                raise BadExpression(expression)
             stack.append(({token}, token.startswith(PERMISSIVE), True))
             continue
         (right, free_right, one_right), (left, free_left, one_left) = stack.pop(), stack.pop()
         if token == "with":
-            if not (one_left and one_right):
+            if not (one_left and one_right) or min(right) not in EXCEPTIONS or min(left) in EXCEPTIONS:
                 raise BadExpression(expression)
             stack.append(({f"{min(left)} with {min(right)}"}, free_left, False))
         else:
             free = free_left and free_right if token == "and" else free_left or free_right
             stack.append((left | right, free, False))
+        if token != "with" and (left | right) & EXCEPTIONS:
+            raise BadExpression(expression)
     labels, free, _ = stack.pop()
+    if labels & EXCEPTIONS:
+        raise BadExpression(expression)
     return labels, free
 
 
 _part = re.compile(r"\s*+(?:(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*+)|\S?)")
 
 
-def expression_after(text: str, at: int = 0) -> str:
-    """What may belong to an expression from a position to the end of its line, as far as it goes.
+def expression_after(text: str, at: int = 0, limit: int | None = None) -> str:
+    """What may belong to an expression from a position to the end of its line or to ``limit``, as far as it goes.
 
     Nothing is cut or copied: the walk stops at the first part that does not fit.
     """
-    end = text.find("\n", at)
+    limit = len(text) if limit is None else limit
+    end = text.find("\n", at, limit)
     tokens, depth, operand = [], 0, True
-    for m in _part.finditer(text, at, len(text) if end < 0 else end):
+    for m in _part.finditer(text, at, limit if end < 0 else end):
         token = m[1]
         if token is None:
             break
@@ -165,8 +209,9 @@ def scan(text: bytes, phrases: ahocorasick.Automaton, tags: ahocorasick.Automato
     if b":" in text:
         plain = text.decode("utf-8", "ignore")
         low = text.translate(_lower_bytes).decode("utf-8", "ignore")      # as long as ``plain``
-        for end, _ in tags.iter(low):
-            expression = expression_after(plain, end + 1)
+        ends = [end + 1 for end, _ in tags.iter(low)]
+        for end, following in zip(ends, [*(e - len(TAG) for e in ends[1:]), len(plain)]):        # up to the next tag
+            expression = expression_after(plain, end, following)
             try:
                 more, permissive = evaluate(expression)
             except BadExpression:
