@@ -1,8 +1,11 @@
 import collections
+import itertools
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import brute
 from thermalframe.llm import packing
@@ -59,7 +62,7 @@ def test_search_empties_bins():
     before = sum(f * f for f in poor.fill)
     poor.run()
     assert sum(f * f for f in poor.fill) > before and sum(1 for b in poor.bins if b) <= 5
-    assert poor.fill == [sum(lengths[i] for i in b) for b in poor.bins]
+    assert poor.fill.tolist() == [sum(lengths[i] for i in b) for b in poor.bins]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -71,5 +74,36 @@ def test_near_the_bound(seed):
     assert len(bins) <= -(-lengths.sum() // 2048) * 1.003 + 1
 
 
+def has_step(bins, lengths, capacity):
+    """Whether any move, one-for-one or two-for-one exchange raises the sum of squared fills."""
+    fills = [sum(lengths[i] for i in b) for b in bins]
+    for s, source in enumerate(bins):
+        outs = [lengths[i] for i in source] + [lengths[i] + lengths[j] for i, j in itertools.combinations(source, 2)]
+        for t, target in enumerate(bins):
+            for out, back in itertools.product(outs, [0, *(lengths[j] for j in target)]):
+                d = out - back
+                if s != t and 0 < d <= capacity - fills[t] and d * (fills[t] - fills[s] + d) > 0:
+                    return True
+    return False
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=25))
+def test_no_step_is_left(lengths):
+    sizes = np.array(lengths)
+    search = packing.Search([[i] for i in range(len(sizes))], sizes, 30)
+    search.run()
+    assert sorted(i for b in search.bins for i in b) == list(range(len(sizes)))
+    assert all(f <= 30 for f in search.fill)
+    assert not has_step([b for b in search.bins if b], lengths, 30)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_search_saves_sequences_where_best_fit_leaves_room(seed):
+    lengths = np.random.default_rng(seed).integers(520, 1025, 3000)
+    plain = len(packing.best_fit(lengths, 2048))
+    assert len(packing.pack(lengths, 2048)) <= plain * 0.97
+
+
 def test_empty(empty):
     assert packing.pack_documents(empty, PATH).count() == 0

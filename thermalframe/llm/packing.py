@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,6 @@ from thermalframe.llm.store import written
 WINDOW = 6_000_000          # token ids packed together
 CLOSED = 0.995              # fill from which a bin is left as it is
 CACHE_WORDS = 400_000       # words whose ids a worker remembers before it starts again, and half as many more without punctuation
-PASSES = 50                 # passes of the local search over the emptiest bins, at most
 
 _blank = re.compile(r"[\t-\r ]+")
 _control = re.compile(r"[\x1c-\x1f]")
@@ -147,55 +145,84 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 class Search:
-    """Underfull bins under moves and exchanges that raise the sum of squared fills."""
+    """Underfull bins under moves and exchanges that raise the sum of squared fills.
+
+    A step takes one or two pieces out of a source and puts one piece of the target, or none, back. All underfull bins
+    are targets, all pieces and pairs of the source are tried against all their pieces at once, and the step of
+    largest gain is made. Every step raises an integer sum that is bounded, so the search ends; it ends only when no
+    underfull bin has a step left.
+    """
 
     def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int) -> None:
-        self.size, self.capacity = lengths.tolist(), capacity
-        self.bins = bins
-        self.fill = [sum(self.size[i] for i in b) for b in bins]
-
-    def improve(self, source: int, targets: list[int]) -> bool:
-        """One step that takes tokens from ``source`` to a fuller bin; False if there is none."""
-        size, held = self.size, sorted(self.bins[source], key=lambda i: -self.size[i])
-        room = {t: self.capacity - self.fill[t] for t in targets if t != source}
+        self.size, self.capacity, self.bins = np.asarray(lengths, np.int64), capacity, bins
+        self.fill = np.array([self.size[b].sum() for b in bins], np.int64)
+        self.open = [b for b, f in enumerate(self.fill.tolist()) if f < capacity]
+        inside = np.array([i for b in self.open for i in bins[b]], np.int64)
+        home = np.array([b for b in self.open for _ in bins[b]], np.int64)
+        # one slot a piece, and one empty slot a bin (size 0), which stands for a move
+        self.piece = np.r_[inside, np.full(len(self.open), -1)]
+        self.owner = np.r_[home, np.array(self.open, np.int64)]
+        self.held = np.r_[self.size[inside], np.zeros(len(self.open), np.int64)]
+        self.slot = dict(zip(inside.tolist(), range(len(inside))))
+
+    def improve(self, source: int) -> bool:
+        """The best step that takes tokens from ``source`` to a bin which it leaves fuller than the source was."""
+        sizes: dict[int, list[int]] = {}
+        for i in self.bins[source]:
+            sizes.setdefault(int(self.size[i]), []).append(i)
+        outs: dict[int, list[int]] = {}                     # tokens out -> pieces out, single pieces first
+        for x, same in sizes.items():
+            outs[x] = same[:1]
+        distinct = list(sizes)
+        for k, x in enumerate(distinct):
+            if len(sizes[x]) > 1:
+                outs.setdefault(2 * x, sizes[x][:2])
+            for y in distinct[k + 1:]:
+                outs.setdefault(x + y, [sizes[x][0], sizes[y][0]])
+        fill = self.fill[self.owner]
+        room, edge = self.capacity - fill, fill - self.fill[source]
+        room[self.owner == source] = 0
+        totals = np.array(list(outs), np.int64)
         best, step = 0, None
-        for t, free in room.items():
-            # moving d from source to target changes the squares by 2 d (fill_t - fill_s + d)
-            edge = self.fill[t] - self.fill[source]
-            inner = sorted((size[j], j) for j in self.bins[t])
-            for k, i in enumerate(held):
-                if size[i] <= free and (gain := size[i] * (edge + size[i])) > best:
-                    best, step = gain, ([i], [], t)
-                for out in (held[k:k + 1], [i, held[k + 1]] if k + 1 < len(held) else []):
-                    total = sum(size[x] for x in out)
-                    at = bisect_left(inner, (total - free, -1)) if out else len(inner)
-                    if at < len(inner) and 0 < (d := total - inner[at][0]) and (gain := d * (edge + d)) > best:
-                        best, step = gain, (out, [inner[at][1]], t)
+        rows = max(1, (1 << 20) // len(self.held))
+        for at in range(0, len(totals), rows):
+            moved = totals[at:at + rows, None] - self.held
+            gain = np.where((moved > 0) & (moved <= room), moved * (edge + moved), 0)
+            top = int(gain.argmax())
+            if gain.flat[top] > best:
+                best, step = gain.flat[top], (int(totals[at + top // len(self.held)]), top % len(self.held))
         if step is None:
             return False
-        out, back, t = step
-        self.bins[source] = [i for i in self.bins[source] if i not in out] + back
-        self.bins[t] = [i for i in self.bins[t] if i not in back] + out
-        moved = sum(size[i] for i in out) - sum(size[i] for i in back)
-        self.fill[source] -= moved
-        self.fill[t] += moved
+        total, slot = step
+        target, back, out = int(self.owner[slot]), int(self.piece[slot]), outs[total]
+        self._hand_over(out, source, target)
+        if back >= 0:
+            self._hand_over([back], target, source)
         return True
 
-    def run(self, width: int = 64) -> None:
-        """Empties the emptiest bins into the ``width`` bins with most room after them, until nothing improves."""
-        order: list[tuple[int, int]] = []
-        for b, f in enumerate(self.fill):
-            if f < self.capacity:
-                insort(order, (f, b))
-        for _ in range(PASSES):
-            order = sorted((self.fill[b], b) for _, b in order if 0 < self.fill[b] < self.capacity)
-            if len(order) < 2:
-                break
-            source = next((b for _, b in order[:8] if self.improve(b, [t for _, t in order[:width]])), None)
-            if source is None:
-                break
-            while self.bins[source] and self.improve(source, [t for _, t in order[:width]]):
-                pass
+    def _hand_over(self, pieces: list[int], source: int, target: int) -> None:
+        for i in pieces:
+            self.bins[source].remove(i)
+            self.bins[target].append(i)
+            self.owner[self.slot[i]] = target
+        moved = self.size[pieces].sum()
+        self.fill[source] -= moved
+        self.fill[target] += moved
+
+    def run(self) -> None:
+        """Drains the emptiest bins first, over and over, until no underfull bin has a step."""
+        again = len(self.open) > 1
+        while again:
+            again = False
+            for b in sorted(self.open, key=lambda b: (self.fill[b], b)):
+                while self.bins[b] and self.improve(b):
+                    again = True
+            gone = {b for b in self.open if not self.bins[b]}
+            if gone:                                        # an emptied bin is no target any more
+                self.open = [b for b in self.open if b not in gone]
+                stay = ~np.isin(self.owner, list(gone))
+                self.piece, self.owner, self.held = self.piece[stay], self.owner[stay], self.held[stay]
+                self.slot = {i: at for at, i in enumerate(self.piece.tolist()) if i >= 0}
 
 
 def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
