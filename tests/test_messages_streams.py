@@ -62,14 +62,14 @@ def test_counter_over_several_batches_equals_row_index(spark):
     for lo in (0, 100, 250):           # three arrivals, one micro-batch each
         df.where(f"k >= {lo} and k < {dict([(0, 100), (100, 250), (250, 400)])[lo]}").write.mode("append").parquet(f"{base}/in")
         stream = jobs.file_stream(spark, f"{base}/in", df.schema)
-        jobs.drain(jobs.count_rows(stream, "k", "unit"), chk, jobs.to_folder(out))
-    got = {(r["unit"], r["k"]): r["time_index"] for r in spark.read.parquet(out).collect()}
+        jobs.drain(stream, chk, jobs.count_rows_to(out, "k", "unit"))
+    got = {(r["unit"], r["k"]): r["time_index"] for r in spark.read.parquet(f"{out}/rows").collect()}
     want = {}
     for k in range(400):
         u = "b" if k % 5 == 0 else "hot"
         want[(u, k)] = sum(1 for (v, _) in want if v == u)
     assert got == want
-    assert spark.read.parquet(out).select("batch").distinct().count() == 3
+    assert spark.read.parquet(f"{out}/rows").select("batch").distinct().count() == 3
 
 
 STREAMED = {"stream_sensor_messages": None, "stream_parse": None, "stream_row_counter": None, "stream_retained_latest": "retained_latest",

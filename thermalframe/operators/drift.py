@@ -14,6 +14,7 @@ from thermalframe.functions.scalars import ratio, to_long
 from thermalframe.operators.metrics import regression_metrics
 from thermalframe.operators.quantiles import (grouped_quantiles, kolmogorov_p, ks_distance, ks_of, quantiles_of, ranged,
                                               value_counts)
+from thermalframe.session import cut_lineage
 
 BINS = 10
 
@@ -31,6 +32,21 @@ def bin_edges(reference_long: DataFrame, bins: int = BINS, key: str = "feature",
     return _distinct_edges(grouped_quantiles(reference_long, [key], value, _grid(bins)), key)
 
 
+#: Rows up to which a table of one row a feature is sent to all tasks.
+SMALL_ROWS = 1_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table`` marked for broadcast if it has at most ``SMALL_ROWS`` rows, which are counted; else written once.
+
+    Long rows then meet the few edges where they are, instead of moving to one task a feature.
+    """
+    rows = table.limit(SMALL_ROWS + 1).collect()
+    if len(rows) > SMALL_ROWS:
+        return cut_lineage(table)
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+
+
 def _grid(bins: int) -> list[float]:
     return [i / bins for i in range(bins + 1)]
 
@@ -66,8 +82,7 @@ def psi_expr(bins: int = BINS) -> Column:
 def side_stats(counts: DataFrame, edges: DataFrame, key: str = "feature", bins: int = BINS) -> DataFrame:
     """Bin counts, sizes, means and deviations of both sides from ``value_counts``: one aggregation.
 
-    The edge table has one short row per feature and is broadcast by Spark while
-    it is below the broadcast limit.
+    The edge table has one short row per feature and comes marked for broadcast where its rows were counted.
     """
     v = F.col("v")
     placed = (counts.join(edges, key).withColumn("__bin", bin_of(v, F.col("edges")))
@@ -102,7 +117,7 @@ def counts_and_edges(long: DataFrame, bins: int = BINS, key: str = "feature") ->
     The table is scanned once; all drift statistics come from the written counts.
     """
     counts = ranged(value_counts(long, key, "value", F.col("is_ref")), [key])
-    return counts, _distinct_edges(quantiles_of(counts, [key], "r", _grid(bins)), key)
+    return counts, small(_distinct_edges(quantiles_of(counts, [key], "r", _grid(bins)), key))
 
 
 def psi(long: DataFrame, bins: int = BINS, key: str = "feature") -> DataFrame:
@@ -290,4 +305,9 @@ def drift_by_window(current: DataFrame, edges: DataFrame, reference_counts: Data
 def reference_bins(reference_long: DataFrame, edges: DataFrame, bins: int = BINS) -> DataFrame:
     """(feature, bins, n_ref, r1..rN): the static side of windowed drift."""
     counts = value_counts(reference_long, "feature", "value", F.lit(True))
+    return bins_of(counts, edges, bins)
+
+
+def bins_of(counts: DataFrame, edges: DataFrame, bins: int = BINS) -> DataFrame:
+    """(feature, bins, n_ref, r1..rN) from value counts, which ``counts_and_edges`` has already."""
     return side_stats(counts, edges, bins=bins).select("feature", "bins", "n_ref", *[f"r{j}" for j in range(1, bins + 1)])

@@ -438,6 +438,10 @@ def oracles() -> dict[str, str]:
       UNION ALL SELECT * FROM ({union("SELECT 'constant', '{c}', CASE WHEN count(DISTINCT {c}) <= 1 THEN 1e0 ELSE 0e0 END AS n FROM sensors", SENSORS)}) WHERE n > 0
       UNION ALL SELECT * FROM ({union("SELECT 'infinite', '{c}', CAST(count(*) FILTER (isinf({c})) AS DOUBLE) AS n FROM sensors", SENSORS)}) WHERE n > 0""")
     add("duplicate_rows", "", "SELECT (SELECT count(*) FROM lineitem) - count(*) AS duplicates FROM (SELECT DISTINCT * FROM lineitem)")
+    q["duplicate_rows_by_digest"] = q["duplicate_rows"]
+    add("profile_from_daily_states", READINGS, union(
+        "SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing, round(min({c}), 4) AS minimum, round(max({c}), 4) AS maximum, "
+        "round(avg({c}), 4) AS mean, CASE WHEN count({c}) > 0 THEN true END AS distinct_within_7_pct, CASE WHEN count({c}) > 0 THEN true END AS median_within_3_pct FROM sensors", SENSORS))
     add("constant_columns", READINGS, union("SELECT '{c}' AS \"column\", count(DISTINCT {c}) <= 1 AS constant FROM (SELECT *, 7e0 AS FIXED FROM sensors)", [*SENSORS, "FIXED"]))
     wide = "(SELECT *, CASE WHEN sample_id % 3 = 0 THEN 1e0 ELSE 0e0 END AS MOSTLY0 FROM sensors)"
     more = [*SENSORS, "MOSTLY0"]
@@ -640,6 +644,11 @@ p2 AS (SELECT split, UCAOT, UCWOT, UCAF, UCAOT_pred, UCWOT_pred, UCAF_pred,
     add("stream_parse", MESSAGES, "SELECT topic, CASE WHEN broken THEN 'dead' ELSE 'good' END AS branch, count(*) AS rows FROM topics GROUP BY 1, 2")
     add("topic_route", MESSAGES, """SELECT topic, pattern, handler, count(*) AS rows FROM topics JOIN (VALUES ('hvac/sensors/#', 'sensor', '^hvac/sensors(/.*)?$'), ('hvac/alerts/+', 'alert', '^hvac/alerts/[^/]+$'),
       ('hvac/status', 'status', '^hvac/status$'), ('hvac/#', 'audit', '^hvac(/.*)?$')) r(pattern, handler, re) ON regexp_matches(topic, re) GROUP BY 1, 2, 3""")
+    add("topic_route_trie", "", """SELECT 'plant/+/' || c_custkey || '/#' AS pattern, 'customer' AS handler, count(*) AS rows FROM events JOIN customer ON user_id = c_custkey WHERE event_type <> '' GROUP BY 1, 2
+      UNION ALL SELECT 'plant/view/+/' || n_nationkey, 'nation', count(*) FROM events JOIN nation ON event_id % 25 = n_nationkey WHERE event_type = 'view' AND user_id IS NOT NULL GROUP BY 1, 2
+      UNION ALL SELECT 'plant/#', 'audit', count(*) FROM events""")
+    add("late_rows", "", """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events WHERE event_id % 100 = 0
+      AND ts < (SELECT max(ts) FROM events WHERE event_id % 100 <> 0) - INTERVAL 1 DAY""")
     q["stream_row_counter"] = q["row_index"]
     window_text = "strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start"
     add("drift_by_window", DRIFT_CTE + _WINDOWED, f"SELECT {window_text}, feature, n_cur, round(psi, 4) AS psi FROM wpsi")

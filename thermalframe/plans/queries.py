@@ -16,7 +16,7 @@ from thermalframe import config as C
 from thermalframe.functions import cleaning, features, physics
 from thermalframe.functions.scalars import to_long
 from thermalframe.operators import (blocks, clean, drift, importance, messages, metrics, models, profile,
-                                    quantiles, rules, scale, split)
+                                    quantiles, rules, scale, sketches, split, topics)
 from thermalframe.plans import pipeline
 from thermalframe.session import cut_lineage, work_path
 from thermalframe.sources import io
@@ -420,7 +420,7 @@ def join_regime_scaler(spark, d):
 @query("join_bins")
 def join_bins(spark, d):
     long = tagged(spark, d)
-    edges = drift.bin_edges(long.where("is_ref"))
+    edges = drift.small(drift.bin_edges(long.where("is_ref")))
     placed = long.where("value is not null").join(edges, "feature").withColumn("bin", drift.bin_of(F.col("value"), F.col("edges")))
     return placed.groupBy("feature", "is_ref", F.col("bin").cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
 
@@ -461,6 +461,28 @@ def duplicate_rows(spark, d):
     return profile.duplicate_rows(line, line.columns)
 
 
+@query("duplicate_rows_by_digest")
+def duplicate_rows_by_digest(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    return profile.duplicate_rows_by_digest(lines, lines.columns)
+
+
+@query("profile_from_daily_states")
+def profile_from_daily_states(spark, d):
+    """Profile merged from states of single days, and whether its estimates are within their bounds."""
+    path = work_path(spark, "daily-states")
+    rows = sensors(spark, d).withColumn("day", F.to_date("ts")).select("day", *S)
+    sketches.keep(rows, S, "day", path)
+    found = cut_lineage(sketches.profile_of(sketches.merged(spark.read.parquet(path))))
+    long = to_long(rows, S, name="column").where("value is not null").join(drift.small(found.select("column", "q50")), "column")
+    exact = long.groupBy("column").agg(F.count_distinct("value").alias("d"), F.avg((F.col("value") < F.col("q50")).cast("int")).alias("below"),
+                                       F.avg((F.col("value") <= F.col("q50")).cast("int")).alias("up_to"))
+    both = found.join(exact, "column", "left")
+    near = F.abs(F.col("distinct_estimate") - F.col("d")) <= 0.07 * F.col("d")
+    return rounded(both.select("column", "rows", "missing", "minimum", "maximum", "mean", near.alias("distinct_within_7_pct"),
+                               ((F.col("below") <= 0.53) & (F.col("up_to") >= 0.47)).alias("median_within_3_pct")))
+
+
 @query("constant_columns")
 def constant_columns(spark, d):
     return profile.constant_columns(readings(spark, d).withColumn("FIXED", F.lit(7.0)), [*S, "FIXED"])
@@ -987,6 +1009,18 @@ def topic_route(spark, d):
         F.count(F.lit(1)).alias("rows"))
 
 
+@query("topic_route_trie")
+def topic_route_trie(spark, d):
+    """Every customer, nation and the whole plant as patterns over one topic per kind, user and line of the events."""
+    live = events(spark, d).select(F.concat_ws("/", F.lit("plant"), "event_type", F.col("user_id").cast("string"),
+                                               (F.col("event_id") % 25).cast("string")).alias("topic"))
+    customer, nation = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "nation"))
+    routes = customer.select(F.concat(F.lit("plant/+/"), "c_custkey", F.lit("/#")).alias("pattern"), F.lit("customer").alias("handler"))
+    routes = routes.union(nation.select(F.concat(F.lit("plant/view/+/"), "n_nationkey"), F.lit("nation")))
+    routes = routes.union(spark.createDataFrame([("plant/#", "audit"), ("plant/+", "none")], routes.schema))
+    return topics.route_by_trie(live, routes).groupBy("pattern", "handler").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("stream_score")
 def stream_score(spark, d):
     """Leak-free features, scaled, predicted and scaled back on every micro-batch; the power is of raw readings."""
@@ -1008,15 +1042,14 @@ def stream_score(spark, d):
 def stream_row_counter(spark, d):
     base = work_path(spark, "counter")
     live = sensor_view(event_stream(spark, d)).select(ORDER, UNIT)
-    jobs.drain(jobs.count_rows(live, ORDER, UNIT), f"{base}/checkpoint", jobs.to_folder(f"{base}/out"))
-    return spark.read.parquet(f"{base}/out").drop("batch")
+    jobs.drain(live, f"{base}/checkpoint", jobs.count_rows_to(f"{base}/out", ORDER, UNIT))
+    return spark.read.parquet(f"{base}/out/rows").drop("batch")
 
 
 def window_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = parts(spark, d, "train")
-    ref = to_long(rows, DRIFT)
-    edges = drift.bin_edges(ref)
-    return edges, drift.reference_bins(ref, edges)
+    counts, edges = drift.counts_and_edges(to_long(rows, DRIFT).withColumn("is_ref", F.lit(True)))
+    return edges, drift.small(drift.bins_of(counts, edges))
 
 
 def live_long(e: DataFrame) -> DataFrame:
@@ -1066,6 +1099,19 @@ def stream_retained_latest(spark, d):
             .select("topic", "payload", text_ts("ts").alias("ts")))
 
 
+@query("late_rows")
+def late_rows(spark, d):
+    """The events behind the watermark, by themselves: on-time rows come first, every 100th row afterwards."""
+    base = work_path(spark, "late-rows")
+    rows = events(spark, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    late = F.col("event_id") % 100 == 0
+    for name, part in (("on_time", rows.where(~late)), ("after", rows.where(late))):
+        part.write.parquet(f"{base}/in/{name}")
+        live = spark.readStream.schema("event_id bigint, ts timestamp").parquet(f"{base}/in/*")
+        jobs.drain(live, f"{base}/checkpoint", jobs.split_late_to(f"{base}/out", "ts", "1 day"))
+    return spark.read.parquet(f"{base}/out/rows").where("branch = 'late'").select("event_id", text_ts("ts").alias("ts"))
+
+
 @query("late_data")
 def late_data(spark, d):
     """On-time rows first, every 100th row afterwards: those behind the watermark must be dropped."""

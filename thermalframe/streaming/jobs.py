@@ -6,18 +6,17 @@ batch that is run again after a failure replaces its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from thermalframe.operators import drift
+from thermalframe.operators import blocks, drift
 from thermalframe.operators.messages import parse_messages, retained_latest
 from thermalframe.operators.models import Bundle, predict_all
+from thermalframe.session import cut_lineage
 
 
 FILES_PER_BATCH = 64
@@ -76,20 +75,56 @@ def score(stream: DataFrame, bundle: Bundle, features: Sequence[str]) -> DataFra
     return predict_all(stream, bundle, features)
 
 
-def count_rows(stream: DataFrame, order: str, unit: str) -> DataFrame:
-    """Adds ``time_index``: the running sample number per unit over the whole stream, in the engine's keyed state.
+def _before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What the batch before left at ``path``; None for the first. A missing table is an error, not a fresh start."""
+    return spark.read.parquet(f"{path}/batch={batch_id - 1}") if batch_id else None
 
-    A unit's rows of one micro-batch are numbered in their order; a micro-batch bounds what is held of a unit.
+
+def _forget(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Deletes what a batch left that no repeated batch can ask for any more."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id - 2}")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def count_rows_to(path: str, order: str, unit: str) -> Callable[[DataFrame, int], None]:
+    """Sink that adds ``time_index``, the running sample number per unit over the whole stream, and writes to ``path/rows``.
+
+    A micro-batch is numbered by blocks of rows, so a busy unit spreads over tasks; only the totals per unit pass from
+    one batch to the next, as a table at ``path/totals``. A batch that is run again reads the same totals.
     """
-    fields = T.StructType([*stream.schema.fields, T.StructField("time_index", T.LongType())])
+    def write(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        new = cut_lineage(rows)
+        before = _before(spark, f"{path}/totals", batch_id)
+        if before is None:
+            before = spark.createDataFrame([], T.StructType([rows.schema[unit], T.StructField("__before", T.LongType())]))
+        before = before.withColumnRenamed(unit, "__unit")
+        numbered = blocks.row_index(new, order, [unit]).join(before, F.col(unit).eqNullSafe(F.col("__unit")), "left")
+        index = (F.col("time_index") + F.coalesce("__before", F.lit(0))).cast("bigint")
+        numbered.select(*rows.columns, index.alias("time_index")).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        counts = new.groupBy(F.col(unit).alias("__unit")).agg(F.count(F.lit(1)).alias("__before"))
+        (before.unionByName(counts).groupBy(F.col("__unit").alias(unit)).agg(F.sum("__before").alias("__before"))
+         .write.mode("overwrite").parquet(f"{path}/totals/batch={batch_id}"))
+        _forget(spark, f"{path}/totals", batch_id)
+    return write
+
 
-    def number(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values(order)
-        before = state.get[0] if state.exists else 0
-        state.update((before + len(rows),))
-        yield rows.assign(time_index=range(before, before + len(rows)))
+def split_late_to(path: str, ts: str, delay: str) -> Callable[[DataFrame, int], None]:
+    """Sink that writes rows to ``path/rows`` by ``branch``: ``good``, ``late`` or ``untimed`` (no time).
 
-    return stream.groupBy(unit).applyInPandasWithState(number, fields, "n long", "append", GroupStateTimeout.NoTimeout)
+    A row is late if its time lies more than ``delay`` before the newest time of all earlier batches, which is the
+    engine's watermark before the batch. That time alone is kept between batches, at ``path/seen``.
+    """
+    def write(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        before = _before(spark, f"{path}/seen", batch_id)
+        seen = before.first()["seen"] if before is not None else None
+        newest = F.lit(seen).cast("timestamp")
+        branch = F.when(F.col(ts).isNull(), "untimed").when(F.col(ts) < newest - F.expr(f"interval {delay}"), "late").otherwise("good")
+        rows.withColumn("branch", branch).write.mode("overwrite").partitionBy("branch").parquet(f"{path}/rows/batch={batch_id}")
+        rows.agg(F.greatest(F.max(ts).cast("timestamp"), newest).alias("seen")).write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+        _forget(spark, f"{path}/seen", batch_id)
+    return write
 
 
 def latest_retained(stream: DataFrame, tie: str | None = None) -> DataFrame:
