@@ -137,28 +137,31 @@ def pieces(docs, path, capacity=2048):
     return out
 
 
-def lm(docs, mu, folds=5, fold=1):
-    """[(id, held_out, n_tokens, n_known, train_tokens, base_score, score)] of (id, text) rows, with pairs of tokens."""
+def lm(docs, mu, folds=5, fold=1, order=2):
+    """[(id, held_out, n_tokens, n_known, train_tokens, base_score, score)] of (id, text) rows, with n-grams up to ``order``."""
     import collections
     import math
     import zlib
-    one, two = collections.Counter(), collections.Counter()
+    seen = collections.Counter()
     seqs = []
     for i, text in docs:
         held = zlib.crc32(("" if i is None else str(i)).encode()) % folds == fold
-        seq = [0, *words(text), 1]
+        seq = (0, *words(text), 1)
         seqs.append((i, held, seq))
         if not held:
-            one.update(seq)
-            two.update(zip(seq, seq[1:]))
-    n = sum(c for w, c in one.items() if w != 0)
-    v = sum(w != 0 for w in one)
+            seen.update(seq[a:a + k] for k in range(1, order + 1) for a in range(len(seq) - k + 1))
+    n = sum(c for g, c in seen.items() if len(g) == 1 and g != (0,))
+    v = sum(len(g) == 1 and g != (0,) for g in seen)
     out = []
     for i, held, seq in seqs:
         base = score = 0.0
-        for h, w in zip(seq, seq[1:]):
-            p = (one[w] + 0.5) / (n + 0.5 * (v + 1))
+        for at in range(1, len(seq)):
+            p = (seen[seq[at],] + 0.5) / (n + 0.5 * (v + 1))
             base += math.log10(p)
-            score += math.log10((two[h, w] + mu * p) / (one[h] + mu) if one[h] else p)
-        out.append((i, held, len(seq) - 1, sum(one[w] > 0 for w in seq[1:]), n, base, score))
+            for k in range(1, order):
+                context = seq[at - k:at] if at >= k else ()
+                if context and seen[context]:
+                    p = (seen[context + (seq[at],)] + mu * p) / (seen[context] + mu)
+            score += math.log10(p)
+        out.append((i, held, len(seq) - 1, sum(seen[w,] > 0 for w in seq[1:]), n, base, score))
     return out

@@ -15,14 +15,17 @@ def close(got, want):
     assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9, atol=1e-9)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 700])
-def test_equals_plain_version(spark, texts, monkeypatch, block):
+@pytest.mark.parametrize("block, order, stretch", [(2_000_000, 2, 512), (700, 2, 3), (2_000_000, 3, 512), (700, 3, 5), (2_000_000, 4, 4), (700, 1, 1)])
+def test_equals_plain_version(spark, texts, monkeypatch, block, order, stretch):
+    """Blocks of any size, models of any order, and documents walked whole or in short stretches."""
     monkeypatch.setattr(lm_score, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(lm_score, "STRETCH", stretch)
     rows = [r for r in texts if r[0] != 8] + [(None, "a b a b"), (13, "one"), (13, "one")] + [(400 + i, "the cat sat on the mat " * 200) for i in range(9)]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, tokens int, score string").repartition(4).persist()
-    got = rows_of(lm_score.score_documents(df))
-    close(got, brute.lm(rows, lm_score.MU))
-    assert sum(r[6] for r in got) > sum(r[5] for r in got)
+    got = rows_of(lm_score.score_documents(df, order=order))
+    close(got, brute.lm(rows, lm_score.MU, order=order))
+    if order > 1:
+        assert sum(r[6] for r in got) > sum(r[5] for r in got)
 
 
 def test_probabilities_add_up(spark):
@@ -64,5 +67,27 @@ def test_other_orders(spark, order):
         assert sum(r.score for r in got) > sum(r.score for r in lm_score.score_documents(df).collect())
 
 
+def test_states_and_arcs():
+    """The automaton of "a b a c" and "a b": which contexts are states, and where arcs and failure arcs lead."""
+    import pyarrow as pa
+    batch = pa.record_batch([pa.array([2, 3]), pa.array(["a b a c", "a b"])], ["doc_id", "text"])
+    block, = lm_score.blocks(iter([batch]), 5, -1)
+    totals = [np.bincount(lm_score._distinct(block, k)[1]) for k in (1, 2, 3)]
+    m = lm_score.Automaton(block, totals, 8, 4, 10.0)
+    assert len(m.fail_to) == 1 + 5 + 6                  # the empty context, begin a b c end, six pairs
+    assert len(m.arc) == 6 + 5 + 1 and (np.diff(m.arc) > 0).all()
+    begin, a, b = m.word[block.first[0]], m.word[block.first[0] + 1], m.word[block.first[0] + 2]
+    s = m.root_to[begin]
+    s, _ = m.step(np.array([s]), np.array([a]))
+    assert m.fail_to[s[0]] == m.root_to[a]              # the pair (begin, a) fails to a
+    s, w = m.step(s.copy(), np.array([b]))
+    assert m.fail_to[s[0]] == m.root_to[b]
+    p1 = 2.5 / (8 + 2.5)
+    p2 = (2 + 10 * p1) / (3 + 10)
+    assert abs(w[0] - np.log10((2 + 10 * p2) / (2 + 10))) < 1e-12
+    _, w = m.step(s.copy(), np.array([b]))              # no arc in (a, b), nor in b: two failure arcs
+    assert abs(w[0] - np.log10(10 / 12 * 10 / 12 * p1)) < 1e-12
+
+
 def test_empty(empty):
     assert lm_score.score_documents(empty).count() == 0

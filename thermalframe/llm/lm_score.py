@@ -4,14 +4,13 @@ The model counts the n-grams of the training documents and smooths each order by
 ``p(w | h) = (c(h w) + mu p(w | h')) / (c(h) + mu)``, with h' the context h without its first word, and for single tokens
 ``p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))``. As an automaton: every counted context is a state, every counted n-gram an
 arc ``log10 p``, and a state's failure arc ``log10(mu / (c(h) + mu))`` leads to the next shorter one when no arc has
-the token. A text would be scored from left to right, starting in the state of its begin mark. That walk is evaluated
-in closed form: no states are numbered and none is carried from position to position, as the counts of the context and
-the n-gram that end at a position already say which arcs are taken there. The scores are those of the walk.
+the token. A text is scored in one walk from left to right, starting in the state of its begin mark: each token is read
+by an arc of the carried state, or after as many failure arcs as it takes, and the weights on the way add up.
 
 The automaton of a large corpus fits nowhere, so each block of documents gets the part that it needs, and counting
 and asking are one exchange: a block sends its distinct n-grams, with their training counts, to the parts that own
 their hashes; a part adds up and sends back the totals in the same order. The blocks are then formed once more from
-the documents, meet their totals and are scored, all positions of a block at a time. What is sent is in
+the documents, meet their totals, build their automaton, and all documents of a block walk it at once. What is sent is in
 proportion to the documents and the same for a frequent n-gram as for a rare one. Blocks are named by their content; the
 documents must come in the same order in both passes, as they do from files (else the job stops with an error).
 
@@ -34,6 +33,7 @@ from thermalframe.llm import text as X
 from thermalframe.llm.store import parts, written
 
 BLOCK_TOKENS = 2_000_000        # tokens of one block, or one document
+STRETCH = 512                   # tokens that one walk reads of a document
 MU = 1000.0                     # weight of the shorter context
 BEGIN, END = np.uint64(0xB0A7_0000_0000_0001), np.uint64(0xE0D0_0000_0000_0003)
 
@@ -181,38 +181,113 @@ def _pack_block(order: int, folds: int, fold: int):
 
 
 class Automaton:
-    """Weights of the arcs and failure arcs taken at every position of a block, in closed form; no state is carried."""
+    """The part of the model that a block meets, as states joined by arcs and failure arcs.
+
+    State 0 is the empty context and has an arc for every token of the block. Every other counted context of up to
+    ``order - 1`` tokens is a state; its arcs are the counted n-grams that begin with it, sorted by (state, token).
+    """
 
     def __init__(self, block: Block, totals: list[np.ndarray], tokens: int, types: int, mu: float) -> None:
-        self.block, n = block, len(block.tokens)
-        count = []                                              # of the k-gram that ends at each position
+        self.block, self.order = block, len(totals)
+        fail_to, fail_weight = [np.zeros(1, np.int64)], [np.zeros(1)]
+        arc, arc_weight, arc_to = [], [], []
+        number = count = p = state = None
+        n_states = 1
         for k, total in enumerate(totals, 1):
             gram, inverse, at = _distinct(block, k)
             if len(gram) != len(total):
                 raise RuntimeError("the documents came in another order in the second pass")
-            here = np.full(n, -1, np.int64)                     # no such n-gram: the text is younger
-            here[at] = total[inverse]
-            count.append(here)
-        self.count = count
-        p = (np.maximum(count[0], 0) + 0.5) / (tokens + 0.5 * (types + 1))
-        self.base = np.log10(p)
-        weight = self.base.copy()
-        for k in range(1, len(totals)):
-            context = np.append(0, count[k - 1][:-1])           # count of the state that the token is read in
-            is_state = (context > 0) & (count[k] >= 0)
-            fail = np.log10(mu / (context + mu), where=is_state, out=np.zeros(n))
-            arc = is_state & (count[k] > 0)
-            p = np.where(is_state, (np.maximum(count[k], 0) + mu * p) / (context + mu), p)
-            weight = np.where(arc, np.log10(p), np.where(is_state, fail + weight, weight))
-        self.weight = weight
+            last = np.zeros(len(gram), np.int64)                # a position where the n-gram ends
+            last[inverse] = at
+            counted = np.flatnonzero(total > 0)
+            shorter = (number, count, p, state)
+            number = np.full(len(block.tokens), -1, np.int64)   # of the n-gram that ends at each position
+            number[at] = inverse
+            count, state = total, np.zeros(len(gram), np.int64)
+            if k < self.order:
+                state[counted] = n_states + np.arange(len(counted))
+                n_states += len(counted)
+                fail_weight.append(np.log10(mu / (total[counted] + mu)))
+            if k == 1:
+                self.word, self.n_words = number, len(gram)
+                p = (total + 0.5) / (tokens + 0.5 * (types + 1))
+                self.known, self.root_weight, self.root_to = total > 0, np.log10(p), state
+                if self.order > 1:
+                    fail_to.append(np.zeros(len(counted), np.int64))
+                continue
+            number_1, count_1, p_1, state_1 = shorter
+            here = last[counted]
+            context, suffix = number_1[here - 1], number_1[here]    # both are counted if the n-gram is
+            p = np.zeros(len(gram))
+            p[counted] = (total[counted] + mu * p_1[suffix]) / (count_1[context] + mu)
+            arc.append(state_1[context] * self.n_words + self.word[here])
+            arc_weight.append(np.log10(p[counted]))
+            arc_to.append(state[counted] if k < self.order else state_1[suffix])
+            if k < self.order:
+                fail_to.append(state_1[suffix])
+        self.fail_to, self.fail_weight = np.concatenate(fail_to), np.concatenate(fail_weight)
+        self.arc = np.concatenate([*arc, [np.iinfo(np.int64).max]])     # the last one is beyond all others and never asked for
+        by = np.argsort(self.arc)
+        self.arc = self.arc[by]
+        self.arc_weight = np.concatenate([*arc_weight, [0.0]])[by]
+        self.arc_to = np.concatenate([*arc_to, [0]])[by].astype(np.int64)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next state and weight of each walk that reads ``word`` in ``state``, failure arcs included."""
+        weight, to = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        open_ = np.arange(len(state))                           # walks that have not read their token yet
+        while len(open_):
+            s, w = state[open_], word[open_]
+            root = s == 0
+            done = open_[root]
+            weight[done] += self.root_weight[w[root]]
+            to[done] = self.root_to[w[root]]
+            open_, s, w = open_[~root], s[~root], w[~root]
+            key = s * self.n_words + w
+            place = np.searchsorted(self.arc, key)
+            hit = self.arc[place] == key
+            done, place = open_[hit], place[hit]
+            weight[done] += self.arc_weight[place]
+            to[done] = self.arc_to[place]
+            open_, s = open_[~hit], s[~hit]
+            weight[open_] += self.fail_weight[s]
+            state[open_] = self.fail_to[s]
+        return to, weight
+
+    def walk(self) -> np.ndarray:
+        """log10 probability of each document: the weights on its way from the state of its begin mark to its end token.
+
+        All documents walk at once, a token a step. Long ones walk in stretches of ``STRETCH`` tokens; a later stretch
+        starts in state 0 ``order - 1`` tokens early, which leads to the state that the one before it ends in.
+        """
+        first = self.block.first
+        size = np.diff(np.append(first, len(self.block.tokens))) - 1        # without the begin mark
+        pieces = -(-size // STRETCH)
+        doc = np.repeat(np.arange(len(first)), pieces)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = first[doc] + 1 + piece * STRETCH
+        stop = np.minimum(start + STRETCH, first[doc] + 1 + size[doc])
+        early = np.where(piece > 0, self.order - 1, 0)
+        state = np.where(piece > 0, 0, self.root_to[self.word[first[doc]]])
+        by = np.argsort(-(stop - start + early), kind="stable")
+        at, early, state = (start - early)[by], early[by], state[by]
+        steps = (stop - start + np.where(piece > 0, self.order - 1, 0))[by]
+        total = np.zeros(len(doc))
+        walking = len(doc)
+        for j in range(int(steps[0]) if len(steps) else 0):
+            walking = int(np.searchsorted(-steps[:walking], -j))            # those with more than j steps come first
+            to, weight = self.step(state[:walking], self.word[at[:walking] + j])
+            state[:walking] = to
+            total[:walking] += np.where(early[:walking] <= j, weight, 0)
+        return np.bincount(doc[by], total, len(first))
 
     def scores(self) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base score and score of each document."""
         first = self.block.first
         token = np.ones(len(self.block.tokens), bool)
         token[first] = False                                    # the begin mark is no token
-        add = lambda x: np.add.reduceat(np.where(token, x, 0), first)
-        return add(np.ones(len(token), np.int64)), add((self.count[0] > 0).astype(np.int64)), add(self.base), add(self.weight)
+        add = lambda x: np.add.reduceat(np.where(token, x[self.word], 0), first)
+        return (add(np.ones(self.n_words, np.int64)), add(self.known.astype(np.int64)), add(self.root_weight), self.walk())
 
 
 def _score(order: int, tokens: int, types: int, mu: float, folds: int, fold: int):

@@ -73,8 +73,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of every document by single tokens and by the automaton of pairs."""
-    return lm_score.score_documents(table(spark, sf_dir, "documents"), order=2)
+    """Score of every document by single tokens and by the automaton of up to three tokens."""
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), order=3)
 
 
 @query
