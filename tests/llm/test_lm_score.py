@@ -40,7 +40,7 @@ def test_probabilities_add_up(spark):
     train = [(i, t) for i, (_, t) in zip((i for i in range(999) if zlib.crc32(str(i).encode()) % 5 != 1), train)]
     df = spark.createDataFrame(train + held, "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.score for r in lm_score.score_documents(df).collect()}
-    want = {r[0]: r[6] for r in brute.lm(train + held, lm_score.MU)}
+    want = {r[0]: r[6] for r in brute.lm(train + held, lm_score.MU, order=3)}
     assert all(abs(got[i] - want[i]) < 1e-9 for i in got)
     from collections import Counter
     one, mu = Counter("abcabd" * 5), lm_score.MU
@@ -50,6 +50,12 @@ def test_probabilities_add_up(spark):
     assert abs(sum((two.get(w, 0) + mu * q) / (10 + mu) for w, q in p.items()) - 1) < 1e-12
 
 
+@pytest.mark.parametrize("values", [[], [7], [0, 2**64 - 1], [5, 6, 300, 2**40, 2**63, 2**63 + 1], range(1000)])
+def test_sorted_values_as_steps(values):
+    h = np.array(list(values), np.uint64)
+    assert lm_score.unpack_sorted(lm_score.pack_sorted(h)).tolist() == h.tolist()
+
+
 def test_squeeze():
     x = np.array([0, 1, 254, 255, 256, 10**6, 3])
     assert lm_score.unsqueeze(lm_score.squeeze(x), len(x)).tolist() == x.tolist()
@@ -64,7 +70,7 @@ def test_other_orders(spark, order):
     if order == 1:
         assert all(abs(r.score - r.base_score) < 1e-9 for r in got)
     else:
-        assert sum(r.score for r in got) > sum(r.score for r in lm_score.score_documents(df).collect())
+        assert sum(r.score for r in got) > sum(r.score for r in lm_score.score_documents(df, order=2).collect())
 
 
 def test_states_and_arcs():
@@ -72,8 +78,7 @@ def test_states_and_arcs():
     import pyarrow as pa
     batch = pa.record_batch([pa.array([2, 3]), pa.array(["a b a c", "a b"])], ["doc_id", "text"])
     block, = lm_score.blocks(iter([batch]), 5, -1)
-    totals = [np.bincount(lm_score._distinct(block, k)[1]) for k in (1, 2, 3)]
-    m = lm_score.Automaton(block, totals, 8, 4, 10.0)
+    m = lm_score.Automaton(block, lambda k, gram: np.bincount(lm_score._distinct(block, k)[1]), 3, 8, 4, 10.0)
     assert len(m.fail_to) == 1 + 5 + 6                  # the empty context, begin a b c end, six pairs
     assert len(m.arc) == 6 + 5 + 1 and (np.diff(m.arc) > 0).all()
     begin, a, b = m.word[block.first[0]], m.word[block.first[0] + 1], m.word[block.first[0] + 2]

@@ -21,7 +21,7 @@ a null id counts as empty text. Repeated rows all count. Only ``doc_id`` and ``t
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from thermalframe.llm import text as X
 from thermalframe.llm.store import parts, written
 
-BLOCK_TOKENS = 2_000_000        # tokens of one block, or one document
+BLOCK_TOKENS = 1_000_000        # tokens of one block, or one document
 STRETCH = 512                   # tokens that one walk reads of a document
 MU = 1000.0                     # weight of the shorter context
 BEGIN, END = np.uint64(0xB0A7_0000_0000_0001), np.uint64(0xE0D0_0000_0000_0003)
@@ -50,6 +50,24 @@ def unsqueeze(data: bytes, n: int) -> np.ndarray:
     return counts
 
 
+def pack_sorted(h: np.ndarray) -> bytes:
+    """Sorted 64-bit values: width of a step, the first value, then the bytes of all steps, plane by plane."""
+    if not len(h):
+        return b""
+    steps = np.diff(h).astype("<u8")
+    width = (int(steps.max(initial=1)).bit_length() + 7) // 8
+    return bytes([width]) + h[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(data, np.uint8, -1, 9).reshape(data[0], -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :len(planes)] = planes.T
+    return np.cumsum(np.append(np.frombuffer(data, np.uint64, 1, 1), steps.view("<u8")[:, 0]), dtype=np.uint64)
+
+
 @dataclass
 class Block:
     """Token hashes of some documents, each from its begin mark to its end token."""
@@ -113,9 +131,9 @@ def blocks(batches: Iterator[pa.RecordBatch], folds: int, fold: int) -> Iterator
 
 def _distinct(block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct k-grams, number of each valid position's k-gram, and the valid positions."""
-    at = np.flatnonzero(block.depth >= k - 1)
+    at = np.flatnonzero(block.depth >= k - 1).astype(np.int32)
     gram, inverse = np.unique(block.grams(k)[at], return_inverse=True)
-    return gram, inverse, at
+    return gram, inverse.astype(np.int32), at
 
 
 def _names(order: int) -> list[str]:
@@ -132,7 +150,7 @@ def _ask(order: int, spread: int, folds: int, fold: int):
                 gram, inverse, at = _distinct(block, k)
                 count = np.bincount(inverse, trains[at], len(gram)).astype(np.int64)
                 cut = np.searchsorted(X.deal(gram, spread), np.arange(spread + 1))
-                columns.append([gram[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])])
+                columns.append([pack_sorted(gram[a:b]) for a, b in zip(cut[:-1], cut[1:])])
                 columns.append([squeeze(count[a:b]) for a, b in zip(cut[:-1], cut[1:])])
             yield pa.record_batch([pa.array(np.arange(spread, dtype=np.int32)), pa.array([name] * spread, pa.int64()),
                                    *map(X.binary, columns)], ["part", "block", *_names(order)])
@@ -149,7 +167,7 @@ def _answer(order: int):
         totals: list[list[bytes]] = []
         tokens = types = 0
         for k in range(order):
-            grams = [np.frombuffer(r[2 + 2 * k], np.uint64) for r in asked]
+            grams = [unpack_sorted(r[2 + 2 * k]) for r in asked]
             counts = np.concatenate([unsqueeze(r[3 + 2 * k], len(g)) for r, g in zip(asked, grams)])
             gram, inverse = np.unique(np.concatenate(grams), return_inverse=True)
             total = np.bincount(inverse, counts, len(gram)).astype(np.int64)
@@ -185,25 +203,30 @@ class Automaton:
 
     State 0 is the empty context and has an arc for every token of the block. Every other counted context of up to
     ``order - 1`` tokens is a state; its arcs are the counted n-grams that begin with it, sorted by (state, token).
+    ``totals`` gives the training counts of the block's sorted distinct k-grams.
     """
 
-    def __init__(self, block: Block, totals: list[np.ndarray], tokens: int, types: int, mu: float) -> None:
-        self.block, self.order = block, len(totals)
-        fail_to, fail_weight = [np.zeros(1, np.int64)], [np.zeros(1)]
+    def __init__(self, block: Block, totals: Callable[[int, np.ndarray], np.ndarray], order: int, tokens: int, types: int,
+                 mu: float) -> None:
+        self.block, self.order = block, order
+        fail_to, fail_weight = [np.zeros(1, np.int32)], [np.zeros(1)]
         arc, arc_weight, arc_to = [], [], []
         number = count = p = state = None
         n_states = 1
-        for k, total in enumerate(totals, 1):
+        for k in range(1, order + 1):
             gram, inverse, at = _distinct(block, k)
-            if len(gram) != len(total):
-                raise RuntimeError("the documents came in another order in the second pass")
-            last = np.zeros(len(gram), np.int64)                # a position where the n-gram ends
+            total = totals(k, gram)
+            last = np.zeros(len(gram), np.int32)                # a position where the n-gram ends
             last[inverse] = at
-            counted = np.flatnonzero(total > 0)
+            counted = np.flatnonzero(total > 0).astype(np.int32)
             shorter = (number, count, p, state)
-            number = np.full(len(block.tokens), -1, np.int64)   # of the n-gram that ends at each position
-            number[at] = inverse
-            count, state = total, np.zeros(len(gram), np.int64)
+            if k < order:
+                number = np.full(len(block.tokens), -1, np.int32)   # of the n-gram that ends at each position
+                number[at] = inverse
+            elif k == 1:
+                number = inverse
+            count, state = total, np.zeros(len(gram), np.int32)
+            del inverse, at
             if k < self.order:
                 state[counted] = n_states + np.arange(len(counted))
                 n_states += len(counted)
@@ -213,14 +236,14 @@ class Automaton:
                 p = (total + 0.5) / (tokens + 0.5 * (types + 1))
                 self.known, self.root_weight, self.root_to = total > 0, np.log10(p), state
                 if self.order > 1:
-                    fail_to.append(np.zeros(len(counted), np.int64))
+                    fail_to.append(np.zeros(len(counted), np.int32))
                 continue
             number_1, count_1, p_1, state_1 = shorter
             here = last[counted]
             context, suffix = number_1[here - 1], number_1[here]    # both are counted if the n-gram is
             p = np.zeros(len(gram))
             p[counted] = (total[counted] + mu * p_1[suffix]) / (count_1[context] + mu)
-            arc.append(state_1[context] * self.n_words + self.word[here])
+            arc.append(state_1[context].astype(np.int64) * self.n_words + self.word[here])
             arc_weight.append(np.log10(p[counted]))
             arc_to.append(state[counted] if k < self.order else state_1[suffix])
             if k < self.order:
@@ -230,11 +253,11 @@ class Automaton:
         by = np.argsort(self.arc)
         self.arc = self.arc[by]
         self.arc_weight = np.concatenate([*arc_weight, [0.0]])[by]
-        self.arc_to = np.concatenate([*arc_to, [0]])[by].astype(np.int64)
+        self.arc_to = np.concatenate([*arc_to, np.zeros(1, np.int32)])[by]
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next state and weight of each walk that reads ``word`` in ``state``, failure arcs included."""
-        weight, to = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        weight, to = np.zeros(len(state)), np.zeros(len(state), np.int32)
         open_ = np.arange(len(state))                           # walks that have not read their token yet
         while len(open_):
             s, w = state[open_], word[open_]
@@ -243,7 +266,7 @@ class Automaton:
             weight[done] += self.root_weight[w[root]]
             to[done] = self.root_to[w[root]]
             open_, s, w = open_[~root], s[~root], w[~root]
-            key = s * self.n_words + w
+            key = s.astype(np.int64) * self.n_words + w
             place = np.searchsorted(self.arc, key)
             hit = self.arc[place] == key
             done, place = open_[hit], place[hit]
@@ -295,6 +318,13 @@ def _score(order: int, tokens: int, types: int, mu: float, folds: int, fold: int
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, waiting, totals = None, [], []
+
+        def total(k: int, gram: np.ndarray) -> np.ndarray:
+            if not totals:
+                raise RuntimeError("the documents came in another order in the second pass")
+            cut = np.bincount(X.deal(gram, len(totals)), minlength=len(totals)).tolist()
+            return np.concatenate([unsqueeze(t[k - 1], c) for t, c in zip(totals, cut)])
+
         def finish() -> Iterator[pa.RecordBatch]:
             for vocabulary, numbers, ids, first in waiting:
                 hashes, first = np.frombuffer(vocabulary, np.uint64), np.frombuffer(first, np.int64)
@@ -303,14 +333,7 @@ def _score(order: int, tokens: int, types: int, mu: float, folds: int, fold: int
                 number[:, :len(planes)] = planes.T
                 held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % folds == fold for i in ids])
                 block = Block(ids, held, first, hashes[number.view("<u4")[:, 0]])
-                if not totals:
-                    raise RuntimeError("the documents came in another order in the second pass")
-                counts = []
-                for k in range(1, order + 1):
-                    gram = _distinct(block, k)[0]
-                    cut = np.bincount(X.deal(gram, len(totals)), minlength=len(totals)).tolist()
-                    counts.append(np.concatenate([unsqueeze(t[k - 1], c) for t, c in zip(totals, cut)]))
-                n_tokens, known, base, value = Automaton(block, counts, tokens, types, mu).scores()
+                n_tokens, known, base, value = Automaton(block, total, order, tokens, types, mu).scores()
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(held), pa.array(n_tokens), pa.array(known),
                                        pa.array([tokens] * len(ids), pa.int64()), pa.array(base), pa.array(value)], names)
 
@@ -328,7 +351,7 @@ def _score(order: int, tokens: int, types: int, mu: float, folds: int, fold: int
     return score
 
 
-def score_documents(docs: DataFrame, order: int = 2, mu: float = MU, folds: int = 5, fold: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3, mu: float = MU, folds: int = 5, fold: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10."""
     n_parts = parts(docs.sparkSession)
     rows = docs.select("doc_id", "text")
