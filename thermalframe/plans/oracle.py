@@ -348,6 +348,8 @@ def oracles() -> dict[str, str]:
     add("drift_report_json", DRIFT_CTE, f"SELECT overall_status, drift_percentage, feature, status, psi, ks_statistic, reference_mean, current_mean FROM drift, ({SUMMARY})")
     add("load_reference_table", PARTS, f"SELECT sample_id, {', '.join(DRIFT)} FROM parts WHERE split = 'train'")
     add("stream_sensor_messages", MESSAGES, "SELECT event_id, topic, k AS UCWIT, value AS UCAIT FROM topics WHERE NOT broken AND topic = 'hvac/sensors/data'")
+    q["message_log_stream"] = q["stream_sensor_messages"]
+    add("message_log_batch", MESSAGES, "SELECT event_id, topic, event_id % 2 AS segment, CASE WHEN broken THEN 'invalid JSON' END AS reason FROM topics")
     add("publish_messages", MESSAGES, """SELECT event_id, topic, CASE WHEN NOT broken AND event_type <> 'click' THEN sent END AS sent,
       CASE WHEN NOT broken AND event_type = 'view' THEN k END AS UCWIT,
       CASE WHEN NOT broken AND event_type IN ('view', 'click') THEN value END AS UCAIT,

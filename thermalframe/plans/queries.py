@@ -19,7 +19,7 @@ from thermalframe.operators import (blocks, clean, drift, importance, messages,
                                     quantiles, rules, scale, sketches, split, topics)
 from thermalframe.plans import pipeline
 from thermalframe.session import cut_lineage, work_path
-from thermalframe.sources import io
+from thermalframe.sources import io, message_log
 from thermalframe.sources.tables import ORDER, SENSORS, UNIT, events, sensor_view, sensors
 from thermalframe.streaming import jobs
 
@@ -254,6 +254,30 @@ def publish_messages(spark, d):
         F.get_json_object("payload", "$.status").alias("status"))
 
 
+LOGGED = "event_id long, topic string, payload string, ts timestamp"
+
+
+@query("message_log_batch")
+def message_log_batch(spark, d):
+    """All messages, published as two segments of a log, read back with the reason why some are dead."""
+    path, table = work_path(spark, "message-log"), message_table(spark, d)
+    message_log.publish(table.where("event_id % 2 = 0"), path, 0)
+    message_log.publish(table.where("event_id % 2 = 1"), path, 1)
+    return message_log.messages(message_log.read_log(spark, path), LOGGED).select("event_id", "topic", "segment", "reason")
+
+
+@query("message_log_stream")
+def message_log_stream(spark, d):
+    """The event stream published batch by batch to a log; a second stream follows the log and parses what is good."""
+    base = work_path(spark, "message-log-stream")
+    jobs.drain(message_rows(event_stream(spark, d)), f"{base}/published", message_log.publish_to(f"{base}/log"))
+    follow = message_log.messages(message_log.read_log(spark, f"{base}/log", stream=True), LOGGED)
+    jobs.drain(follow, f"{base}/followed", jobs.to_folder(f"{base}/out"))
+    good = messages.parse_messages(spark.read.parquet(f"{base}/out").where("reason IS NULL"))
+    return good.where(F.col("topic") == C.SENSOR_TOPIC).select(
+        "event_id", "topic", F.col("data")["UCWIT"].alias("UCWIT"), F.col("data")["UCAIT"].alias("UCAIT"))
+
+
 def point_readings(spark, d) -> DataFrame:
     """Tall readings of the mapped points, as a field bus would deliver them."""
     items = [F.struct(F.lit(t).alias("object_type"), F.lit(i).alias("instance"), F.col(n).alias("value"))
