@@ -90,6 +90,11 @@ def quality(text):
     base = n < 20 or 100 * len(covered) > 30 * n
     wordlike = sum(bool(re.search(r"[A-Za-z0-9\x80-\U0010ffff]", x)) for x in w)
     bad = (100 * symbols > 15 * n or chars > 15 * n or 2 * chars < 3 * n or 100 * dup > 50 * len(lines) or 2 * wordlike < n)
+    white = " \t\x0b\x0c\r"
+    bullets = sum(x.lstrip(white).startswith(("-", "*", "\u2022")) for x in lines)
+    ellipses = sum(x.rstrip(white).endswith(("...", "\u2026")) for x in lines)
+    top = max((w.count(x) for x in set(w)), default=0)
+    bad = bad or 100 * top > 30 * n or 100 * bullets > 90 * len(lines) or 100 * ellipses > 30 * len(lines)
     return n, chars, symbols, dup, len(covered), base, not (base or bad)
 
 

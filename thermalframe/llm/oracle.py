@@ -61,13 +61,17 @@ c as (
     len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
       - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) as n_dup_lines,
     coalesce(covered.n, 0) as n_repeat_words, len(ls) as n_lines,
-    len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z0-9\x{80}-\x{10FFFF}]'))) as n_wordlike
+    len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z0-9\x{80}-\x{10FFFF}]'))) as n_wordlike,
+    coalesce(list_max(map_values(list_aggregate(ws, 'histogram'))), 0) as n_top_word,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09\x0B-\x0D]*([-*]|\x{2022})'))) as n_bullets,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09\x0B-\x0D]*$'))) as n_ellipses
   from w left join covered using (doc_id)),
 f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
   cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
   not (base_failed or 100 * n_symbols > 15 * n_words or word_chars > 15 * n_words or 2 * word_chars < 3 * n_words
-    or 100 * n_dup_lines > 50 * n_lines or 2 * n_wordlike < n_words) as kept
+    or 100 * n_dup_lines > 50 * n_lines or 2 * n_wordlike < n_words
+    or 100 * n_top_word > 30 * n_words or 100 * n_bullets > 90 * n_lines or 100 * n_ellipses > 30 * n_lines) as kept
 from f
 """
 
