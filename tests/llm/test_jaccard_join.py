@@ -87,3 +87,26 @@ def test_templates_below_and_above_the_threshold(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, 5, 80).collect()}
     assert got == brute.components(rows, 5, 80)
+
+
+def test_few_sets_are_cut_twice():
+    """A set is cut for the next class only where a link reaches into it; what is dealt out takes less than its plain numbers."""
+    import numpy as np
+    from thermalframe.llm import text as X
+    from thermalframe.llm.jaccard_join import _deal
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    classes = size_classes(90, 20_000)
+    sizes = np.unique(np.geomspace(1, 10_000, 200).astype(int))
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in sizes]
+    tokens = [tokens_of(s, classes) for s in sets]
+    assert sum(map(len, tokens)) < 0.2 * sizes.sum()
+    assert all(len(t) == 1 for t, n in zip(tokens, sizes) if n < 9)
+    ids = np.arange(len(sets))
+    batch = pa.record_batch([pa.array(x) for x in (ids, sizes, ids, ids)] + [pa.array([t.tobytes() for t in tokens])],
+                            ["doc_id", "n", "d1", "d2", "tokens"])
+    lines = [r for b in _deal(5)([batch]) for r in b.to_pylist()]
+    assert sorted(r["part"] for r in lines) == list(range(5))
+    got = np.concatenate([np.cumsum(X.unsqueezed(r["tokens"], np.uint64, r["count"])) for r in lines])
+    assert np.array_equal(got, np.sort(np.concatenate(tokens)))
+    assert sum(len(v) for r in lines for v in r.values() if isinstance(v, bytes)) < 10 * len(got)

@@ -6,7 +6,8 @@ and labels every document with the smallest id that it reaches.
 1. *Tokens.* From ``CELLS_FROM`` percent on, a set of n shingles is cut by hash into so many cells that two linked sets
    of about that size must have an equal cell: their symmetric difference has at most d shingles, and there are d + 1
    cells. A token names one cell with its content. Size classes make the number of cells agree: a set is cut for its
-   own class and for the next larger one. A passage that many documents share does not fill a cell, so it makes no
+   own class and, if a set of the next larger one can be linked with it, for that too. A class is ``STEPS`` times as wide
+   as links reach, so that few sets are cut twice. A passage that many documents share does not fill a cell, so it makes no
    hot token. At lower thresholds cells would be small and often empty; there the tokens are the first shingles of
    the set in one order for all: two linked sets have ``needed`` of them in common, a twentieth of the set. The order puts
    shingles that are frequent in many documents last, which changes the work and never the result. The holders of a token
@@ -39,6 +40,7 @@ from thermalframe.llm.components import components
 from thermalframe.llm.store import bit_table, forget, on_used_bits, parts, written
 
 CELLS_FROM = 88                # percent from which cells are used
+STEPS = 3                      # of a class: from one size to the largest that a link reaches, so many times over
 NEED, NEED_OF = 3, 20          # first shingles that linked sets have in common: one of 20, and 3 at least (or all a link needs)
 HOT_SHINGLES = 262_144         # frequent shingles that are put last, at most
 HOT_COUNT = 8                  # documents of one task from which a shingle may be one of them
@@ -49,12 +51,14 @@ QUERIES = 2_000                # queries to one copy of a block
 HEAVY = 2_000                  # documents of a group from which it is dealt over several tasks
 
 
-def size_classes(percent: int, upto: int) -> list[tuple[int, int]]:
-    """(largest size, number of cells) of each class up to the one that holds ``upto`` and the next."""
+def size_classes(percent: int, upto: int) -> list[tuple[int, int, int]]:
+    """(largest size, number of cells, largest size without links into the next) of each class up to the one that holds ``upto`` and the next."""
     classes, low = [], 1
     while True:
-        high = low * 100 // percent
-        classes.append((high, 2 * high * (100 - percent) // (100 + percent) + 1))
+        high = low
+        for _ in range(STEPS):
+            high = high * 100 // percent
+        classes.append((high, 2 * high * (100 - percent) // (100 + percent) + 1, (percent * (high + 1) - 1) // 100))
         if len(classes) > 1 and classes[-2][0] >= upto:
             return classes
         low = high + 1
@@ -66,11 +70,11 @@ def _half_sums(h: np.ndarray, cell: np.ndarray, cells: int) -> np.ndarray:
     return low + (high << np.uint64(32))
 
 
-def tokens_of(shingles: np.ndarray, classes: list[tuple[int, int]]) -> np.ndarray:
-    """Tokens of one set in its own size class and in the next."""
-    own = next(k for k, (high, _) in enumerate(classes) if high >= len(shingles))
+def tokens_of(shingles: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
+    """Tokens of one set in its own size class and, if a larger set there can be linked with it, in the next."""
+    own = next(k for k, (high, _, _) in enumerate(classes) if high >= len(shingles))
     scrambled, found = X.mix(shingles ^ np.uint64(0x5DEECE66D)), []
-    for k in (own, own + 1):
+    for k in (own, own + 1) if len(shingles) > classes[own][2] else (own,):
         cells = classes[k][1]
         content = _half_sums(scrambled, (shingles % np.uint64(cells)).astype(np.int64), cells)
         found.append(X.mix(content ^ X.mix(np.arange(cells, dtype=np.uint64) + np.uint64(k << 40))))
@@ -149,11 +153,11 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, tokens binary")
 
 
-_DEALT = "part int, tokens binary, row binary, doc_id binary, digest binary, size binary"
+_DEALT = "part int, count int, sets int, tokens binary, row binary, doc_id binary, digest binary, size binary"
 
 
 def _deal(spread: int):
-    """Tokens by part: one line for each part and ``HELD_TOKENS`` tokens; equal sets go once."""
+    """Tokens by part: one line for each part and ``HELD_TOKENS`` tokens; equal sets go once. Sorted tokens go as their distances."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
         count = 0
@@ -172,11 +176,12 @@ def _deal(spread: int):
             for p in np.flatnonzero(np.diff(cut)):
                 a, b = cut[p], cut[p + 1]
                 used, local = np.unique(row[a:b], return_inverse=True)
-                lines.append((int(p), token[a:b].tobytes(), local.astype(np.uint32).tobytes(), ids[used].tobytes(),
-                              digest[used].tobytes(), size[used].tobytes()))
-            types = [pa.int32()] + [pa.binary()] * 5
+                gaps = np.diff(token[a:b], prepend=np.uint64(0))
+                lines.append((int(p), int(b - a), len(used), X.squeezed(gaps), X.squeezed(local.astype(np.uint32)),
+                              X.squeezed(ids[used]), digest[used].tobytes(), X.squeezed(size[used])))
+            types = [pa.int32()] * 3 + [pa.binary()] * 5
             return pa.record_batch([pa.array([x[i] for x in lines], t) for i, t in enumerate(types)],
-                                   ["part", "tokens", "row", "doc_id", "digest", "size"])
+                                   ["part", "count", "sets", "tokens", "row", "doc_id", "digest", "size"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "n", "d1", "d2", "tokens")]
@@ -202,12 +207,12 @@ def _share(percent: int):
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            for token, row, doc, digest, size in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
-                row = np.frombuffer(row, np.uint32)
-                got[0].append(np.frombuffer(token, np.uint64))
-                got[1].append(np.frombuffer(doc, np.int64)[row])
+            for count, sets, token, row, doc, digest, size in zip(*(batch.column(i).to_pylist() for i in range(1, 8))):
+                row = X.unsqueezed(row, np.uint32, count)
+                got[0].append(np.cumsum(X.unsqueezed(token, np.uint64, count)))
+                got[1].append(X.unsqueezed(doc, np.int64, sets)[row])
                 got[2].append(np.frombuffer(digest, np.int64)[row])
-                got[3].append(np.frombuffer(size, np.uint32)[row])
+                got[3].append(X.unsqueezed(size, np.uint32, sets)[row])
         if not got[0]:
             return
         token = np.concatenate(got[0])
@@ -375,8 +380,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     member = written(sketch.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
                      .select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
     n_parts = parts(spark)
-    dealt = sketch.select("doc_id", "n", "d1", "d2", "tokens").mapInArrow(_deal(2 * n_parts), _DEALT)
-    holders = written(dealt.repartition(n_parts, "part").mapInArrow(
+    dealt = sketch.select("doc_id", "n", "d1", "d2", "tokens").mapInArrow(_deal(n_parts), _DEALT)
+    holders = written(dealt.repartitionById(n_parts, "part").mapInArrow(
         _share(percent), "token long, doc_id long, lead long, n long"), "tokens")
     forget(sketch)
     leads = holders.groupBy("doc_id", "lead").agg(F.count("*").alias("shares"), F.min("n").alias("least"))
