@@ -1,14 +1,19 @@
 import collections
+import gc
 import itertools
+import types
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import brute
 from thermalframe.llm import packing
+from thermalframe.llm import text as X
 
 import public_tokenizers
 
@@ -128,3 +133,54 @@ def test_closing_symbols():
     got = packing.WordTokenizer(PATH).encode(texts)
     whole = packing.WordTokenizer(PATH).tokenizer
     assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokenizer_goes_at_once():
+    """A worker that lets its tokenizer go has its words' memory back without waiting for the garbage collector."""
+    gc.disable()
+    try:
+        encoder = packing.WordTokenizer(PATH)
+        encoder.encode(["some words. more Words!"])
+        gone = weakref.ref(encoder)
+        del encoder
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
+def test_tokenizer_kept_over_tasks_outlives_its_methods():
+    """Classes travel by value, so a later task puts new functions into the class of a tokenizer that a worker has kept."""
+    def fresh():
+        old = packing.WordTokenizer._ids
+        return types.FunctionType(old.__code__, old.__globals__, "_ids")
+
+    kind = type("Sent", (packing.WordTokenizer,), {"_ids": fresh()})
+    encoder = kind(PATH)
+    want = encoder.encode(["first words."])
+    kind._ids = fresh()
+    gc.collect()
+    assert encoder.encode(["first words.", "other."]) == [*want, packing.WordTokenizer(PATH).encode(["other."])[0]]
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_worker_holds_nothing_between_tasks(monkeypatch, keep):
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, work, schema):
+            self.work = work
+            raise StopIteration
+
+    monkeypatch.setattr(packing, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    docs, batch = Docs(), pa.record_batch([pa.array([1, 2]), pa.array(["a b", None])], ["doc_id", "text"])
+    X.kept().clear()
+    try:
+        with pytest.raises(StopIteration):
+            packing.pack_documents(docs, PATH, keep=keep)
+        X.words(batch.column("text"))
+        out = [r for b in docs.work(iter([batch])) for r in b.to_pylist()]
+        assert sorted((r["doc_id"], r["length"]) for r in out) == [(1, 3), (2, 1)]
+        assert set(X.kept()) == ({"powers", "tokenizers"} if keep else set())
+    finally:
+        X.kept().clear()

@@ -18,8 +18,9 @@ from __future__ import annotations
 import codecs
 import re
 import unicodedata
+import weakref
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,15 +50,15 @@ def byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Ids of words, made when first asked for. Beyond ``cache`` words those not asked for since the last time go."""
 
-    def __init__(self, make: Callable[[str], bytes], cache: int) -> None:
+    def __init__(self, owner: WordTokenizer, cache: int) -> None:
         super().__init__()
-        self.make, self.cache = make, cache
+        self.owner, self.cache = weakref.ref(owner), cache      # no cycle: all words go with the owner at once
         self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.before.get(word)
         if ids is None:
-            ids = self.make(word)
+            ids = self.owner()._ids(word)
         if len(self) >= self.cache:
             self.before = dict(self)
             self.clear()
@@ -79,7 +80,7 @@ class WordTokenizer:
         self.merged = self.tokenizer.model.tokenize
         letters = byte_letters()
         self.letters = "".join(letters[b] for b in range(256))
-        self.words = WordIds(self._ids, cache)
+        self.words = WordIds(self, cache)
 
     def _whole(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -253,14 +254,24 @@ def _numbers(base: int) -> Iterator[int]:
     return iter(range(first, first + (1 << 33), 2))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, cache: int = CACHE_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, cache: int = CACHE_WORDS,
+                   keep: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset) of every piece; ids are little-endian uint32.
 
-    ``cache`` bounds the words whose ids a worker remembers: fewer take less memory and more time.
+    ``cache`` bounds the words whose ids a worker remembers: fewer take less memory and more time. Without ``keep`` a
+    task lets go what a worker holds, other operators' tables before it and its own words after it, so that workers that wait hold nothing.
     """
     step, end = 4 * capacity, np.array([end_id], np.uint32).tobytes()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            X.kept().clear()
+        yield from windows(batches)
+        if not keep:
+            X.kept().clear()
+        X.give_back()                       # what the windows held
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number, held, count = tokenizer(tokenizer_path, cache), _numbers(0), [], 0
         for batch in X.slices(batches, keep="tokenizers"):
             ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
@@ -274,6 +285,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
         yield from _packed(held, capacity, CLOSED * capacity, number)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from open_windows(batches)
+        X.give_back()
+
+    def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, count = _numbers(1), [], 0
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "start", "ids"))))
