@@ -1,7 +1,8 @@
 """One regressor per target: fitting, scoring, refitting on folds, saving.
 
 Least squares and ridge are solved from sums of products, all targets in one
-pass over the rows; boosted trees grow on histograms (``boosting``), forests are MLlib's.
+pass over the rows; boosted trees and forests grow on histograms (``boosting``, ``forest``). Forests of more rows than a task
+holds are MLlib's.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermalframe.operators.boosting import TRAIN, WATCH, BoostedTrees, Boosting, fit_boosted
+from thermalframe.operators.forest import Forest, ForestTrees, fit_forests
 from thermalframe.operators.metrics import pairs_long, regression_metrics
 from thermalframe.operators.split import assign_folds, fold_cuts
 from thermalframe.session import shared_dir
@@ -45,7 +47,7 @@ class Linear:
     alpha: float = 0.0
 
 
-Model = PipelineModel | LeastSquares | BoostedTrees
+Model = PipelineModel | LeastSquares | BoostedTrees | ForestTrees
 Bundle = dict[str, Model]
 
 
@@ -124,6 +126,7 @@ def fit_least_squares(train: DataFrame, features: Sequence[str], targets: Sequen
 
 
 def random_forest(target: str, trees: int = 100, depth: int = 15, seed: int = 42) -> RandomForestRegressor:
+    """The parameters of a forest; ``fit_per_target`` grows it itself where its rows fit in a task."""
     return RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol=f"{target}_pred",
                                  numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed,
                                  maxMemoryInMB=1024)
@@ -150,6 +153,10 @@ def fit_per_target(train: DataFrame, features: Sequence[str], targets: Sequence[
         return fit_least_squares(train, features, targets, first.alpha)
     if isinstance(first, Boosting):
         return fit_boosted(train, features, targets, first)[0]
+    if isinstance(first, RandomForestRegressor):
+        p = Forest(first.getNumTrees(), first.getMaxDepth(), first.getMinInstancesPerNode(), first.getMaxBins(), first.getSeed())
+        if fitted := fit_forests(train, features, targets, p):
+            return fitted
     shared_dir(train.sparkSession)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     needed = train.select(*dict.fromkeys([*features, *targets, *extra])).dropna("any", subset=list(features))
@@ -175,6 +182,10 @@ def predict_all(df: DataFrame, bundle: Bundle, features: Sequence[str]) -> DataF
 
 
 def evaluate(df: DataFrame, bundle: Bundle, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Scores by target. Rows are dealt out for trees: a small file is one task, and hundreds of trees a row keep it busy."""
+    if any(isinstance(m, BoostedTrees | ForestTrees) for m in bundle.values()):
+        df = df.select(*dict.fromkeys([*features, *bundle, *by])).dropna("any", subset=list(features)) \
+            .repartition(df.sparkSession.sparkContext.defaultParallelism * 2)
     scored = predict_all(df, bundle, features)
     return regression_metrics(pairs_long(scored, keep=list(by), targets=list(bundle)), [*by, "target"])
 
@@ -188,7 +199,7 @@ def compare(df: DataFrame, bundles: dict[str, Bundle], features: Sequence[str],
 def tree_importance(bundle: Bundle, features: Sequence[str], spark: SparkSession) -> DataFrame:
     """(target, feature, importance) of tree models: one number per feature and target."""
     rows = [(t, f, float(v)) for t, m in bundle.items() for f, v in zip(
-        features, m.importance() if isinstance(m, BoostedTrees) else m.stages[-1].featureImportances.toArray())]
+        features, m.importance() if isinstance(m, BoostedTrees | ForestTrees) else m.stages[-1].featureImportances.toArray())]
     return spark.createDataFrame(rows, "target string, feature string, importance double")
 
 
@@ -230,6 +241,8 @@ def over_folds(folds: DataFrame) -> DataFrame:
 _LINEAR = "target string, features array<string>, intercept double, coefficients array<double>"
 _BOOSTED = ("target string, features array<string>, edges array<array<double>>, base double, split array<array<int>>, "
             "cut array<array<int>>, leaf array<array<double>>, gain array<array<double>>, losses array<double>")
+_FOREST = ("target string, features array<string>, edges array<array<double>>, tree int, split binary, cut binary, leaf binary, "
+           "gains array<double>")
 _NAMES = "targets array<string>, kinds array<string>, features array<string>"
 
 
@@ -243,9 +256,13 @@ def save_bundle(bundle: Bundle, path: str, spark: SparkSession, features: Sequen
             trees = (x.tolist() for x in (m.split, m.cut, m.leaf, m.gain))
             spark.createDataFrame([(m.target, m.features, m.edges, m.base, *trees, m.losses)], _BOOSTED) \
                 .write.mode("overwrite").parquet(f"{path}/{t}")
+        elif isinstance(m, ForestTrees):
+            trees = [(m.target, m.features, m.edges, i, *(bytearray(x.tobytes()) for x in tree), m.gains[i].tolist())
+                     for i, tree in enumerate(zip(m.split, m.cut, m.leaf))]
+            spark.createDataFrame(trees, _FOREST).write.mode("overwrite").parquet(f"{path}/{t}")
         else:
             m.write().overwrite().save(f"{path}/{t}")
-    kinds = [{LeastSquares: "linear", BoostedTrees: "boosted"}.get(type(m), "trees") for m in bundle.values()]
+    kinds = [{LeastSquares: "linear", BoostedTrees: "boosted", ForestTrees: "forest"}.get(type(m), "trees") for m in bundle.values()]
     spark.createDataFrame([(list(bundle), kinds, list(features))], _NAMES).write.mode("overwrite").json(f"{path}/_bundle")
 
 
@@ -257,7 +274,12 @@ def load_bundle(path: str, spark: SparkSession) -> tuple[Bundle, list[str]]:
             ("split", np.int16), ("cut", np.int16), ("leaf", float), ("gain", float)))
         return BoostedTrees(r["target"], r["features"], r["edges"], r["base"], *arrays, r["losses"])
 
-    load = {"boosted": boosted, "linear": lambda p: LeastSquares(*spark.read.schema(_LINEAR).parquet(p).first()), "trees": PipelineModel.load}
+    def forest(p: str) -> ForestTrees:
+        trees = spark.read.schema(_FOREST).parquet(p).orderBy("tree").collect()
+        arrays = ([np.frombuffer(r[c], kind) for r in trees] for c, kind in (("split", np.int16), ("cut", np.uint8), ("leaf", float)))
+        return ForestTrees(trees[0]["target"], trees[0]["features"], trees[0]["edges"], *arrays, np.array([r["gains"] for r in trees]))
+
+    load = {"boosted": boosted, "forest": forest, "linear": lambda p: LeastSquares(*spark.read.schema(_LINEAR).parquet(p).first()), "trees": PipelineModel.load}
     return {t: load[k](f"{path}/{t}") for t, k in zip(names["targets"], names["kinds"])}, list(names["features"])
 
 

@@ -1211,8 +1211,13 @@ def training_rows(spark, d) -> DataFrame:
     return features.leak_free(parts(spark, d))
 
 
+def kept_rows(spark, d) -> DataFrame:
+    """The training rows, made once: a filter on features of features would otherwise make each of them again and again."""
+    return cut_lineage(training_rows(spark, d))
+
+
 def scored_table(spark, d, estimator) -> DataFrame:
-    rows = training_rows(spark, d)
+    rows = kept_rows(spark, d)
     bundle = models.fit_per_target(rows.where("split = 'train'"), TRAIN_INPUTS, TARGETS, estimator)
     return models.evaluate(rows, bundle, TRAIN_INPUTS, ["split"])
 
