@@ -102,3 +102,13 @@ def test_rows_without_a_value(spark):
     assert R.fit_forests(df, ["a"], ["y"], R.Forest(trees=3))["y"].predict(np.array([[5.0]])).tolist() == [2.0]
     with pytest.raises(ValueError, match="no row"):
         R.fit_forests(df, ["a"], ["y", "z"], R.Forest(trees=3))
+
+
+@pytest.mark.parametrize("name, most", [("importance_long", 30)])
+def test_registered_forests_make_no_job_a_level(spark, name, most):
+    spark.sparkContext.setJobGroup(f"jobs-{name}", "")
+    try:
+        q.QUERIES[name](spark, SF, trees=4, depth=15)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"jobs-{name}")) <= most
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -1288,7 +1288,7 @@ def least_squares_residuals(spark, d):
 
 @query("importance_long")
 def importance_long(spark, d, trees: int = 100, depth: int = 15):
-    rows = training_rows(spark, d).where("split = 'train'")
+    rows = kept_rows(spark, d).where("split = 'train'")
     bundle = models.fit_per_target(rows, TRAIN_INPUTS, TARGETS, lambda t: models.random_forest(t, trees=trees, depth=depth))
     return models.tree_importance(bundle, TRAIN_INPUTS, spark)
 
