@@ -104,7 +104,7 @@ def test_rows_without_a_value(spark):
         R.fit_forests(df, ["a"], ["y", "z"], R.Forest(trees=3))
 
 
-@pytest.mark.parametrize("name, most", [("importance_long", 30), ("importance_mean_trees", 30)])
+@pytest.mark.parametrize("name, most", [("importance_long", 30), ("importance_mean_trees", 30), ("compare_models", 60)])
 def test_registered_forests_make_no_job_a_level(spark, name, most):
     spark.sparkContext.setJobGroup(f"jobs-{name}", "")
     try:
