@@ -119,3 +119,59 @@ def test_nothing_to_learn_from(spark):
     assert got["z"].n_trees == 0 and got["z"].predict(np.array([[1.0]])).tolist() == [0.0]
     assert got["y"].predict(np.array([[1.0]]))[0] == pytest.approx(3.0, abs=0.2)
     assert B.fit_boosted(df.where("false"), ["a"], ["y"], B.Boosting(trees=2))[0]["y"].base == 0.0
+
+
+def test_packed_sums_are_exact():
+    rng = np.random.default_rng(5)
+    n = 70_000
+    g, used = rng.standard_t(2, n), rng.random(n) < 0.7
+    own = g.copy()
+    step = B.packed(own, used)
+    near = np.clip(np.rint(g / step), 1 - B.STEPS, B.STEPS - 1) * step
+    assert np.abs(near - g)[used].max() <= np.abs(g[used]).max() / (B.STEPS / 2)
+    place = rng.integers(0, 9, n)
+    place[:B.PIECE] %= 2                                   # nearly all rows in two cells
+    rows = np.flatnonzero(used)[:B.PIECE]
+    s, h = B.unpacked(np.bincount(place[rows], own[rows], 9), step)
+    assert h.tolist() == np.bincount(place[rows], minlength=9).tolist()
+    assert s.tolist() == np.bincount(place[rows], near[rows], 9).tolist()
+    assert B.unpacked(np.bincount(np.zeros(B.PIECE, int), np.full(B.PIECE, B.ONE + 1 - B.STEPS)), 1.0)[0][0] == B.PIECE * (1 - B.STEPS)
+
+
+@pytest.mark.parametrize("columns, pair_slots", [([0, 1, 3, 4], 4), ([0, 2, 3], 4), ([2, 4, 1], 0)])
+def test_large_trees_are_summed_packed_and_equal_the_exact_ones(monkeypatch, columns, pair_slots):
+    rng = np.random.default_rng(6)
+    bins = rng.integers(0, 8, (900, 5)).astype(np.uint8)
+    g = np.round(rng.normal(size=900) * 64) / 64 + (bins[:, 2] > 3) - (bins[:, 3] > 5) * 2.0
+    used, p = rng.random(900) < 0.8, B.Boosting(depth=4, min_rows=5, bins=8, least_gain=0.01)
+    grown = lambda: B.grow_columns(bins, np.ascontiguousarray(bins.T), g.copy(), used, np.array(columns), p)
+    exact, at = grown()
+    for name, value in (("EXACT_ROWS", 10), ("PIECE", 128), ("PAIR_SLOTS", pair_slots)):
+        monkeypatch.setattr(B, name, value)
+    large, large_at = grown()
+    assert np.array_equal(exact[0], large[0]) and np.array_equal(exact[1], large[1]) and np.allclose(exact[2], large[2])
+    assert np.array_equal(at, large_at) and np.array_equal(at, B.walk(bins, exact[0], exact[1])) and (exact[0] >= 0).sum() > 5
+
+
+def test_computed_features_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(v):
+        made.add(1)
+        return float(v)
+
+    df = spark.range(500).select(costly("id").alias("a")).withColumn("b", F.col("a") + 1).withColumn("y", F.col("a") % 7)
+    B.fit_boosted(df, ["a", "b"], ["y"], B.Boosting(trees=1, depth=2))
+    assert made.value == 500
+
+
+def test_a_table_of_some_million_rows_is_fitted_in_a_few_jobs(spark):
+    """Beyond a million rows each level of each tree used to be a job."""
+    df = spark.range(1_100_000).select((F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("y"))
+    spark.sparkContext.setJobGroup("boost-many", "")
+    try:
+        B.fit_boosted(df, ["a"], ["y"], B.Boosting(trees=6, depth=3))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("boost-many")) < 15
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

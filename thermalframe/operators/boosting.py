@@ -6,8 +6,10 @@ second derivative is 1) by (node, column, bin) give every split's gain with L1 a
 ``-rate T(g) / (h + l2)``. Each tree draws rows (by a hash of the row) and columns. With watched rows, boosting ends after ``patience``
 trees without a lower watched loss and keeps the trees up to the lowest.
 
-A model is a (fold, target). Where the rows of a model are at most ``TASK_ROWS``, one task holds its bins (a byte a value) and grows all its
-trees, the models side by side; only the smaller child of a split is summed, the other is its parent less that.
+A model is a (fold, target). Where the rows of a model are at most ``TASK_ROWS``, one task holds its bins (a byte a value, column by column)
+and grows all its trees, the models side by side; only the smaller child of a split is summed, the other is its parent less that.
+Trees of more than ``EXACT_ROWS`` drawn rows sum gradients in steps of a 2**19th of the largest, together with the counts: one sum a
+column instead of two, exact, and piece by piece within the processor's caches.
 Beyond, rows stay where they are and one job makes a level of all models: tasks sum their own rows, sums meet by
 model and group of columns, and the driver sees one candidate per node and group. Predictions are written every
 ``KEEP`` trees; a task adds the trees since, so that no state is lost with an executor. Both ways grow the same trees, up to rounding.
@@ -29,7 +31,12 @@ from pyspark.sql import functions as F
 
 from thermalframe.session import cut_lineage
 
-TASK_ROWS = 1_000_000
+TASK_ROWS = 6_000_000
+EXACT_ROWS = 1 << 17            # drawn rows of a tree up to which gradients are summed as they are
+PIECE = 1 << 16                 # rows whose packed sums are exact
+PAIR_SLOTS = 4                  # nodes up to which packed sums are made for two columns at once
+WALK = 1 << 13                  # rows that walk together
+STEPS, ONE = 1 << 19, 2.0 ** 36         # a packed row: the gradient in steps, and its count
 KEEP = 10
 CHUNK_COLUMNS = 8               # columns whose sums meet in one task
 TRAIN, WATCH = 1, 2
@@ -97,21 +104,40 @@ def to_bins(values: np.ndarray, edges: Sequence[Sequence[float]]) -> np.ndarray:
         if len(edges) else np.zeros((len(values), 0), np.uint8)
 
 
+def _moves(split: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
+    """By node: the column asked, the last bin that goes left, and the left child; a leaf leads to itself."""
+    leaf = split < 0
+    return (np.where(leaf, 0, split).astype(np.int64), np.where(leaf, 255, cut).astype(np.uint8),
+            np.where(leaf, np.arange(len(split)), 2 * np.arange(len(split)) + 1))
+
+
+def walk_columns(columns: np.ndarray, split: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The node at which each row stops in one tree; bins by column."""
+    n = columns.shape[1]
+    at = np.zeros(n, np.int64)
+    asked = np.flatnonzero(split >= 0)
+    if len(asked):
+        flat, row = columns.ravel(), np.arange(n)
+        column, bound, left = _moves(split, cut)
+        column = column * n
+        for _ in range(int(asked[-1] + 1).bit_length()):
+            right = flat.take(column.take(at) + row) > bound.take(at)
+            at = left.take(at)
+            at += right
+    return at
+
+
 def walk(bins: np.ndarray, split: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """The node at which each row stops in one tree."""
-    at = np.zeros(len(bins), np.int64)
-    open_ = np.arange(len(bins)) if split[0] >= 0 else np.zeros(0, np.int64)
-    while len(open_):
-        node = at[open_]
-        at[open_] = 2 * node + 1 + (bins[open_, split[node]] > cut[node])
-        open_ = open_[split[at[open_]] >= 0]
-    return at
+    return walk_columns(np.ascontiguousarray(bins.T), split, cut)
 
 
 def add_trees(bins: np.ndarray, split: np.ndarray, cut: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     total = np.zeros(len(bins))
-    for s, c, w in zip(split, cut, leaf):
-        total += w[walk(bins, s, c)]
+    for a in range(0, len(bins), WALK):
+        columns = np.ascontiguousarray(bins[a:a + WALK].T)
+        for s, c, w in zip(split, cut, leaf):
+            total[a:a + WALK] += w.take(walk_columns(columns, s, c))
     return total
 
 
@@ -137,10 +163,31 @@ def best_splits(sums: np.ndarray, counts: np.ndarray, p: Boosting) -> tuple[np.n
 def histogram(bins: np.ndarray, slot: np.ndarray, g: np.ndarray, slots: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums of ``g`` and counts by (slot, column, bin)."""
     n, f = bins.shape
-    place = (slot[:, None] * f + np.arange(f)) * width + bins
-    size = slots * f * width
-    return (np.bincount(place.ravel(), np.repeat(g, f), size).reshape(slots, f, width),
-            np.bincount(place.ravel(), minlength=size).astype(float).reshape(slots, f, width))
+    sums, counts = np.zeros((slots, f, width)), np.zeros((slots, f, width))
+    start = slot * width
+    for j in range(f):
+        place = start + bins[:, j]
+        sums[:, j] = np.bincount(place, g, slots * width).reshape(slots, width)
+        counts[:, j] = np.bincount(place, minlength=slots * width).reshape(slots, width)
+    return sums, counts
+
+
+def packed(g: np.ndarray, used: np.ndarray) -> float:
+    """Puts gradient, in steps of what is returned, and count of each used row into one number of ``g``."""
+    top = float(np.abs(g).max(where=used, initial=0.0))
+    step = 2.0 ** (np.ceil(np.log2(top)) - np.log2(STEPS)) if top else 1.0
+    for a in range(0, len(g), PIECE):
+        own = g[a:a + PIECE]
+        np.rint(own / step, out=own)
+        np.clip(own, 1 - STEPS, STEPS - 1, out=own)
+        own += ONE
+    return step
+
+
+def unpacked(total: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, counts) of packed numbers of at most ``PIECE`` rows: whole numbers below 2**53, so nothing is rounded."""
+    counts = np.floor((total + ONE / 2) / ONE)
+    return (total - counts * ONE) * step, counts
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -150,8 +197,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def drawn_rows(row: np.ndarray, tree: int, p: Boosting) -> np.ndarray:
-    h = _mix(row.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (tree + 1 + 1000 * p.seed) % (1 << 64)))
-    return (h >> np.uint64(11)).astype(float) < p.subsample * 2.0 ** 53
+    out = np.empty(len(row), bool)
+    for a in range(0, len(row), PIECE):
+        h = _mix(row[a:a + PIECE].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (tree + 1 + 1000 * p.seed) % (1 << 64)))
+        out[a:a + PIECE] = (h >> np.uint64(11)).astype(float) < p.subsample * 2.0 ** 53
+    return out
 
 
 def drawn_columns(n: int, tree: int, p: Boosting) -> np.ndarray:
@@ -169,57 +219,132 @@ def _weigh(g: float | np.ndarray, h: float | np.ndarray, p: Boosting):
 
 def grow(bins: np.ndarray, g: np.ndarray, columns: np.ndarray, p: Boosting) -> tuple[np.ndarray, ...]:
     """(split, cut, leaf, gain) of one tree over rows in memory."""
+    bins = np.ascontiguousarray(bins)
+    return grow_columns(bins, np.ascontiguousarray(bins.T), g.astype(float), np.ones(len(g), bool), columns, p)[0]
+
+
+def _pairs(by_column: np.ndarray, columns: np.ndarray, width: int) -> np.ndarray:
+    """Bins of two columns as one number, for columns two by two."""
+    out = np.empty((len(columns) // 2, by_column.shape[1]), np.uint16)
+    for a in range(0, by_column.shape[1], PIECE):
+        for j, pair in enumerate(out[:, a:a + PIECE]):
+            np.multiply(by_column[columns[2 * j], a:a + PIECE], width, out=pair, dtype=np.uint16)
+            pair += by_column[columns[2 * j + 1], a:a + PIECE]
+    return out
+
+
+def grow_columns(bins: np.ndarray, by_column: np.ndarray, g: np.ndarray, used: np.ndarray, columns: np.ndarray,
+                 p: Boosting) -> tuple[tuple, np.ndarray]:
+    """(split, cut, leaf, gain) of one tree grown on the used rows, and the node of every row; ``g`` may be overwritten."""
     split, cut, leaf, gains = _empty(p)
-    own = np.ascontiguousarray(bins[:, columns]).astype(np.int64)
-    node = np.zeros(len(g), np.int64)                  # place in the level
+    n, many, width = len(g), int(used.sum()), p.bins
+    leaf[0] = _weigh(g[used].sum(), many, p)
+    step = packed(g, used) if many > EXACT_ROWS else 0.0
+    piece = PIECE if step else max(n, 1)
+    pairs = _pairs(by_column, columns, width) if step and width <= 64 else None
+    flat, offset = bins.ravel(), np.arange(min(n, piece)) * bins.shape[1]
+    at = np.zeros(n, np.int64)
+
+    def advance(moves: tuple | None, slot_of: np.ndarray | None, slots: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows go on to their children; sums and counts of the used rows whose node has a slot."""
+        sums, counts = np.zeros((slots, len(columns), width)), np.zeros((slots, len(columns), width))
+        two = pairs if pairs is not None and slots <= PAIR_SLOTS else by_column[:0]
+        one = columns[2 * len(two):]
+        held, most = [0.0] * (len(two) + len(one)), 0
+
+        def flush() -> None:
+            for j, total in enumerate(held[:len(two)]):
+                total = np.reshape(total, (slots, width, width))
+                for i in (0, 1):
+                    s, h = unpacked(total.sum(axis=2 - i), step)
+                    sums[:, 2 * j + i] += s
+                    counts[:, 2 * j + i] += h
+            for j, total in enumerate(held[len(two):], 2 * len(two)):
+                s, h = unpacked(np.reshape(total, (slots, width)), step)
+                sums[:, j] += s
+                counts[:, j] += h
+
+        for a in range(0, n, piece):
+            here = at[a:a + piece]
+            if moves is not None:
+                column, bound, left = moves
+                place = column.take(here)
+                place += offset[:len(here)]
+                right = flat[a * bins.shape[1]:].take(place) > bound.take(here)
+                here[:] = left.take(here)
+                here += right
+            if slot_of is None:
+                continue
+            slot = slot_of.take(here)
+            rows = np.flatnonzero((slot >= 0) & used[a:a + piece])
+            slot, own = slot.take(rows), g[a:a + piece].take(rows)
+            start = slot * width
+            if not step:
+                for j, c in enumerate(columns):
+                    place = start + by_column[c, a:a + piece].take(rows)
+                    sums[:, j] = np.bincount(place, own, slots * width).reshape(slots, width)
+                    counts[:, j] = np.bincount(place, minlength=slots * width).reshape(slots, width)
+                continue
+            if most + len(rows) > PIECE:
+                flush()
+                held, most = [0.0] * len(held), 0
+            most += len(rows)
+            if len(two):
+                begin = start * width
+                for j, pair in enumerate(two):
+                    held[j] += np.bincount(begin + pair[a:a + piece].take(rows), own, slots * width * width)
+            for j, c in enumerate(one, len(two)):
+                held[j] += np.bincount(start + by_column[c, a:a + piece].take(rows), own, slots * width)
+        if most:
+            flush()
+        return sums, counts
+
     ids = np.zeros(1, np.int64)                        # the level's nodes
-    sums, counts = histogram(own, node, g, 1, p.bins)
-    leaf[0] = _weigh(g.sum(), len(g), p)
+    slot_of = np.full(len(split), -1)
+    slot_of[0] = 0
+    sums, counts = advance(None, slot_of, 1)
     for level in range(p.depth):
         value, f, b = best_splits(sums, counts, p)
         good = np.flatnonzero(value > 0)
         if not len(good):
             break
         split[ids[good]], cut[ids[good]], gains[ids[good]] = columns[f[good]], b[good], value[good]
-        at = np.arange(len(good))
-        hl = np.cumsum(counts[good, f[good]], axis=1)[at, b[good]]
-        gl = np.cumsum(sums[good, f[good]], axis=1)[at, b[good]]
+        each = np.arange(len(good))
+        hl = np.cumsum(counts[good, f[good]], axis=1)[each, b[good]]
+        gl = np.cumsum(sums[good, f[good]], axis=1)[each, b[good]]
         h, s = counts[good, f[good]].sum(axis=1), sums[good, f[good]].sum(axis=1)
         leaf[2 * ids[good] + 1], leaf[2 * ids[good] + 2] = _weigh(gl, hl, p), _weigh(s - gl, h - hl, p)
+        moves = _moves(split, cut)
         if level == p.depth - 1:
+            advance(moves, None, 0)
             break
-        place = np.full(len(ids), -1)
-        place[good] = at
-        keep = place[node] >= 0
-        own, g, node = own[keep], g[keep], place[node[keep]]
-        right = own[np.arange(len(g)), f[good][node]] > b[good][node]
         small_right = h - hl < hl
-        summed = right == small_right[node]
-        a, c = histogram(own[summed], node[summed], g[summed], len(good), p.bins)
+        slot_of = np.full(len(split), -1)
+        slot_of[2 * ids[good] + 1 + small_right] = each
+        a, c = advance(moves, slot_of, len(good))
         other_a, other_c = sums[good] - a, counts[good] - c
         pick = small_right[:, None, None]
         sums = np.stack([np.where(pick, other_a, a), np.where(pick, a, other_a)], axis=1).reshape(2 * len(good), *a.shape[1:])
         counts = np.stack([np.where(pick, other_c, c), np.where(pick, c, other_c)], axis=1).reshape(2 * len(good), *c.shape[1:])
-        node = 2 * node + right
         ids = np.stack([2 * ids[good] + 1, 2 * ids[good] + 2], axis=1).ravel()
-    return split, cut, leaf, gains
+    return (split, cut, leaf, gains), at
 
 
 def boost(bins: np.ndarray, y: np.ndarray, role: np.ndarray, row: np.ndarray, p: Boosting) -> tuple[float, list, list[float]]:
     """(base, trees, watched losses) of one model whose rows are in memory, in the order of their hashes."""
-    train, watch = role == TRAIN, role == WATCH
+    train, watch = role == TRAIN, np.flatnonzero(role == WATCH)
     base = float(y[train].mean()) if train.any() else 0.0
     trees, losses = [], []
     if not train.any():
         return base, trees, losses
-    pred = np.full(len(y), base)
+    pred, by_column = np.full(len(y), base), np.ascontiguousarray(bins.T)
     for t in range(p.trees):
-        used = np.flatnonzero(train & drawn_rows(row, t, p))
-        tree = grow(bins[used], (pred - y)[used], drawn_columns(bins.shape[1], t, p), p)
+        tree, at = grow_columns(bins, by_column, pred - y, train & drawn_rows(row, t, p), drawn_columns(len(by_column), t, p), p)
         trees.append(tree)
-        pred += tree[2][walk(bins, tree[0], tree[1])]
-        if watch.any():
-            losses.append(float(((pred - y)[watch] ** 2).mean()))
+        for a in range(0, len(y), PIECE):
+            pred[a:a + PIECE] += tree[2].take(at[a:a + PIECE])
+        if len(watch):
+            losses.append(float(((pred[watch] - y[watch]) ** 2).mean()))
             if t - int(np.argmin(losses)) >= p.patience:
                 break
     if losses:
@@ -266,12 +391,12 @@ def fit_boosted(rows: DataFrame, features: Sequence[str], targets: Sequence[str]
     if roles is None:
         roles = [F.lit(TRAIN) if p.validation is None else F.when(F.col(p.validation), F.lit(WATCH)).otherwise(F.lit(TRAIN))]
     f, t, k = len(features), len(targets), len(roles)
-    named = rows.dropna("any", subset=features).select(
+    named = rows.select(
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
         *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(targets)],
         *[F.coalesce(r.cast("int"), F.lit(0)).alias(f"r{i}") for i, r in enumerate(roles)],
         F.xxhash64(*features, *targets).alias("row")).where(" or ".join(f"r{i} in (1, 2)" for i in range(k)))
-    named = cut_lineage(named)
+    named = cut_lineage(named).dropna("any", subset=[f"x{i}" for i in range(f)])     # a filter before would make computed features twice
     trained = named.where(" or ".join(f"r{i} = 1" for i in range(k)))
     edges = bin_edges(trained, [f"x{i}" for i in range(f)], p.bins)
     blocks = cut_lineage(_blocks(named, features, targets, k, edges))
@@ -288,6 +413,15 @@ def fit_boosted(rows: DataFrame, features: Sequence[str], targets: Sequence[str]
     return out
 
 
+def _joined(cells: list) -> tuple[np.ndarray, ...]:
+    """(bins, y, role, hash) of one model's blocks, in the order of the hashes; the blocks are let go."""
+    y, role, row = (np.concatenate([c[i] for c in cells]).reshape(-1) for i in (1, 2, 3))
+    bins = np.concatenate([c[0] for c in cells])
+    cells.clear()
+    order = np.argsort(row, kind="stable")
+    return bins.take(order, axis=0), y[order], role[order], row[order]
+
+
 _TREES = "model int, base double, trees int, split binary, cut binary, leaf binary, gain binary, losses array<double>"
 
 
@@ -309,10 +443,8 @@ def _in_tasks(blocks: DataFrame, f: int, t: int, k: int, p: Boosting) -> dict[in
         for batch in batches:
             for i, m in enumerate(batch.column("model").to_pylist()):
                 held.setdefault(m, []).append(_unpack(batch, i, f, 1, 1))
-        for m, cells in held.items():
-            bins, y, role, row = (np.concatenate(c) for c in zip(*cells))
-            order = np.argsort(row, kind="stable")
-            base, trees, losses = boost(bins[order], y[order, 0], role[order, 0], row[order], p)
+        for m in list(held):
+            base, trees, losses = boost(*_joined(held.pop(m)), p)
             packed = [b"".join(tree[j].tobytes() for tree in trees) for j in range(4)]
             yield pa.record_batch([pa.array([m], pa.int32()), pa.array([base]), pa.array([len(trees)], pa.int32()),
                                    *(pa.array([x], pa.binary()) for x in packed), pa.array([losses], pa.list_(pa.float64()))],
@@ -320,7 +452,7 @@ def _in_tasks(blocks: DataFrame, f: int, t: int, k: int, p: Boosting) -> dict[in
 
     dealt = blocks.mapInArrow(deal, "model int, " + _BLOCK)
     out = {m: (0.0, [], []) for m in range(k * t)}
-    for r in dealt.repartitionById(k * t, F.col("model")).mapInArrow(fit, _TREES).collect():
+    for r in dealt.repartitionById(k * t, F.lit(k * t - 1) - F.col("model")).mapInArrow(fit, _TREES).collect():   # late folds have most rows
         kinds = zip(("split", "cut", "leaf", "gain"), (np.int16, np.int16, float, float))
         arrays = [np.frombuffer(r[c], kind).reshape(r["trees"], -1) for c, kind in kinds] if r["trees"] else [[]] * 4
         out[r["model"]] = r["base"], list(zip(*arrays)), list(r["losses"])
@@ -409,9 +541,10 @@ def _predictions(batch: pa.RecordBatch, i: int, bins: np.ndarray, base: dict, si
     n = len(bins)
     old = batch.column("pred")[i].as_py()
     pred = np.tile([base[m] for m in range(models)], (n, 1)) if old is None else np.frombuffer(old, float).reshape(n, models).copy()
+    by_column = np.ascontiguousarray(bins.T)
     for m, trees in since.items():
         for split, cut, leaf, _ in trees:
-            pred[:, m] += leaf[walk(bins, split, cut)]
+            pred[:, m] += leaf[walk_columns(by_column, split, cut)]
     return pred
 
 
