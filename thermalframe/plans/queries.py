@@ -1251,7 +1251,7 @@ def fit_gbt(spark, d, trees: int = 300, depth: int = 8, rate: float = 0.05):
 
 @query("fit_gbt_early_stop")
 def fit_gbt_early_stop(spark, d, trees: int = 300, depth: int = 8, rate: float = 0.05):
-    rows = training_rows(spark, d).withColumn("is_validation", F.col("split") == "val")
+    rows = kept_rows(spark, d).withColumn("is_validation", F.col("split") == "val")
     bundle = models.fit_per_target(rows.where("split <> 'test'"), TRAIN_INPUTS, TARGETS,
                                    lambda t: models.boosted_trees(t, trees=trees, depth=depth, rate=rate, validation="is_validation"),
                                    extra=["is_validation"])
