@@ -1302,7 +1302,7 @@ def importance_mean_trees(spark, d, trees: int = 100, depth: int = 15):
 @query("cv_temporal_refit")
 def cv_temporal_refit(spark, d, k: int = 5, trees: int = 300, depth: int = 8, rate: float = 0.05):
     """New boosted trees per fold and target, which watch the fold's test rows; mean and deviation of their scores over the folds."""
-    rows = features.leak_free(bounded(spark, d))
+    rows = cut_lineage(features.leak_free(bounded(spark, d)))
     make = lambda t: models.boosted_trees(t, trees=trees, depth=depth, rate=rate)
     return rounded(models.over_folds(models.refit_on_folds(rows, ORDER, TRAIN_INPUTS, TARGETS, make, k=k)))
 
